@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import html, mixing, packing, quality, sharding, vectors, warc
+from skein.llm import html, mixing, packing, quality, sharding, shingle_join, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,4 +40,8 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_quality, op4_vectors, op5_warc, op6_packing, op7_mixing, op8_html)}
+def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_sharding, op3_quality, op4_vectors, op5_warc, op6_packing, op7_mixing, op8_html, op9_shingle_join)}
