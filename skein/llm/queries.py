@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import html, mixing, packing, quality, sharding, shingle_join, vectors, warc
+from skein.llm import html, mixing, packing, pii, quality, sharding, shingle_join, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(table(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_manifest(table(spark, sf_dir, "documents"))
 
@@ -44,4 +48,4 @@ def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_quality, op4_vectors, op5_warc, op6_packing, op7_mixing, op8_html, op9_shingle_join)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_sharding, op3_quality, op4_vectors, op5_warc, op6_packing, op7_mixing, op8_html, op9_shingle_join)}
