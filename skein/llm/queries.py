@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import html, mixing, packing, pii, quality, sharding, shingle_join, vectors, warc
+from skein.llm import html, mixing, packing, pii, quality, quotes, sharding, shingle_join, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,4 +48,8 @@ def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_sharding, op3_quality, op4_vectors, op5_warc, op6_packing, op7_mixing, op8_html, op9_shingle_join)}
+def op10_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.conversations(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_sharding, op3_quality, op4_vectors, op5_warc, op6_packing, op7_mixing, op8_html, op9_shingle_join, op10_quotes)}
