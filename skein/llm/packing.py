@@ -15,10 +15,13 @@ can have padding.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -28,8 +31,10 @@ from skein.llm.common import materialise, pick
 
 LENGTH = 4096
 END_ID = 2
-#: Words whose ids a worker remembers, and the longest of these in bytes: some 60 MB.
-REMEMBERED, LONGEST = 300_000, 48
+#: Words whose ids a worker remembers in each of two generations, and the longest of these in bytes: some 200 MB.
+REMEMBERED, LONGEST = 400_000, 48
+#: Text that is encoded at once; its arrays take some ten times as much.
+BLOCK_BYTES = 12 << 20
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -40,11 +45,13 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class WordEncoder:
-    """Ids of texts as little-endian 16-bit bytes, through a memory of words.
+    """Ids of texts in 16 bits, through a memory of words.
 
     The tokenizer never joins across white space, so that a text's ids are those of its
-    words in order; ``bytes.split`` splits at ASCII white space only, which is a subset
-    of what the tokenizer splits at.
+    words in order. Arrow splits a block of texts at ASCII white space (a subset of what
+    the tokenizer splits at) and numbers the different words; only these are looked up
+    or encoded, and their ids are gathered for the whole block. Words not used for two
+    generations are forgotten.
     """
 
     def __init__(self, path: str):
@@ -54,29 +61,96 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits")
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        words = [(t or "").encode().split() for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list({w for ws in words for w in ws}.difference(self.known))
-        found = dict(zip(new, (np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)), strict=True))
-        self.known.update((w, ids) for w, ids in found.items() if len(w) <= LONGEST)
-        return [b"".join([found[w] if w in found else self.known[w] for w in ws]) for ws in words]
-
-
-def tokenise(docs: DataFrame, path: str | None = None, texts_at_once: int = 256) -> DataFrame:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+        # a tokenizer may have another pipeline than letters | digit | symbols; then words are encoded as they are
+        self.plain = [i for w in ("word", ".") for i in self._ids([w])[0]] == self._ids(["word."])[0] and self._ids(["Word"]) == self._ids(["word"])
+
+    def _ids(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of new words. A word that ends in a letter and one mark of punctuation is the word and the mark."""
+        parts, whole = [], []
+        for s in words:
+            # a letter that changes into one with a loose accent would make one run of symbols with the mark
+            ends = self.plain and len(s) > 1 and s[-1] in ".,;:!?" and unicodedata.normalize("NFC", s[-2]).lower()[-1].isalpha()
+            mark = s[-1] if ends else ""
+            core = s[: len(s) - len(mark)]
+            if self.plain and core.isascii() and core.isalpha():
+                core = core.lower()
+            parts.append((core, mark))
+            whole += [core] if core not in self.cores else []
+            whole += [mark] if mark and mark not in self.cores else []
+        whole = list(dict.fromkeys(whole))
+        simple = [s for s in whole if self.plain and s.isascii() and s.isalpha()]
+        for s in simple:  # one run of letters in lower case: only the merges are left to do
+            self.cores[s] = np.array([t.id for t in self.tokenizer.model.tokenize(s)], "<u2").tobytes()
+        rest = [s for s in whole if s not in self.cores]
+        self.cores.update((s, np.array(i, "<u2").tobytes()) for s, i in zip(rest, self._ids(rest), strict=True))
+        out = [self.cores[c] + (self.cores[m] if m else b"") for c, m in parts]
+        if len(self.cores) > REMEMBERED:
+            self.cores.clear()
+        return out
+
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        """Ids of different words."""
+        ids = list(map(self.young.get, words))
+        unknown = [i for i, x in enumerate(ids) if x is None]
+        older = list(map(self.old.get, [words[i] for i in unknown]))
+        new = [i for i, x in zip(unknown, older, strict=True) if x is None]
+        for i, x in zip(unknown, older, strict=True):
+            ids[i] = x
+        for i, x in zip(new, self._encode_words([words[i] for i in new]), strict=True):
+            ids[i] = x
+        self.young.update((words[i], ids[i]) for i in unknown if len(words[i]) <= LONGEST)
+        if len(self.young) > REMEMBERED:
+            self.young, self.old = {}, self.young
+        return ids
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text, 16-bit little-endian; a null is an empty text."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        coded = split.flatten().dictionary_encode()
+        ids = self._ids_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = np.array([len(i) // 2 for i in ids], np.int64)
+        first = np.cumsum(size) - size
+        flat = np.frombuffer(b"".join(ids), "<u2")
+        word = coded.indices.to_numpy()
+        n = size[word]
+        end = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
+        stream = flat[np.arange(end[-1]) + np.repeat(first[word] - end[:-1], n)]
+        border = split.offsets.to_numpy() - split.offsets[0].as_py()
+        cut_at = end[border]
+        return [stream[a:b].tobytes() for a, b in zip(cut_at[:-1].tolist(), cut_at[1:].tolist(), strict=True)]
+
+
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> WordEncoder:
+    """One a worker process, for all its tasks."""
+    return WordEncoder(path)
+
+
+def blocks(batch: pa.RecordBatch, column: int, block_bytes: int = BLOCK_BYTES):
+    """The batch in slices of about so many bytes of text, a longer text being a slice of its own."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    block = np.cumsum(size) // block_bytes
+    starts = np.flatnonzero(np.diff(block, prepend=-1))
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows], strict=True):
+        yield batch.slice(a, b - a)
+
+
+def tokenise(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, part (the task), at (ids before it in the task), n (ids with the end id), ids (16-bit, little-endian)."""
     path = path or tokenizer_path()
     end = np.array([END_ID], "<u2").tobytes()
 
     def run(batches):
-        encoder, part, at = WordEncoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, at = encoder_of(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for i in range(0, batch.num_rows, texts_at_once):
-                piece = batch.slice(i, texts_at_once)
-                ids = [x + end for x in encoder.encode(piece.column(1).to_pylist())]
+            for piece in blocks(batch, 1):
+                ids = [x + end for x in encoder.encode(piece.column(1))]
                 n = np.array([len(x) // 2 for x in ids], np.int64)
                 yield pa.RecordBatch.from_arrays([piece.column(0).cast(pa.int64()), pa.array(np.full(len(n), part, np.int32)), pa.array(at + np.cumsum(n) - n), pa.array(n), pa.array(ids, pa.binary())], names=["doc_id", "part", "at", "n", "ids"])
                 at += int(n.sum())
