@@ -1,10 +1,6 @@
-"""All queries of the core library and their SQL, collected from the operator modules."""
+"""All queries of the core library and their SQL, collected from the plan modules."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from skein.plans import chat, corpus, retrieval, signals, text  # noqa: F401  they register themselves
+from skein.plans.registry import ORACLES, QUERIES  # noqa: F401
