@@ -1 +1,237 @@
-"""."""
+"""Queries on events as metrics and signals, with their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from skein.operators import signals as G
+from skein.plans.registry import query, table
+
+
+def events(spark, d):
+    return table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+BY = W.partitionBy("user_id").orderBy("ts", "event_id")
+WIN = "(PARTITION BY user_id ORDER BY ts, event_id"
+US = "epoch_us(ts)"
+
+
+@query(f"SELECT event_id, round(avg(value) OVER {WIN} ROWS 4 PRECEDING), 6) AS mean FROM events")
+def w1_moving_average(spark, d):
+    return events(spark, d).select("event_id", F.round(G.moving_average("value", ["user_id"], ["ts", "event_id"]), 6).alias("mean"))
+
+
+@query("""WITH RECURSIVE o AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+r AS (SELECT user_id, event_id, i, least(value, 60) AS s FROM o WHERE i = 1 UNION ALL SELECT o.user_id, o.event_id, o.i, least(r.s * 0.7 + o.value * (1 - 0.7::DOUBLE), 60) FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1)
+SELECT user_id, event_id, round(s, 6) AS smoothed FROM r""")
+def w2_exponential_smoothing(spark, d):
+    return G.smoothed(table(spark, d, "events"), "user_id", "event_id", "value", 0.7, 60.0).withColumn("smoothed", F.round("smoothed", 6))
+
+
+@query("WITH o AS (SELECT doc_id, sum(strlen(text)) OVER (ORDER BY doc_id) - strlen(text) AS start, strlen(text) AS n FROM documents) SELECT doc_id, start::BIGINT AS start, (start // 4096)::BIGINT AS first_frame, ((start + n - 1) // 4096)::BIGINT AS last_frame FROM o")
+def w16_rebuffering(spark, d):
+    """Documents as a byte stream, cut into frames of 4096; offsets in two passes, by ranges of ids."""
+    rows = table(spark, d, "documents").select("doc_id", F.octet_length("text").cast("long").alias("n"), F.floor(F.col("doc_id") / 4096).alias("part"))
+    starts = rows.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    inside = F.coalesce(F.sum("n").over(W.partitionBy("part").orderBy("doc_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.withColumn("_in", inside).join(starts, "part").withColumn("start", F.col("base") + F.col("_in"))
+    return placed.select("doc_id", "start", F.floor(F.col("start") / 4096).alias("first_frame"), F.floor((F.col("start") + F.col("n") - 1) / 4096).alias("last_frame"))
+
+
+@query(f"WITH x AS (SELECT user_id, event_id, ts, ({US} - lag({US}) OVER {WIN})) / 1e6 * lag(value) OVER {WIN}) AS part FROM events) SELECT event_id, round(coalesce(sum(part) OVER {WIN}), 0), 1) AS integral FROM x")
+def w18_integral_of_rate(spark, d):
+    us = F.unix_micros("ts")
+    part = (us - F.lag(us).over(BY)) / 1e6 * F.lag("value").over(BY)
+    return events(spark, d).withColumn("part", part).select("event_id", F.round(F.coalesce(F.sum("part").over(BY), F.lit(0.0)), 1).alias("integral"))
+
+
+@query(f"""WITH x AS (SELECT event_id, avg(value) OVER {WIN} ROWS 9 PRECEDING) AS mean, first_value(value) OVER {WIN}) AS base FROM events)
+SELECT event_id, round((mean - base) / base * 100, 4) AS change, CASE WHEN (mean - base) / base * 100 >= 100 THEN 'critical' WHEN (mean - base) / base * 100 >= 50 THEN 'high' WHEN (mean - base) / base * 100 >= 20 THEN 'raised' ELSE 'ok' END AS alert FROM x WHERE base > 0""")
+def w19_change_alerts(spark, d):
+    rows = events(spark, d).select("event_id", G.moving_average("value", ["user_id"], ["ts", "event_id"], 10).alias("mean"), F.first("value").over(BY).alias("base")).where("base > 0")
+    change = (F.col("mean") - F.col("base")) / F.col("base") * 100
+    return rows.select("event_id", F.round(change, 4).alias("change"), F.when(change >= 100, "critical").when(change >= 50, "high").when(change >= 20, "raised").otherwise("ok").alias("alert"))
+
+
+@query("SELECT user_id, i AS step, greatest(1.0 - i * 0.15, 0.4)::DOUBLE AS value FROM (SELECT DISTINCT user_id FROM events), range(0, 6) t(i)")
+def w24_linear_ramp(spark, d):
+    steps = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long")))
+    return events(spark, d).select("user_id").distinct().withColumn("step", steps).withColumn("value", F.greatest(F.lit(1.0) - F.col("step") * 0.15, F.lit(0.4)))
+
+
+@query("""SELECT e.event_id AS asked_id, p.value, round(epoch_us(e.ts) / 1e6 - epoch_us(p.ts) / 1e6, 3) AS age FROM (SELECT * FROM events WHERE event_type = 'click') e
+ASOF LEFT JOIN (SELECT user_id, ts, value FROM events WHERE event_type = 'purchase') p ON e.user_id = p.user_id AND e.ts >= p.ts""")
+def j13_as_of(spark, d):
+    e = events(spark, d)
+    found = G.value_at(e.where("event_type = 'click'").withColumn("asked_id", F.col("event_id")), e.where("event_type = 'purchase'"), "user_id", "ts", "value")
+    return found.select("asked_id", "value", F.round(F.unix_micros("ts") / 1e6 - F.unix_micros("known_at") / 1e6, 3).alias("age"))
+
+
+@query("SELECT c.event_id, median(v.value) AS level, count(v.value) AS n FROM (SELECT * FROM events WHERE event_type = 'signup') c LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON c.user_id = v.user_id AND v.ts BETWEEN c.ts - INTERVAL 6 HOUR AND c.ts + INTERVAL 6 HOUR GROUP BY 1")
+def j14_interval_join(spark, d):
+    """Both sides are cut into buckets of the interval's length, so that the join is on equality."""
+    e = events(spark, d)
+    hours = 6 * 3600
+    bucket = lambda c: F.floor(F.unix_seconds(c) / hours)
+    c = e.where("event_type = 'signup'").select("event_id", "user_id", F.col("ts").alias("at")).withColumn("b", F.explode(F.array(*(bucket(F.col("at")) + i for i in (-1, 0, 1)))))
+    v = e.where("event_type = 'view'").select("user_id", F.col("ts").alias("t"), "value", bucket(F.col("ts")).alias("b"))
+    near = c.join(v, ["user_id", "b"], "left").withColumn("value", F.when(F.abs(F.unix_micros("t") - F.unix_micros("at")) <= hours * 1_000_000, F.col("value")))
+    return near.groupBy("event_id").agg(F.median("value").alias("level"), F.count("value").alias("n"))
+
+
+@query("WITH t AS (SELECT * FROM (VALUES ('en', 0.1), ('fr', 0.2), ('de-AT', 0.3)) t(tag, threshold)), l AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang || '-AT' ELSE lang END AS tag FROM documents) SELECT doc_id, coalesce(a.threshold, b.threshold)::DOUBLE AS threshold FROM l LEFT JOIN t a ON l.tag = a.tag LEFT JOIN t b ON split_part(l.tag, '-', 1) = b.tag")
+def j16_language_threshold(spark, d):
+    t = spark.createDataFrame([("en", 0.1), ("fr", 0.2), ("de-AT", 0.3)], "tag string, threshold double")
+    rows = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat("lang", F.lit("-AT"))).otherwise(F.col("lang")).alias("tag"))
+    rows = rows.withColumn("base", F.split_part("tag", F.lit("-"), F.lit(1)))
+    a, b = t.toDF("tag", "exact"), t.toDF("base", "general")
+    return rows.join(a, "tag", "left").join(b, "base", "left").select("doc_id", F.coalesce("exact", "general").alias("threshold"))
+
+
+KINDS = "CASE event_type WHEN 'click' THEN 'llm' WHEN 'view' THEN 'realtime' WHEN 'purchase' THEN 'tts' WHEN 'signup' THEN 'stt' ELSE 'eou' END"
+
+
+@query(f"""WITH m AS (SELECT {KINDS} AS type, event_id % 50 AS p, event_id % 7 AS c, event_id % 11 AS o, user_id AS ch, value FROM events)
+SELECT sum(p) FILTER (type IN ('llm', 'realtime'))::BIGINT AS llm_prompt_tokens, sum(c) FILTER (type IN ('llm', 'realtime'))::BIGINT AS llm_prompt_cached_tokens, sum(o) FILTER (type IN ('llm', 'realtime'))::BIGINT AS llm_completion_tokens, sum(p) FILTER (type = 'realtime')::BIGINT AS llm_input_audio_tokens, sum(o) FILTER (type = 'realtime')::BIGINT AS llm_output_audio_tokens, sum(ch) FILTER (type = 'tts')::BIGINT AS tts_characters_count, round(sum(value) FILTER (type = 'tts'), 4) AS tts_audio_duration, round(sum(value) FILTER (type = 'stt'), 4) AS stt_audio_duration FROM m""")
+def a4_usage(spark, d):
+    """Event types stand in for metric types."""
+    kind = F.when(F.col("event_type") == "click", "llm").when(F.col("event_type") == "view", "realtime").when(F.col("event_type") == "purchase", "tts").when(F.col("event_type") == "signup", "stt").otherwise("eou")
+    m = events(spark, d).select(kind.alias("type"), (F.col("event_id") % 50).alias("prompt_tokens"), (F.col("event_id") % 7).alias("cached_tokens"), (F.col("event_id") % 11).alias("completion_tokens"), (F.col("event_id") % 50).alias("input_audio_tokens"), (F.col("event_id") % 11).alias("output_audio_tokens"), F.col("user_id").alias("characters"), F.col("value").alias("audio_seconds"))
+    out = G.usage(m)
+    return out.withColumns({c: F.round(c, 4) for c in ("tts_audio_duration", "stt_audio_duration")})
+
+
+@query("SELECT event_type, round(avg(value) FILTER (user_id % 10 <> 0), 6) AS mean, median(value) FILTER (user_id % 10 <> 0) AS median, min(value) FILTER (user_id % 10 <> 0) AS low, max(value) FILTER (user_id % 10 <> 0) AS high, round(stddev_samp(value) FILTER (user_id % 10 <> 0), 6) AS deviation, round(avg((user_id % 10 <> 0)::INT), 6) AS success FROM events GROUP BY 1")
+def a5_latency_statistics(spark, d):
+    out = G.latency(events(spark, d), "event_type", "value", F.col("user_id") % 10 != 0)
+    return out.withColumns({c: F.round(c, 6) for c in ("mean", "deviation", "success")})
+
+
+@query("WITH x AS (SELECT user_id, list_sort(list(value)) AS v FROM events GROUP BY 1) SELECT user_id, v[least((len(v) * 0.95)::DOUBLE // 1 + 1, len(v))::BIGINT] AS p95 FROM x".replace("(len(v) * 0.95)::DOUBLE // 1", "floor(len(v) * 0.95)"))
+def a6_index_percentile(spark, d):
+    return events(spark, d).groupBy("user_id").agg(G.index_percentile(F.collect_list("value"), 0.95).alias("p95"))
+
+
+@query("SELECT user_id, coalesce(avg(value) FILTER (event_type = 'click'), 0) AS confidence FROM events GROUP BY 1".replace("coalesce(avg(value) FILTER (event_type = 'click'), 0)", "round(coalesce(avg(value) FILTER (event_type = 'click'), 0), 6)"))
+def a16_mean_confidence(spark, d):
+    return events(spark, d).groupBy("user_id").agg(F.round(F.coalesce(F.avg(F.when(F.col("event_type") == "click", F.col("value"))), F.lit(0.0)), 6).alias("confidence"))
+
+
+@query(f"SELECT user_id, round((min({US}) FILTER (event_type = 'view') - min({US})) / 1e6, 3) AS ttft, round((max({US}) - min({US})) / 1e6, 3) AS duration, round(count(*) FILTER (event_type = 'view') / ((max({US}) - min({US})) / 1e6), 9) AS rate FROM events GROUP BY 1 HAVING count(*) FILTER (event_type = 'view') > 0 AND max(ts) > min(ts)")
+def a17_request_metrics(spark, d):
+    """A user's events stand in for a request, views for its tokens."""
+    us, token = F.unix_micros("ts"), F.col("event_type") == "view"
+    out = events(spark, d).groupBy("user_id").agg(F.min(us).alias("a"), F.max(us).alias("b"), F.min(F.when(token, us)).alias("t"), F.count_if(token).alias("n")).where("n > 0 and b > a")
+    return out.select("user_id", F.round((F.col("t") - F.col("a")) / 1e6, 3).alias("ttft"), F.round((F.col("b") - F.col("a")) / 1e6, 3).alias("duration"), F.round(F.col("n") / ((F.col("b") - F.col("a")) / 1e6), 9).alias("rate"))
+
+
+@query(f"WITH x AS (SELECT user_id, value, (row_number() OVER {WIN}) - 1) // 4 AS g FROM events) SELECT user_id, g::BIGINT AS batch, round(sum(value), 6) AS total FROM x GROUP BY 1, 2 HAVING count(*) = 4")
+def a18_flushed_batches(spark, d):
+    """Batches of ceil(1 / 0.25) inferences; what is left over isn't flushed."""
+    rows = events(spark, d).withColumn("batch", F.floor((F.row_number().over(BY) - 1) / 4))
+    return rows.groupBy("user_id", "batch").agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("n")).where("n = 4").select("user_id", "batch", F.round("total", 6).alias("total"))
+
+
+@query("WITH r AS (SELECT vec_id, label, sqrt(list_avg(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS rms FROM embeddings) SELECT label, round(median(rms), 8) AS rms FROM r GROUP BY 1")
+def a20_median_rms(spark, d):
+    from skein.functions import vectors as V
+
+    e = F.col("embedding")
+    rows = table(spark, d, "embeddings").select("label", F.sqrt(V.dot(e, e) / F.size(e)).alias("rms"))
+    return rows.groupBy("label").agg(F.round(F.median("rms"), 8).alias("rms"))
+
+
+@query("SELECT user_id, CASE WHEN bool_or(value > 45) THEN 'unhealthy' WHEN bool_or(value > 30) THEN 'degraded' ELSE 'healthy' END AS health FROM events GROUP BY 1")
+def a21_health(spark, d):
+    return events(spark, d).groupBy("user_id").agg(F.when(F.bool_or(F.col("value") > 45), "unhealthy").when(F.bool_or(F.col("value") > 30), "degraded").otherwise("healthy").alias("health"))
+
+
+@query("SELECT event_type, " + ", ".join(f"sum((value <= {b})::INT)::BIGINT AS le_{i}" for i, b in enumerate((0.1, 0.5, 1, 2.5, 5, 10))) + ", count(*) AS n, max(value) AS gauge FROM events GROUP BY 1")
+def a22_histogram(spark, d):
+    buckets = [F.sum((F.col("value") <= b).cast("int")).alias(f"le_{i}") for i, b in enumerate((0.1, 0.5, 1, 2.5, 5, 10))]
+    return events(spark, d).groupBy("event_type").agg(*buckets, F.count(F.lit(1)).alias("n"), F.max("value").alias("gauge"))
+
+
+@query("SELECT k * 1000 AS documents, round(avg_chunks * k * 1000, 3) AS vectors FROM (SELECT sum(ceil(n_chars / 512.0)) / count(*) AS avg_chunks FROM documents), (SELECT unnest([3, 4, 5]) AS k)")
+def a23_capacity(spark, d):
+    per = table(spark, d, "documents").agg((F.sum(F.ceil(F.col("n_chars") / 512.0)) / F.count(F.lit(1))).alias("a"))
+    return per.withColumn("k", F.explode(F.array(*(F.lit(i) for i in (3, 4, 5))))).select((F.col("k") * 1000).alias("documents"), F.round(F.col("a") * F.col("k") * 1000, 3).alias("vectors"))
+
+
+@query("SELECT user_id, round(sum(value), 4) AS seconds FROM events GROUP BY 1")
+def a24_duration(spark, d):
+    return events(spark, d).groupBy("user_id").agg(F.round(F.sum("value"), 4).alias("seconds"))
+
+
+SESSION = """WITH x AS (SELECT user_id, event_id, epoch_us(ts) AS t, epoch_us(ts) + CASE WHEN event_type = 'click' THEN 3600000000 ELSE 36000000000 END AS until FROM events),
+y AS (SELECT *, t > max(until) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS fresh FROM x),
+z AS (SELECT *, sum(coalesce(fresh, true)::INT) OVER (PARTITION BY user_id ORDER BY t, event_id) AS s FROM y)
+SELECT user_id, count(*) AS n, (max(until) - min(t))::BIGINT AS micros FROM z GROUP BY user_id, s"""
+
+
+@query(SESSION)
+def x3_endpointing(spark, d):
+    """An hour after a click, ten after anything else."""
+    gap = F.when(F.col("event_type") == "click", "1 hour").otherwise("10 hours")
+    out = G.sessions(events(spark, d), gap)
+    return out.select("user_id", "n", (F.unix_micros("end") - F.unix_micros("start")).alias("micros"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, turn * 2000000 AS t, turn * 2000000 + CASE WHEN regexp_matches(text, '[.!?]$') AND length(text) < 200 THEN 200000 ELSE 5000000 END AS until FROM conversations),
+y AS (SELECT *, t > max(until) OVER (PARTITION BY conv_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS fresh FROM c), z AS (SELECT *, sum(coalesce(fresh, true)::INT) OVER (PARTITION BY conv_id ORDER BY t) AS s FROM y)
+SELECT conv_id, min(turn) AS first_turn, count(*) AS n FROM z GROUP BY conv_id, s""")
+def x4_punctuation_delay(spark, d):
+    """A turn every two seconds; a short finished sentence waits 0.2 s, anything else 5 s."""
+    done = F.col("text").rlike("[.!?]$") & (F.length("text") < 200)
+    rows = table(spark, d, "conversations").withColumn("ts", F.timestamp_micros(F.col("turn") * 2_000_000))
+    w = rows.groupBy("conv_id", F.session_window("ts", F.when(done, "200 milliseconds").otherwise("5 seconds")).alias("w")).agg(F.min("turn").alias("first_turn"), F.count(F.lit(1)).alias("n"))
+    return w.select("conv_id", "first_turn", "n")
+
+
+@query(f"WITH x AS (SELECT *, sum((event_type = 'signup')::INT) OVER {WIN}) AS run FROM events) SELECT user_id, run::BIGINT AS run, count(*) AS n FROM x GROUP BY 1, 2")
+def x5_utterances(spark, d):
+    return G.utterances(events(spark, d), "user_id", ["ts", "event_id"], F.col("event_type") == "signup").groupBy("user_id", "run").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT user_id, date_trunc('hour', ts)::VARCHAR AS start, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1")
+def x7_rate_limit(spark, d):
+    """One an hour here, as no user has ten a minute."""
+    return G.over_limit(events(spark, d), 1, width="1 hour").select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+@query(f"SELECT event_id FROM events QUALIFY coalesce(event_type <> lag(event_type) OVER {WIN}), true)")
+def x14_repeats_suppressed(spark, d):
+    return events(spark, d).withColumn("_b", F.lag("event_type").over(BY)).where("_b is null or event_type <> _b").select("event_id")
+
+
+@query(f"SELECT event_id, avg(value) OVER {WIN} ROWS 4 PRECEDING) / 50 > 0.7 AS full FROM events".replace("AS full", "AS at_limit"))
+def x18_load(spark, d):
+    return events(spark, d).select("event_id", (G.moving_average("value", ["user_id"], ["ts", "event_id"]) / 50 > 0.7).alias("at_limit"))
+
+
+@query("SELECT conv_id, turn, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 15.0 AS start FROM conversations".replace("/ 15.0 AS start", "/ 15.0 AS start_s").replace("SELECT conv_id, turn, coalesce", "SELECT conv_id, turn, round(coalesce").replace("/ 15.0 AS", "/ 15.0, 6) AS"))
+def x20_sentence_starts(spark, d):
+    w = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, -1)
+    return table(spark, d, "conversations").select("conv_id", "turn", F.round(F.coalesce(F.sum(F.length("text")).over(w), F.lit(0)) / 15.0, 6).alias("start_s"))
+
+
+def signal(spark, d):
+    """Events as a signal: a sample a tenth of a second, its level from the value."""
+    return events(spark, d).select(F.col("user_id").alias("key"), (F.row_number().over(BY) / 10.0).alias("t"), (F.col("value") / 50).alias("p"), F.lit(0.1).alias("dt"), F.col("event_type").alias("speaker"), F.col("value").alias("level"))
+
+
+@query()
+def x2_activity(spark, d):
+    return G.activity(signal(spark, d), on=0.3, least_on=0.1, least_off=0.3)
+
+
+@query()
+def x8_throttle(spark, d):
+    return G.throttled(signal(spark, d).select("key", "t", "p"), least=0.3)
+
+
+@query()
+def w20_primary_speaker(spark, d):
+    return G.primary_speaker(signal(spark, d).select("key", "t", "speaker", "level"))
