@@ -25,7 +25,7 @@ def listing(spark: SparkSession, path: str, glob: str = "*", recursive: bool = T
 def text_files(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
     """S3. A row for each whole file, bytes that aren't UTF-8 left out."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    text = F.replace(F.decode(F.try_to_binary(F.hex("content"), F.lit("hex")), "UTF-8"), F.lit("�"), F.lit(""))
+    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
     return files.select("path", text.alias("text"))
 
 
@@ -73,7 +73,7 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
 def pages_of(text: Column) -> Column:
     """S1. Array of (page, text) of a text with [Page n] marks."""
     parts = F.filter(F.split(text, r"(?=\[Page [0-9]+\])"), lambda x: x.rlike(r"^\[Page [0-9]+\]"))
-    return F.transform(parts, lambda x: F.struct(F.regexp_extract(x, r"^\[Page ([0-9]+)\]", 1).cast("int").alias("page"), F.trim(F.regexp_replace(x, r"^\[Page [0-9]+\]\s*", "")).alias("text")))
+    return F.transform(parts, lambda x: F.struct(F.regexp_extract(x, r"^\[Page ([0-9]+)\]", 1).cast("int").alias("page"), F.regexp_replace(x, r"^\[Page [0-9]+\]\s*|\s+$", "").alias("text")))
 
 
 QA = "qa_pairs array<struct<turn:long,question:string,answer:string,context:string,source:string,page:int>>"
