@@ -169,12 +169,13 @@ def mix_documents(docs: DataFrame, *, seed: str = SEED, weights=(1, 2, 3)) -> Da
 
     Rows alike in all columns are decided on together; one of them stands for all.
     """
-    rows = docs.withColumns({"_size": word_count(F.col("text")), "_pattern": F.array(F.col("source").cast("string")), "_row": F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))})
-    slim = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_pattern").alias("pattern"), F.col("_size").alias("size"), F.col("_row").alias("row"))
+    # the caller's columns travel as one, so that none of them can clash with those made here
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    slim = rows.select(F.col("doc.doc_id").cast("long").alias("doc_id"), F.array(F.col("doc.source").cast("string")).alias("pattern"), word_count(F.col("doc.text")).alias("size"), "row")
     slim = materialise(slim.groupBy("doc_id", "pattern", "size", "row").agg(F.count(F.lit(1)).alias("copies")), "mix")
     _, _, flow = solve(slim, "pattern", weights=weights)
-    times = multiplicities(slim, flow=flow, seed=seed).groupBy(F.col("row").alias("_r"), "copies").agg(F.sum("times").cast("int").alias("_t"))
-    times = materialise(times.where("_t > 0"), "times")
-    chosen = rows.join(times, rows["_row"] == times["_r"])
-    once = chosen.where("copies = 1").unionByName(chosen.where("copies > 1").dropDuplicates(["_row"]))
-    return once.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_t")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    times = multiplicities(slim, flow=flow, seed=seed).groupBy(F.col("row").alias("_r"), "copies").agg(F.sum("times").cast("int").alias("times"))
+    times = materialise(times.where("times > 0"), "times")
+    chosen = rows.join(times, rows["row"] == times["_r"])
+    once = chosen.where("copies = 1").unionByName(chosen.where("copies > 1").dropDuplicates(["row"]))
+    return once.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*(F.col(f"doc.`{c}`").alias(c) for c in docs.columns))

@@ -259,7 +259,8 @@ def pii_report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span in ``text`` replaced by its kind in brackets; the same columns."""
-    rows = with_spans(docs)
+    # the caller's columns travel as one, so that none of them can clash with those made here
+    rows = with_spans(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), "text"))
     by_start = F.array_sort(F.transform("_all", lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("n"), x["e"].alias("e"), x["k"].alias("k"))))
     empty = F.array().cast("array<struct<s:int,n:int,e:int,k:int>>")
     # base spans of two kinds may overlap; what starts inside another only makes it longer
@@ -272,4 +273,4 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.concat(F.array_join(pieces, ""), F.substring(F.col("_text"), F.get(m, F.size(m) - 1)["e"] + 1, F.length("_text")))
 
     text = F.when(F.size("_all") > 0, let(merged, rebuilt)).otherwise(F.col("text"))
-    return rows.select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    return rows.select(*(text.alias("text") if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns))

@@ -1,0 +1,445 @@
+"""The training-data operators against brute force, on small fixtures with the awkward cases in them."""
+
+from __future__ import annotations
+
+import collections
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+import zstandard
+from pyspark.sql import functions as F
+
+from skein.llm import components, gbdt, html, mixing, packing, pii, quality, queries, quotes, sharding, shingle_join, vectors, warc
+
+SMALL = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+PROSE = "Some plain words about a river and the old mill that stands beside it near the town where people used to bring their grain every autumn before the roads were built and the railway came to carry it away to the coast"
+TEXTS = [
+    None, "", "   \n\t ", "one", "two words", PROSE, PROSE, PROSE + " now", PROSE.upper(), "x" * 3000, "tok " * 400,
+    "a@b.c_d@e.f 1.2.3.4.5.6.7.8 0001.002.255.256 9.9.9.256", "é \U0001f600 +49 (0)30 1234-5678 é 4111 1111 1111 1111 4111111111111111",
+    " a@b a@b.c.d-.e..f@g.h +1 +12345678 +123456789 ", "4845168114407329 4845168114407329 john at mail dot com token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" call 555-123-4567",
+    "a@b.co " * 700, "1.2.3.4." * 300, "line one\nline one\nline two\n\nline one", "# * $ % & | < >", "It's we'll don't. É. İ. <|endoftext|> ΑΣ. 5. x%,",
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Every awkward text, repeated rows, null ids and sources, and an extra column with a name that clashes."""
+    rows = [(i, t, "en", None if i % 5 == 0 else f"s{i % 3}", None) for i, t in enumerate(TEXTS)]
+    rows += [rows[5], rows[5], (None, PROSE, None, "s1", 3), (None, None, None, None, None)]
+    return spark.createDataFrame(rows, DOCS).withColumn("_t", F.lit("clash")).withColumn("size", F.lit(1))
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def texts(df) -> list[tuple]:
+    return [(r["doc_id"], r["text"]) for r in df.collect()]
+
+
+# 1
+
+
+def base_spans(text: str) -> list[str]:
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    out = []
+    for kind, p in patterns.items():
+        for m in re.finditer(p, text):
+            d = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")), "card": 13 <= len(d) <= 19 and pii.luhn(d), "phone": 9 <= len(d) <= 15}
+            if ok[kind]:
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return out
+
+
+def test_pii_base_spans(spark, docs, empty):
+    known = collections.Counter((d, hashlib.sha256(",".join(b := base_spans(t or "")).encode()).hexdigest(), *(sum(x.startswith(k) for x in b) for k in pii.KINDS[:4])) for d, t in texts(docs))
+    report = pii.pii_report(docs)
+    assert collections.Counter(tuple(r) for r in report.select("doc_id", "base_sha256", "n_email", "n_ip", "n_card", "n_phone").collect()) == known
+    for r in report.join(docs, "doc_id").collect():
+        assert set(base_spans(r["text"] or "")) <= set(r["spans"].split(",")), r
+    assert pii.pii_report(empty).collect() == []
+
+
+def test_pii_added_spans_and_redaction(spark, docs):
+    got = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert got[0] is None and got[1] == "" and got[5] == PROSE
+    assert got[14] == '[CARD] [CARD] [EMAIL] token = "[SECRET]" call [PHONE]'
+    assert got[11] == "[EMAIL][EMAIL] [IP].[IP] 0001.002.255.256 9.9.9.256"
+    assert pii.redact(docs).columns == docs.columns
+
+
+def test_pii_features_agree(spark):
+    """The features in SQL are those that the trees are fitted on."""
+    text = 'My card is 4845168114407329, order 7536784127813050 and token="04dbebab91ab85687d33eeaaf9ac699e1188f962" or 555-123-4567.'
+    df = spark.createDataFrame([(text,)], "text string").select(F.explode(pii._proposals(F.col("text"))).alias("p")).select("p.*")
+    rows = df.collect()
+    assert len(rows) >= 4
+    for r in rows:
+        want = pii.features(int(r["f"]["generator"]), text[r["s"] : r["e"]], text[max(0, r["s"] - pii.CONTEXT) : r["s"]], text[r["e"] : r["e"] + 2])
+        assert [float(v) for v in want] == list(r["f"])
+
+
+def test_pii_held_out():
+    x, y = pii.examples(seed=99)
+    trees, thresholds = pii.model()
+    chosen = trees.probability(x) >= np.array([thresholds[int(g)] for g in x[:, 0]])
+    assert (chosen & (y == 1)).sum() / chosen.sum() > 0.93 and (chosen & (y == 1)).sum() / y.sum() > 0.85
+
+
+# 2
+
+
+def jump(key: int, n: int) -> int:
+    key, b, j = key % (1 << 64), -1, 0
+    while j < n:
+        b = j
+        key = (key * 2862933555777941757 + 1) % (1 << 64)
+        j = int((b + 1) * (float(1 << 31) / float((key >> 33) + 1)))
+    return b
+
+
+def test_shards(spark, docs, empty):
+    rows = sharding.shard_manifest(docs).collect()
+    assert collections.Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == collections.Counter((d, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for d, t in texts(docs))
+    for r in rows:
+        assert (r["shard"], r["grown_shard"]) == (jump(r["doc_id"] or 0, 40), jump(r["doc_id"] or 0, 41))
+        assert r["grown_shard"] in (r["shard"], 40)
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
+    assert sharding.shard_manifest(empty).collect() == []
+
+
+def test_jump_of_large_and_negative_keys(spark):
+    keys = [0, 1, -1, 2**63 - 1, -(2**63), 123456789012345]
+    df = sharding.assign_shards(sharding.assign_shards(spark.createDataFrame([(k,) for k in keys], "doc_id long"), shards=7, out="a"), shards=1000, out="b")
+    assert [(r["a"], r["b"]) for r in df.collect()] == [(jump(k, 7), jump(k, 1000)) for k in keys]
+
+
+def test_written_shards(spark, docs, tmp_path):
+    sharding.write_shards(docs, str(tmp_path / "s"), shards=4, files_per_shard=2)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert back.count() == docs.count() and {r["shard"] for r in back.collect()} <= {0, 1, 2, 3}
+
+
+# 3
+
+
+def slow_statistics(text: str) -> tuple:
+    words = WORD.findall(text)
+    seen = collections.Counter(zip(words, words[1:], words[2:]))
+    covered = {i + j for i, w in enumerate(zip(words, words[1:], words[2:])) if seen[w] > 1 for j in range(3)}
+    lines, dup = set(), 0
+    for x in text.split("\n"):
+        if WORD.search(x):
+            dup += x in lines
+            lines.add(x)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered)
+
+
+def test_quality(spark, docs, empty):
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    trees = quality.fit_quality(spark.read.parquet(f"{SMALL}/documents.parquet"), labels)
+    rows = quality.quality_report(docs, trees).collect()
+    assert collections.Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in rows) == collections.Counter((d, *slow_statistics(t or "")) for d, t in texts(docs))
+    for r in rows:
+        assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"])
+        assert not (r["base_failed"] and r["kept"])
+    kept = quality.keep_good(docs, trees)
+    assert kept.columns == docs.columns and kept.count() == sum(r["kept"] for r in rows)
+    assert quality.quality_report(empty, trees).collect() == []
+    nothing = quality.fit_quality(empty, labels)
+    assert all(r["kept"] != r["base_failed"] for r in quality.quality_report(docs, nothing).collect())
+
+
+def test_quality_held_out(spark):
+    big = "/root/testdata/sf0.01"
+    d, y = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    trees = quality.fit_quality(d, y.where("doc_id % 2 = 0"))
+    r = quality.quality_report(d, trees).join(y.where("doc_id % 2 = 1"), "doc_id").where("not base_failed").toPandas()
+    assert (r["kept"] == (r["quality"] == 1)).mean() > 0.97
+    assert r[r["quality"] == 1]["kept"].mean() > 0.99
+
+
+def test_trees_are_monotone():
+    rng = np.random.default_rng(0)
+    x = rng.random((600, 3))
+    y = (x[:, 0] + 0.3 * np.sin(9 * x[:, 1]) + 0.2 * rng.standard_normal(600) > 0.6).astype(float)
+    trees = gbdt.fit(x, y, monotone={0: 1, 1: -1})
+    for f, sign in ((0, 1), (1, -1)):
+        line = np.repeat(rng.random((20, 3)), 30, axis=0)
+        line[:, f] = np.tile(np.linspace(0, 1, 30), 20)
+        steps = np.diff(trees.margin(line).reshape(20, 30), axis=1) * sign
+        assert steps.min() >= -1e-9
+    assert gbdt.fit(np.zeros((0, 3)), np.zeros(0)).margin(np.zeros((2, 3))).tolist() == [0.0, 0.0]
+
+
+# 4
+
+
+def test_vectors(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((300, 16))
+    x[:60] = x[0] + 0.25 * rng.standard_normal((60, 16))
+    x[60:70] = x[60]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    odd = [(1000, None), (1001, []), (1002, [0.0] * 16), (1003, [float("nan")] + [1.0] * 15), (1004, [None] + [1.0] * 15), (1005, [float("inf")] + [1.0] * 15), (None, x[0].tolist()), (1006, [1.0, 2.0]), (1007, [2.0, 4.0]), (1008, [1e-30, 2e-30])]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").withColumn("k", F.lit(1)).withColumn("n", F.lit(1))
+    got = {r["vec_id"]: r for r in vectors.near_duplicates(df).collect()}
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    link = unit @ unit.T >= 0.9
+    parent = list(range(300))
+    for i, j in zip(*np.nonzero(link), strict=True):
+        a, b = min(parent[i], parent[j]), max(parent[i], parent[j])
+        parent = [a if p == b else p for p in parent]
+    for i in range(300):
+        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (link[i].sum() - 1, parent[i], parent[i] == i)
+    for i in range(1000, 1006):
+        assert (got[i]["n_links"], got[i]["component_id"]) == (0, i)
+    assert [(got[i]["n_links"], got[i]["component_id"]) for i in (1006, 1007, 1008)] == [(2, 1006)] * 3
+    assert (got[None]["n_links"], got[None]["component_id"]) == (0, None)
+    assert vectors.near_duplicates(df.where("false")).collect() == []
+
+
+def test_components(spark):
+    rng = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(i, i + 1) for i in range(500, 540)] + [(7, 7), (None, 3)]
+    parent = {}
+
+    def root(a):
+        parent.setdefault(a, a)
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for a, b in edges:
+        if a is not None and a != b:
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {a: root(a) for a in parent}
+
+
+# 5
+
+
+def test_archives(spark, tmp_path):
+    big = "<p>" + "é" * 200
+    rows = [(3, "http://x/a b\r\nc", big), (1, None, big), (2, "u", big), (2, "u", big), (4, "u", "small"), (5, "u", "small"), (6, "u", None), (None, "u", big), (8, "u", "z" * 100), (9, "u", "z" * 99), (10, "u", "z" * 100)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("_d", F.lit(0)).withColumn("bundle", F.lit(0))
+    folder = f"file://{tmp_path}/w"
+    index = warc.write_archives(warc.classify(df), folder, frame_bytes=300, bundle_bytes=500)
+    got = sorted((tuple(r) for r in warc.read_archives(index).drop("url").collect()), key=str)
+    digest = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    refers = {3: 1, 2: 1, None: 1, 10: 8}
+    want = [(i, len((t or "").encode()), digest(t), "revisit" if i in refers else "response", refers.get(i)) for i, _, t in rows]
+    assert got == sorted(want, key=str)
+    bundles = {r["bundle"] for r in index.collect()}
+    for b in bundles:
+        frames = warc.seek_table(b)
+        data = open(b.removeprefix("file://"), "rb").read()
+        plain = zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).read()
+        assert len(plain) == sum(n for _, _, n in frames) and plain.startswith(b"WARC/1.1")
+    assert warc.archive_round_trip(df.where("false")).collect() == []
+    with pytest.raises(ValueError, match="digest"):
+        warc.parse_record(warc.build_record(1, "u", "abc", 3, "0" * 64, "response", None))
+
+
+# 6
+
+
+def test_packing(spark, docs, empty):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.tokenizer_path())
+    want = collections.Counter()
+    for d, x in texts(docs):
+        ids = t.encode(x or "", add_special_tokens=False).ids + [2]
+        want[(d, len(ids), np.array(ids, "<u4").tobytes())] += 1
+    length = 64
+    pieces = packing.cut(packing.materialise(packing.tokenise(docs), "tokens"), length, with_ids=True).collect()
+    assert all(zlib.crc32(p["ids"]) == p["ids_crc32"] and len(p["ids"]) == 4 * p["length"] for p in pieces)
+    place = sorted(pieces, key=lambda p: (p["sequence_id"], p["offset"]))
+    at = 0
+    whole, joined = collections.Counter(), b""
+    for p in place:
+        assert p["sequence_id"] * length + p["offset"] == at and p["offset"] + p["length"] <= length
+        at += p["length"]
+        joined = p["ids"] if p["start"] == 0 else joined + p["ids"]
+        if p["start"] + p["length"] == p["doc_tokens"]:
+            whole[(p["doc_id"], p["doc_tokens"], joined)] += 1
+    assert whole == want
+    packed = packing.sequences(docs, length).collect()
+    assert sum(len(r["ids"]) // 4 for r in packed) == at and sorted(r["padding"] for r in packed)[:-1] == [0] * (len(packed) - 1)
+    assert packing.pack(empty).collect() == []
+
+
+# 7
+
+
+def test_targets_and_flow():
+    sizes = {"a": 10, "b": 100, "c": 1000, None: 50}
+    goal = mixing.targets(sizes)
+    assert sum(goal.values()) == pytest.approx(1160) and goal["a"] == 30 and goal["b"] == 300 and goal[None] == pytest.approx(150) and all(goal[s] <= 3 * sizes[s] + 1e-9 for s in sizes)
+    assert mixing.source_order([None, "b", "a", "Z"]) == ["Z", "a", "b", None]
+    # overlapping: the shared pattern serves both sources before anything is repeated
+    assert mixing.route([(("a",), 10), (("a", "b"), 10), (("b",), 5)], {"a": 15, "b": 10}) == [10, 10, 5]
+    assert mixing.route([(("a",), 10), (("a", "b"), 10)], {"a": 25, "b": 0}) in ([10, 15], [15, 10], [13, 12], [12, 13], [20, 5], [5, 20])
+    assert sum(mixing.route([(("a",), 10)], {"a": 1000})) == 30
+
+
+def test_mixing(spark, docs, empty):
+    d = spark.read.parquet(f"{SMALL}/documents.parquet")
+    first, again = (sorted(map(tuple, mixing.mix_manifest(d.repartition(n)).collect())) for n in (3, 7))
+    assert first == again
+    taken, goal, most = collections.Counter(), {}, collections.Counter()
+    source = {r["doc_id"]: r["source"] for r in d.collect()}
+    for i, size, source_size, target, n in first:
+        assert n % max(size, 1) == 0 and n <= 3 * size
+        taken[source[i]] += n
+        goal[source[i]] = target
+        most[source[i]] = max(most[source[i]], size)
+    assert all(abs(taken[s] - goal[s]) <= most[s] for s in goal)
+    rows = mixing.mix_manifest(docs).collect()
+    assert collections.Counter((r["doc_id"], r["size"]) for r in rows) == collections.Counter((i, len(WORD.findall(t or ""))) for i, t in texts(docs))
+    mixed = mixing.mix_documents(docs)
+    assert mixed.columns == docs.columns
+    assert sum(len(WORD.findall(t or "")) for _, t in texts(mixed)) == sum(r["taken"] for r in rows)
+    assert mixing.mix_manifest(empty).collect() == [] and mixing.mix_documents(empty).collect() == []
+    with pytest.raises(ValueError, match="patterns"):
+        mixing.solve(spark.createDataFrame([(["a"], 1, 1), (["b"], 1, 1)], "p array<string>, size long, copies long"), "p", bound=1)
+
+
+# 8
+
+
+PAGES = [
+    (None, ""), ("", ""), ("<p></p>", ""), ("plain &amp; simple", "plain & simple"),
+    ("<html><head><title>T</title><style>p{}</style></head><body><nav><a href=x>Home</a></nav><div class='ad'>Buy now</div><article><h1>Head &lt;1&gt;</h1><p>One\n two<b>bold</b><br>three<p>Short.</article><footer>&copy; x</footer></body>", "Head <1>\nOne twobold three\nShort."),
+    ("<div id=cookie-notice>We use cookies</div><main><p>Text of the page.</p><form><p>Sign up</p></form><p>More text.</p></main><section class='comments'><article><p>first!</p></article></section>", "Text of the page.\nMore text."),
+    ("<nav><ul><li>a<li>b</ul><article><p>Unclosed menu before.</p>", "Unclosed menu before."),
+    ("<article><p>A &#233; &eacute; &am</p><script>var t='</p>';</script><p>B</p></article>", "A é é &am\nB"),
+    ("x < y and <b>z</b>", "x < y and z"),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), PAGES)
+def test_main_text(page, want):
+    assert html.main_text(page) == want
+
+
+def test_pages(spark):
+    rows = [(i, "u", p) for i, (p, _) in enumerate(PAGES)] + [(None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    assert {r["page_id"]: (r["text"], r["n_chars"]) for r in html.extract(df).collect()} == {i: (w, len(w)) for i, w in enumerate([w for _, w in PAGES])} | {None: ("", 0)}
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        inside = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
+        plain = re.sub("<[^>]*>", "", re.sub(r"</?(?:p|h1)>|<br>", "\n", inside))
+        assert html.main_text(r["html"]) == "\n".join(x for x in (" ".join(__import__("html").unescape(y).split()) for y in plain.split("\n")) if x)
+
+
+# 9
+
+
+def slow_groups(rows: list[tuple], k: int, percent: int) -> dict:
+    sets = {}
+    for d, t in rows:
+        words = [w.lower() if w.isascii() else "".join(c.lower() if c.isascii() else c for c in w) for w in WORD.findall(t or "")]
+        if d is not None and words:
+            sets[d] = {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
+    group = {d: d for d, _ in rows}
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            both = len(sets[a] & sets[b])
+            if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                low, high = sorted((group[a], group[b]))
+                group = {d: low if g == high else g for d, g in group.items()}
+    return {d: (len(sets.get(d, ())), g) for d, g in group.items()}
+
+
+@pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80), (1, 50)])
+def test_jaccard_groups(spark, docs, k, percent):
+    rng = np.random.default_rng(k)
+    words = [f"w{i}" for i in range(400)]
+    rows = texts(docs)
+    passage = " ".join(rng.choice(words, 40))
+    for g in range(30):
+        base = list(rng.choice(words, 120))
+        for c in range(4):
+            copy = list(base)
+            for _ in range(c * 2):
+                copy[rng.integers(0, 120)] = "edit"
+            rows.append((1000 + 10 * g + c, " ".join(copy) + (" " + passage if g % 2 else "")))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit(1)).withColumn("prefix", F.lit(1))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in shingle_join.groups(df, k, percent).collect()}
+    want = slow_groups(rows, k, percent)
+    assert {d: g for d, g in got.items() if d is not None} == {d: g for d, g in want.items() if d is not None}
+    assert df.count() == shingle_join.groups(df, k, percent).count()
+
+
+def test_jaccard_of_nothing(spark, empty):
+    assert shingle_join.groups(empty).collect() == []
+
+
+def test_large_clusters_are_dealt_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(shingle_join, "BLOCK", 3)
+    rows = [(i, PROSE + (f" tail{i}" if i % 2 else "")) for i in range(20)]
+    got = {r["doc_id"]: r["component_id"] for r in shingle_join.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: g for d, (_, g) in slow_groups(rows, 3, 90).items()}
+
+
+# 10
+
+
+def test_quotes(spark):
+    rows = [
+        (1, 0, "user", "Hello there, how do I sort?\nThanks in advance"),
+        (1, 1, "assistant", "On Monday, Bob wrote:\n> Hello there,  how do I sort?\nUse sort()."),
+        (1, 2, "user", "> > Hello there, how do I sort?\n> Use sort().\nGreat!"),
+        (1, 3, "user", "unrelated"), (1, 3, "user", "unrelated"),
+        (1, 4, "user", ">Thanks in advance\nyou too"),
+        (2, 0, "user", None), (2, 1, None, "> unknown\nhm"), (None, 1, "u", "> x"), (2, None, "u", "y"),
+        (3, 5, "u", "> later line"), (3, 6, "u", "later line"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("path", F.lit(0)).withColumn("lines", F.lit(0))
+    out = quotes.conversations(df).collect()
+    assert len(out) == len(rows)
+    got = {(r["conv_id"], r["turn"]): (r["text"], r["reply_to"], r["thread_turn"], r["reply_depth"]) for r in out}
+    assert got[(1, 1)] == ("Use sort().", 0, 0, 1)
+    assert got[(1, 2)] == ("Great!", 1, 0, 2)
+    assert got[(1, 4)] == ("you too", 0, 0, 1)
+    assert got[(1, 3)] == ("unrelated", None, 3, 0)
+    assert got[(2, 0)] == ("", None, 0, 0) and got[(2, 1)] == ("hm", None, 1, 0) and got[(3, 5)] == ("", None, 5, 0)
+    order = [r["turn"] for r in sorted(out, key=lambda r: r["reply_path"] or "") if r["conv_id"] == 1]
+    assert order == [0, 1, 2, 4, 3, 3]
+    assert quotes.conversations(df.where("false")).collect() == []
+
+
+def test_long_reply_chains(spark):
+    rows = [(1, i, "u", (f"> message number {i - 1}\n" if i else "") + f"message number {i}") for i in range(40)]
+    got = {r["turn"]: (r["thread_turn"], r["reply_depth"]) for r in quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {i: (0, i) for i in range(40)}
+
+
+# all
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_query_keeps_every_row(spark, name):
+    out = queries.QUERIES[name](spark, SMALL)
+    table, key = {"op4_vectors": ("embeddings", "vec_id"), "op5_warc": ("pages", "page_id"), "op8_html": ("pages", "page_id"), "op10_quotes": ("conversations", "conv_id")}.get(name, ("documents", "doc_id"))
+    ids = lambda df: sorted({r[0] for r in df.select(key).collect()})
+    source = spark.read.parquet(f"{SMALL}/{table}.parquet")
+    assert ids(out) == ids(source)
+    if name != "op6_packing":
+        assert out.count() == source.count()
