@@ -28,14 +28,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents without words are a group each; those without an id stay.
     """
     found = shingle_join.groups(docs, WORDS, PERCENT)
-    keep = found.where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("_k")).distinct()
-    keep = materialise(keep, "kept")
-    rows = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_k")), "left_semi")
+    keep = materialise(found.where("doc_id is null or doc_id = component_id").select("doc_id").distinct(), "kept").alias("k")
+    rows = docs.alias("d")
+    rows = rows.join(keep, F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id")), "left_semi")
     # an id that is repeated stands once; a null id names no document
-    often = materialise(docs.groupBy(F.col("doc_id").cast("long").alias("_r")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 and _r is not null"), "repeated")
-    key = F.col("doc_id").cast("long") == F.col("_r")
-    once = rows.join(often, key, "left_anti")
-    return once.unionByName(rows.join(often, key, "left_semi").dropDuplicates(["doc_id"]))
+    often = materialise(docs.groupBy(docs["doc_id"].cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null"), "repeated").alias("o")
+    same = F.col("d.doc_id").cast("long") == F.col("o.doc_id")
+    return rows.join(often, same, "left_anti").unionByName(rows.join(often, same, "left_semi").dropDuplicates(["doc_id"]))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
