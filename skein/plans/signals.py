@@ -13,7 +13,10 @@ def events(spark, d):
     return table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-BY = W.partitionBy("user_id").orderBy("ts", "event_id")
+def by_user():
+    return W.partitionBy("user_id").orderBy("ts", "event_id")
+
+
 WIN = "(PARTITION BY user_id ORDER BY ts, event_id"
 US = "epoch_us(ts)"
 
@@ -43,14 +46,14 @@ def w16_rebuffering(spark, d):
 @query(f"WITH x AS (SELECT user_id, event_id, ts, ({US} - lag({US}) OVER {WIN})) / 1e6 * lag(value) OVER {WIN}) AS part FROM events) SELECT event_id, round(coalesce(sum(part) OVER {WIN}), 0), 1) AS integral FROM x")
 def w18_integral_of_rate(spark, d):
     us = F.unix_micros("ts")
-    part = (us - F.lag(us).over(BY)) / 1e6 * F.lag("value").over(BY)
-    return events(spark, d).withColumn("part", part).select("event_id", F.round(F.coalesce(F.sum("part").over(BY), F.lit(0.0)), 1).alias("integral"))
+    part = (us - F.lag(us).over(by_user())) / 1e6 * F.lag("value").over(by_user())
+    return events(spark, d).withColumn("part", part).select("event_id", F.round(F.coalesce(F.sum("part").over(by_user()), F.lit(0.0)), 1).alias("integral"))
 
 
 @query(f"""WITH x AS (SELECT event_id, avg(value) OVER {WIN} ROWS 9 PRECEDING) AS mean, first_value(value) OVER {WIN}) AS base FROM events)
 SELECT event_id, round((mean - base) / base * 100, 4) AS change, CASE WHEN (mean - base) / base * 100 >= 100 THEN 'critical' WHEN (mean - base) / base * 100 >= 50 THEN 'high' WHEN (mean - base) / base * 100 >= 20 THEN 'raised' ELSE 'ok' END AS alert FROM x WHERE base > 0""")
 def w19_change_alerts(spark, d):
-    rows = events(spark, d).select("event_id", G.moving_average("value", ["user_id"], ["ts", "event_id"], 10).alias("mean"), F.first("value").over(BY).alias("base")).where("base > 0")
+    rows = events(spark, d).select("event_id", G.moving_average("value", ["user_id"], ["ts", "event_id"], 10).alias("mean"), F.first("value").over(by_user()).alias("base")).where("base > 0")
     change = (F.col("mean") - F.col("base")) / F.col("base") * 100
     return rows.select("event_id", F.round(change, 4).alias("change"), F.when(change >= 100, "critical").when(change >= 50, "high").when(change >= 20, "raised").otherwise("ok").alias("alert"))
 
@@ -130,7 +133,7 @@ def a17_request_metrics(spark, d):
 @query(f"WITH x AS (SELECT user_id, value, (row_number() OVER {WIN}) - 1) // 4 AS g FROM events) SELECT user_id, g::BIGINT AS batch, round(sum(value), 6) AS total FROM x GROUP BY 1, 2 HAVING count(*) = 4")
 def a18_flushed_batches(spark, d):
     """Batches of ceil(1 / 0.25) inferences; what is left over isn't flushed."""
-    rows = events(spark, d).withColumn("batch", F.floor((F.row_number().over(BY) - 1) / 4))
+    rows = events(spark, d).withColumn("batch", F.floor((F.row_number().over(by_user()) - 1) / 4))
     return rows.groupBy("user_id", "batch").agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("n")).where("n = 4").select("user_id", "batch", F.round("total", 6).alias("total"))
 
 
@@ -203,7 +206,7 @@ def x7_rate_limit(spark, d):
 
 @query(f"SELECT event_id FROM events QUALIFY coalesce(event_type <> lag(event_type) OVER {WIN}), true)")
 def x14_repeats_suppressed(spark, d):
-    return events(spark, d).withColumn("_b", F.lag("event_type").over(BY)).where("_b is null or event_type <> _b").select("event_id")
+    return events(spark, d).withColumn("_b", F.lag("event_type").over(by_user())).where("_b is null or event_type <> _b").select("event_id")
 
 
 @query(f"SELECT event_id, avg(value) OVER {WIN} ROWS 4 PRECEDING) / 50 > 0.7 AS full FROM events".replace("AS full", "AS at_limit"))
@@ -219,7 +222,7 @@ def x20_sentence_starts(spark, d):
 
 def signal(spark, d):
     """Events as a signal: a sample a tenth of a second, its level from the value."""
-    return events(spark, d).select(F.col("user_id").alias("key"), (F.row_number().over(BY) / 10.0).alias("t"), (F.col("value") / 50).alias("p"), F.lit(0.1).alias("dt"), F.col("event_type").alias("speaker"), F.col("value").alias("level"))
+    return events(spark, d).select(F.col("user_id").alias("key"), (F.row_number().over(by_user()) / 10.0).alias("t"), (F.col("value") / 50).alias("p"), F.lit(0.1).alias("dt"), F.col("event_type").alias("speaker"), F.col("value").alias("level"))
 
 
 @query()
