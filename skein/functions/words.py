@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,14 +56,14 @@ def character_words(text: Column) -> Column:
 
 
 def word_errors(said: str, truth: str) -> float:
-    """A25. Word edit distance over the number of true words."""
-    a, b = said.split(), truth.split()
-    row = list(range(len(b) + 1))
+    """A25. Word edit distance over the number of true words, a row of the table at a time."""
+    a, b = said.split(), np.array(truth.split(), object)
+    at = np.arange(len(b) + 1)
+    row = at
     for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1] / max(len(b), 1)
+        new = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (b != x))])
+        row = np.minimum.accumulate(new - at) + at
+    return float(row[-1]) / max(len(b), 1)
 
 
 @F.pandas_udf(T.DoubleType())

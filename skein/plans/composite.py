@@ -98,7 +98,7 @@ def transformed(df: DataFrame, column: str, *names: str) -> DataFrame:
 
 
 def questions(spark, d):
-    return table(spark, d, "benchmark").where("item_id < 3").select(F.col("item_id").alias("query_id"), "text")
+    return table(spark, d, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), "text")
 
 
 def small(spark, d):
@@ -152,11 +152,93 @@ def t8_replaced_words(spark, d):
 
 @query()
 def a25_word_error_rate(spark, d):
-    docs = small(spark, d).where("n_chars < 1000").select("doc_id", F.col("text").alias("truth"), F.regexp_replace("text", "[.,]", "").alias("said"))
-    return docs.select("doc_id", Wd.word_error_rate(F.col("said"), F.col("truth")).alias("rate"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("truth"), F.regexp_replace("text", "[.,]", "").alias("said"))
+    return rows.select("conv_id", "turn", Wd.word_error_rate(F.col("said"), F.col("truth")).alias("rate"))
 
 
 @query("SELECT conv_id, turn, md5(regexp_replace(text, '^[\\t-\\r ]+|[\\t-\\r ]+$', '', 'g')) AS digest FROM conversations")
 def n4_named_transforms(spark, d):
     rows = transformed(table(spark, d, "conversations"), "text", "markdown", "emoji")
     return rows.select("conv_id", "turn", F.md5(X.strip(F.col("text"))).alias("digest"))
+
+
+def pairs(spark, d):
+    """Question-answer pairs from neighbouring user and assistant turns."""
+    c = table(spark, d, "conversations")
+    u, a = c.alias("u"), c.alias("a")
+    near = (F.col("a.conv_id") == F.col("u.conv_id")) & (F.col("a.turn") == F.col("u.turn") + 1) & (F.col("u.role") == "user") & (F.col("a.role") == "assistant")
+    return u.join(a, near).select("u.conv_id", "u.turn", F.col("u.text").alias("question"), F.col("a.text").alias("answer"))
+
+
+def advanced(index: DataFrame, docs: DataFrame, variants: DataFrame, types: list[str], k: int = 5) -> DataFrame:
+    """C4. The best score over a question's variants, documents of the given types only, widened, with token counts."""
+    asked = corpus.through_model(variants, "text", EMBED, "embedding", "array<double>")
+    allowed = index.join(docs.where(F.exists(F.array(*(F.lit(t) for t in types)), lambda t: F.endswith(F.col("source"), t))).select("doc_id"), "doc_id", "left_semi")
+    best = R.best_of_variants(R.cosine_scores(allowed, asked, "chunk_id"), "chunk_id")
+    rows = R.best(best, k, "chunk_id").join(index.select("chunk_id", "doc_id", "text", "char_start", "char_end"), "chunk_id").join(docs.select("doc_id", F.col("text").alias("full")), "doc_id")
+    return chunking.expanded(rows).withColumn("tokens", X.tokens(F.col("expanded")))
+
+
+def answered_from_pairs(qa: DataFrame, asked: DataFrame, k: int = 3, threshold: float = R.THRESHOLD) -> DataFrame:
+    """C5. The k nearest questions from the threshold on, with answers safe for speech."""
+    base = corpus.through_model(qa.withColumn("id", F.concat_ws("-", "conv_id", "turn")), "question", EMBED, "embedding", "array<double>")
+    q = corpus.through_model(asked, "text", EMBED, "embedding", "array<double>")
+    top = R.relevant(R.best(R.cosine_scores(base, q, "id"), k, "id"), threshold, inclusive=True)
+    return top.join(base.select("id", X.spoken(F.col("answer")).alias("answer")), "id")
+
+
+def made_pairs(docs: DataFrame, ask, target: int = 400) -> DataFrame:
+    """C6. Sections of documents sent to a model that gives one question a section; pairs that break a rule go, then repeats.
+
+    ``ask`` is a function from texts to questions; the section's start serves as the answer.
+    """
+    parts = chunking.section_chunks(docs, target=target, overlap=60).withColumn("language", X.language(F.col("text")))
+    made = corpus.through_model(parts, "text", ask, "question", "string").withColumn("answer", F.substring("text", 1, 200))
+    good = made.where(X.qa_verdict(F.col("question"), F.col("answer")).isNull()).withColumn("q", F.lower("question"))
+    return chat.distinct_ignoring_case(good, "doc_id", "q", "chunk_num").drop("q")
+
+
+def first_sentence(texts: list[str]) -> list[str]:
+    """A stand-in for a language model: asks what the first sentence says."""
+    return [f"What about {t.partition('.')[0][:80].strip()}?" for t in texts]
+
+
+def routed(messages: DataFrame, qa: DataFrame, index: DataFrame, docs: DataFrame, mode: str = "both") -> DataFrame:
+    """C7. The last user message of each conversation, unless too short, answered from pairs, chunks or both."""
+    last = messages.where("role = 'user'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("text")).where(F.length(X.strip(F.col("text"))) >= 3)
+    asked = last.select(F.col("conv_id").alias("query_id"), "text")
+    found = []
+    if mode in ("qa", "both"):
+        found.append(answered_from_pairs(qa, asked, threshold=0.3).select("query_id", F.lit("qa").alias("kind"), F.col("id").alias("hit"), "score"))
+    if mode in ("chunk", "both"):
+        found.append(answered(index, docs, asked, threshold=0.3).select("query_id", F.lit("chunk").alias("kind"), F.col("doc_id").cast("string").alias("hit"), "score"))
+    if not found:
+        raise ValueError(f"mode must be qa, chunk or both, not {mode}")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+@query()
+def c4_advanced_search(spark, d):
+    docs = small(spark, d)
+    variants = questions(spark, d).withColumn("query_id", F.lit(0).cast("long"))
+    return advanced(indexed(docs), docs, variants, ["1", "3"]).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"), "tokens")
+
+
+@query()
+def c5_answer_from_pairs(spark, d):
+    return answered_from_pairs(pairs(spark, d), questions(spark, d), threshold=0.3).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+@query()
+def c6_make_pairs(spark, d):
+    return made_pairs(small(spark, d), first_sentence).select("doc_id", "chunk_num", "language", "question")
+
+
+@query()
+def c7_route_messages(spark, d):
+    docs = small(spark, d)
+    chats = table(spark, d, "conversations").where("conv_id % 50 = 0")
+    return routed(chats, pairs(spark, d), indexed(docs), docs).select("query_id", "kind", "hit", F.round("score", 6).alias("score"))

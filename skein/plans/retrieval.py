@@ -22,10 +22,10 @@ d AS (SELECT term, count(*) AS df FROM h GROUP BY 1),
 bm25 AS (SELECT doc_id, sum(qf * ln((n_docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avg_dl))) AS score
   FROM h JOIN q USING (term) JOIN d USING (term), n GROUP BY 1)
 """
-#: Cosine of the vectors 0 and 1 with all.
+#: Cosine of every fiftieth vector with all.
 COSINE = """
 v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-cos AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e)) / sqrt(list_inner_product(b.e, b.e)) AS score FROM v a, v b WHERE a.vec_id < 2)
+cos AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e)) / sqrt(list_inner_product(b.e, b.e)) AS score FROM v a, v b WHERE a.vec_id % 50 = 0)
 """
 
 
@@ -35,7 +35,7 @@ def asked(spark):
 
 def cosines(spark, d):
     v = table(spark, d, "embeddings")
-    return R.cosine_scores(v, v.where("vec_id < 2").select(F.col("vec_id").alias("query_id"), "embedding"))
+    return R.cosine_scores(v, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"))
 
 
 def keyword(spark, d):
@@ -47,7 +47,7 @@ def k3_bm25_top_n(spark, d):
     return R.best(keyword(spark, d), 10).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {BM25} SELECT term, df, round(avg_dl, 6) AS avg_dl FROM d, n")
+@query(f"WITH {BM25} SELECT term, df, round(avg_dl, 6) AS avg_dl FROM d JOIN q USING (term), n")
 def a3_document_frequency(spark, d):
     docs = table(spark, d, "documents")
     df = R.postings(docs).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -55,14 +55,9 @@ def a3_document_frequency(spark, d):
     return df.join(wanted, "term").crossJoin(F.broadcast(R.corpus_size(docs))).select("term", "df", F.round("avg_dl", 6).alias("avg_dl"))
 
 
-from skein.plans.registry import ORACLES  # noqa: E402
-
-ORACLES["a3_document_frequency"] = f"WITH {BM25} SELECT term, df, round(avg_dl, 6) AS avg_dl FROM d JOIN q USING (term), n"
-
-
-@query(rf"SELECT term, count(*) AS df, sum(tf)::BIGINT AS total FROM (SELECT doc_id, unnest({TERMS}) AS term, 1 AS tf FROM documents), (SELECT 1) WHERE term LIKE 'an%' GROUP BY 1".replace("count(*) AS df", "count(DISTINCT doc_id) AS df"))
+@query(rf"SELECT term, count(*) AS df, sum(tf)::BIGINT AS total FROM (SELECT doc_id, unnest({TERMS}) AS term, 1 AS tf FROM documents) GROUP BY 1".replace("count(*) AS df", "count(DISTINCT doc_id) AS df"))
 def t9_index_terms(spark, d):
-    p = R.postings(table(spark, d, "documents")).where("term like 'an%'")
+    p = R.postings(table(spark, d, "documents"))
     return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
 
 
@@ -195,10 +190,10 @@ def j5_query_terms_with_postings(spark, d):
 BUDGET = 1_000
 
 
-@query(f"""WITH i AS (SELECT lang, doc_id AS rank, text, length(text) // 4 AS n FROM documents WHERE doc_id < 200),
+@query(f"""WITH i AS (SELECT lang, doc_id AS rank, text, length(text) // 4 AS n FROM documents),
 s AS (SELECT *, sum(n) OVER w AS total FROM i WINDOW w AS (PARTITION BY lang ORDER BY rank)),
 o AS (SELECT *, sum((total > {BUDGET})::INT) OVER (PARTITION BY lang ORDER BY rank) AS overs FROM s)
 SELECT lang, rank, n::BIGINT AS n, overs = 1 AS truncated FROM o WHERE overs = 0 OR overs = 1 AND total > {BUDGET} AND {BUDGET} - (total - n) > 200""")
 def w6_context_budget(spark, d):
-    items = table(spark, d, "documents").where("doc_id < 200").select("lang", F.col("doc_id").alias("rank"), "text", X.tokens(F.col("text")).alias("n"))
+    items = table(spark, d, "documents").select("lang", F.col("doc_id").alias("rank"), "text", X.tokens(F.col("text")).alias("n"))
     return R.within_budget(items, BUDGET, ("lang",)).select("lang", "rank", "n", "truncated")
