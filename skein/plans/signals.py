@@ -114,7 +114,7 @@ def a5_latency_statistics(spark, d):
 
 @query("WITH x AS (SELECT user_id, list_sort(list(value)) AS v FROM events GROUP BY 1) SELECT user_id, v[least((len(v) * 0.95)::DOUBLE // 1 + 1, len(v))::BIGINT] AS p95 FROM x".replace("(len(v) * 0.95)::DOUBLE // 1", "floor(len(v) * 0.95)"))
 def a6_index_percentile(spark, d):
-    return events(spark, d).groupBy("user_id").agg(G.index_percentile(F.collect_list("value"), 0.95).alias("p95"))
+    return G.index_percentile(events(spark, d), "user_id", "value", 0.95, "p95")
 
 
 @query("SELECT user_id, coalesce(avg(value) FILTER (event_type = 'click'), 0) AS confidence FROM events GROUP BY 1".replace("coalesce(avg(value) FILTER (event_type = 'click'), 0)", "round(coalesce(avg(value) FILTER (event_type = 'click'), 0), 6)"))
