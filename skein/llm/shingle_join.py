@@ -6,8 +6,9 @@ global order, those found frequent in a sample last, the rest by hash; a documen
 first n - ceil(t n) + 1 of them, its prefix, must hold one that any linked document's
 prefix holds too. Then:
 
-1. Documents that share one of their first two n-grams form clusters, and the whole
-   rows of a cluster are multiplied in blocks, which settles the pairs inside it.
+1. Documents that share one of their ``LOWEST`` n-grams with the lowest hashes, which
+   similar documents mostly do, form clusters; the whole rows of a cluster are
+   multiplied in blocks, which settles the pairs inside it.
 2. The prefix columns are multiplied for all other pairs, as a self-join by column that
    sums the overlap counts; pairs already in one component or cluster, and pairs whose
    sizes differ too much, are left out. Pairs go whose count plus the most that can lie
@@ -39,7 +40,10 @@ from skein.llm.vectors import _roots
 
 #: One of so many documents is looked at for frequent n-grams; found so often there, an n-gram is frequent; at most so many are kept.
 SAMPLE, OFTEN, MOST_FREQUENT = 16, 3, 200_000
-BLOCK = 256  #: documents of a cluster multiplied with as many others by one task
+LOWEST = 3
+#: Documents, and n-grams in them, of a cluster that one task multiplies with as many others at once.
+BLOCK, BLOCK_SHINGLES = 256, 400_000
+SLICE = 1024  #: documents hashed at once
 COLUMNS = 4096  #: n-grams in a block of the product
 _B = 0x9E3779B97F4A7C15 | 1
 
@@ -90,12 +94,19 @@ def _prefix(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate([s[~late], s[late]])[: prefix_length(len(s), percent)]
 
 
+def _slices(batches):
+    """Batches in slices, so that a worker holds the sets of few documents."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, SLICE):
+            yield batch.slice(i, SLICE)
+
+
 def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
     """Hashes of the n-grams that are frequent in a sample of documents; only their order depends on it."""
 
     def count(batches):
-        for batch in batches:
-            found = [shingles(t, k) for t in batch.column(0).to_pylist()]
+        for piece in _slices(batches):
+            found = [shingles(t, k) for t in piece.column(0).to_pylist()]
             if found:
                 s, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(n)], names=["s", "n"])
@@ -106,22 +117,26 @@ def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n (size of its set), sig (digest of its set), prefix."""
+    """doc_id, n (size of its set), sig (digest of its set), prefix, lowest (its first n-grams by hash alone)."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)  # bounded by MOST_FREQUENT
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [shingles(t, k) for t in batch.column(1).to_pylist()]
             sig = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             prefix = [_prefix(s, sent.value, percent).view(np.int64) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "n", "sig", "prefix"])
+            lowest = [s[:LOWEST].view(np.int64) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(lowest, pa.list_(pa.int64()))], names=["doc_id", "n", "sig", "prefix", "lowest"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, sig binary, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, sig binary, prefix array<long>, lowest array<long>")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` (rep, copies, ...) with the representatives' texts, one row for each however often it is repeated."""
-    rows = wanted.join(docs, wanted["rep"] == docs["doc_id"]).drop("doc_id")
+    """``wanted`` (rep, copies, ...) with the representatives' texts, one row for each however often it is repeated.
+
+    What is wanted grows with the corpus, so the texts are shuffled at any size.
+    """
+    rows = wanted.hint("merge").join(docs, wanted["rep"] == docs["doc_id"]).drop("doc_id")
     return rows.where("copies = 1").unionByName(rows.where("copies > 1").dropDuplicates([c for c in rows.columns if c != "text"])).drop("copies")
 
 
@@ -151,9 +166,9 @@ def _linked(a: list[np.ndarray], b: list[np.ndarray] | None, percent: int) -> np
 
 
 def cluster_links(docs: DataFrame, reps: DataFrame, clusters: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) inside clusters. ``clusters`` has c, rep, members; blocks of a large one are dealt in pairs."""
-    blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-    rows = _texts(docs, clusters.join(reps.select("rep", "copies", "n"), "rep"))
+    """Links (a, b) inside clusters. ``clusters`` has c, rep, members, total (n-grams); blocks of a large one are dealt in pairs."""
+    blocks = F.ceil(F.greatest(F.col("members") / F.lit(BLOCK), F.col("total") / F.lit(BLOCK_SHINGLES))).cast("int")
+    rows = _texts(docs, clusters.join(reps.select("rep", "copies"), "rep"))
     rows = rows.withColumn("_b", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select("c", F.least("_b", "_o").alias("x"), F.greatest("_b", "_o").alias("y"), (F.col("_b") <= F.col("_o")).alias("first"), (F.col("_b") == F.col("_o")).alias("own"), "rep", "text")
 
@@ -187,11 +202,11 @@ def cluster_links(docs: DataFrame, reps: DataFrame, clusters: DataFrame, k: int,
 def candidates(postings: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of the prefix product that their overlap counts and sizes leave possible.
 
-    ``postings`` (s, rep, n, component, c1, c2) is a written table, so that a column
+    ``postings`` (s, rep, n, component, clusters) is a written table, so that a column
     that many documents share makes a skewed join, which adaptive execution splits.
     """
     l, r = postings.alias("l"), postings.alias("r")
-    apart = (F.col("l.component") != F.col("r.component")) & (F.col("l.c1") != F.col("r.c1")) & (F.col("l.c2") != F.col("r.c2"))
+    apart = (F.col("l.component") != F.col("r.component")) & ~F.arrays_overlap("l.clusters", "r.clusters")
     near = (100 * F.col("l.n") >= percent * F.col("r.n")) & (100 * F.col("r.n") >= percent * F.col("l.n"))
     pairs = l.join(r, (F.col("l.s") == F.col("r.s")) & (F.col("l.rep") < F.col("r.rep")) & apart & near)
     counted = pairs.groupBy(F.col("l.rep").alias("a"), F.col("r.rep").alias("b"), F.col("l.n").alias("na"), F.col("r.n").alias("nb")).agg(F.count(F.lit(1)).alias("c"))
@@ -201,9 +216,10 @@ def candidates(postings: DataFrame, percent: int) -> DataFrame:
 
 def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of the pairs whose whole sets are similar."""
-    small = reps.select("rep", "copies")
-    one = _texts(docs, pairs.join(small, pairs["a"] == small["rep"])).withColumnRenamed("text", "ta").drop("rep")
-    two = _texts(docs, one.join(small, one["b"] == small["rep"])).select("a", "b", "ta", "text")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(reps.select("rep", "copies"), "rep")
+    found = materialise(_texts(docs, asked), "asked-texts")
+    one = pairs.join(found.select(F.col("rep").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
+    two = one.join(found.select(F.col("rep").alias("b"), "text").hint("merge"), "b").select("a", "b", "ta", "text")
 
     def run(batches):
         for batch in batches:
@@ -223,19 +239,15 @@ def groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     docs = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     rows = materialise(signatures(docs, k, percent, frequent_shingles(docs, k)), "signatures")
     usable = rows.where("sig is not null and doc_id is not null")
-    reps = materialise(usable.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "classes")
-    firsts = reps.select("rep", F.posexplode(F.slice("prefix", 1, 2)).alias("i", "s"))
-    sized = firsts.groupBy("i", "s").agg(F.countDistinct("rep").alias("members"), F.min("rep").alias("pivot")).where("members > 1")
-    sized = materialise(sized, "pivots")
-    # a cluster is named by its n-gram; a document outside any has a name of its own, -1 - rep never being one by rule of the join below
-    mine = materialise(firsts.join(sized, ["i", "s"]).select("i", F.col("s").alias("c"), "rep", "members"), "clusters")
-    edges = materialise(cluster_links(docs, reps, mine.drop("i"), k, percent), "cluster-links")
+    reps = materialise(usable.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("lowest").alias("lowest")), "classes")
+    firsts = reps.select("rep", "n", F.explode("lowest").alias("s"))
+    sized = materialise(firsts.groupBy("s").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total")).where("members > 1"), "sized")
+    mine = materialise(firsts.join(sized, "s").select(F.col("s").alias("c"), "rep", "members", "total"), "clusters")
+    edges = materialise(cluster_links(docs, reps, mine, k, percent), "cluster-links")
     label = components(edges)
-    names = [mine.where(f"i = {i}").select(F.col("rep").alias(f"_r{i}"), F.col("c").alias(f"_c{i}")).distinct() for i in (0, 1)]
-    known = reps.select("rep", "n", "prefix").join(label, F.col("rep") == F.col("node"), "left")
-    for i in (0, 1):
-        known = known.join(names[i], F.col("rep") == F.col(f"_r{i}"), "left")
-    postings = known.select(F.explode("prefix").alias("s"), "rep", "n", F.coalesce("component", "rep").alias("component"), F.coalesce("_c0", "rep").alias("c1"), F.coalesce("_c1", "rep").alias("c2"))
+    inside = mine.groupBy(F.col("rep").alias("_r")).agg(F.collect_list("c").alias("clusters"))  # at most LOWEST a document
+    known = reps.select("rep", "n", "prefix").join(label, F.col("rep") == F.col("node"), "left").join(inside, F.col("rep") == F.col("_r"), "left")
+    postings = known.select(F.explode("prefix").alias("s"), "rep", "n", F.coalesce("component", "rep").alias("component"), F.coalesce("clusters", F.array().cast("array<bigint>")).alias("clusters"))
     pairs = materialise(candidates(materialise(postings, "postings"), percent), "pairs")
     more = materialise(verified(docs, reps, pairs, k, percent), "links")
     final = components(edges.unionByName(more))
