@@ -176,6 +176,6 @@ def mix_documents(docs: DataFrame, *, seed: str = SEED, weights=(1, 2, 3)) -> Da
     _, _, flow = solve(slim, "pattern", weights=weights)
     times = multiplicities(slim, flow=flow, seed=seed).groupBy(F.col("row").alias("_r"), "copies").agg(F.sum("times").cast("int").alias("times"))
     times = materialise(times.where("times > 0"), "times")
-    chosen = rows.join(times, rows["row"] == times["_r"])
+    chosen = rows.join(times.hint("merge"), rows["row"] == times["_r"])  # as many rows as documents: never a broadcast
     once = chosen.where("copies = 1").unionByName(chosen.where("copies > 1").dropDuplicates(["row"]))
     return once.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*(F.col(f"doc.`{c}`").alias(c) for c in docs.columns))
