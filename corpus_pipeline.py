@@ -30,7 +30,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = shingle_join.groups(docs, WORDS, PERCENT)
     keep = materialise(found.where("doc_id is null or doc_id = component_id").select("doc_id").distinct(), "kept").alias("k")
     rows = docs.alias("d")
-    rows = rows.join(keep, F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id")), "left_semi")
+    # as many rows as documents stay: never a broadcast
+    rows = rows.join(keep.hint("merge"), F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id")), "left_semi")
     # an id that is repeated stands once; a null id names no document
     often = materialise(docs.groupBy(docs["doc_id"].cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null"), "repeated").alias("o")
     same = F.col("d.doc_id").cast("long") == F.col("o.doc_id")
