@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import unicodedata
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -31,8 +32,8 @@ from skein.llm.common import materialise, pick
 
 LENGTH = 4096
 END_ID = 2
-#: Words whose ids a worker remembers in each of two generations, and the longest of these in bytes: some 200 MB.
-REMEMBERED, LONGEST = 400_000, 48
+#: Words whose ids a worker remembers in each of two generations, and the longest of these: some 130 MB, kept between tasks.
+REMEMBERED, LONGEST = 300_000, 48
 #: Text that is encoded at once; its arrays take some ten times as much.
 BLOCK_BYTES = 12 << 20
 TOKENIZER = "word_bpe_49k.json"
@@ -44,6 +45,16 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> dict[int, int]:
+    """Letters that stand for bytes in byte-level tokenizers: printable bytes for themselves, the rest from U+0100 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in printable]
+    return {b: 256 + i for i, b in enumerate(rest)}
+
+
+_BYTES = _byte_letters()
+
+
 class WordEncoder:
     """Ids of texts in 16 bits, through a memory of words.
 
@@ -63,36 +74,46 @@ class WordEncoder:
             raise ValueError("ids are kept in 16 bits")
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
         # a tokenizer may have another pipeline than letters | digit | symbols; then words are encoded as they are
-        self.plain = [i for w in ("word", ".") for i in self._ids([w])[0]] == self._ids(["word."])[0] and self._ids(["Word"]) == self._ids(["word"])
+        self.plain = [i for w in ("word", ".") for i in self._ids([w])[0]] == self._ids(["word."])[0] and self._ids(["Word", "Été"]) == [list(map(int, np.frombuffer(self._letters(w), "<u2"))) for w in ("word", "été")]
 
     def _ids(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    def _letters(self, word: str) -> bytes:
+        """Ids of one run of letters in lower case: only the merges are left to do."""
+        return array("H", [t.id for t in self.tokenizer.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+
     def _encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of new words. A word that ends in a letter and one mark of punctuation is the word and the mark."""
-        parts, whole = [], []
+        parts, cores, simple = [], {}, set()
+        young, old = self.young.get, self.old.get
         for s in words:
             # a letter that changes into one with a loose accent would make one run of symbols with the mark
             ends = self.plain and len(s) > 1 and s[-1] in ".,;:!?" and unicodedata.normalize("NFC", s[-2]).lower()[-1].isalpha()
             mark = s[-1] if ends else ""
             core = s[: len(s) - len(mark)]
-            if self.plain and core.isascii() and core.isalpha():
+            if self.plain and core.isalpha() and (core.isascii() or self._simple(core)):
                 core = core.lower()
+                simple.add(core)
             parts.append((core, mark))
-            whole += [core] if core not in self.cores else []
-            whole += [mark] if mark and mark not in self.cores else []
-        whole = list(dict.fromkeys(whole))
-        simple = [s for s in whole if self.plain and s.isascii() and s.isalpha()]
-        for s in simple:  # one run of letters in lower case: only the merges are left to do
-            self.cores[s] = np.array([t.id for t in self.tokenizer.model.tokenize(s)], "<u2").tobytes()
-        rest = [s for s in whole if s not in self.cores]
-        self.cores.update((s, np.array(i, "<u2").tobytes()) for s, i in zip(rest, self._ids(rest), strict=True))
-        out = [self.cores[c] + (self.cores[m] if m else b"") for c, m in parts]
-        if len(self.cores) > REMEMBERED:
-            self.cores.clear()
-        return out
+            for x in (core, mark):
+                if x not in cores:
+                    cores[x] = young(x) or old(x)
+        cores[""] = b""
+        rest = []
+        for s, ids in cores.items():
+            if ids is None and s in simple:
+                cores[s] = self._letters(s)
+            elif ids is None:
+                rest.append(s)
+        cores.update((s, np.array(i, "<u2").tobytes()) for s, i in zip(rest, self._ids(rest), strict=True))
+        return [cores[c] + cores[m] for c, m in parts]
+
+    @staticmethod
+    def _simple(word: str) -> bool:
+        """Whether composing and lower-casing letters one by one changes each into one letter."""
+        return unicodedata.is_normalized("NFC", word) and len(word.lower()) == len(word) and "\u03a3" not in word and word.lower().isalpha()
 
     def _ids_of(self, words: list[str]) -> list[bytes]:
         """Ids of different words."""
