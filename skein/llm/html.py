@@ -1,12 +1,15 @@
 """Main text of web pages by the distribution of text over line blocks.
 
-The markup is stripped into lines, one for each block of the page; lines of menus,
-headers, footers, adverts and the like, and lines that are mostly link text, count as
-empty. The text lengths are summed over a sliding window of lines. Where the sum
-surges from nothing is the start of a region, where it dives back to nothing is its
-end; the region with the most text, and any that is nearly as large, is the main
-text. The sum is not cut off at a fixed height, so that short paragraphs between long
-ones, and articles of a few words, stay whole.
+The markup is stripped into lines, one for each block of the page. Lines of menus,
+headers, footers, adverts and the like are taken out first, so that they end nothing;
+of the others, lines that are mostly link text count as empty, unless they are inside
+an article or main element. The text lengths are summed over a sliding window of
+lines. Where the sum surges from nothing is the start of a region, where it dives back
+to nothing is its end. If the region with the most text touches an article or main
+element, the main text is every region that does, and any that is nearly as large as
+the largest; else it is all between the first surge and the last dive, with the link
+lines there. The sum is not cut off at a fixed height, so that short paragraphs
+between long ones, and articles of a few words, stay whole.
 
 Defined results: a null, empty or text-free html gives the empty string; unclosed and
 stray tags are tolerated; white space is one space inside a block; repeated rows are
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from skein.llm.common import pick
 
 WINDOW = 3  #: lines in a block
-SECOND = 0.5  #: a further region counts from this share of the largest one's text
+SECOND = 0.5  #: a region outside the article counts from this share of the largest one's text
 LINK_SHARE = 0.6
 #: Elements whose content is no text; that never hold the article; that start a line. Fixed values.
 HIDDEN = "script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|head|title|textarea|select|option|button"
@@ -48,10 +51,10 @@ def _is_beside(name: str, attributes: str) -> bool:
     return bool(attributes) and name in _HOLDERS and any(w in _BESIDE for m in _MARK.finditer(attributes) for w in re.split(r"[^a-z]+", m[1].lower()))
 
 
-def page_lines(page: str) -> list[tuple[str, int]]:
-    """The page's blocks in order, with the length that counts: 0 beside the article or for link lists."""
+def page_lines(page: str) -> list[tuple[str, int, bool]]:
+    """The page's blocks in order but those beside the article: text, the length that counts (0 for link lists outside it), and whether an article or main holds it."""
     page = _DROPPED.sub(lambda m: " " if m[1] is None else "\n" if m[1].lower() in _BLOCKS else " ", page)
-    lines: list[tuple[str, int]] = []
+    lines: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     linked = in_link = 0
     open_: list[tuple[str, bool]] = []
@@ -60,8 +63,9 @@ def page_lines(page: str) -> list[tuple[str, int]]:
     def end_line() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
-        if text:
-            lines.append((text, 0 if beside or linked > LINK_SHARE * sum(map(len, parts)) else len(text)))
+        if text and not beside:
+            held = any(name in ("article", "main") for name, _ in open_)
+            lines.append((text, 0 if not held and linked > LINK_SHARE * sum(map(len, parts)) else len(text), held))
         parts.clear()
         linked = 0
 
@@ -103,7 +107,7 @@ def page_lines(page: str) -> list[tuple[str, int]]:
 def main_text(page: str | None) -> str:
     lines = page_lines(page or "")
     n = len(lines)
-    sums = [sum(x for _, x in lines[max(0, i - WINDOW + 1) : i + 1]) for i in range(n + WINDOW - 1)]
+    sums = [sum(x for _, x, _ in lines[max(0, i - WINDOW + 1) : i + 1]) for i in range(n + WINDOW - 1)]
     regions, start = [], None
     for i, s in enumerate([*sums, 0]):
         if s and start is None:
@@ -111,8 +115,14 @@ def main_text(page: str | None) -> str:
         elif not s and start is not None:  # dive; the window's tail is behind the last line with text
             regions.append((start, i - WINDOW + 1))
             start = None
-    most = max((sum(x for _, x in lines[a:b]) for a, b in regions), default=0)
-    return "\n".join(t for a, b in regions if sum(x for _, x in lines[a:b]) >= SECOND * most for t, x in lines[a:b] if x)
+    if not regions:
+        return ""
+    sizes = [sum(x for _, x, _ in lines[a:b]) for a, b in regions]
+    held = [any(h for _, _, h in lines[a:b]) for a, b in regions]
+    most = max(sizes)
+    if not held[sizes.index(most)]:
+        return "\n".join(t for t, _, _ in lines[regions[0][0] : regions[-1][1]])
+    return "\n".join(t for (a, b), size, h in zip(regions, sizes, held, strict=True) if h or size >= SECOND * most for t, x, _ in lines[a:b] if x)
 
 
 def extract(pages: DataFrame) -> DataFrame:

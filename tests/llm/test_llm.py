@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -347,6 +348,26 @@ def test_pages(spark):
         assert html.main_text(r["html"]) == "\n".join(x for x in (" ".join(__import__("html").unescape(y).split()) for y in plain.split("\n")) if x)
 
 
+def test_article_stays_whole():
+    """Every order of a long article's own lines with three-line parts beside it and link paragraphs between them: what comes back is all own lines."""
+    own = [f"<p>{'Words of the article ' * 6}{i}.</p>" for i in range(8)] + ["<p>One closing line.</p>", "<p><a href=x>A paragraph that is one link</a></p>"]
+    asides = ["<aside><p>Buy</p><p>this</p><p>now</p></aside>", "<form><p>Your mail</p><p>Your name</p><p>Send</p></form>", "<div class=related><p>a</p><p>b</p><p>c</p><p>d</p></div>"]
+    plain = [re.sub("<[^>]*>", "", x) for x in own]
+    for at in itertools.product(range(len(own) + 1), repeat=2):
+        for name in ("article", "main", "div"):
+            for aside in asides:
+                parts = list(own)
+                for i in sorted(at, reverse=True):
+                    parts.insert(i, aside)
+                want = plain if name != "div" else plain[:-1]  # without an article, a link line behind the last text may be a menu
+                assert html.main_text(f"<nav><a href=x>Home</a></nav><{name}><h1>Head</h1>{''.join(parts)}</{name}><footer>x</footer>") == "\n".join(["Head", *want])
+    links = "".join(f"<li><a href={i}>Reference {i}</a></li>" for i in range(5))
+    listed = [f"Reference {i}" for i in range(5)]
+    for name in ("article", "div"):
+        assert html.main_text(f"<ul><li><a href=x>Home</a></li></ul><{name}>{own[0]}{own[1]}<ul>{links}</ul>{own[8]}</{name}><ul>{links}</ul>") == "\n".join([plain[0], plain[1], *listed, plain[8]])
+    assert html.main_text(f"<main>{own[0]}<ul>{links}</ul></main>") == "\n".join([plain[0], *listed])
+
+
 # 9
 
 
