@@ -11,6 +11,11 @@ the largest; else it is all between the first surge and the last dive, with the
 lines there. The sum is not cut off at a fixed height, so that short paragraphs
 between long ones, and articles of a few words, stay whole.
 
+A class, id or role marks a part beside the article by a whole word of its value. An
+article or main isn't marked unless it is inside another; nor is a form, dialog,
+header, aside or marked part that holds most of the page's text, unless it is outside
+an article or main that has text itself.
+
 Defined results: a null, empty or text-free html gives the empty string; unclosed and
 stray tags are tolerated; white space is one space inside a block; repeated rows are
 handled each for itself; an empty table gives an empty result.
@@ -36,39 +41,58 @@ BLOCK = "address|article|blockquote|body|caption|center|dd|details|div|dl|dt|fie
 #: Words in a class, id or role that mark a part beside the article. Fixed values.
 BESIDE = "ad|ads|advert|advertisement|adverts|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|notice|notices|popup|modal|newsletter|subscribe|signup|login|sidebar|sidenav|menu|navbar|nav|navigation|breadcrumb|breadcrumbs|pagination|pager|footer|masthead|share|sharing|social|related|recommended|comment|comments|respond|replies|disqus|widget|toolbar|copyright|search|complementary|contentinfo"
 
+#: The same of several words, in one class, id or role. Fixed values.
+COMPOUNDS = "ad-banner|ad-box|ad-container|ad-slot|ad-unit|ad-wrapper|adsbygoogle|google-ad|cookie-banner|cookie-bar|cookie-consent|cookie-notice|cookie-popup|consent-banner|newsletter-box|newsletter-form|newsletter-signup|subscribe-box|subscribe-form|sign-up|signup-form|login-box|login-form|search-box|search-form|searchform|comment-form|comment-list|comment-section|commentlist|comments-area|comments-section|comment-respond|disqus-thread|related-articles|related-content|related-links|related-posts|related-stories|recommended-articles|recommended-posts|share-bar|share-buttons|share-links|sharing-buttons|social-buttons|social-icons|social-links|social-media|social-share|site-footer|page-footer|site-nav|site-navigation|site-menu|main-menu|main-nav|main-navigation|nav-bar|nav-links|nav-menu|post-navigation|top-nav|left-sidebar|right-sidebar|side-bar|sidebar-left|sidebar-right|sidebar-widget|widget-area|promo-box|modal-dialog"
+
 _DROPPED = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>|<(script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|textarea|select|button|title)\b[^>]*?(?<!/)>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>")
-_MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
 _BLOCKS, _AROUND, _HIDDEN = (frozenset(x.split("|")) for x in (BLOCK, AROUND, HIDDEN))
-_BESIDE = frozenset(BESIDE.split("|"))
+_BESIDE = frozenset(f"{BESIDE}|{COMPOUNDS}".split("|"))
 _EMPTY = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_HOLDERS = frozenset("div section ul ol li p table td tr span figure dl article".split())
+_HOLDERS = frozenset("div section ul ol li p table td tr span figure dl article main".split())
+_MAIN = frozenset(("article", "main"))
+#: Elements that a head may hold, and parts that stay beside the article whatever their size.
+_IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+_ALWAYS = _HIDDEN | frozenset("nav footer menu".split())
 
 
-def _is_beside(name: str, attributes: str) -> bool:
+def _is_beside(name: str, attributes: str, held: bool) -> bool:
+    """``held``: inside an article or main; there, a further article may be a comment or a teaser."""
     if name in _AROUND or name in _HIDDEN:
         return True
-    return bool(attributes) and name in _HOLDERS and any(w in _BESIDE for m in _MARK.finditer(attributes) for w in re.split(r"[^a-z]+", m[1].lower()))
+    if not attributes or name not in _HOLDERS or name in _MAIN and not held:
+        return False
+    return any(w.replace("_", "-") in _BESIDE for m in _ATTRIBUTE.finditer(attributes) if m[1].lower() in ("class", "id", "role") for w in m[2].strip("\"'").lower().split())
 
 
 def page_lines(page: str) -> list[tuple[str, int, bool]]:
     """The page's blocks in order but those beside the article: text, the length that counts (0 for link lists outside it), and whether an article or main holds it."""
     page = _DROPPED.sub(lambda m: " " if m[1] is None else "\n" if m[1].lower() in _BLOCKS else " ", page)
-    lines: list[tuple[str, int, bool]] = []
+    lines: list[tuple[str, bool, bool, int]] = []  # text, mostly links, held by an article or main, the marked part around it
     parts: list[str] = []
     linked = in_link = 0
     open_: list[tuple[str, bool]] = []
-    beside, fresh = 0, True
+    marked: list[tuple[str, bool, int]] = [("", False, 0)]  # name, whether it is held, the marked part around it; 0 is the page
+    part = holders = 0
+    fresh, in_head = True, False
 
     def end_line() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
-        if text and not beside:
-            held = any(name in ("article", "main") for name, _ in open_)
-            lines.append((text, 0 if not held and linked > LINK_SHARE * sum(map(len, parts)) else len(text), held))
+        if text:
+            lines.append((text, linked > LINK_SHARE * sum(map(len, parts)), holders > 0, part))
         parts.clear()
         linked = 0
 
+    def close(depth: int) -> None:
+        nonlocal part, holders, in_head
+        for name, mark in open_[depth:]:
+            part = marked[part][2] if mark else part
+            holders -= name in _MAIN
+            in_head &= name != "head"
+        del open_[depth:]
+
     at = 0
     for m in _TAG.finditer(page):
         if m.start() > at:
@@ -84,24 +108,41 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             parts.append(" ")
         if name in _BLOCKS or name in _AROUND or name in _HIDDEN:
             end_line()
+        if in_head and not closing and name not in _IN_HEAD:  # the end tag of the head may be omitted
+            end_line()
+            close(next(i for i, (n, _) in enumerate(open_) if n == "head"))
         if closing:
             depth = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name), None)
             if depth is not None:
-                beside -= sum(b for _, b in open_[depth:])
-                del open_[depth:]
+                close(depth)
         elif name not in _EMPTY and not m[3].endswith("/"):
-            if name in ("article", "main") and fresh:  # an unclosed part before the article ends here
-                open_.clear()
-                beside, fresh = 0, False
+            if name in _MAIN and fresh:  # an unclosed part before the article ends here
+                close(0)
+                fresh = False
             if name in ("p", "li", "td", "tr", "dt", "dd", "option") and open_ and open_[-1][0] == name:
-                beside -= open_.pop()[1]
-            mark = _is_beside(name, m[3])
+                close(len(open_) - 1)
+            mark = _is_beside(name, m[3], holders > 0)
             open_.append((name, mark))
-            beside += mark
+            if mark:
+                marked.append((name, holders > 0, part))
+                part = len(marked) - 1
+            holders += name in _MAIN
+            in_head |= name == "head"
     rest = page[at:]
     parts.append(rest.partition("<")[0] if re.match(r"[^<]*<[a-zA-Z/!]", rest) else rest)
     end_line()
-    return lines
+    # parts with most of the text aren't beside it; a part's number is above that of the one around it
+    hidden, sizes, beside = [False] * len(marked), [0] * len(marked), [False] * len(marked)
+    for i, (name, _, around) in enumerate(marked):
+        hidden[i] = name in _HIDDEN or hidden[around]
+    for text, links, _, i in lines:
+        sizes[i] += 0 if links or hidden[i] else len(text)
+    has_article = any(held and not links and not i for _, links, held, i in lines)
+    for i in range(len(marked) - 1, 0, -1):
+        sizes[marked[i][2]] += sizes[i]
+    for i, (name, held, around) in enumerate(marked):
+        beside[i] = i > 0 and (beside[around] or name in _ALWAYS or 2 * sizes[i] <= sizes[0] or has_article and not held)
+    return [(text, 0 if links and not held else len(text), held) for text, links, held, i in lines if not beside[i]]
 
 
 def main_text(page: str | None) -> str:

@@ -368,6 +368,23 @@ def test_article_stays_whole():
     assert html.main_text(f"<main>{own[0]}<ul>{links}</ul></main>") == "\n".join([plain[0], *listed])
 
 
+@pytest.mark.parametrize("mark", ["div class='content with-sidebar'", "div class=no-comments", "article class='post social-science'", "td class='search-result-body'", "div data-id='search'", "div title='the class = ad'", "div class='widget'", "form", "article class=social", "main id=search"])
+def test_parts_with_the_article_are_kept(mark):
+    name = mark.split()[0]
+    text = "\n".join(["The first paragraph of the page.", "The second paragraph of the page."])
+    page = f"<nav><a href=x>Home</a></nav><{mark}><p>{text.replace(chr(10), '<p>')}</{name}><div class='ad'>Buy now</div><footer>x</footer>"
+    assert html.main_text(page) == text
+    for head in ("<head><title>T</title><meta charset=utf-8>", "<html><head><title>T</title><style>p{}</style><body>", "<head><title>T</title></head><body>"):
+        assert html.main_text(head + page) == text
+
+
+@pytest.mark.parametrize("mark", ["ad", "sidebar", "post COMMENTS", "comment_list", "x related-posts"])
+def test_whole_words_mark_a_part(mark):
+    beside = f"<div class='{mark}'><p>{'Not of the article. ' * 20}</p></div>"
+    assert html.main_text(f"<article><p>One.</p><p>Two.</p></article>{beside}") == "One.\nTwo."
+    assert html.main_text(f"<main><p>{'One. ' * 100}</p>{beside}<article class='{mark}'><p>A comment.</p></article></main>") == ("One. " * 100).strip()
+
+
 # 9
 
 
