@@ -95,6 +95,18 @@ def test_pii_held_out():
     assert (chosen & (y == 1)).sum() / chosen.sum() > 0.93 and (chosen & (y == 1)).sum() / y.sum() > 0.85
 
 
+def test_pii_long_secrets(spark):
+    rng = np.random.default_rng(5)
+    signs = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-"))
+    drawn = lambda k, among=signs: "k" + "".join(among[rng.integers(0, len(among), k - 1)])
+    secrets = [drawn(k) for k in (100, 128, 129, 130, 300, 1024, 5000)] + [drawn(k, signs[52:62]) + drawn(k, signs[26:32]) for k in (100, 600)]
+    rows = [(i, f'before it all token = "{s}" and after') for i, s in enumerate(secrets)]
+    alike = ["-" * 400, "_" * 400, "0123456789" * 40, "-".join(["word", "another", "some"] * 40)]
+    rows += [(100 + i, f"before it all {s} and after") for i, s in enumerate(alike)]
+    got = {r["doc_id"]: r["text"] for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 'before it all token = "[SECRET]" and after' if i < 100 else t for i, t in rows}
+
+
 # 2
 
 
