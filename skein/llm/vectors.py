@@ -4,8 +4,10 @@ In each pass the vectors are ordered lexicographically by the concatenated signs
 random projections and compared, in double precision, with a bounded number of
 followers; verified pairs of all passes are united into components. The number of
 passes follows from the number of vectors, so that a pair at the threshold is met
-with the stated probability. As a window can't hold a large group, all pairs inside a
-component are then compared in blocks: that gives every link of its vectors.
+shares its leading signs in some pass with the stated probability, however the other
+vectors lie. Where more vectors share these signs than a window holds, all of them are
+compared in blocks. As not every pair is met, all pairs inside a component are then
+compared in blocks: that gives every link of its vectors.
 
 Equal vectors are collapsed before the passes and counted after them.
 
@@ -37,14 +39,18 @@ BLOCK = 512  #: vectors of a component compared with as many others by one task
 SEED = 11
 
 
+def signs_for(n: int, window: int = WINDOW) -> float:
+    """Leading signs that leave half a window of n evenly spread vectors."""
+    return max(1.0, math.log2(max(n, 2) / (window / 2)))
+
+
 def passes_for(n: int, threshold: float = THRESHOLD, window: int = WINDOW, recall: float = RECALL) -> int:
-    """Passes until a pair at the threshold was within a window with probability ``recall``.
+    """Passes until a pair at the threshold shared its leading signs with probability ``recall``.
 
-    Two vectors at an angle share each sign with 1 - angle / pi, and are near in the
-    order once they share as many signs as leave half a window of vectors.
+    Two vectors at an angle share each sign with 1 - angle / pi. Those that share as
+    many as ``signs_for`` says are compared, by windows or in ``_crowded``.
     """
-    signs = max(1.0, math.log2(max(n, 2) / (window / 2)))
-    met = (1 - math.acos(threshold) / math.pi) ** signs
+    met = (1 - math.acos(threshold) / math.pi) ** signs_for(n, window)
     return max(4, math.ceil(math.log(1 - recall) / math.log(1 - met)))
 
 
@@ -164,8 +170,21 @@ def _borders(found: DataFrame, kind: str, threshold: float, window: int) -> Data
     return found.where("border is not null").groupBy("border").applyInPandas(run, "a long, b long")
 
 
+def _crowded(orders: DataFrame, signs: int, kind: str, threshold: float, window: int) -> DataFrame:
+    """Links as (a, b) between vectors that share their leading signs in a pass with more than a window of others."""
+    run = F.concat_ws(" ", "pass", "dim", F.shiftright("code", BITS - signs)).alias("component")
+    sizes = orders.select(run).groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > window + 1)
+    rows = orders.select(run, "rep", F.lit(1).cast("long").alias("copies"), "raw").join(materialise(sizes, "crowded"), "component")
+    return _compared(rows.select("component", "size", "rep", "copies", "raw"), kind, threshold, True).distinct()
+
+
 def _links(members: DataFrame, kind: str, threshold: float) -> DataFrame:
-    """rep, n: the vectors that each is linked with inside its component, by pairs of blocks.
+    """rep, n: the vectors that each is linked with inside its component."""
+    return _compared(members, kind, threshold, False).groupBy("rep").agg(F.sum("n").alias("n"))
+
+
+def _compared(members: DataFrame, kind: str, threshold: float, edges: bool) -> DataFrame:
+    """All pairs inside a component, by pairs of blocks: edges that unite what is linked as (a, b), or each one's links as (rep, n).
 
     ``members`` has component, size (different vectors in it), rep, copies, raw.
     """
@@ -187,6 +206,12 @@ def _links(members: DataFrame, kind: str, threshold: float) -> DataFrame:
         if own:
             np.fill_diagonal(hit, False)
         reps = [r[5] for r in a] + ([] if own else [r[5] for r in b])
+        if edges:
+            i, j = np.nonzero(hit)
+            label = _roots(len(reps), i, j if own else j + len(a))
+            low = np.array(reps)
+            at = np.flatnonzero(low != low[label])
+            return pa.RecordBatch.from_arrays([pa.array(low[at], pa.int64()), pa.array(low[label[at]], pa.int64())], names=["a", "b"])
         n = hit @ np.array([r[6] for r in b])
         n = n if own else np.concatenate([n, hit.T @ np.array([r[6] for r in a])])
         return pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(n, pa.int64())], names=["rep", "n"])
@@ -204,7 +229,7 @@ def _links(members: DataFrame, kind: str, threshold: float) -> DataFrame:
             yield done
 
     dealt = rows.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y")
-    return dealt.mapInArrow(run, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
+    return dealt.mapInArrow(run, "a long, b long" if edges else "rep long, n long")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW, recall: float = RECALL) -> DataFrame:
@@ -216,12 +241,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, window: in
     rows = rows.withColumn("usable", F.coalesce(F.col("vec_id").isNotNull() & (F.size(e) > 0) & ~bad, F.lit(False)))
     rows = rows.withColumn("k", F.when(F.col("usable"), F.md5(e.cast("string"))))
     distinct = materialise(classes(rows), "vectors")
-    passes = passes_for(distinct.count(), threshold, window, recall)
+    n = distinct.count()
+    orders = _orders(distinct, passes_for(n, threshold, window, recall), kind)
     order = ("pass", "dim", "code", "rep")
-    ordered = _orders(distinct, passes, kind).repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered = orders.repartitionByRange(*order).sortWithinPartitions(*order)
     found = materialise(_windows(ordered, kind, threshold, window), "windows")
     edges = found.where("border is null").select("a", "b").unionByName(_borders(found, kind, threshold, window))
-    label = components(edges)
+    crowded = materialise(_crowded(orders, math.floor(signs_for(n, window)), kind, threshold, window), "crowded_links")
+    label = components(edges.unionByName(crowded))
     grouped = distinct.join(label, distinct["rep"] == label["node"]).select("component", "rep", "copies", "raw")
     grouped = materialise(grouped, "members")
     sizes = materialise(grouped.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "sizes")

@@ -242,6 +242,25 @@ def test_components(spark):
     assert got == {a: root(a) for a in parent}
 
 
+@pytest.mark.parametrize("cone", [0.8, 0.85, 0.89])
+def test_vectors_in_a_cone(spark, cone):
+    """Pairs at the threshold among vectors that are all alike but not linked."""
+    rng = np.random.default_rng(9)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    axis, out = np.eye(256)[0], unit(np.concatenate([np.zeros((3000, 1)), rng.standard_normal((3000, 255))], axis=1))
+    share = (0.905 - cone + 0.02) / (1 - cone + 0.02)
+    mate = unit(share * out[:100] + np.sqrt(1 - share**2) * unit(np.concatenate([np.zeros((100, 1)), rng.standard_normal((100, 255))], axis=1)))
+    x = np.sqrt(cone - 0.02) * axis + np.sqrt(1 - cone + 0.02) * np.concatenate([out, mate])
+    x = np.concatenate([x, unit(rng.standard_normal((3000, 256)))])
+    hit = unit(x) @ unit(x).T >= vectors.THRESHOLD
+    np.fill_diagonal(hit, False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_duplicates(df).collect()}
+    assert hit.sum() >= 100
+    assert sum(got.values()) >= vectors.RECALL * hit.sum()
+    assert all(got[i] <= n for i, n in enumerate(hit.sum(axis=1).tolist()))
+
+
 # 5
 
 
