@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.functions import text as X
@@ -153,8 +154,13 @@ def a19_vector_statistics(spark, d):
 
 @query("SELECT vec_id, label FROM embeddings QUALIFY (row_number() OVER (ORDER BY vec_id) - 1) % 25 = 0")
 def k8_every_nth(spark, d):
-    """Ids are dense from 0, so that an id's place needs no global ordering."""
-    return table(spark, d, "embeddings").where("vec_id % 25 = 0").select("vec_id", "label")
+    """Places by two passes, so that no task orders all rows: counts by runs of ids, then places inside a run."""
+    rows = table(spark, d, "embeddings").select("vec_id", "label").withColumn("_r", F.floor(F.col("vec_id") / 4096))
+    counts = rows.groupBy("_r").agg(F.count(F.lit(1)).alias("_n"))
+    # one row for each 4096 ids
+    before = counts.select("_r", F.coalesce(F.sum("_n").over(W.orderBy(F.asc_nulls_last("_r")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    placed = rows.withColumn("_i", F.row_number().over(W.partitionBy("_r").orderBy(F.asc_nulls_last("vec_id"), "label")) - 1).join(before, rows["_r"].eqNullSafe(before["_r"]))
+    return placed.where((F.col("_base") + F.col("_i")) % 25 == 0).select("vec_id", "label")
 
 
 @query("WITH v AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT a, b, round(score, 6) AS score FROM v WHERE score > 0.3")

@@ -165,3 +165,11 @@ def test_sources_and_snapshots(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "report")).count() == 2
     (tmp_path / "qa.json").write_text('{"qa_pairs": [{"question": "q", "answer": "a"}, {"question": "", "answer": "a"}]}')
     assert rows(readers.qa_files(spark, str(tmp_path / "qa.json")).select("question", "context")) == [("q", "a")]
+
+
+def test_every_nth_with_gaps_and_repeats(spark, tmp_path):
+    from skein.plans.catalog import QUERIES
+
+    ids = sorted([*range(-60, 100, 7), *range(4000, 9000, 3), *[4090] * 60, 50_000])
+    spark.createDataFrame([(i, "a") for i in ids], "vec_id long, label string").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert sorted(r["vec_id"] for r in QUERIES["k8_every_nth"](spark, str(tmp_path)).collect()) == ids[::25]
