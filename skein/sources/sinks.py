@@ -31,6 +31,10 @@ def export_lines(docs: DataFrame, chars: int = 40) -> DataFrame:
 
 
 def write_export(docs: DataFrame, path: str) -> None:
-    """S12. The lines as text files, sorted by source and id."""
-    rows = export_lines(docs).join(docs.select("doc_id", "source"), "doc_id")
+    """S12. The whole texts as lines of text files, sorted by source and id; backslashes and line breaks are escaped."""
+    text, number = F.coalesce("text", F.lit("")), F.col("doc_id").cast("string")
+    for plain, escaped in (("\\", "\\\\"), ("\r", "\\r"), ("\n", "\\n")):
+        text = F.replace(text, F.lit(plain), F.lit(escaped))
+    line = F.concat("source", F.lit("#"), F.lpad(number, F.greatest(F.length(number), F.lit(6)), F.lit("0")), F.lit(": "), text)
+    rows = docs.select("source", "doc_id", line.alias("line"))
     rows.repartitionByRange("source", "doc_id").sortWithinPartitions("source", "doc_id").select("line").write.text(path)

@@ -173,3 +173,12 @@ def test_every_nth_with_gaps_and_repeats(spark, tmp_path):
     ids = sorted([*range(-60, 100, 7), *range(4000, 9000, 3), *[4090] * 60, 50_000])
     spark.createDataFrame([(i, "a") for i in ids], "vec_id long, label string").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert sorted(r["vec_id"] for r in QUERIES["k8_every_nth"](spark, str(tmp_path)).collect()) == ids[::25]
+
+
+def test_export_writes_whole_texts(spark, tmp_path):
+    from skein.sources.sinks import write_export
+
+    text = "first line " * 20 + "\nsecond \\n line\r\nend"
+    write_export(spark.createDataFrame([(7, "s", text)], "doc_id long, source string, text string"), f"{tmp_path}/out")
+    want = "s#000007: " + text.replace("\\", "\\\\").replace("\r", "\\r").replace("\n", "\\n")
+    assert [r["value"] for r in spark.read.text(f"{tmp_path}/out").collect()] == [want]
