@@ -6,6 +6,7 @@ import collections
 import hashlib
 import itertools
 import re
+import time
 import zlib
 
 import numpy as np
@@ -416,6 +417,53 @@ def test_whole_words_mark_a_part(mark):
     assert html.main_text(f"<main><p>{'One. ' * 100}</p>{beside}<article class='{mark}'><p>A comment.</p></article></main>") == ("One. " * 100).strip()
 
 
+SENTENCE = "A sentence of the article that is about as long as such sentences are."
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<script ", "<script>", "<title>", "<div>", "<div></span>", "<a '>'\">\" ", "<a \">", "<!--", "<head><div>", "<span><div>", "<![CDATA[", "&#99999", "<div a='"])
+def test_a_megabyte_of_anything(piece):
+    page = f"<article><p>{SENTENCE}</p></article>" + piece * (1_000_000 // len(piece))
+    began = time.perf_counter()
+    assert html.main_text(page).startswith(SENTENCE)
+    assert time.perf_counter() - began < 5
+
+
+def test_pages_without_an_article():
+    """The box with most of the dense text keeps its short lines; what other boxes hold below the height goes."""
+    long = [f"{SENTENCE} {i} {SENTENCE}" for i in range(6)]
+    beside = "<div><div><a href=x>Home</a></div><div>Welcome here</div><div>Please look</div><div>around</div><div>a bit</div></div>"
+    end = "<div><div>Powered by x</div><div>1999</div><div>All rights</div></div>"
+    body = "<h1>Head</h1>" + "".join(f"<p>{x}</p>" for x in long) + "<p>a</p><p>b</p><p>c</p><p>The end.</p>"
+    want = "\n".join(["Head", *long, "a", "b", "c", "The end."])
+    for name in ("div", "section", "td"):
+        assert html.main_text(f"<body>{beside}<{name}>{body}</{name}>{end}</body>") == want
+    assert html.main_text(f"<body>{beside}{body}{end}</body>") == want
+    split = f"<body>{beside}<div><div><p>{long[0]}</p></div><div class='ad'><p>x</p><p>x</p><p>x</p><p>x</p></div><div>{body}</div></div>{end}"
+    assert html.main_text(split) == f"{long[0]}\n{want}"
+
+
+def test_an_introduction_outside_the_article_box():
+    intro = f"<div class=intro><p>{SENTENCE}</p><p>Short.</p></div>"
+    ads = "<div class=ad><p>Buy</p><p>now</p><p>or</p><p>never</p></div>"
+    body = "".join(f"<p>{SENTENCE} {i}</p>" for i in range(6))
+    want = "\n".join([SENTENCE, "Short.", *(f"{SENTENCE} {i}" for i in range(6))])
+    for name in ("div", "article", "main"):
+        assert html.main_text(f"<nav>x</nav><{name}>{intro}{ads}{body}</{name}><footer>y</footer>") == want
+    assert html.main_text(f"<h1>Head</h1><article>{body}</article><p>Powered by x</p>").splitlines()[0::6] == ["Head", f"{SENTENCE} 5"]
+
+
+def test_reader_comments_longer_than_the_article():
+    comments = "".join(f"<p>{SENTENCE} {i} {SENTENCE}</p>" for i in range(20))
+    for part in (f"<div class=comments>{comments}</div>", f"<section id='comment-list'><article>{comments}</article></section>"):
+        assert html.main_text(f"<div><h1>Head</h1><p>{SENTENCE}</p></div>{part}") == f"Head\n{SENTENCE}"
+        assert html.main_text(f"<article><h1>Head</h1><p>{SENTENCE}</p>{part}</article>") == f"Head\n{SENTENCE}"
+
+
+def test_regions():
+    assert html.regions([]) == [] and html.regions([0, 0]) == [] and html.regions([5]) == [(0, 1)]
+    assert html.regions([0, 1, 0, 0, 90, 80, 0, 70, 1, 1, 1, 0, 60]) == [(2, 8), (10, 13)]
+
+
 # 9
 
 
