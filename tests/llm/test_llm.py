@@ -6,6 +6,7 @@ import collections
 import hashlib
 import itertools
 import re
+import textwrap
 import time
 import zlib
 
@@ -518,6 +519,9 @@ def test_large_clusters_are_dealt_in_blocks(spark, monkeypatch):
 # 10
 
 
+CHATS = "conv_id long, turn long, role string, text string"
+
+
 def test_quotes(spark):
     rows = [
         (1, 0, "user", "Hello there, how do I sort?\nThanks in advance"),
@@ -528,7 +532,7 @@ def test_quotes(spark):
         (2, 0, "user", None), (2, 1, None, "> unknown\nhm"), (None, 1, "u", "> x"), (2, None, "u", "y"),
         (3, 5, "u", "> later line"), (3, 6, "u", "later line"),
     ]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("path", F.lit(0)).withColumn("lines", F.lit(0))
+    df = spark.createDataFrame(rows, CHATS).withColumn("path", F.lit(0)).withColumn("lines", F.lit(0)).withColumn("thread_turn", F.lit(0))
     out = quotes.conversations(df).collect()
     assert len(out) == len(rows)
     got = {(r["conv_id"], r["turn"]): (r["text"], r["reply_to"], r["thread_turn"], r["reply_depth"]) for r in out}
@@ -537,15 +541,75 @@ def test_quotes(spark):
     assert got[(1, 4)] == ("you too", 0, 0, 1)
     assert got[(1, 3)] == ("unrelated", None, 3, 0)
     assert got[(2, 0)] == ("", None, 0, 0) and got[(2, 1)] == ("hm", None, 1, 0) and got[(3, 5)] == ("", None, 5, 0)
-    order = [r["turn"] for r in sorted(out, key=lambda r: r["reply_path"] or "") if r["conv_id"] == 1]
+    order = [r["turn"] for r in sorted((r for r in out if r["conv_id"] == 1), key=lambda r: (r["thread_turn"], r["thread_order"]))]
     assert order == [0, 1, 2, 4, 3, 3]
     assert quotes.conversations(df.where("false")).collect() == []
 
 
+def test_quotes_of_any_turn_and_width(spark):
+    """Long and negative turns; wrapped quotations and announcements; equal votes go to the later original."""
+    long = "one line of many words that goes on and on without any stop until it ends here"
+    rows = [
+        (1, -3, "u", long), (1, 1_700_000_000_001, "u", "> one line of many words that goes on and on\n> without any stop until it ends here\nmine"),
+        (1, 1_700_000_000_002, "u", "Hi,\n\nOn Monday the first of May, at a quarter to nine,\nSomeone with a very long name " + "x" * 300 + "\n<a@b.c> wrote:\n\n> mine\n\nyes"),
+        (2, -(2**63), "u", "alpha\n\nbeta"), (2, 2**63 - 1, "u", ">> alpha\n> gamma"), (2, 5, "u", "gamma"),
+        (3, 1, "u", "same size"), (3, 2, "u", "sane size"), (3, 3, "u", "> same size\n> sane size"),
+        (4, 1, "u", "On Monday I wrote:\nnothing"), (4, 2, "u", "a > b\r\n  > On Monday I wrote:\r\nok"),
+    ]
+    got = {(r["conv_id"], r["turn"]): r for r in quotes.conversations(spark.createDataFrame(rows, CHATS)).collect()}
+    place = lambda c, t: tuple(got[(c, t)][x] for x in ("text", "reply_to", "thread_turn", "reply_depth", "thread_order"))
+    assert place(1, 1_700_000_000_001) == ("mine", -3, -3, 1, 1)
+    assert place(1, 1_700_000_000_002) == ("Hi,\n\n\nyes", 1_700_000_000_001, -3, 2, 2)
+    assert place(2, 2**63 - 1) == ("", 5, 5, 1, 1) and place(2, -(2**63)) == ("alpha\n\nbeta", None, -(2**63), 0, 0)
+    assert place(3, 3) == ("", 2, 2, 1, 1)
+    assert place(4, 1)[0] == "On Monday I wrote:\nnothing" and place(4, 2) == ("a > b\nok", 1, 1, 1, 1)
+
+
+def test_quotes_against_planted_threads(spark):
+    """Random threads: each message quotes one before it, nested, wrapped at another width, whole or some sentences of it."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(3000)]
+    rows, origin = [], {}
+    for conv in range(12):
+        said: list[list[str]] = []
+        turns = sorted(rng.choice(10**12, 30, replace=False).tolist())
+        for t in range(30):
+            own = [" ".join(rng.choice(words, rng.integers(4, 15))) + rng.choice([".", "!", "?"]) for _ in range(rng.integers(1, 5))]
+            text = []
+            if t and rng.random() < 0.8:
+                to = int(rng.integers(0, t))
+                first = int(rng.integers(0, len(said[to])))
+                inner, width = origin.get((conv, turns[to])), int(rng.integers(20, 70))
+                if inner is not None and rng.random() < 0.5:
+                    text += [">> " + x for x in textwrap.wrap(" ".join(said[turns.index(inner)]), width)]
+                text += [rng.choice(["> ", ">"]) + x for x in textwrap.wrap(" ".join(said[to][first:]), width)]
+                origin[(conv, turns[t])] = turns[to]
+            said.append(own)
+            rows.append((conv, turns[t], "u", "\n".join([*text, *textwrap.wrap(" ".join(own), 60)])))
+    out = {(r["conv_id"], r["turn"]): r for r in quotes.conversations(spark.createDataFrame(rows, CHATS)).collect()}
+    assert {k: r["reply_to"] for k, r in out.items()} == {(c, t): origin.get((c, t)) for c, t, _, _ in rows}
+    for conv in range(12):
+        turns = sorted(t for c, t, _, _ in rows if c == conv)
+        want = {}
+
+        def walk(turn: int, thread: int, depth: int, at: int) -> int:
+            want[turn] = (thread, depth, at)  # noqa: B023
+            for t in turns:  # noqa: B023
+                if origin.get((conv, t)) == turn:  # noqa: B023
+                    at = walk(t, thread, depth + 1, at + 1)  # noqa: B023
+            return at
+
+        for t in turns:
+            if (conv, t) not in origin:
+                walk(t, t, 0, 0)
+        assert {t: tuple(out[(conv, t)][x] for x in ("thread_turn", "reply_depth", "thread_order")) for t in turns} == want
+
+
 def test_long_reply_chains(spark):
     rows = [(1, i, "u", (f"> message number {i - 1}\n" if i else "") + f"message number {i}") for i in range(40)]
-    got = {r["turn"]: (r["thread_turn"], r["reply_depth"]) for r in quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert got == {i: (0, i) for i in range(40)}
+    rows += [(2, i, "u", "> a question\n" if i else "a question") for i in range(40)]
+    got = {(r["conv_id"], r["turn"]): (r["thread_turn"], r["reply_depth"], r["thread_order"]) for r in quotes.conversations(spark.createDataFrame(rows, CHATS)).collect()}
+    assert got == {(1, i): (0, i, i) for i in range(40)} | {(2, i): (0, int(i > 0), i) for i in range(40)}
 
 
 # all
