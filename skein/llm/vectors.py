@@ -1,13 +1,16 @@
 """Near-duplicate vectors by sorted projection passes.
 
-In each pass the vectors are ordered lexicographically by the concatenated signs of
+In each pass the vectors are ordered lexicographically by the concatenated bits of
 random projections and compared, in double precision, with a bounded number of
-followers; verified pairs of all passes are united into components. The number of
-passes follows from the number of vectors, so that a pair at the threshold is met
-shares its leading signs in some pass with the stated probability, however the other
-vectors lie. Where more vectors share these signs than a window holds, all of them are
-compared in blocks. As not every pair is met, all pairs inside a component are then
-compared in blocks: that gives every link of its vectors.
+followers; verified pairs of all passes are united into components. A bit tells on which
+side of the median of a sample a projection lies, so that the order spreads vectors
+that share a common direction too. Passes go on until, of pairs made at the threshold by
+turning each vector of the sample towards one near it, the stated share has the same
+leading bits in some pass, in dense regions as in sparse ones; so the number follows how
+the vectors lie. Where more vectors share
+these bits than a window holds, all of them are compared in blocks. As not every pair is
+met, all pairs inside a component are then compared in blocks: that gives every link of
+its vectors. The sample decides on the order and the number of passes, never on a link.
 
 Equal vectors are collapsed before the passes and counted after them.
 
@@ -35,8 +38,11 @@ THRESHOLD = 0.9
 WINDOW = 32
 BITS = 60
 RECALL = 0.95
-BLOCK = 512  #: vectors of a component compared with as many others by one task
+BLOCK = 2048  #: vectors of a component compared with as many others by one task
+ROWS = 512  #: of these at once
 SEED = 11
+SAMPLE = 2048  #: vectors that the driver sees for the medians and the number of passes
+NEAR = 16  #: rank of the neighbour in the sample towards which a vector is turned
 
 
 def signs_for(n: int, window: int = WINDOW) -> float:
@@ -44,14 +50,41 @@ def signs_for(n: int, window: int = WINDOW) -> float:
     return max(1.0, math.log2(max(n, 2) / (window / 2)))
 
 
-def passes_for(n: int, threshold: float = THRESHOLD, window: int = WINDOW, recall: float = RECALL) -> int:
-    """Passes until a pair at the threshold shared its leading signs with probability ``recall``.
+def _plane(dim: int, p: int) -> np.ndarray:
+    """The projections of pass ``p``, the same on every machine."""
+    return np.random.default_rng([SEED, dim, p]).standard_normal((dim, BITS))
 
-    Two vectors at an angle share each sign with 1 - angle / pi. Those that share as
-    many as ``signs_for`` says are compared, by windows or in ``_crowded``.
+
+def plan(sample: list[bytes], kind: str, threshold: float, signs: int, recall: float) -> tuple[int, dict[int, np.ndarray]]:
+    """The number of passes, and for each length of raw vectors the medians by pass and bit.
+
+    At least four passes; lengths that the sample lacks are cut at 0.
     """
-    met = (1 - math.acos(threshold) / math.pi) ** signs_for(n, window)
-    return max(4, math.ceil(math.log(1 - recall) / math.log(1 - met)))
+    groups = {}
+    for size in sorted({len(r) for r in sample}):
+        x = _unit([r for r in sample if len(r) == size], kind)
+        near = x @ x.T
+        near[near > threshold] = -2
+        near[np.diag_indices(len(x))] = -2
+        mate = np.argsort(-near, axis=1, kind="stable")[:, min(NEAR, len(x)) - 1]
+        side = x[mate] - near[np.arange(len(x)), mate][:, None] * x
+        far = np.flatnonzero((near[np.arange(len(x)), mate] > -2) & (np.linalg.norm(side, axis=1) > 1e-6))
+        far = far[np.argsort(near[far, mate[far]], kind="stable")]  # from sparse regions to dense ones
+        mate = threshold * x[far] + math.sqrt(1 - threshold**2) * side[far] / np.linalg.norm(side[far], axis=1, keepdims=True)
+        groups[size] = (x, mate, far, np.zeros(len(far), bool), [])
+
+    def enough() -> bool:
+        return all(part.sum() >= recall * len(part) for g in groups.values() for part in np.array_split(g[3], max(1, min(4, len(g[3]) // 64))))
+
+    passes = 0
+    while passes < 4 or not enough():
+        for x, mate, far, met, cuts in groups.values():
+            plane = _plane(x.shape[1], passes)
+            at = x @ plane
+            cuts.append(np.median(at, axis=0))
+            met |= (((at[far] > cuts[-1]) == (mate @ plane > cuts[-1]))[:, :signs]).all(axis=1)
+        passes += 1
+    return passes, {size: np.array(g[4]) for size, g in groups.items()}
 
 
 def _unit(raw: list[bytes], kind: str) -> np.ndarray:
@@ -89,11 +122,11 @@ def classes(rows: DataFrame) -> DataFrame:
     return one.mapInArrow(run, "k string, rep long, copies long, raw binary")
 
 
-def _orders(distinct: DataFrame, passes: int, kind: str) -> DataFrame:
-    """pass, dim, code, rep, raw: every vector once a pass with its signs as one number."""
+def _orders(distinct: DataFrame, passes: int, cuts: dict[int, np.ndarray], kind: str) -> DataFrame:
+    """pass, dim, code, rep, raw: every vector once a pass with its bits as one number."""
 
     def run(batches):
-        planes: dict[int, np.ndarray] = {}
+        planes: dict[int, list[np.ndarray]] = {}
         weights = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
         for batch in batches:
             raws = np.array(batch.column(1).to_pylist(), object)
@@ -102,10 +135,11 @@ def _orders(distinct: DataFrame, passes: int, kind: str) -> DataFrame:
                 at = np.flatnonzero(sizes == dim)
                 x = _unit(list(raws[at]), kind)
                 if dim not in planes:
-                    planes[dim] = np.random.default_rng(SEED).standard_normal((passes, x.shape[1], BITS))
+                    planes[dim] = [_plane(x.shape[1], p) for p in range(passes)]
+                cut = cuts.get(int(dim), np.zeros((passes, BITS)))
                 rep = batch.column(0).take(pa.array(at))
                 for p in range(passes):
-                    code = ((x @ planes[dim][p]) > 0) @ weights
+                    code = ((x @ planes[dim][p]) > cut[p]) @ weights
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), p, np.int32)), pa.array(np.full(len(at), dim, np.int32)), pa.array(code), rep, pa.array(list(raws[at]), pa.binary())], names=["pass", "dim", "code", "rep", "raw"])
 
     return distinct.select("rep", "raw").mapInArrow(run, "pass int, dim int, code long, rep long, raw binary")
@@ -202,7 +236,9 @@ def _compared(members: DataFrame, kind: str, threshold: float, edges: bool) -> D
         u, v = [len(r[7]) for r in a], [len(r[7]) for r in b]
         for dim in set(u) & set(v):
             i, j = (np.flatnonzero(np.array(s) == dim) for s in (u, v))
-            hit[np.ix_(i, j)] = (_unit([a[k][7] for k in i], kind) @ _unit([b[k][7] for k in j], kind).T) >= threshold
+            x, y = _unit([a[k][7] for k in i], kind), _unit([b[k][7] for k in j], kind).T
+            for at in range(0, len(i), ROWS):
+                hit[np.ix_(i[at : at + ROWS], j)] = x[at : at + ROWS] @ y >= threshold
         if own:
             np.fill_diagonal(hit, False)
         reps = [r[5] for r in a] + ([] if own else [r[5] for r in b])
@@ -242,12 +278,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, window: in
     rows = rows.withColumn("k", F.when(F.col("usable"), F.md5(e.cast("string"))))
     distinct = materialise(classes(rows), "vectors")
     n = distinct.count()
-    orders = _orders(distinct, passes_for(n, threshold, window, recall), kind)
+    signs = math.floor(signs_for(n, window))
+    sample = distinct.select("rep", "raw").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("raw").toArrow().column("raw").to_pylist()
+    orders = _orders(distinct, *plan(sample, kind, threshold, signs, recall), kind)
     order = ("pass", "dim", "code", "rep")
     ordered = orders.repartitionByRange(*order).sortWithinPartitions(*order)
     found = materialise(_windows(ordered, kind, threshold, window), "windows")
     edges = found.where("border is null").select("a", "b").unionByName(_borders(found, kind, threshold, window))
-    crowded = materialise(_crowded(orders, math.floor(signs_for(n, window)), kind, threshold, window), "crowded_links")
+    crowded = materialise(_crowded(orders, signs, kind, threshold, window), "crowded_links")
     label = components(edges.unionByName(crowded))
     grouped = distinct.join(label, distinct["rep"] == label["node"]).select("component", "rep", "copies", "raw")
     grouped = materialise(grouped, "members")

@@ -312,6 +312,24 @@ def test_vectors_in_a_cone(spark, cone):
     assert all(got[i] <= n for i, n in enumerate(hit.sum(axis=1).tolist()))
 
 
+@pytest.mark.parametrize("mean", [0.0, 0.67])
+def test_vectors_recall(spark, mean):
+    """A thousand pairs at cosine 0.902 among 20,000 vectors that point everywhere, or share a direction."""
+    rng = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    axis = np.eye(64)[0]
+    x = unit(np.sqrt(mean) * axis + np.sqrt(1 - mean) * unit(rng.standard_normal((19_000, 64))))
+    one, side = x[:1000], x[1000:2000]
+    side = unit(side - (side * one).sum(axis=1, keepdims=True) * one)
+    x = np.concatenate([x, 0.902 * one + np.sqrt(1 - 0.902**2) * side])
+    hit = x @ x.T >= vectors.THRESHOLD
+    np.fill_diagonal(hit, False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = np.array([r["n_links"] for r in vectors.near_duplicates(df).orderBy("vec_id").collect()])
+    want = hit.sum(axis=1)
+    assert want.sum() >= 2000 and (got <= want).all() and got.sum() >= vectors.RECALL * want.sum()
+
+
 # 5
 
 
