@@ -10,15 +10,19 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+PIECE = 4096  #: rows made from one array at most
 
 
 def scratch(spark: SparkSession) -> str:
     """The folder that the cluster shares, from ``spark.checkpoint.dir``.
 
-    Where it is unset (tests, one machine) a temporary folder is made and set.
+    Where it is unset and Spark runs on one machine a temporary folder is made and set;
+    on a cluster that raises ValueError, as other machines would not see the folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="skein-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -58,6 +62,13 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def repeated(df: DataFrame, times: str, out: str) -> DataFrame:
+    """Each row ``times`` (a column of 1 or more) times, numbered from 0 in ``out``; in two levels, so that no array is long."""
+    n, block = F.col(times), F.col("_block")
+    blocks = df.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / PIECE))))
+    return blocks.withColumn(out, F.explode(F.sequence(block * PIECE, F.least(n, (block + 1) * PIECE) - 1))).drop("_block")
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only these columns, so that extra ones of a caller can't clash with those made here."""
     return df.select(*(F.col(f"`{n}`") for n in names))

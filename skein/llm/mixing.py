@@ -6,8 +6,10 @@ the sources' quotas through a flow network whose arcs grow dearer with each
 repetition, and Spark selects whole documents by a seeded hash order to meet the
 flow. Only the pattern totals reach the driver, and there is a stated bound on them.
 
+``source`` is a string, or an array of strings where a document belongs to several.
+
 Defined results: a null text has size 0; a null source is a source of its own, sorted
-last; documents of size 0 take 0; repeated rows count each for itself; an empty table
+last, and so is an empty or null array; an array counts as a set; documents of size 0 take 0; repeated rows count each for itself; an empty table
 gives an empty result; ties in the hash order are broken by the id and size.
 """
 
@@ -20,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import WORD, id_hash, materialise, pick
+from skein.llm.common import WORD, id_hash, materialise, pick, repeated
 
 SEED = "mix-1"
 MAX_REPEATS = 3
@@ -39,9 +41,18 @@ def source_order(names: list[str | None]) -> list[str | None]:
     return sorted(names, key=lambda n: (n is None, n or ""))
 
 
-def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (1, 2, 3), most: int = MAX_REPEATS) -> dict[str | None, float]:
+def pattern_of(docs: DataFrame, column: str = "source") -> Column:
+    """The sources of a document as a sorted array of different ones."""
+    c = F.col(f"`{column}`")
+    if not isinstance(docs.schema[column].dataType, T.ArrayType):
+        return F.array(c.cast("string"))
+    return F.when(F.size(c) > 0, F.array_sort(F.array_distinct(c.cast("array<string>")))).otherwise(F.array(F.lit(None).cast("string")))
+
+
+def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (1, 2, 3), most: int = MAX_REPEATS, total: int | None = None) -> dict[str | None, float]:
     """Token target of each source: its weight's share of all tokens, at most ``most`` times its size.
 
+    ``total`` is all tokens, each once, where sources overlap; else the sum of the sizes.
     What a source can't take is shared again by weight among the others, until none is above its bound.
     """
     names = source_order(list(sizes))
@@ -49,9 +60,9 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (1, 2, 3)
     out: dict[str | None, float] = {}
     free = list(names)
     while free:
-        rest = float(sum(sizes.values())) - sum(out.values())
-        total = sum(weight[n] for n in free)
-        share = {n: rest * weight[n] / total for n in free}
+        rest = float(sum(sizes.values()) if total is None else total) - sum(out.values())
+        weights_left = sum(weight[n] for n in free)
+        share = {n: rest * weight[n] / weights_left for n in free}
         over = [n for n in free if share[n] > most * sizes[n]]
         if not over:
             return out | share
@@ -110,30 +121,29 @@ def route(patterns: list[tuple[tuple, int]], quotas: dict, most: int = MAX_REPEA
     return [sum(room[a] for a in out[2 + i] if to[a] == 0) for i in range(len(patterns))]
 
 
-def multiplicities(rows: DataFrame, key: str = "pattern", *, flow: dict, seed: str = SEED, hex_digits: int = 3) -> DataFrame:
-    """How often each document is taken: ``rows`` (doc_id, size, ``key`` array<string>, copies) with ``times``.
+def multiplicities(rows: DataFrame, key: str = "pattern", *, flow: dict, hex_digits: int = 3) -> DataFrame:
+    """How often each document is taken: ``rows`` (h, doc_id, size, ``key`` array<string>, copies, ...) with ``base``, and ``extra`` copies once more.
 
     ``flow`` has for each pattern the tokens to take. All documents of a pattern are
     taken floor(flow / size) times; the rest goes to those that come first in the
-    seeded hash order. Running sums take two passes, over hash prefixes and within
-    one, so that a pattern with a third of the rows isn't ordered by one task. The
-    document at the border is taken if at least half of it fits. Equal rows, which
-    came as one with ``copies``, are dealt out again.
+    order of ``h``, a seeded hash of id and text. Running sums take two passes, over hash prefixes and
+    within one, so that a pattern with a third of the rows isn't ordered by one task.
+    The document at the border is taken if at least half of it fits.
     """
     spark = rows.sparkSession
+    order = [c for c in rows.columns if c not in (key, "copies")]
     plan = spark.createDataFrame([(list(k), int(v[0]), int(v[1])) for k, v in flow.items()], T.StructType([T.StructField(key, T.ArrayType(T.StringType())), T.StructField("_flow", T.LongType()), T.StructField("_all", T.LongType())]))
     # bounded by MAX_PATTERNS, which was checked before the totals were gathered
-    rows = rows.join(F.broadcast(plan), key).withColumn("_h", id_hash(F.lit(seed), F.col("doc_id"))).withColumn("_p", F.substring("_h", 1, hex_digits))
+    rows = rows.join(F.broadcast(plan), key).withColumn("_p", F.substring("h", 1, hex_digits))
     base = F.when(F.col("_all") > 0, F.floor(F.col("_flow") / F.col("_all"))).otherwise(F.lit(0)).cast("long")
-    rows = rows.withColumn("_base", base).withColumn("_rest", F.col("_flow") - F.col("_base") * F.col("_all"))
+    rows = rows.withColumn("base", base).withColumn("_rest", F.col("_flow") - F.col("base") * F.col("_all"))
     sums = rows.groupBy(key, "_p").agg(F.sum(F.col("size") * F.col("copies")).alias("_n"))
     before = F.sum("_n").over(W.partitionBy(key).orderBy("_p").rowsBetween(W.unboundedPreceding, -1))
     starts = sums.select(key, "_p", F.coalesce(before, F.lit(0)).alias("_start"))
-    inside = F.sum(F.col("size") * F.col("copies")).over(W.partitionBy(key, "_p").orderBy("_h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1))
+    inside = F.sum(F.col("size") * F.col("copies")).over(W.partitionBy(key, "_p").orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
     rows = rows.join(starts, [key, "_p"]).withColumn("_at", F.col("_start") + F.coalesce(inside, F.lit(0)))
     extra = F.when(F.col("size") > 0, F.greatest(F.lit(0), F.least(F.col("copies"), F.floor((F.col("_rest") - F.col("_at")) / F.col("size") + F.lit(0.5)))))
-    rows = rows.withColumn("_extra", F.coalesce(extra, F.lit(0)).cast("long")).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return rows.withColumn("times", F.col("_base") + F.when(F.col("_copy") <= F.col("_extra"), 1).otherwise(0))
+    return rows.withColumn("extra", F.coalesce(extra, F.lit(0)).cast("long"))
 
 
 def solve(rows: DataFrame, key: str, *, weights=(1, 2, 3), most: int = MAX_REPEATS, bound: int = MAX_PATTERNS) -> tuple[dict, dict, dict]:
@@ -149,33 +159,48 @@ def solve(rows: DataFrame, key: str, *, weights=(1, 2, 3), most: int = MAX_REPEA
     for members, n in found:
         for m in members:
             size[m] = size.get(m, 0) + n
-    goal = targets(size, weights, most)
+    goal = targets(size, weights, most, sum(n for _, n in found))
     given = route(found, {m: int(g + 0.5) for m, g in goal.items()}, most)
     return size, goal, {p: (f, n) for (p, n), f in zip(found, given, strict=True)}
 
 
+def _order(seed: str, doc_id: str, text: str) -> Column:
+    return id_hash(F.lit(seed), F.col(doc_id).cast("long"), F.md5(F.coalesce(F.col(text), F.lit("")))).alias("h")
+
+
 def mix_manifest(docs: DataFrame, *, seed: str = SEED, weights=(1, 2, 3)) -> DataFrame:
-    """One row per document: its size, its source's size and target, and the words the mix takes of it."""
-    slim = pick(docs, "doc_id", "source", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.array(F.col("source").cast("string")).alias("pattern"), word_count(F.col("text")).alias("size"))
-    rows = materialise(slim.groupBy("doc_id", "pattern", "size").agg(F.count(F.lit(1)).alias("copies")), "mix")
+    """One row per document: its size, its source's size and target (sums over its sources), and the words the mix takes of it."""
+    slim = pick(docs, "doc_id", "source", "text").select(_order(seed, "doc_id", "text"), F.col("doc_id").cast("long").alias("doc_id"), pattern_of(docs).alias("pattern"), word_count(F.col("text")).alias("size"))
+    rows = materialise(slim.groupBy("h", "doc_id", "size", "pattern").agg(F.count(F.lit(1)).alias("copies")), "mix")
     size, goal, flow = solve(rows, "pattern", weights=weights)
-    taken = multiplicities(rows, flow=flow, seed=seed)
-    facts = rows.sparkSession.createDataFrame([([m], int(n), float(goal[m])) for m, n in size.items()], "pattern array<string>, source_size long, target double")
-    return taken.join(F.broadcast(facts), "pattern").select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
+    taken = repeated(multiplicities(rows, flow=flow), "copies", "_copy")
+    times = F.col("base") + F.when(F.col("_copy") < F.col("extra"), 1).otherwise(0)
+    facts = rows.sparkSession.createDataFrame([(list(p), sum(size[m] for m in p), float(sum(goal[m] for m in p))) for p in flow], "pattern array<string>, source_size long, target double")
+    return taken.join(F.broadcast(facts), "pattern").select("doc_id", "size", "source_size", "target", (times * F.col("size")).alias("taken"))
+
+
+def _hashable(docs: DataFrame, column: str) -> Column:
+    """The column, or its JSON where it holds maps, which have no hash in Spark."""
+    c, kind = F.col(f"`{column}`"), docs.schema[column].dataType
+    return F.to_json(F.struct(c)) if "map<" in kind.simpleString() else c
 
 
 def mix_documents(docs: DataFrame, *, seed: str = SEED, weights=(1, 2, 3)) -> DataFrame:
     """The mixed corpus: ``docs`` with every document as often as the mix takes it, same columns.
 
-    Rows alike in all columns are decided on together; one of them stands for all.
+    Rows alike in all columns are decided on together; one of them stands for all. Two
+    64-bit hashes with different seeds tell rows apart.
     """
     # the caller's columns travel as one, so that none of them can clash with those made here
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    slim = rows.select(F.col("doc.doc_id").cast("long").alias("doc_id"), F.array(F.col("doc.source").cast("string")).alias("pattern"), word_count(F.col("doc.text")).alias("size"), "row")
-    slim = materialise(slim.groupBy("doc_id", "pattern", "size", "row").agg(F.count(F.lit(1)).alias("copies")), "mix")
+    cells = [_hashable(docs, c) for c in docs.columns]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.xxhash64(*cells).alias("row"), F.xxhash64(F.lit(seed), *cells).alias("row2"), pattern_of(docs).alias("pattern"))
+    slim = rows.select(_order(seed, "doc.doc_id", "doc.text"), F.col("doc.doc_id").cast("long").alias("doc_id"), "pattern", word_count(F.col("doc.text")).alias("size"), "row", "row2")
+    slim = materialise(slim.groupBy("h", "doc_id", "size", "pattern", "row", "row2").agg(F.count(F.lit(1)).alias("copies")), "mix")
     _, _, flow = solve(slim, "pattern", weights=weights)
-    times = multiplicities(slim, flow=flow, seed=seed).groupBy(F.col("row").alias("_r"), "copies").agg(F.sum("times").cast("int").alias("times"))
-    times = materialise(times.where("times > 0"), "times")
-    chosen = rows.join(times.hint("merge"), rows["row"] == times["_r"])  # as many rows as documents: never a broadcast
-    once = chosen.where("copies = 1").unionByName(chosen.where("copies > 1").dropDuplicates(["row"]))
-    return once.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*(F.col(f"doc.`{c}`").alias(c) for c in docs.columns))
+    taken = multiplicities(slim, flow=flow)
+    taken = taken.select(F.col("row").alias("_r"), F.col("row2").alias("_r2"), "copies", (F.col("base") * F.col("copies") + F.col("extra")).alias("times"))
+    taken = materialise(taken.where("times > 0"), "times")
+    # as many rows as documents: never a broadcast
+    chosen = rows.drop("pattern").join(taken.hint("merge"), (rows["row"] == taken["_r"]) & (rows["row2"] == taken["_r2"]))
+    once = chosen.where("copies = 1").unionByName(chosen.where("copies > 1").dropDuplicates(["row", "row2"]))
+    return repeated(once, "times", "_k").select(*(F.col(f"doc.`{c}`").alias(c) for c in docs.columns))

@@ -18,7 +18,7 @@ UNION ALL SELECT doc_id, n, k, pos, floor((pos + 1) * (2147483648.0::DOUBLE / ((
 s AS (SELECT doc_id, max(b) FILTER (n = 40) AS shard, max(b) FILTER (n = 41) AS grown_shard FROM j WHERE pos >= n GROUP BY 1)"""
 
 SHARDS = f"""WITH RECURSIVE {CRC32}, {JUMP}
-SELECT doc_id, (bytes + 16)::BIGINT AS size, crc AS text_crc32, 'key' AS law, shard::INT AS shard, (row_number() OVER (PARTITION BY shard ORDER BY md5(doc_id::VARCHAR), doc_id) - 1)::BIGINT AS slot, grown_shard::INT AS grown_shard FROM c JOIN s USING (doc_id)"""
+SELECT doc_id, (bytes + 16)::BIGINT AS size, crc AS text_crc32, 'key' AS law, shard::INT AS shard, (row_number() OVER (PARTITION BY shard ORDER BY md5(doc_id || ':' || (bytes + 16) || ':' || crc), doc_id) - 1)::BIGINT AS slot, grown_shard::INT AS grown_shard FROM c JOIN s USING (doc_id)"""
 
 VECTORS = """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a, v b WHERE a.vec_id <> b.vec_id AND list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e)) / sqrt(list_inner_product(b.e, b.e)) >= 0.9),
@@ -29,14 +29,14 @@ ARCHIVES = """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256
 f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY d) ELSE page_id END AS first FROM p)
 SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f"""
 
-MIX = f"""WITH RECURSIVE d AS (SELECT doc_id, source, len({WORDS}) AS size FROM documents),
+MIX = f"""WITH RECURSIVE d AS (SELECT doc_id, source, md5(coalesce(text, '')) AS h, len({WORDS}) AS size FROM documents),
 z AS (SELECT source, sum(size)::BIGINT AS total, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w, count(*) OVER () AS n FROM d GROUP BY 1),
 r AS (SELECT 0 AS i, source, total, w, n, false AS fixed, NULL::DOUBLE AS target FROM z
 UNION ALL SELECT i + 1, source, total, w, n, fixed OR share > 3 * total, CASE WHEN fixed THEN target WHEN share > 3 * total THEN (3 * total)::DOUBLE ELSE share END
 FROM (SELECT *, (sum(total) OVER () - coalesce(sum(CASE WHEN fixed THEN target END) OVER (), 0)) * w / sum(CASE WHEN NOT fixed THEN w END) OVER () AS share FROM r) WHERE i <= n),
 g AS (SELECT source, total, target, floor(target + 0.5)::BIGINT AS flow FROM r WHERE i = n + 1),
 o AS (SELECT d.doc_id, d.size, g.total, g.target, CASE WHEN g.total > 0 THEN g.flow // g.total ELSE 0 END AS base, CASE WHEN g.total > 0 THEN g.flow % g.total ELSE 0 END AS rest,
-  sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('mix-1:' || d.doc_id), d.doc_id) - d.size AS pos FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+  sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('mix-1:' || d.doc_id || ':' || d.h), d.doc_id) - d.size AS pos FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size::BIGINT AS size, total AS source_size, target, (size * (base + CASE WHEN size > 0 THEN greatest(0, least(1, floor((rest - pos) / size + 0.5))) ELSE 0 END))::BIGINT AS taken FROM o"""
 
 JACCARD = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skein.llm.common import id_hash, pick
+from skein.llm.common import id_hash, pick, repeated
 
 SHARDS = 40
 HEADER_BYTES = 16
@@ -69,8 +69,9 @@ def shard_manifest(docs: DataFrame, shards: int = SHARDS, hex_digits: int = 3) -
     Places are gapless from 0 in each shard, in the order of a hash of the row. They
     come from two passes: counts by shard and hash prefix (at most ``shards`` x
     16^hex_digits rows), running sums over these, then places within a prefix, so
-    that no task orders a whole shard. Equal rows are counted once and dealt out
-    again at the end, so that a much repeated row isn't ordered by one task either.
+    that no task orders a whole shard. The hash is of the whole row, as many rows may
+    lack an id. Equal rows are counted once and dealt out again at the end, so that a
+    much repeated row isn't ordered by one task either.
     """
     payload = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     rows = pick(docs, "doc_id", "text").select(
@@ -80,7 +81,7 @@ def shard_manifest(docs: DataFrame, shards: int = SHARDS, hex_digits: int = 3) -
     )
     rows = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("copies"))
     rows = assign_shards(assign_shards(rows, "doc_id", shards), "doc_id", shards + 1, "grown_shard")
-    rows = rows.withColumn("_h", id_hash(F.col("doc_id"))).withColumn("_p", F.substring("_h", 1, hex_digits))
+    rows = rows.withColumn("_h", id_hash(F.col("doc_id"), F.col("size"), F.col("text_crc32"))).withColumn("_p", F.substring("_h", 1, hex_digits))
     totals = rows.groupBy("shard", "_p").agg(F.sum("copies").alias("_n"))
     before = F.sum("_n").over(W.partitionBy("shard").orderBy("_p").rowsBetween(W.unboundedPreceding, -1))
     starts = totals.select("shard", "_p", F.coalesce(before, F.lit(0)).alias("_base"))
@@ -88,5 +89,4 @@ def shard_manifest(docs: DataFrame, shards: int = SHARDS, hex_digits: int = 3) -
     placed = rows.withColumn("_in", F.coalesce(inside, F.lit(0)))
     # the totals are bounded by shards x prefixes, whatever the input
     placed = placed.join(F.broadcast(starts), ["shard", "_p"])
-    first = F.col("_base") + F.col("_in")
-    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.explode(F.sequence(first, first + F.col("copies") - 1)).alias("slot"), "grown_shard")
+    return repeated(placed, "copies", "_copy").select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_base") + F.col("_in") + F.col("_copy")).alias("slot"), "grown_shard")

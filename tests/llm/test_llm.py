@@ -420,6 +420,52 @@ def test_mixing(spark, docs, empty):
         mixing.solve(spark.createDataFrame([(["a"], 1, 1), (["b"], 1, 1)], "p array<string>, size long, copies long"), "p", bound=1)
 
 
+def test_flow_against_brute_force():
+    """Of all token counts that overlapping sources can take, the most tokens at the least cost of repetition."""
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        names = ["a", "b", "c"]
+        patterns = [(tuple(n for n in names if rng.random() < 0.6) or ("a",), int(rng.integers(0, 4))) for _ in range(3)]
+        quotas = {n: int(rng.integers(0, 7)) for n in names}
+        subsets = [s for k in (1, 2, 3) for s in itertools.combinations(range(3), k)]
+        best = None
+        for f in itertools.product(*(range(3 * n + 1) for _, n in patterns)):
+            if all(sum(f[i] for i in s) <= sum(quotas[m] for m in {m for i in s for m in patterns[i][0]}) for s in subsets):
+                cost = sum(max(0, x - n) + 2 * max(0, x - 2 * n) for x, (_, n) in zip(f, patterns, strict=True))
+                best = min(best or (1, 0), (-sum(f), cost))
+        got = mixing.route(patterns, quotas)
+        assert (-sum(got), sum(max(0, x - n) + 2 * max(0, x - 2 * n) for x, (_, n) in zip(got, patterns, strict=True))) == best
+
+
+def test_mixing_overlapping_sources(spark):
+    rows = [(i, " ".join(["w"] * 5), [["a"], ["b"], ["a", "b"], ["b", "a", "b"], None, []][i % 6]) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source array<string>").withColumn("m", F.create_map(F.lit("k"), F.col("doc_id")))
+    got = mixing.mix_manifest(df).collect()
+    assert len(got) == 600
+    taken = collections.Counter()
+    for r in got:
+        taken[tuple(sorted(set(rows[r["doc_id"]][2] or [None]), key=str))] += r["taken"]
+    # all 3,000 words; a (1,500), b (1,500) and no source (1,000) weigh 1, 2, 3: 500, 1,000, 1,500; shared words serve before any is repeated
+    assert taken[(None,)] == pytest.approx(1500, abs=5) and sum(taken.values()) == pytest.approx(3000, abs=15)
+    assert taken[("a",)] <= 500 and taken[("b",)] <= 500 and taken[("a", "b")] <= 1000
+    mixed = mixing.mix_documents(df)
+    assert mixed.columns == df.columns and abs(5 * mixed.count() - sum(taken.values())) <= 15
+    assert {(r["m"]["k"], r["doc_id"]) for r in mixed.collect()} <= {(i, i) for i in range(600)}
+
+
+def test_many_copies_and_lost_ids(spark):
+    """A row repeated 10,000 times, and different texts without an id."""
+    df = spark.range(10_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source"))
+    df = df.unionByName(spark.range(500).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("t "), F.col("id").cast("string")).alias("text"), F.lit("t").alias("source")))
+    shards = sharding.shard_manifest(df)
+    assert shards.count() == 10_500 and shards.groupBy("shard", "slot").count().where("count > 1").count() == 0
+    assert shards.where("doc_id is null").agg(F.max("slot") - F.min("slot")).collect()[0][0] >= 499
+    assert mixing.mix_manifest(df).count() == 10_500
+    sizes = {r["source"]: r["n"] for r in mixing.mix_documents(df).groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()}
+    goal = mixing.targets({"s": 30_000, "t": 1_000})
+    assert all(abs(sizes[s] - goal[s]) <= 3 for s in goal)
+
+
 # 8
 
 
