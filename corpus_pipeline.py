@@ -1,7 +1,13 @@
 """The corpus pipeline: quality, near duplicates, personal data, mixing, packing.
 
 Each stage is one operator, gets what its predecessor kept as a table, and returns
-documents, but for the last, which returns the packed pieces.
+documents, but for the last, which returns the packed pieces. Reruns give equal rows.
+
+Defined results, by stage: a null text has no words and goes at the first; documents
+without words, or without an id, are duplicates of nothing; a null text stays null where
+personal data is replaced; a null source is a source of its own; a null text that
+reaches the last stage has its end token only. Further columns, whatever their names,
+go along up to the last stage; empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -14,6 +20,7 @@ from skein.llm.common import materialise
 
 #: Near duplicates: words in an n-gram, similarity in per cent.
 WORDS, PERCENT = 5, 80
+ORDER = "pack-1"  #: seed of the order in which documents are packed
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +39,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = docs.alias("d")
     # as many rows as documents stay: never a broadcast
     rows = rows.join(keep.hint("merge"), F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id")), "left_semi")
-    # an id that is repeated stands once; a null id names no document
+    # an id that is repeated stands once, with the text of the least hash; a null id names no document
     often = materialise(docs.groupBy(docs["doc_id"].cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null"), "repeated").alias("o")
     same = F.col("d.doc_id").cast("long") == F.col("o.doc_id")
-    return rows.join(often, same, "left_anti").unionByName(rows.join(often, same, "left_semi").dropDuplicates(["doc_id"]))
+    cells = F.struct(*(F.col(f"d.`{c}`") for c in docs.columns))
+    first = F.min_by(cells, F.struct(F.sha2(F.col("d.text"), 256), F.to_json(cells)))
+    one = rows.join(often, same, "left_semi").groupBy(F.col("d.doc_id").cast("long").alias("i")).agg(first.alias("d"))
+    return rows.join(often, same, "left_anti").unionByName(one.select(*(F.col(f"d.`{c}`").alias(c) for c in docs.columns)))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +60,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
-    return packing.pack(docs)
+    """The pieces of the packed sequences.
+
+    The documents are packed in a seeded random order, the same on every run: sequences
+    mix sources, and neither files nor partitions decide what lies next to what.
+    """
+    rows = docs.select("doc_id", "text").withColumn("_h", F.xxhash64(F.lit(ORDER), "doc_id", "text"))
+    order = ("_h", "doc_id", "text")
+    return packing.pack(rows.repartitionByRange("_h", "doc_id").sortWithinPartitions(*order))
 
 
 STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mix_sources", mix_sources), ("pack", pack)]
