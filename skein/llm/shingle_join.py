@@ -8,7 +8,9 @@ prefix holds too. Then:
 
 1. Documents that share one of their ``LOWEST`` n-grams with the lowest hashes, which
    similar documents mostly do, form clusters; the whole rows of a cluster are
-   multiplied in blocks, which settles the pairs inside it.
+   multiplied in blocks, which settles the pairs inside it. In a cluster of more than
+   one block all members are compared with one of them first; those linked with it are
+   in one component anyhow, so that only the others are compared with all.
 2. The prefix columns are multiplied for all other pairs, as a self-join by column that
    sums the overlap counts; pairs already in one component or cluster, and pairs whose
    sizes differ too much, are left out. Pairs go whose count plus the most that can lie
@@ -165,11 +167,59 @@ def _linked(a: list[np.ndarray], b: list[np.ndarray] | None, percent: int) -> np
     return hit
 
 
-def cluster_links(docs: DataFrame, reps: DataFrame, clusters: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) inside clusters. ``clusters`` has c, rep, members, total (n-grams); blocks of a large one are dealt in pairs."""
-    blocks = F.ceil(F.greatest(F.col("members") / F.lit(BLOCK), F.col("total") / F.lit(BLOCK_SHINGLES))).cast("int")
-    rows = _texts(docs, clusters.join(reps.select("rep", "copies"), "rep"))
-    rows = rows.withColumn("_b", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+def _overlap(a: np.ndarray, b: np.ndarray) -> int:
+    return int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum()) if len(a) else 0
+
+
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = _overlap(a, b)
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _blocks(members: str, total: str):
+    return F.ceil(F.greatest(F.col(members) / F.lit(BLOCK), F.col(total) / F.lit(BLOCK_SHINGLES))).cast("int")
+
+
+def near_pivots(docs: DataFrame, reps: DataFrame, clusters: DataFrame, k: int, percent: int) -> DataFrame:
+    """c, rep, n, pivot: the members of large clusters that are linked with the cluster's smallest document.
+
+    A task gets some members behind the pivot and holds two sets at a time.
+    """
+    large = clusters.where(_blocks("members", "total") > 1).withColumn("blocks", _blocks("members", "total"))
+    pivots = large.groupBy("c", "blocks").agg(F.min("rep").alias("rep")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    wanted = large.select("c", "rep", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("x"), F.lit(1).alias("place")).unionByName(pivots.select("c", "rep", "x", F.lit(0).alias("place")))
+    rows = _texts(docs, wanted.join(reps.select("rep", "copies"), "rep")).select("c", "x", "place", "rep", "text")
+
+    def run(batches):
+        at, pivot, mine = None, None, None
+        for batch in batches:
+            out = []
+            for c, x, place, rep, text in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+                s = shingles(text, k)
+                if place == 0:
+                    at, pivot, mine = (c, x), rep, s
+                elif at == (c, x) and _similar(mine, s, percent):
+                    out.append((c, rep, len(s), pivot))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], names=["c", "rep", "n", "pivot"])
+
+    return rows.repartition("c", "x").sortWithinPartitions("c", "x", "place").mapInArrow(run, "c long, rep long, n long, pivot long")
+
+
+def cluster_links(docs: DataFrame, reps: DataFrame, clusters: DataFrame, near: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) inside clusters that hold all their components together.
+
+    ``clusters`` has c, rep, members, total (n-grams), ``near`` is a table of ``near_pivots``.
+    Blocks of a large cluster are dealt in pairs, but for pairs of blocks of near members.
+    """
+    sums = near.groupBy("c").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("t"))
+    flagged = clusters.join(sums, "c", "left").join(near.select("c", "rep", F.lit(True).alias("near")), ["c", "rep"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    flagged = flagged.select("c", "rep", F.coalesce("near", F.lit(False)).alias("near"), zero("m").alias("m"), zero("t").alias("t"), (F.col("members") - zero("m")).alias("fm"), (F.col("total") - zero("t")).alias("ft"))
+    # far members are in the first blocks; the pivot is linked with itself, so that none may be far
+    flagged = flagged.withColumn("_f", _blocks("fm", "ft")).withColumn("_n", _blocks("m", "t")).where("not near or _f > 0")
+    own = F.when(F.col("near"), F.col("_f") + F.pmod(F.xxhash64("rep"), F.greatest("_n", F.lit(1)))).otherwise(F.pmod(F.xxhash64("rep"), F.greatest("_f", F.lit(1)))).cast("int")
+    others = F.sequence(F.lit(0), F.when(F.col("near"), F.col("_f") - 1).otherwise(F.col("_f") + F.col("_n") - 1))
+    rows = _texts(docs, flagged.select("c", "rep", own.alias("_b"), others.alias("_os")).join(reps.select("rep", "copies"), "rep")).withColumn("_o", F.explode("_os"))
     rows = rows.select("c", F.least("_b", "_o").alias("x"), F.greatest("_b", "_o").alias("y"), (F.col("_b") <= F.col("_o")).alias("first"), (F.col("_b") == F.col("_o")).alias("own"), "rep", "text")
 
     def flush(group):
@@ -227,7 +277,7 @@ def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, percent
             for a, b, ta, tb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if last[0] != a:
                     last = (a, shingles(ta, k))
-                if _linked([last[1]], [shingles(tb, k)], percent)[0, 0]:
+                if _similar(last[1], shingles(tb, k), percent):
                     out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
@@ -243,7 +293,9 @@ def groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     firsts = reps.select("rep", "n", F.explode("lowest").alias("s"))
     sized = materialise(firsts.groupBy("s").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total")).where("members > 1"), "sized")
     mine = materialise(firsts.join(sized, "s").select(F.col("s").alias("c"), "rep", "members", "total"), "clusters")
-    edges = materialise(cluster_links(docs, reps, mine, k, percent), "cluster-links")
+    near = materialise(near_pivots(docs, reps, mine, k, percent), "near")
+    edges = cluster_links(docs, reps, mine, near, k, percent).unionByName(near.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
+    edges = materialise(edges, "cluster-links")
     label = components(edges)
     inside = mine.groupBy(F.col("rep").alias("_r")).agg(F.collect_list("c").alias("clusters"))  # at most LOWEST a document
     known = reps.select("rep", "n", "prefix").join(label, F.col("rep") == F.col("node"), "left").join(inside, F.col("rep") == F.col("_r"), "left")

@@ -623,10 +623,15 @@ def test_jaccard_of_nothing(spark, empty):
 
 
 def test_large_clusters_are_dealt_in_blocks(spark, monkeypatch):
+    """Members near the pivot, far from it, and linked through others only."""
     monkeypatch.setattr(shingle_join, "BLOCK", 3)
     rows = [(i, PROSE + (f" tail{i}" if i % 2 else "")) for i in range(20)]
+    words = [f"v{i}" for i in range(200)]
+    for i in range(24):  # each is like the next, the ends are not alike
+        rows.append((100 + i, " ".join(words[:20] + words[20 + 2 * i : 90 + 2 * i])))
     got = {r["doc_id"]: r["component_id"] for r in shingle_join.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {d: g for d, (_, g) in slow_groups(rows, 3, 90).items()}
+    assert len({got[100 + i] for i in range(24)}) == 1
 
 
 # 10
