@@ -1,21 +1,29 @@
 """Retrieval: BM25 over postings, exact vector search, fusion, grouping, budgets.
 
-Keyword search joins query terms with postings; nothing scores documents that hold no
-term. Vector search keeps k rows a task before it merges them. Queries are tables, so
+Keyword search joins query terms with postings, of documents at hand or of a written
+index; nothing scores documents that hold no term. Vector search multiplies blocks of
+vectors and keeps k rows of each query and block before it merges them. Queries are tables, so
 that many are answered at once; a query table is broadcast only by Spark's own size
 check.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from skein.functions import text as X
 from skein.functions import vectors as V
 
 K1, B = 1.5, 0.75
+BUCKETS = 64  #: folders of a written index
+BLOCK = 2048  #: vectors multiplied with as many queries at once
 THRESHOLD = 0.5
 SEMANTIC_WEIGHT, KEYWORD_WEIGHT = 0.7, 0.3
 
@@ -36,32 +44,162 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(X.terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", k1: float = K1, b: float = B) -> DataFrame:
-    """K3, J5. query_id, key, score for all documents that hold a query's term."""
+def bucket_of(term: Column) -> Column:
+    """The folder of an index that holds a term's postings."""
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def write_index(docs: DataFrame, path: str, key: str = "doc_id") -> None:
+    """D6. Writes the postings and the corpus's size below a path, for ``read_index``.
+
+    Postings lie in folders by a hash of the term, of which a search reads those of its
+    terms; a term that very many documents hold is spread over files by its documents.
+    """
+    rows = postings(docs, key).withColumn("bucket", bucket_of(F.col("term")))
+    rows.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(4))).write.partitionBy("bucket").parquet(f"{path}/postings")
+    corpus_size(docs).write.parquet(f"{path}/size")
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The postings and the corpus's size that ``write_index`` wrote."""
+    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/size")
+
+
+def bm25_of(postings: DataFrame, size: DataFrame, queries: DataFrame, key: str = "doc_id", k1: float = K1, b: float = B) -> DataFrame:
+    """K3, J5. query_id, key, score for all documents that hold a query's term, from postings and the corpus's size."""
     wanted = query_terms(queries)
-    # only the postings of asked terms are kept, before any shuffle of them
-    asked = X.terms(F.col("text"))
-    rows = docs.select(F.col(key), asked.alias("_t")).withColumn("dl", F.size("_t"))
-    hits = rows.select(key, "dl", F.explode("_t").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
-    hits = hits.groupBy(key, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    on = ["term"]
+    if "bucket" in postings.columns:  # a written index
+        wanted, on = wanted.withColumn("bucket", bucket_of(F.col("term"))), ["bucket", "term"]
+    hits = postings.join(wanted.select(*on).distinct(), on, "left_semi")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     part = F.col("qf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
-    scored = hits.join(df, "term").join(wanted, "term").crossJoin(F.broadcast(corpus_size(docs)))  # one row
+    scored = hits.join(df, "term").join(wanted.select("query_id", "term", "qf"), "term").crossJoin(F.broadcast(size))  # one row
     return scored.groupBy("query_id", key).agg(F.sum(part).alias("score")).where("score > 0")
 
 
+def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", k1: float = K1, b: float = B) -> DataFrame:
+    """K3 over documents at hand: only the postings of asked terms are kept, before any shuffle of them."""
+    rows = docs.select(F.col(key), X.terms(F.col("text")).alias("_t")).withColumn("dl", F.size("_t"))
+    hits = rows.select(key, "dl", F.explode("_t").alias("term")).join(query_terms(queries).select("term").distinct(), "term", "left_semi")
+    return bm25_of(hits.groupBy(key, "term", "dl").agg(F.count(F.lit(1)).alias("tf")), corpus_size(docs), queries, key, k1, b)
+
+
 def best(scored: DataFrame, n: int, key: str = "doc_id", by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """The n best of each query, ties by key, with their rank."""
     order = W.partitionBy(*by).orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
+def _unit_blocks(rows: DataFrame, names: str, kind) -> DataFrame:
+    """Blocks of usable vectors as (``names`` array of keys, raw): rows are (key, array of double); no shuffle."""
+    ids = pa.list_(to_arrow_type(kind))
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                piece = batch.slice(at, BLOCK)
+                found = [(k, v) for k, v in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True) if v and None not in v]
+                by_size: dict[int, list] = {}
+                for k, v in found:
+                    by_size.setdefault(len(v), []).append((k, v))
+                for same in by_size.values():
+                    x = np.array([v for _, v in same], float)
+                    norm = np.linalg.norm(x, axis=1)
+                    good = np.flatnonzero(norm > 0)
+                    x = x[good] / norm[good][:, None]
+                    yield pa.RecordBatch.from_arrays([pa.array([[same[i][0] for i in good]], ids), pa.array([x.tobytes()], pa.binary())], names=[names, "raw"])
+
+    return rows.mapInArrow(run, f"{names} array<{kind.simpleString()}>, raw binary")
+
+
+def block_scores(vectors: DataFrame, queries: DataFrame, chosen: Callable[[np.ndarray], np.ndarray], key: str = "vec_id") -> DataFrame:
+    """K1, K2. query_id, key, score of the vectors that ``chosen`` picks for a query in each block, in double precision.
+
+    ``chosen`` maps a block of scores (query by vector) to a mask. Zero and null vectors,
+    and those of other lengths than a query's, give nothing. Scores are rounded to twelve
+    digits, so that equal vectors tie wherever they stand in a block.
+    """
+    base = vectors.select(key, F.col("embedding").cast("array<double>").alias("v"))
+    asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("v"))
+    kinds = asked.schema["query_id"].dataType, base.schema[key].dataType
+    q, v = _unit_blocks(asked, "qs", kinds[0]), _unit_blocks(base, "vs", kinds[1])
+    arrow = [to_arrow_type(k) for k in kinds]
+
+    def run(batches):
+        for batch in batches:
+            for qs, qraw, vs, vraw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if qs and vs and len(qraw) * len(vs) == len(vraw) * len(qs):
+                    x, y = np.frombuffer(qraw).reshape(len(qs), -1), np.frombuffer(vraw).reshape(len(vs), -1)
+                    scores = np.round(x @ y.T, 12)
+                    i, j = np.nonzero(chosen(scores))
+                    yield pa.RecordBatch.from_arrays([pa.array([qs[k] for k in i], arrow[0]), pa.array([vs[k] for k in j], arrow[1]), pa.array(scores[i, j])], names=["query_id", key, "score"])
+
+    # a stated set of queries against all vectors, block by block
+    pairs = q.withColumnRenamed("raw", "qraw").crossJoin(v)
+    return pairs.mapInArrow(run, f"query_id {kinds[0].simpleString()}, {key} {kinds[1].simpleString()}, score double")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, n: int, key: str = "vec_id") -> DataFrame:
+    """K1, K2. The n best vectors of each query by cosine, ties by key, with their rank."""
+
+    def chosen(scores: np.ndarray) -> np.ndarray:
+        if scores.shape[1] <= n:
+            return np.ones(scores.shape, bool)
+        return scores >= np.partition(scores, -n, axis=1)[:, -n][:, None]
+
+    return best(block_scores(vectors, queries, chosen, key), n, key)
+
+
+def above(vectors: DataFrame, queries: DataFrame, threshold: float, key: str = "vec_id") -> DataFrame:
+    """P5. All vectors whose cosine with a query is above the threshold."""
+    return block_scores(vectors, queries, lambda scores: scores > threshold, key)
+
+
 def cosine_scores(vectors: DataFrame, queries: DataFrame, key: str = "vec_id") -> DataFrame:
-    """K1, K2. query_id, key, score of every vector against a stated set of queries, in double precision."""
-    base = vectors.select(key, V.unit(F.col("embedding")).alias("_v")).where("_v is not null")
-    asked = queries.select("query_id", V.unit(F.col("embedding")).alias("_q")).where("_q is not null")
-    return base.crossJoin(asked).select("query_id", key, V.dot(F.col("_v"), F.col("_q")).alias("score"))
+    """K1, K2. The cosine of every vector with each of a stated set of queries."""
+    return above(vectors, queries, -2.0, key)
+
+
+def similar_pairs(vectors: DataFrame, by: str, threshold: float, key: str = "vec_id", block: int = BLOCK) -> DataFrame:
+    """J12. a, b, score: the pairs of one group whose dot product is above the threshold, a before b.
+
+    Groups are cut into blocks by a hash of the key, and a task gets two blocks at a time;
+    only pairs above the threshold leave it. Null keys, groups and vectors pair with nothing.
+    """
+    rows = vectors.select(F.col(by).alias("g"), F.col(key).alias("k"), F.col("embedding").cast("array<double>").alias("v")).where("g is not null and k is not null and v is not null")
+    sizes = rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, "g").withColumn("_b", F.pmod(F.xxhash64("k"), "blocks").cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("g", F.least("_b", "_o").alias("x"), F.greatest("_b", "_o").alias("y"), (F.col("_b") <= F.col("_o")).alias("first"), "k", "v")
+    kind = to_arrow_type(rows.schema["k"].dataType)
+
+    def flush(group):
+        a = [r for r in group if r[3]]
+        b = a if group[0][1] == group[0][2] else [r for r in group if not r[3]]
+        out = []
+        for size in {len(r[5]) for r in a}:
+            l, r = ([x for x in side if len(x[5]) == size] for side in (a, b))
+            if l and r:
+                scores = np.array([x[5] for x in l], float) @ np.array([x[5] for x in r], float).T
+                for i, j in zip(*np.nonzero(scores > threshold), strict=True):
+                    if a is not b or l[i][4] < r[j][4]:
+                        out.append((min(l[i][4], r[j][4]), max(l[i][4], r[j][4]), float(scores[i, j])))
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], kind), pa.array([x[1] for x in out], kind), pa.array([x[2] for x in out], pa.float64())], names=["a", "b", "score"])
+
+    def run(batches):
+        group: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group and row[:3] != group[0][:3]:
+                    yield flush(group)
+                    group = []
+                group.append(row)
+        if group:
+            yield flush(group)
+
+    name = rows.schema["k"].dataType.simpleString()
+    return dealt.repartition("g", "x", "y").sortWithinPartitions("g", "x", "y").mapInArrow(run, f"a {name}, b {name}, score double").where("a <> b")
 
 
 def angular(score: Column) -> Column:

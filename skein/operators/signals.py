@@ -8,6 +8,7 @@ as a user's day.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,19 +22,24 @@ def moving_average(value: str, by: list[str], order: list[str], n: int = 5) -> C
 def smoothed(samples: DataFrame, key: str, order: str, value: str, alpha: float, cap: float | None = None) -> DataFrame:
     """W2. Exponential smoothing: the first sample seeds it, each later one moves it by 1 - alpha, up to a cap.
 
-    A fold over the key's ordered samples; the array functions keep it in the JVM.
+    A fold over sorted rows that holds one value at a time. A null sample stays null, and
+    the next one seeds it again.
     """
-    limit = (lambda x: F.least(x, F.lit(float(cap)))) if cap is not None else (lambda x: x)
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v"))))
-    kind = "array<struct<o:{},s:double>>".format(dict(samples.dtypes)[order])
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)["s"]
-        new = limit(F.coalesce(last * alpha + x["v"] * (1 - alpha), x["v"]))
-        return F.concat(acc, F.array(F.struct(x["o"].alias("o"), new.alias("s"))).cast(kind))
-
-    folded = samples.groupBy(key).agg(rows.alias("_r")).select(key, F.explode(F.aggregate("_r", F.array().cast(kind), step)).alias("_x"))
-    return folded.select(key, F.col("_x.o").alias(order), F.col("_x.s").alias("smoothed"))
+    rows = samples.select(key, order, F.col(value).cast("double").alias("smoothed"))
+
+    def run(batches):
+        at, last = None, None
+        for batch in batches:
+            out = []
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if v is not None and last is not None and k == at:
+                    v = last * alpha + v * (1 - alpha)
+                last = v if v is None or cap is None else min(v, float(cap))
+                at = k
+                out.append(last)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=[key, order, "smoothed"])
+
+    return rows.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, rows.schema)
 
 
 def activity(samples: DataFrame, key: str = "key", on: float = 0.5, least_on: float = 0.05, least_off: float = 0.55) -> DataFrame:

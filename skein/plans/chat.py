@@ -94,9 +94,9 @@ def a8_chat_statistics(spark, d):
     return chats(spark, d).groupBy("role").agg(F.count(F.lit(1)).alias("messages"), F.sum(F.length("text")).alias("chars"), F.sum(n).alias("tokens"), F.sum(F.when(F.col("turn") % 2 == 1, n).otherwise(0)).alias("retrieved"))
 
 
-@query("WITH m AS (SELECT doc_id, unnest(string_split(split_part(text, chr(10), 1), ' ')) AS memory, generate_subscripts(string_split(split_part(text, chr(10), 1), ' '), 1) AS i FROM documents) SELECT doc_id, memory, i - 1 AS position FROM m QUALIFY row_number() OVER (PARTITION BY doc_id, lower(memory) ORDER BY i) = 1")
+@query(r"WITH m AS (SELECT doc_id, unnest(w) AS memory, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, string_split(replace(text, chr(10), ' '), ' ') AS w FROM documents)) SELECT doc_id, memory, i - 1 AS position FROM m QUALIFY row_number() OVER (PARTITION BY doc_id, lower(memory) ORDER BY i) = 1")
 def a12_distinct_ignoring_case(spark, d):
-    words = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.split_part("text", F.lit("\n"), F.lit(1)), " ")).alias("position", "memory"))
+    words = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "[ \n]")).alias("position", "memory"))
     return C.distinct_ignoring_case(words, "doc_id", "memory", "position").select("doc_id", "memory", "position")
 
 

@@ -35,8 +35,7 @@ def updated(index: DataFrame, now: DataFrame, history: DataFrame, docs: DataFram
 def hits(index: DataFrame, questions: DataFrame, n: int, over: int, threshold: float) -> DataFrame:
     """The over-fetched best chunks of each question, then those above the threshold."""
     asked = corpus.through_model(questions.withColumn("text", X.spoken(F.substring("text", 1, 520))), "text", EMBED, "embedding", "array<double>")
-    scored = R.cosine_scores(index, asked, "chunk_id")
-    return R.relevant(R.best(scored, n * over, "chunk_id"), threshold).join(index.select("chunk_id", "doc_id", "chunk_index", "text", "char_start", "char_end"), "chunk_id")
+    return R.relevant(R.nearest(index, asked, n * over, "chunk_id"), threshold).join(index.select("chunk_id", "doc_id", "chunk_index", "text", "char_start", "char_end"), "chunk_id")
 
 
 def answered(index: DataFrame, docs: DataFrame, questions: DataFrame, n: int = 3, threshold: float = R.THRESHOLD) -> DataFrame:
@@ -51,7 +50,7 @@ def answered(index: DataFrame, docs: DataFrame, questions: DataFrame, n: int = 3
 def enriched(index: DataFrame, docs: DataFrame, questions: DataFrame, k: int = 5, budget: int = 600, threshold: float = 0.2) -> DataFrame:
     """C3. Hybrid retrieval into one budgeted context with citations."""
     asked = corpus.through_model(questions, "text", EMBED, "embedding", "array<double>")
-    semantic = R.best(R.cosine_scores(index, asked, "chunk_id"), 2 * k, "chunk_id").withColumnRenamed("chunk_id", "id")
+    semantic = R.nearest(index, asked, 2 * k, "chunk_id").withColumnRenamed("chunk_id", "id")
     keyword = R.best(R.bm25(index, questions, "chunk_id"), 2 * k, "chunk_id").withColumnRenamed("chunk_id", "id")
     top = R.best(R.relevant(R.fused(semantic, keyword), threshold), k, "id")
     rows = top.join(index.select(F.col("chunk_id").alias("id"), "doc_id", "text"), "id").withColumn("text", X.spoken(F.col("text")))
@@ -183,7 +182,7 @@ def answered_from_pairs(qa: DataFrame, asked: DataFrame, k: int = 3, threshold:
     """C5. The k nearest questions from the threshold on, with answers safe for speech."""
     base = corpus.through_model(qa.withColumn("id", F.concat_ws("-", "conv_id", "turn")), "question", EMBED, "embedding", "array<double>")
     q = corpus.through_model(asked, "text", EMBED, "embedding", "array<double>")
-    top = R.relevant(R.best(R.cosine_scores(base, q, "id"), k, "id"), threshold, inclusive=True)
+    top = R.relevant(R.nearest(base, q, k, "id"), threshold, inclusive=True)
     return top.join(base.select("id", X.spoken(F.col("answer")).alias("answer")), "id")
 
 

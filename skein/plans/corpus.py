@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as X
 from skein.functions import vectors as V
+from skein.operators import chunking
 from skein.operators import corpus as O
 from skein.plans.registry import query, table
 
@@ -116,11 +117,11 @@ def s8_load_qa_pairs(spark, d):
     return qa_rows(packed.select("conv_id", "j"), "j").select("conv_id", "turn", F.md5("question").alias("question"), F.md5("context").alias("context"))
 
 
-@query("SELECT doc_id, source || '#' || lpad(doc_id::VARCHAR, 6, '0') || ': ' || left(text, 40) AS line FROM documents")
+@query(r"SELECT doc_id, source || '#' || CASE WHEN doc_id < 1000000 THEN lpad(doc_id::VARCHAR, 6, '0') ELSE doc_id::VARCHAR END || ': ' || replace(replace(replace(text, '\', '\\'), chr(13), '\r'), chr(10), '\n') AS line FROM documents")
 def s12_text_export(spark, d):
     from skein.sources.sinks import export_lines
 
-    return export_lines(docs(spark, d).select("doc_id", "source", "text"))
+    return export_lines(docs(spark, d)).select("doc_id", "line")
 
 
 @query("SELECT user_id, count(*) AS n, max(ts)::VARCHAR AS latest FROM events WHERE user_id = 7 GROUP BY 1".replace("max(ts)::VARCHAR", "strftime(max(ts), '%Y-%m-%d %H:%M:%S')"))
@@ -165,9 +166,9 @@ def k7_random_pick(spark, d):
 
 @query()
 def a10_greedy_near_duplicates(spark, d):
-    """Word-hash vectors stand in for embeddings; the chunks of a source are compared."""
-    rows = O.through_model(docs(spark, d).select("doc_id", "source", "text"), "text", O.hashed_embedding(256), "vector", "array<double>")
-    return O.near_copies(rows.drop("text"), "source", "doc_id", "vector")
+    """Word-hash vectors stand in for embeddings; the chunks of a document are compared."""
+    rows = O.through_model(chunking.good_chunks(docs(spark, d)), "text", O.hashed_embedding(256), "vector", "array<double>")
+    return O.near_copies(rows.select("doc_id", "chunk_index", "vector"), "doc_id", "chunk_index", "vector")
 
 
 @query()

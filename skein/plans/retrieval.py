@@ -10,18 +10,17 @@ from skein.functions import vectors as V
 from skein.operators import retrieval as R
 from skein.plans.registry import query, table
 
-QUERY = "the licensed ation version"
 TERMS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
-#: BM25 of one query text over documents, as a chain of common table expressions ending in ``bm25``.
+#: BM25 of every fiftieth benchmark text over documents, as a chain of common table expressions ending in ``bm25``.
 BM25 = rf"""
 t AS (SELECT doc_id, {TERMS} AS w FROM documents),
 p AS (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM t),
 h AS (SELECT doc_id, term, dl, count(*) AS tf FROM p GROUP BY ALL),
-q AS (SELECT term, count(*) AS qf FROM (SELECT unnest(regexp_extract_all(lower('{QUERY}'), '[\p{{L}}\p{{N}}_]+')) AS term) GROUP BY 1),
+q AS (SELECT query_id, term, count(*) AS qf FROM (SELECT item_id AS query_id, unnest({TERMS}) AS term FROM benchmark WHERE item_id % 50 = 0) GROUP BY ALL),
 n AS (SELECT count(*) AS n_docs, avg(len(w)) AS avg_dl FROM t),
 d AS (SELECT term, count(*) AS df FROM h GROUP BY 1),
-bm25 AS (SELECT doc_id, sum(qf * ln((n_docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avg_dl))) AS score
-  FROM h JOIN q USING (term) JOIN d USING (term), n GROUP BY 1)
+bm25 AS (SELECT query_id, doc_id, round(sum(qf * ln((n_docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avg_dl))), 9) AS score
+  FROM h JOIN q USING (term) JOIN d USING (term), n GROUP BY 1, 2)
 """
 #: Cosine of every fiftieth vector with all.
 COSINE = """
@@ -30,29 +29,36 @@ cos AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.e, b.e) / sq
 """
 
 
-def asked(spark):
-    return spark.createDataFrame([(0, QUERY)], "query_id long, text string")
+def asked(spark, d):
+    """Every fiftieth benchmark text."""
+    return table(spark, d, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), "text")
 
 
-def cosines(spark, d):
+def vectors(spark, d):
+    """All vectors, and every fiftieth as a query."""
     v = table(spark, d, "embeddings")
-    return R.cosine_scores(v, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"))
+    return v, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def cosines(spark, d):
+    return R.cosine_scores(*vectors(spark, d))
 
 
 def keyword(spark, d):
-    return R.bm25(table(spark, d, "documents"), asked(spark))
+    """Rounded, so that copies of a document tie however their terms are summed."""
+    return R.bm25(table(spark, d, "documents"), asked(spark, d)).withColumn("score", F.round("score", 9))
 
 
-@query(f"WITH {BM25} SELECT doc_id, round(score, 6) AS score FROM bm25 ORDER BY bm25.score DESC, doc_id LIMIT 10")
+@query(f"WITH {BM25} SELECT query_id, doc_id, round(score, 6) AS score FROM bm25 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY bm25.score DESC, doc_id) <= 10")
 def k3_bm25_top_n(spark, d):
-    return R.best(keyword(spark, d), 10).select("doc_id", F.round("score", 6).alias("score"))
+    return R.best(keyword(spark, d), 10).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {BM25} SELECT term, df, round(avg_dl, 6) AS avg_dl FROM d JOIN q USING (term), n")
+@query(f"WITH {BM25} SELECT DISTINCT term, df, round(avg_dl, 6) AS avg_dl FROM d JOIN q USING (term), n")
 def a3_document_frequency(spark, d):
     docs = table(spark, d, "documents")
     df = R.postings(docs).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    wanted = R.query_terms(asked(spark)).select("term")
+    wanted = R.query_terms(asked(spark, d)).select("term").distinct()
     return df.join(wanted, "term").crossJoin(F.broadcast(R.corpus_size(docs))).select("term", "df", F.round("avg_dl", 6).alias("avg_dl"))
 
 
@@ -64,62 +70,62 @@ def t9_index_terms(spark, d):
 
 @query(f"WITH {COSINE} SELECT query_id, vec_id, round(score, 6) AS score, round(sqrt(greatest(0, 2 * (1 - score))), 4) AS distance FROM cos QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cos.score DESC, vec_id) BETWEEN 2 AND 11")
 def k1_vector_top_k(spark, d):
-    top = R.best(cosines(spark, d), 11, "vec_id").where("rank >= 2")
+    top = R.nearest(*vectors(spark, d), 11).where("rank >= 2")
     return top.select("query_id", "vec_id", F.round("score", 6).alias("score"), F.round(R.angular(F.col("score")), 4).alias("distance"))
 
 
 @query(f"WITH {COSINE}, top AS (SELECT * FROM cos QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20) SELECT query_id, vec_id, round(score, 6) AS score FROM top WHERE score >= 0.25")
 def k2_exact_cosine_then_threshold(spark, d):
-    return R.relevant(R.best(cosines(spark, d), 20, "vec_id"), 0.25, inclusive=True).select("query_id", "vec_id", F.round("score", 6).alias("score"))
+    return R.relevant(R.nearest(*vectors(spark, d), 20), 0.25, inclusive=True).select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {COSINE}, top AS (SELECT * FROM cos QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 15) SELECT query_id, count(*) AS kept FROM top WHERE score > 0.28 GROUP BY 1")
 def k5_over_fetch_then_filter(spark, d):
-    return R.relevant(R.best(cosines(spark, d), 5 * 3, "vec_id"), 0.28).groupBy("query_id").agg(F.count(F.lit(1)).alias("kept"))
+    return R.relevant(R.nearest(*vectors(spark, d), 5 * 3), 0.28).groupBy("query_id").agg(F.count(F.lit(1)).alias("kept"))
 
 
 @query(f"WITH {COSINE} SELECT query_id, vec_id, round(score, 6) AS score FROM cos WHERE score > 0.3")
 def p5_relevance_threshold(spark, d):
-    return R.relevant(cosines(spark, d), 0.3).select("query_id", "vec_id", F.round("score", 6).alias("score"))
+    return R.above(*vectors(spark, d), 0.3).select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
 HYBRID = f"""WITH {BM25}, {COSINE},
-s AS (SELECT vec_id AS id, score FROM cos WHERE query_id = 0 ORDER BY cos.score DESC, vec_id LIMIT 40),
-k AS (SELECT doc_id AS id, score FROM bm25 ORDER BY bm25.score DESC, doc_id LIMIT 40),
-sn AS (SELECT id, CASE WHEN max(score) OVER () = min(score) OVER () THEN 1 ELSE (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) END AS x FROM s),
-kn AS (SELECT id, CASE WHEN max(score) OVER () = min(score) OVER () THEN 1 ELSE (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) END AS x FROM k),
-f AS (SELECT coalesce(sn.id, kn.id) AS id, coalesce(sn.x, 0) * 0.7 + coalesce(kn.x, 0) * 0.3 AS score FROM sn FULL JOIN kn ON sn.id = kn.id)"""
+s AS (SELECT query_id, vec_id AS id, score FROM cos QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cos.score DESC, vec_id) <= 40),
+k AS (SELECT query_id, doc_id AS id, score FROM bm25 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY bm25.score DESC, doc_id) <= 40),
+sn AS (SELECT query_id, id, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS x FROM s WINDOW w AS (PARTITION BY query_id)),
+kn AS (SELECT query_id, id, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS x FROM k WINDOW w AS (PARTITION BY query_id)),
+f AS (SELECT query_id, id, round(coalesce(sn.x, 0) * 0.7 + coalesce(kn.x, 0) * 0.3, 9) AS score FROM sn FULL JOIN kn USING (query_id, id))"""
 
 
 def hybrid(spark, d):
-    s = R.best(cosines(spark, d).where("query_id = 0"), 40, "vec_id").select("query_id", F.col("vec_id").alias("id"), "score")
+    """The two lists of each query; texts and vectors are paired by id, which is synthetic, and a query may have one list only."""
+    s = R.nearest(*vectors(spark, d), 40).select("query_id", F.col("vec_id").alias("id"), "score")
     k = R.best(keyword(spark, d), 40).select("query_id", F.col("doc_id").alias("id"), "score")
     return s, k
 
 
-@query(f"{HYBRID} SELECT id, round(score, 6) AS score FROM f ORDER BY f.score DESC, id LIMIT 20")
+@query(f"{HYBRID} SELECT query_id, id, round(score, 6) AS score FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY f.score DESC, id) <= 20")
 def k4_hybrid_fusion(spark, d):
-    """Documents and vectors are paired by id; the pairing is synthetic."""
     s, k = hybrid(spark, d)
-    return R.best(R.fused(s, k), 20, "id").select("id", F.round("score", 6).alias("score"))
+    return R.best(R.fused(s, k).withColumn("score", F.round("score", 9)), 20, "id").select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-@query(f"{HYBRID} SELECT id, round(x, 6) AS score FROM sn")
+@query(f"{HYBRID} SELECT query_id, id, round(x, 6) AS score FROM sn")
 def a14_min_max_normalise(spark, d):
-    return R.min_max(hybrid(spark, d)[0]).select("id", F.round("score", 6).alias("score"))
+    return R.min_max(hybrid(spark, d)[0]).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-@query(f"{HYBRID} SELECT coalesce(s.id, k.id) AS id, round(coalesce(s.score, 0), 6) AS semantic, round(coalesce(k.score, 0), 6) AS keyword FROM s FULL JOIN k ON s.id = k.id")
+@query(f"{HYBRID} SELECT query_id, id, round(coalesce(s.score, 0), 6) AS semantic, round(coalesce(k.score, 0), 6) AS keyword FROM s FULL JOIN k USING (query_id, id)")
 def j4_outer_join_of_lists(spark, d):
     s, k = hybrid(spark, d)
-    both = s.select("id", F.col("score").alias("s")).join(k.select("id", F.col("score").alias("k")), "id", "full")
-    return both.select("id", F.round(F.coalesce("s", F.lit(0.0)), 6).alias("semantic"), F.round(F.coalesce("k", F.lit(0.0)), 6).alias("keyword"))
+    both = s.select("query_id", "id", F.col("score").alias("s")).join(k.select("query_id", "id", F.col("score").alias("k")), ["query_id", "id"], "full")
+    return both.select("query_id", "id", F.round(F.coalesce("s", F.lit(0.0)), 6).alias("semantic"), F.round(F.coalesce("k", F.lit(0.0)), 6).alias("keyword"))
 
 
-@query(f"{HYBRID} SELECT id FROM s UNION SELECT id FROM k")
+@query(f"{HYBRID} SELECT query_id, id FROM s UNION SELECT query_id, id FROM k")
 def e1_union_of_ids(spark, d):
     s, k = hybrid(spark, d)
-    return s.select("id").union(k.select("id")).distinct()
+    return s.select("query_id", "id").union(k.select("query_id", "id")).distinct()
 
 
 @query(f"WITH {COSINE}, m AS (SELECT vec_id, max(score) AS score FROM cos GROUP BY 1) SELECT vec_id, round(score, 6) AS score FROM m ORDER BY m.score DESC, vec_id LIMIT 15")
@@ -139,7 +145,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score
 SELECT query_id, source, round(max(score), 6) AS max_score, string_agg(chunk::VARCHAR, ',' ORDER BY r) AS chunks FROM r WHERE r <= 3 GROUP BY 1, 2""")
 def a15_group_hits_by_document(spark, d):
     """Labels stand in for documents."""
-    hits = R.relevant(cosines(spark, d), 0.1).join(table(spark, d, "embeddings").select("vec_id", F.col("label").alias("source")), "vec_id")
+    hits = R.above(*vectors(spark, d), 0.1).join(table(spark, d, "embeddings").select("vec_id", F.col("label").alias("source")), "vec_id")
     return R.by_document(hits.withColumnRenamed("vec_id", "chunk")).withColumn("max_score", F.round("max_score", 6))
 
 
@@ -166,11 +172,7 @@ def k8_every_nth(spark, d):
 @query("WITH v AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT a, b, round(score, 6) AS score FROM v WHERE score > 0.3")
 def j12_similar_pairs(spark, d):
     """Pairs are compared inside a label, which stands in for the document whose chunks are compared."""
-    v = table(spark, d, "embeddings").select("label", "vec_id", "embedding")
-    l, r = v.alias("l"), v.alias("r")
-    pairs = l.join(r, (F.col("l.label") == F.col("r.label")) & (F.col("l.vec_id") < F.col("r.vec_id")))
-    scored = pairs.select(F.col("l.vec_id").alias("a"), F.col("r.vec_id").alias("b"), V.dot(F.col("l.embedding"), F.col("r.embedding")).alias("score"))
-    return R.relevant(scored, 0.3).withColumn("score", F.round("score", 6))
+    return R.similar_pairs(table(spark, d, "embeddings"), "label", 0.3).withColumn("score", F.round("score", 6))
 
 
 @query("SELECT vec_id, label, lang, n_chars FROM embeddings JOIN documents ON vec_id = doc_id")
@@ -188,9 +190,9 @@ def j3_chunk_to_document(spark, d):
     return table(spark, d, "embeddings").join(table(spark, d, "documents"), F.col("vec_id") == F.col("doc_id"), "left").select("vec_id", F.length("text").cast("long").alias("n"))
 
 
-@query(rf"WITH {BM25} SELECT doc_id, term, tf, qf FROM h JOIN q USING (term)")
+@query(rf"WITH {BM25} SELECT query_id, doc_id, term, tf, qf FROM h JOIN q USING (term)")
 def j5_query_terms_with_postings(spark, d):
-    return R.postings(table(spark, d, "documents")).join(R.query_terms(asked(spark)), "term").select("doc_id", "term", "tf", "qf")
+    return R.postings(table(spark, d, "documents")).join(R.query_terms(asked(spark, d)), "term").select("query_id", "doc_id", "term", "tf", "qf")
 
 
 BUDGET = 1_000

@@ -24,17 +24,16 @@ def append_report(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def export_lines(docs: DataFrame, chars: int = 40) -> DataFrame:
-    """S12. Rows as readable lines."""
-    line = F.concat("source", F.lit("#"), F.lpad(F.col("doc_id").cast("string"), 6, "0"), F.lit(": "), F.left("text", F.lit(chars)))
-    return docs.select("doc_id", line.alias("line"))
-
-
-def write_export(docs: DataFrame, path: str) -> None:
-    """S12. The whole texts as lines of text files, sorted by source and id; backslashes and line breaks are escaped."""
+def export_lines(docs: DataFrame) -> DataFrame:
+    """S12. doc_id, line: the whole texts as readable lines; backslashes and line breaks are escaped, a null text is empty."""
     text, number = F.coalesce("text", F.lit("")), F.col("doc_id").cast("string")
     for plain, escaped in (("\\", "\\\\"), ("\r", "\\r"), ("\n", "\\n")):
         text = F.replace(text, F.lit(plain), F.lit(escaped))
     line = F.concat("source", F.lit("#"), F.lpad(number, F.greatest(F.length(number), F.lit(6)), F.lit("0")), F.lit(": "), text)
-    rows = docs.select("source", "doc_id", line.alias("line"))
+    return docs.withColumn("line", line)
+
+
+def write_export(docs: DataFrame, path: str) -> None:
+    """S12. The lines of ``export_lines`` as text files, sorted by source and id."""
+    rows = export_lines(docs.select("source", "doc_id", "text")).select("source", "doc_id", "line")
     rows.repartitionByRange("source", "doc_id").sortWithinPartitions("source", "doc_id").select("line").write.text(path)
