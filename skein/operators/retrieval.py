@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from skein.functions import text as X
-from skein.functions import vectors as V
 
 K1, B = 1.5, 0.75
 BUCKETS = 64  #: folders of a written index
