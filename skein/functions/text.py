@@ -150,18 +150,30 @@ def truncated(text: Column, limit: Column | int) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(out)
 
 
+#: Rules that strip Markdown: for line starts, then within lines, in this order. Fixed values.
+LINE_RULES = ((r"(?m)^#{1,6}[ \t]+", ""), (r"(?m)^[ \t]*[-+*][ \t]+", ""), (r"(?m)^[ \t]*>[ \t]+", ""))
+INLINE_RULES = (
+    (r"!\[([^\]]*)\]\([^)]*\)", "$1"), (r"\[([^\]]*)\]\([^)]*\)", "$1"),
+    (r"(?<!\S)\*\*([^*]+?)\*\*(?!\S)", "$1"), (r"(?<!\S)\*([^*]+?)\*(?!\S)", "$1"),
+    (r"(?<![\p{L}\p{N}_])__([^_]+?)__(?![\p{L}\p{N}_])", "$1"), (r"(?<![\p{L}\p{N}_])_([^_]+?)_(?![\p{L}\p{N}_])", "$1"),
+    (r"`{3,4}\S*", ""), (r"`([^`]+?)`", "$1"), (r"~~(?!\s)([^~]*?)(?<!\s)~~", ""),
+)
+
+
+def _replaced(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
+    for pattern, to in rules:
+        text = F.regexp_replace(text, pattern, to)
+    return text
+
+
+def plain_inline(text: Column) -> Column:
+    """N1, N2. Without the Markdown marks within lines."""
+    return _replaced(text, INLINE_RULES)
+
+
 def plain_markdown(text: Column) -> Column:
-    """N1. Without Markdown marks: three rules for line starts, then nine within lines, in this order."""
-    t = text
-    for pattern, to in (
-        (r"(?m)^#{1,6}[ \t]+", ""), (r"(?m)^[ \t]*[-+*][ \t]+", ""), (r"(?m)^[ \t]*>[ \t]+", ""),
-        (r"!\[([^\]]*)\]\([^)]*\)", "$1"), (r"\[([^\]]*)\]\([^)]*\)", "$1"),
-        (r"(?<!\S)\*\*([^*]+?)\*\*(?!\S)", "$1"), (r"(?<!\S)\*([^*]+?)\*(?!\S)", "$1"),
-        (r"(?<![\p{L}\p{N}_])__([^_]+?)__(?![\p{L}\p{N}_])", "$1"), (r"(?<![\p{L}\p{N}_])_([^_]+?)_(?![\p{L}\p{N}_])", "$1"),
-        (r"`{3,4}\S*", ""), (r"`([^`]+?)`", "$1"), (r"~~(?!\s)([^~]*?)(?<!\s)~~", ""),
-    ):
-        t = F.regexp_replace(t, pattern, to)
-    return t
+    """N1. Without Markdown marks: those at line starts, then those within lines."""
+    return plain_inline(_replaced(text, LINE_RULES))
 
 
 def without_emoji(text: Column) -> Column:

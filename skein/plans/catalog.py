@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from skein.plans import chat, composite, corpus, retrieval, signals, text  # noqa: F401  they register themselves
+from skein.plans import chat, composite, corpus, retrieval, signals, streams, text  # noqa: F401  they register themselves
 from skein.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 
 
 def publish(df: DataFrame, path: str) -> str:
-    """S9, S10. Writes the next version below a path; readers see it once it is complete."""
+    """S9, S10. Writes the next version below a path; readers see it once it is complete.
+
+    A version is claimed by making a file that must not be there yet, so that two writers get two versions.
+    """
     spark = df.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(hadoop)] if fs.exists(hadoop) else []
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(hadoop(path))] if fs.exists(hadoop(path)) else []
     version = max((int(n[1:]) for n in names if re.fullmatch(r"v[0-9]+", n)), default=0) + 1
+    while not fs.createNewFile(hadoop(path, f"_v{version}.claim")):
+        version += 1
     df.write.parquet(out := f"{path}/v{version}")
     return out
 

@@ -17,6 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from skein.functions import text as X
+from skein.sources import readers, sinks
+
 LATE = "10 minutes"
 
 
@@ -43,6 +46,10 @@ def _sorted_rows(batches: Iterable[pd.DataFrame], order: str) -> pd.DataFrame:
 
 def _stateful(rows: DataFrame, key: str, out: str, state: str, step: Callable, idle: str | None = None) -> DataFrame:
     """A keyed fold: ``step(key, rows, state)`` gives (rows out, new state); idle keys are flushed with no rows."""
+    names = [c.split()[0] for c in re.split(r",\s*", out)]
+
+    def once(group: tuple, found: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(step(group[0], [found], None)[0], columns=names)
 
     def run(group: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         before = held.get if held.exists else None
@@ -54,8 +61,10 @@ def _stateful(rows: DataFrame, key: str, out: str, state: str, step: Callable, i
             held.update(after)
             if idle:
                 held.setTimeoutDuration(_millis(idle))
-        yield pd.DataFrame(done, columns=[c.split()[0] for c in re.split(r",\s*", out)])
+        yield pd.DataFrame(done, columns=names)
 
+    if not rows.isStreaming:
+        return rows.groupBy(key).applyInPandas(once, out)
     return rows.groupBy(key).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
 
 
@@ -148,23 +157,117 @@ def sentence_stream(chunks: DataFrame, least: int = 20, idle: str | None = None)
     return _stateful(chunks, "key", "key long, position long, sentence string", "buffer string, n long", step, idle)
 
 
+#: What sets thoughts apart. Fixed values.
+THOUGHTS = ("<think>", "</think>")
+
+
+def _begun(text: str, marks: tuple[str, ...]) -> int:
+    """How many characters at the end of a text may be the start of a mark."""
+    return next((n for n in range(max(map(len, marks)) - 1, 0, -1) if any(m.startswith(text[-n:]) for m in marks if n <= len(text))), 0)
+
+
 def without_thoughts(chunks: DataFrame, idle: str | None = None) -> DataFrame:
-    """P16. Text chunks (key, seq, text) without what stands between <think> and </think>, across chunks."""
+    """P16. Text chunks (key, seq, text) without what stands between <think> and </think>, across chunks.
+
+    What may be the start of a mark is held back until the next chunk; a null text, or an
+    idle key, gives it out.
+    """
 
     def step(key, batches, before):
-        thinking = bool((before or (False,))[0])
-        out = []
+        thinking, held = before or (False, "")
+        seq, out = -1, []
         for r in _sorted_rows(batches or [], "seq").itertuples(index=False):
-            text = ""
-            for part in re.split(r"(</?think>)", r.text or ""):
-                if part in ("<think>", "</think>"):
-                    thinking = part == "<think>"
+            ended = r.text is None or r.text != r.text
+            *whole, last = re.split(r"(</?think>)", held + ("" if ended else r.text))
+            text, seq = "", r.seq
+            for part in whole:
+                if part in THOUGHTS:
+                    thinking = part == THOUGHTS[0]
                 elif not thinking:
                     text += part
-            out.append((key, r.seq, text))
-        return out, (thinking,)
+            n = 0 if ended else _begun(last, THOUGHTS)
+            held = last[len(last) - n :]
+            out.append((key, seq, text + ("" if thinking else last[: len(last) - n])))
+        if batches is None and held and not thinking:
+            out.append((key, seq, held))
+        return out, (thinking, held)
+
+    return _stateful(chunks, "key", "key long, seq long, text string", "thinking boolean, held string", step, idle)
+
+
+#: Constructs of Markdown that are whole, and what else may open one.
+WHOLE = re.compile(r"!?\[[^\]]*\]\([^)]*\)|\*\*[^*]+\*\*|\*[^*]+\*|__[^_]+__|_[^_]+_|`{3,4}\S*(?=\s)|`[^`]+`|~~[^~]*~~")
+OPENING = re.compile(r"[\[!*_`~]")
+LEAD = re.compile(r"[\s#>+*-]*")
+
+
+def _settled(line: str, fresh: bool) -> int:
+    """Up to where an unfinished line can be stripped without its rest: before a blank, with no construct open."""
+    masked = WHOLE.sub(lambda m: "x" * len(m.group()), line)
+    open_at = OPENING.search(masked)
+    at = masked.rfind(" ", 0, open_at.start() if open_at else len(line))
+    least = LEAD.match(line).end() if fresh else 0
+    return at if at > least else 0
+
+
+def markdown_stream(chunks: DataFrame, idle: str | None = None) -> DataFrame:
+    """N2. Text chunks (key, seq, text) without Markdown marks, as pieces (key, position, text); a null text ends a key's text.
+
+    The fold only decides what is complete: whole lines, and of the last line what ends
+    before a blank with no construct open. N1's expressions strip the pieces, the rules
+    for line starts only where a piece begins a line. The text is the same however it
+    was cut into chunks.
+    """
+
+    def step(key, batches, before):
+        held, fresh, n = before or ("", True, 0)
+        out = []
+
+        def give(piece: str) -> None:
+            nonlocal n
+            out.append((key, n, piece, fresh))
+            n += 1
+
+        for r in _sorted_rows(batches or [], "seq").itertuples(index=False):
+            ended = r.text is None or r.text != r.text
+            *lines, held = (held + ("" if ended else r.text)).split("\n")
+            for line in lines:
+                give(line + "\n")
+                fresh = True
+            at = len(held) if ended else _settled(held, fresh)
+            if at:
+                give(held[:at])
+                held, fresh = held[at:], ended
+            fresh = fresh or ended
+        if batches is None and held:
+            give(held)
+        return out, (held, fresh, n)
+
+    pieces = _stateful(chunks, "key", "key long, position long, text string, fresh boolean", "held string, fresh boolean, n long", step, idle)
+    line = F.regexp_replace("text", "\n$", "")
+    plain = F.when(F.col("fresh"), X.plain_markdown(line)).otherwise(X.plain_inline(line))
+    return pieces.select("key", "position", F.concat(plain, F.when(F.endswith("text", F.lit("\n")), "\n").otherwise("")).alias("text"))
+
+
+def settled_files(changes: DataFrame, cooldown: str = "60 seconds", key: str = "path", ts: str = "ts", late: str = LATE) -> DataFrame:
+    """X9. Changes of files (path, ts), each file once after nothing came for the cooldown: it stays pending until then."""
+    found = changes.withWatermark(ts, late) if changes.isStreaming else changes
+    return found.groupBy(key, F.session_window(ts, cooldown).alias("w")).agg(F.count(F.lit(1)).alias("changes"), F.max(ts).alias("last")).select(key, "changes", "last")
+
+
+def upsert_into(path: str, *keys: str) -> Callable[[DataFrame, int], None]:
+    """X10. A sink that replaces and adds rows by key in the newest snapshot below a path and publishes the next.
+
+    Of a batch's rows with one key it keeps one. A batch that is run again after a
+    failure gives the same rows.
+    """
+
+    def sink(batch: DataFrame, _: int) -> None:
+        news = batch.dropDuplicates(list(keys))
+        old = readers.snapshot(batch.sparkSession, path)
+        sinks.publish(news if old is None else old.join(news.select(*keys), list(keys), "left_anti").unionByName(news), path)
 
-    return _stateful(chunks, "key", "key long, seq long, text string", "thinking boolean", step, idle)
+    return sink
 
 
 def to_sinks(stream: DataFrame, sinks: list[Callable[[DataFrame, int], None]], checkpoint: str, every: str | None = None):
