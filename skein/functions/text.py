@@ -1,11 +1,14 @@
 """Text functions on columns: cleaning, checks, splitting, counting, filters.
 
-All are built-in expressions, so that they stay inside code generation. Patterns name
+All but ``composed`` are built-in expressions, so that they stay inside code generation. Patterns name
 their character classes, as ``\\w`` and ``\\s`` differ between engines.
 """
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -181,9 +184,18 @@ def without_emoji(text: Column) -> Column:
     return F.regexp_replace(text, EMOJI, "")
 
 
+def composed(text: Column) -> Column:
+    """N5. Unicode's NFKC form, for which Spark has no expression: full-width letters, ligatures and the like become plain."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+
+    return F.pandas_udf(run, "string")(text)
+
+
 def turn_text(text: Column) -> Column:
-    """N5. For turn models: lower case, no punctuation but apostrophes and hyphens, one blank between words."""
-    return strip(F.regexp_replace(F.regexp_replace(F.lower(text), r"[\p{P}&&[^'\-]]", ""), f"{SPACE}+", " "))
+    """N5. For turn models: NFKC, lower case, no punctuation but apostrophes and hyphens, one blank between words."""
+    return strip(F.regexp_replace(F.regexp_replace(F.lower(composed(text)), r"[\p{P}&&[^'\-]]", ""), f"{SPACE}+", " "))
 
 
 def language(text: Column) -> Column:

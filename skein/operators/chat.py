@@ -7,6 +7,8 @@ runs by conversation in pandas.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -111,8 +113,9 @@ def paired_calls(calls: DataFrame, outputs: DataFrame) -> DataFrame:
 def edit_script(old: DataFrame, new: DataFrame) -> DataFrame:
     """W13. The items to remove, create (behind which one) and update that turn one version into the other.
 
-    Kept are the items of a longest common subsequence of ids; conversations are
-    compared apart, each within one task.
+    Kept are the items of a longest common subsequence of ids. As an id stands once in a
+    version (of several the first counts), that is a longest increasing run of old
+    places, found in n log n steps. Conversations are compared apart, each within one task.
     """
     cols = [CONV, TURN, "id", "text"]
     both = old.select(*cols, F.lit(0).alias("side")).unionByName(new.select(*cols, F.lit(1).alias("side")))
@@ -120,21 +123,19 @@ def edit_script(old: DataFrame, new: DataFrame) -> DataFrame:
     def run(rows):
         import pandas as pd
 
-        rows = rows.sort_values(TURN, kind="stable")
+        rows = rows.sort_values(TURN, kind="stable").drop_duplicates(["side", "id"])
         a, b = (list(rows[rows["side"] == s][["id", "text"]].itertuples(index=False)) for s in (0, 1))
-        length = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i in range(len(a) - 1, -1, -1):
-            for j in range(len(b) - 1, -1, -1):
-                length[i][j] = length[i + 1][j + 1] + 1 if a[i].id == b[j].id else max(length[i + 1][j], length[i][j + 1])
-        kept, i, j = {}, 0, 0
-        while i < len(a) and j < len(b):
-            if a[i].id == b[j].id:
-                kept[a[i].id] = a[i].text
-                i, j = i + 1, j + 1
-            elif length[i + 1][j] >= length[i][j + 1]:
-                i += 1
-            else:
-                j += 1
+        place = {x.id: i for i, x in enumerate(a)}
+        common = [place[x.id] for x in b if x.id in place]
+        ends, at, before = [], [], [-1] * len(common)  # the least end of a run of each length, and where it stands
+        for i, p in enumerate(common):
+            n = bisect_left(ends, p)
+            ends[n : n + 1], at[n : n + 1] = [p], [i]
+            before[i] = at[n - 1] if n else -1
+        kept, i = {}, at[-1] if at else -1
+        while i >= 0:
+            kept[a[common[i]].id] = a[common[i]].text
+            i = before[i]
         out = [("remove", x.id, None) for x in a if x.id not in kept]
         last = None
         for x in b:

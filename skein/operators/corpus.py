@@ -141,8 +141,38 @@ def unseen(items: DataFrame, seen: DataFrame, text: str = "text") -> DataFrame:
     return rows.join(seen.select("md5"), "md5", "left_anti").dropDuplicates(["md5"])
 
 
-def corpus_statistics(docs: DataFrame, chunk_chars: int = 512) -> DataFrame:
-    """A1. Documents, chunks, chunks a document, and tokens."""
-    n = F.ceil(F.length("text") / chunk_chars)
+def chunk_counts(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """A2. Chunks of each document."""
+    return chunks.groupBy(key).agg(F.count(F.lit(1)).alias("chunks"))
+
+
+def corpus_statistics(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """A1. Documents, chunks, chunks a document, and tokens of a table of chunks (key, text).
+
+    Chunks are summed up by document and then in all, so that no distinct count is needed.
+    """
     t = X.tokens(F.col("text"))
-    return docs.agg(F.count(F.lit(1)).alias("documents"), F.sum(n).alias("chunks"), F.avg(n).alias("chunks_per_document"), F.avg(t).alias("mean_tokens"), F.min(t).alias("least_tokens"), F.max(t).alias("most_tokens"))
+    each = chunks.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(t).alias("t"), F.min(t).alias("low"), F.max(t).alias("high"))
+    return each.agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("chunks"), F.avg("n").alias("chunks_per_document"), (F.sum("t") / F.sum("n")).alias("mean_tokens"), F.min("low").alias("least_tokens"), F.max("high").alias("most_tokens"))
+
+
+def report_summary(report: DataFrame) -> DataFrame:
+    """A9. One row on a report (status, chunks): how many files, how many failed or were split, and chunks."""
+    of = lambda s: F.count_if(F.col("status") == s)
+    return report.agg(F.count(F.lit(1)).alias("files"), F.sum("chunks").alias("chunks"), of("failed").alias("failed"), of("split").alias("split"), F.sum(F.when(F.col("status") == "ok", F.col("chunks")).otherwise(0)).alias("ok_chunks"))
+
+
+def failures(report: DataFrame) -> DataFrame:
+    """A9. The failed files of a report, as rows."""
+    return report.where("status = 'failed'")
+
+
+def point_lookup(rows: DataFrame, key: str, value) -> DataFrame:
+    """S15. The row with a key, at most one; the filter reaches the scan."""
+    return rows.where(F.col(key) == value).limit(1)
+
+
+def picked(choices: Column, key: str) -> Column:
+    """K7. One of an array's choices for each key, the same on every run and in every engine with MD5."""
+    n = F.conv(F.left(F.md5(F.col(key).cast("string")), F.lit(8)), 16, 10).cast("long")
+    return F.element_at(choices, (n % F.size(choices) + 1).cast("int"))

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+ACCURACY, MARGIN = 10_000, 0.0005  #: of approximate quantiles: their error is a part in ACCURACY
+
 
 def moving_average(value: str, by: list[str], order: list[str], n: int = 5) -> Column:
     """W1. The mean of the last n samples."""
@@ -125,20 +127,44 @@ def value_at(asked: DataFrame, known: DataFrame, key: str, ts: str, value: str)
     return found.where("_q = 1").select("asked_id", key, ts, "value", "known_at")
 
 
-def index_percentile(rows: DataFrame, by: str, value: str, p: float, out: str) -> DataFrame:
-    """A6. The value at place int(n * p) of the sorted values; neither interpolated nor nearest rank.
+def at_rank(rows: DataFrame, by: str, value: str, ranks: dict[str, tuple[float, Column]]) -> DataFrame:
+    """Exact values at ranks of each group: ``ranks`` gives by name a share and the 1-based rank, from ``_n`` values.
 
-    Ranks and counts by window, so that a large group is sorted with spilling and never one array.
+    Approximate quantiles on both sides of the share, five times further off than their
+    error, bound the rank; only values between them are counted by value and summed up
+    in order, so that no task holds or sorts a hot group. Null values don't count; a
+    group without others has no row.
     """
-    w = W.partitionBy(by)
-    ranked = rows.where(F.col(value).isNotNull()).withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_i", F.row_number().over(w.orderBy(value)))
-    return ranked.where(F.col("_i") == F.least(F.floor(F.col("_n") * p) + 1, F.col("_n"))).select(by, F.col(value).alias(out))
+    v = rows.where(F.col(value).isNotNull()).select(by, F.col(value).alias("_v"))
+    near = {n: (F.percentile_approx("_v", max(p - MARGIN, 0.0), ACCURACY), F.percentile_approx("_v", min(p + MARGIN, 1.0), ACCURACY)) for n, (p, _) in ranks.items()}
+    bounds = v.groupBy(by).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"), *(c.alias(f"_{n}_{i}") for n, pair in near.items() for i, c in enumerate(pair)))
+    ends = [F.struct(F.lit(n).alias("name"), r.cast("long").alias("rank"), (F.col("_least") if p <= MARGIN else F.col(f"_{n}_0")).alias("low"), (F.col("_most") if p >= 1 - MARGIN else F.col(f"_{n}_1")).alias("high")) for n, (p, r) in ranks.items()]
+    asked = bounds.select(by, F.explode(F.array(*ends)).alias("_r")).select(by, "_r.*")
+    # a row for each group and rank, so that it is small beside the values
+    placed = v.join(asked, by).where(F.col("_v") <= F.col("high"))
+    counted = placed.groupBy(by, "name", "rank", F.when(F.col("_v") >= F.col("low"), F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    order = W.partitionBy(by, "name").orderBy(F.asc_nulls_first("_v")).rowsBetween(W.unboundedPreceding, 0)
+    summed = counted.withColumn("_upto", F.sum("_c").over(order))
+    found = summed.where((F.col("rank") <= F.col("_upto")) & (F.col("rank") > F.col("_upto") - F.col("_c")))
+    return found.groupBy(by).agg(*(F.max(F.when(F.col("name") == n, F.col("_v"))).alias(n) for n in ranks))
+
+
+def index_percentile(rows: DataFrame, by: str, value: str, p: float, out: str) -> DataFrame:
+    """A6. The value at place int(n * p) of the sorted values; neither interpolated nor nearest rank."""
+    return at_rank(rows, by, value, {out: (p, F.least(F.floor(F.col("_n") * p) + 1, F.col("_n")))})
+
+
+def medians(rows: DataFrame, by: str, value: str, out: str = "median") -> DataFrame:
+    """A5, A20. Exact medians, the mean of the middle two where they are even in number."""
+    found = at_rank(rows, by, value, {"_a": (0.5, F.floor((F.col("_n") + 1) / 2)), "_b": (0.5, F.floor(F.col("_n") / 2) + 1)})
+    return found.select(by, ((F.col("_a") + F.col("_b")) / 2).alias(out))
 
 
 def latency(rows: DataFrame, by: str, value: str, ok: Column) -> DataFrame:
     """A5. Mean, median, least, most, sample deviation and success rate."""
     v = F.when(ok, F.col(value))
-    return rows.groupBy(by).agg(F.avg(v).alias("mean"), F.median(v).alias("median"), F.min(v).alias("low"), F.max(v).alias("high"), F.stddev_samp(v).alias("deviation"), F.avg(ok.cast("int")).alias("success"))
+    out = rows.groupBy(by).agg(F.avg(v).alias("mean"), F.min(v).alias("low"), F.max(v).alias("high"), F.stddev_samp(v).alias("deviation"), F.avg(ok.cast("int")).alias("success"))
+    return out.join(medians(rows.select(by, v.alias(value)), by, value), by, "left")
 
 
 def usage(rows: DataFrame) -> DataFrame:

@@ -165,14 +165,18 @@ def p17_export_round_trip(spark, d):
     return packed.select(F.from_json("j", "conv_id long, turn long, role string, text string").alias("x")).select("x.*")
 
 
-@query()
+@query("""WITH a AS (SELECT conv_id, turn, conv_id || '-' || turn AS id, text FROM conversations),
+b AS (SELECT conv_id, turn, id, CASE WHEN turn = 2 THEN text || '!' ELSE text END AS text FROM a WHERE turn <> 1 UNION ALL SELECT conv_id, 99, id || '-new', text FROM a WHERE turn = 0),
+n AS (SELECT *, lag(id) OVER (PARTITION BY conv_id ORDER BY turn) AS previous_id FROM b)
+SELECT conv_id, 'remove' AS action, id, NULL AS previous_id FROM a WHERE id NOT IN (SELECT id FROM b) UNION ALL SELECT conv_id, 'create', id, previous_id FROM n WHERE id NOT IN (SELECT id FROM a)
+UNION ALL SELECT n.conv_id, 'update', n.id, previous_id FROM n JOIN a ON a.id = n.id AND a.text <> n.text""")
 def w13_edit_script(spark, d):
     a = chats(spark, d).withColumn("id", F.concat_ws("-", "conv_id", "turn"))
     b = a.where("turn <> 1").withColumn("text", F.when(F.col("turn") == 2, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).unionByName(a.where("turn = 0").withColumn("turn", F.lit(99).cast("long")).withColumn("id", F.concat("id", F.lit("-new"))))
     return C.edit_script(a, b)
 
 
-@query()
+@query("SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn % 2 = 0, turn) - 1 AS position, turn::VARCHAR AS id FROM conversations WHERE turn <> 1")
 def w15_list_replay(spark, d):
     rows = chats(spark, d).select("conv_id", F.col("turn").alias("seq"), F.lit("insert").alias("action"), F.col("turn").cast("string").alias("id"), F.when(F.col("turn") > 1, (F.col("turn") - 2).cast("string")).alias("previous_id"))
     gone = rows.where("seq = 1").select("conv_id", F.lit(99).cast("long").alias("seq"), F.lit("delete").alias("action"), "id", "previous_id")

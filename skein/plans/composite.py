@@ -14,6 +14,7 @@ from skein.functions import words as Wd
 from skein.operators import chat, chunking, corpus
 from skein.operators import retrieval as R
 from skein.plans.registry import query, table
+from skein.sources import scratch
 
 EMBED = corpus.hashed_embedding(64)
 
@@ -104,6 +105,11 @@ def small(spark, d):
     return table(spark, d, "documents")
 
 
+def index_of(spark, d):
+    """C1's index, written once and read by whatever asks it, so that chunks are embedded once."""
+    return scratch.written(indexed(small(spark, d)), "index")
+
+
 @query()
 def c1_build_index(spark, d):
     return indexed(small(spark, d)).select("chunk_id", "doc_id", "chunk_index", F.size("embedding").alias("dim"))
@@ -112,19 +118,19 @@ def c1_build_index(spark, d):
 @query()
 def c2_answer_questions(spark, d):
     docs = small(spark, d)
-    return answered(indexed(docs), docs, questions(spark, d), threshold=0.2).select("query_id", "doc_id", "rank", F.size("snippets").alias("snippets"))
+    return answered(index_of(spark, d), docs, questions(spark, d), threshold=0.2).select("query_id", "doc_id", "rank", F.size("snippets").alias("snippets"))
 
 
 @query()
 def c3_enrich(spark, d):
     docs = small(spark, d)
-    return enriched(indexed(docs), docs, questions(spark, d)).select("query_id", "rank", "citation", "truncated")
+    return enriched(index_of(spark, d), docs, questions(spark, d)).select("query_id", "rank", "citation", "truncated")
 
 
 @query()
 def w7_combined_context(spark, d):
     docs = small(spark, d)
-    found = answered(indexed(docs), docs, questions(spark, d), threshold=0.2)
+    found = answered(index_of(spark, d), docs, questions(spark, d), threshold=0.2)
     return combined_context(found.withColumn("source", F.concat(F.lit("document "), "doc_id")), 300)
 
 
@@ -155,9 +161,11 @@ def a25_word_error_rate(spark, d):
     return rows.select("conv_id", "turn", Wd.word_error_rate(F.col("said"), F.col("truth")).alias("rate"))
 
 
-@query("SELECT conv_id, turn, md5(regexp_replace(text, '^[\\t-\\r ]+|[\\t-\\r ]+$', '', 'g')) AS digest FROM conversations")
+@query("SELECT conv_id, turn, md5(text || ' yes') AS digest FROM conversations")
 def n4_named_transforms(spark, d):
-    rows = transformed(table(spark, d, "conversations"), "text", "markdown", "emoji")
+    """Marks and an emoji are put around every text; it has to come back."""
+    marked = table(spark, d, "conversations").withColumn("text", F.concat(F.lit("## "), "text", F.lit(" *yes* \U0001f600")))
+    rows = transformed(marked, "text", "markdown", "emoji")
     return rows.select("conv_id", "turn", F.md5(X.strip(F.col("text"))).alias("digest"))
 
 
@@ -223,7 +231,7 @@ def routed(messages: DataFrame, qa: DataFrame, index: DataFrame, docs: DataFrame
 def c4_advanced_search(spark, d):
     docs = small(spark, d)
     variants = questions(spark, d).withColumn("query_id", F.lit(0).cast("long"))
-    return advanced(indexed(docs), docs, variants, ["1", "3"]).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"), "tokens")
+    return advanced(index_of(spark, d), docs, variants, ["1", "3"]).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"), "tokens")
 
 
 @query()
@@ -240,4 +248,4 @@ def c6_make_pairs(spark, d):
 def c7_route_messages(spark, d):
     docs = small(spark, d)
     chats = table(spark, d, "conversations").where("conv_id % 50 = 0")
-    return routed(chats, pairs(spark, d), indexed(docs), docs).select("query_id", "kind", "hit", F.round("score", 6).alias("score"))
+    return routed(chats, pairs(spark, d), index_of(spark, d), docs).select("query_id", "kind", "hit", F.round("score", 6).alias("score"))

@@ -9,6 +9,7 @@ from skein.functions import vectors as V
 from skein.operators import chunking
 from skein.operators import corpus as O
 from skein.plans.registry import query, table
+from skein.plans.text import strip
 
 
 def docs(spark, d):
@@ -26,15 +27,23 @@ def files(spark, d):
     return now.drop("doc_id"), f.where("doc_id % 10 <> 5").drop("doc_id")
 
 
-@query("SELECT count(*) AS documents, sum(ceil(length(text) / 512.0))::BIGINT AS chunks, round(avg(ceil(length(text) / 512.0)), 6) AS chunks_per_document, round(avg(length(text) // 4), 6) AS mean_tokens, min(length(text) // 4) AS least_tokens, max(length(text) // 4) AS most_tokens FROM documents")
+PARTS = f"parts AS (SELECT doc_id, unnest(p) AS text, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?]){X.SPACE}+', '\\1' || chr(57345), 'g'), chr(57345)), lambda s: {strip('s')}), lambda s: s <> '') AS p FROM documents))"
+
+
+def parts(spark, d):
+    """Sentences as the chunks of a document, which SQL can make too."""
+    return docs(spark, d).select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("i", "text"))
+
+
+@query(f"WITH {PARTS} SELECT count(DISTINCT doc_id) AS documents, count(*) AS chunks, round(count(*) / count(DISTINCT doc_id), 6) AS chunks_per_document, round(avg(length(text) // 4), 6) AS mean_tokens, min(length(text) // 4) AS least_tokens, max(length(text) // 4) AS most_tokens FROM parts")
 def a1_corpus_statistics(spark, d):
-    out = O.corpus_statistics(docs(spark, d))
+    out = O.corpus_statistics(parts(spark, d))
     return out.withColumns({c: F.round(c, 6) for c in ("chunks_per_document", "mean_tokens")})
 
 
-@query("SELECT source, sum(ceil(length(text) / 512.0))::BIGINT AS chunks FROM documents GROUP BY 1")
-def a2_chunks_per_source(spark, d):
-    return docs(spark, d).groupBy("source").agg(F.sum(F.ceil(F.length("text") / 512)).alias("chunks"))
+@query(f"WITH {PARTS} SELECT doc_id, count(*) AS chunks FROM parts GROUP BY 1")
+def a2_chunks_per_document(spark, d):
+    return O.chunk_counts(parts(spark, d))
 
 
 CJK = "regexp_extract_all(text || CASE WHEN doc_id % 3 = 0 THEN '中文' || chr(12354 + (doc_id % 40)::INT) ELSE '' END, '[\\x{3000}-\\x{FAFF}\\x{FB05}-\\x{10FFFF}]')"
@@ -57,18 +66,28 @@ def a7_character_frequency(spark, d):
     return O.character_frequency(damaged(spark, d), X.unsafe_characters(F.col("text")))
 
 
-@query("SELECT status, count(*) AS files, sum(chunks)::BIGINT AS chunks, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (status = 'failed') AS failures FROM (SELECT doc_id, ceil(n_chars / 512.0) AS chunks, CASE WHEN n_chars < 40 THEN 'failed' WHEN n_chars > 10000 THEN 'split' ELSE 'ok' END AS status FROM documents) GROUP BY 1")
-def a9_report_summary(spark, d):
+STATUS = "CASE WHEN n_chars < 40 THEN 'failed' WHEN n_chars > 10000 THEN 'split' ELSE 'ok' END"
+
+
+def reported(spark, d):
     status = F.when(F.col("n_chars") < 40, "failed").when(F.col("n_chars") > 10_000, "split").otherwise("ok")
-    rows = docs(spark, d).select("doc_id", F.ceil(F.col("n_chars") / 512).alias("c"), status.alias("status"))
-    failed = F.array_sort(F.collect_list(F.when(F.col("status") == "failed", F.col("doc_id"))))
-    out = rows.groupBy("status").agg(F.count(F.lit(1)).alias("files"), F.sum("c").alias("chunks"), failed.alias("f"))
-    return out.select("status", "files", "chunks", F.when(F.size("f") > 0, F.array_join(F.transform("f", lambda x: x.cast("string")), ",")).alias("failures"))
+    return docs(spark, d).select("doc_id", F.ceil(F.col("n_chars") / 512).alias("chunks"), status.alias("status"))
 
 
-@query("SELECT doc_id, source, ((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 30)::BIGINT AS batch FROM documents")
+@query(f"SELECT count(*) AS files, sum(ceil(n_chars / 512.0))::BIGINT AS chunks, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'split') AS split, sum(CASE WHEN status = 'ok' THEN ceil(n_chars / 512.0) ELSE 0 END)::BIGINT AS ok_chunks FROM (SELECT *, {STATUS} AS status FROM documents)")
+def a9_report_summary(spark, d):
+    return O.report_summary(reported(spark, d))
+
+
+@query(f"SELECT doc_id, ceil(n_chars / 512.0)::BIGINT AS chunks FROM documents WHERE {STATUS} = 'failed'")
+def a9_failures(spark, d):
+    """The list of failures, as rows, as it grows with the table."""
+    return O.failures(reported(spark, d)).select("doc_id", "chunks")
+
+
+@query(f"WITH {PARTS} SELECT doc_id, i - 1 AS i, ((row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1) // 30)::BIGINT AS batch FROM parts")
 def a11_batches_for_dedup(spark, d):
-    return O.batches_of(docs(spark, d).select("doc_id", "source"), "source", "doc_id")
+    return O.batches_of(parts(spark, d), "doc_id", "i").select("doc_id", "i", "batch")
 
 
 @query(f"WITH {FILES} SELECT n.file_name FROM now n LEFT JOIN history h USING (file_name, size, mtime, sha256) WHERE h.file_name IS NULL".replace("LEFT JOIN history h USING (file_name, size, mtime, sha256) WHERE h.file_name IS NULL", "WHERE NOT EXISTS (SELECT 1 FROM history h WHERE h.file_name = n.file_name AND h.size = n.size AND h.mtime = n.mtime AND h.sha256 = n.sha256)"))
@@ -124,10 +143,11 @@ def s12_text_export(spark, d):
     return export_lines(docs(spark, d)).select("doc_id", "line")
 
 
-@query("SELECT user_id, count(*) AS n, max(ts)::VARCHAR AS latest FROM events WHERE user_id = 7 GROUP BY 1".replace("max(ts)::VARCHAR", "strftime(max(ts), '%Y-%m-%d %H:%M:%S')"))
+@query("SELECT c_custkey, c_name || ',signed up' AS log FROM customer WHERE c_custkey = 7")
 def s15_point_lookup(spark, d):
-    e = table(spark, d, "events").where("user_id = 7")
-    return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("latest"))
+    """One account by its key, pushed down to the scan, and an entry appended to its list."""
+    found = O.point_lookup(table(spark, d, "customer"), "c_custkey", 7).withColumn("log", F.array("c_name"))
+    return found.select("c_custkey", F.array_join(F.array_append("log", F.lit("signed up")), ",").alias("log"))
 
 
 @query("""WITH t AS (SELECT 'User' || c_custkey || '@X.org' AS email, 's' || c_nationkey AS site, c_name AS display_name, 'active' AS status, c_mktsegment AS plan, c_custkey AS expires_at FROM customer WHERE c_custkey % 3 <> 0),
@@ -157,11 +177,11 @@ def f_fit_to_dimension(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.size(v).cast("long").alias("dim"), F.round(V.total(v), 6).alias("total"))
 
 
-@query()
+@query("SELECT DISTINCT user_id, ['Hello', 'Welcome', 'Good to see you'][('0x' || left(md5(user_id::VARCHAR), 8))::BIGINT % 3 + 1] AS opener FROM events")
 def k7_random_pick(spark, d):
     """One of several openers for each user, the same on every run."""
     openers = F.array(*(F.lit(x) for x in ("Hello", "Welcome", "Good to see you")))
-    return table(spark, d, "events").select("user_id").distinct().withColumn("opener", F.element_at(openers, (F.pmod(F.xxhash64("user_id"), F.lit(3)) + 1).cast("int")))
+    return table(spark, d, "events").select("user_id").distinct().withColumn("opener", O.picked(openers, "user_id"))
 
 
 @query()

@@ -143,12 +143,13 @@ def a20_median_rms(spark, d):
 
     e = F.col("embedding")
     rows = table(spark, d, "embeddings").select("label", F.sqrt(V.dot(e, e) / F.size(e)).alias("rms"))
-    return rows.groupBy("label").agg(F.round(F.median("rms"), 8).alias("rms"))
+    return G.medians(rows, "label", "rms", "rms").withColumn("rms", F.round("rms", 8))
 
 
-@query("SELECT user_id, CASE WHEN bool_or(value > 45) THEN 'unhealthy' WHEN bool_or(value > 30) THEN 'degraded' ELSE 'healthy' END AS health FROM events GROUP BY 1")
+@query("SELECT user_id, event_type, CASE WHEN bool_or(value > 45) THEN 'unhealthy' WHEN bool_or(value > 30) THEN 'degraded' ELSE 'healthy' END AS health FROM events GROUP BY 1, 2")
 def a21_health(spark, d):
-    return events(spark, d).groupBy("user_id").agg(F.when(F.bool_or(F.col("value") > 45), "unhealthy").when(F.bool_or(F.col("value") > 30), "degraded").otherwise("healthy").alias("health"))
+    """A user's events of one type stand in for the checks of a component."""
+    return events(spark, d).groupBy("user_id", "event_type").agg(F.when(F.bool_or(F.col("value") > 45), "unhealthy").when(F.bool_or(F.col("value") > 30), "degraded").otherwise("healthy").alias("health"))
 
 
 @query("SELECT event_type, " + ", ".join(f"sum((value <= {b})::INT)::BIGINT AS le_{i}" for i, b in enumerate((0.1, 0.5, 1, 2.5, 5, 10))) + ", count(*) AS n, max(value) AS gauge FROM events GROUP BY 1")
@@ -225,16 +226,28 @@ def signal(spark, d):
     return events(spark, d).select(F.col("user_id").alias("key"), (F.row_number().over(by_user()) / 10.0).alias("t"), (F.col("value") / 50).alias("p"), F.lit(0.1).alias("dt"), F.col("event_type").alias("speaker"), F.col("value").alias("level"))
 
 
-@query()
+SIGNAL = f"SELECT user_id AS key, row_number() OVER {WIN}) AS i, value / 50 AS p, event_type AS speaker, value AS level FROM events"
+
+
+@query(f"""WITH RECURSIVE o AS ({SIGNAL}),
+r AS (SELECT DISTINCT key, 0::BIGINT AS i, false AS active, 0::DOUBLE AS up, 0::DOUBLE AS down, false AS flip FROM o
+UNION ALL SELECT key, i, active <> flip, up, down, flip FROM (SELECT key, i, active, up, down, CASE WHEN active THEN p < 0.3 AND down >= 0.3 - 1e-9 ELSE p >= 0.3 AND up >= 0.1 - 1e-9 END AS flip
+  FROM (SELECT o.key, o.i, o.p, r.active, CASE WHEN o.p >= 0.3 THEN r.up + 0.1::DOUBLE ELSE 0 END AS up, CASE WHEN o.p >= 0.3 THEN 0 ELSE r.down + 0.1::DOUBLE END AS down FROM r JOIN o ON o.key = r.key AND o.i = r.i + 1)))
+SELECT key, i / 10.0 AS t, CASE WHEN active THEN 'start' ELSE 'end' END AS event, round(CASE WHEN active THEN up ELSE down END, 6) AS duration FROM r WHERE flip""")
 def x2_activity(spark, d):
-    return G.activity(signal(spark, d), on=0.3, least_on=0.1, least_off=0.3)
+    return G.activity(signal(spark, d), on=0.3, least_on=0.1, least_off=0.3).withColumn("duration", F.round("duration", 6))
 
 
-@query()
+@query(f"""WITH RECURSIVE o AS ({SIGNAL}), r AS (SELECT key, i, i AS last, p FROM o WHERE i = 1
+UNION ALL SELECT o.key, o.i, CASE WHEN o.i - r.last >= 3 THEN o.i ELSE r.last END, o.p FROM r JOIN o ON o.key = r.key AND o.i = r.i + 1)
+SELECT key, i / 10.0 AS t, p FROM r WHERE i = last""")
 def x8_throttle(spark, d):
     return G.throttled(signal(spark, d).select("key", "t", "p"), least=0.3)
 
 
-@query()
+@query(f"""WITH RECURSIVE o AS ({SIGNAL}), r AS (SELECT key, i, speaker AS who, level AS level FROM o WHERE i = 1
+UNION ALL SELECT o.key, o.i, CASE WHEN o.speaker <> r.who AND o.level > r.level * 1.2::DOUBLE THEN o.speaker ELSE r.who END,
+  CASE WHEN o.speaker = r.who THEN greatest(o.level, r.level * 0.8::DOUBLE) WHEN o.level > r.level * 1.2::DOUBLE THEN o.level ELSE r.level * 0.8::DOUBLE END FROM r JOIN o ON o.key = r.key AND o.i = r.i + 1)
+SELECT key, i / 10.0 AS t, who AS primary FROM r""".replace("AS primary", 'AS "primary"'))
 def w20_primary_speaker(spark, d):
     return G.primary_speaker(signal(spark, d).select("key", "t", "speaker", "level"))

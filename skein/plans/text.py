@@ -58,10 +58,12 @@ def p3_safe_for_speech(spark, d):
     return docs(spark, d).select("doc_id", *check(X.spoken(F.col("text"))))
 
 
-@query("SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html || '中', '[\\x{3000}-\\x{FAFF}\\x{FB05}-\\x{10FFFF}]'))), '') AS found FROM pages")
+@query("SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html || CASE WHEN page_id % 3 > 0 THEN '中' || chr(12354 + (page_id % 40)::INT) || 'ﬁ' ELSE '' END, '[\\x{3000}-\\x{FAFF}\\x{FB05}-\\x{10FFFF}]'))), '') AS found FROM pages")
 def p4_unsafe_characters(spark, d):
-    """One such character is added to every page, as the corpus holds none."""
-    return table(spark, d, "pages").select("page_id", F.array_join(F.array_sort(X.unsafe_characters(F.concat("html", F.lit("中")))), "").alias("found"))
+    """Two such characters and a ligature, which is allowed, are added to two thirds of the pages, as the corpus holds none."""
+    pool = F.lit("".join(chr(12354 + i) for i in range(40)))
+    extra = F.when(F.col("page_id") % 3 > 0, F.concat(F.lit("中"), F.substring(pool, (F.col("page_id") % 40 + 1).cast("int"), F.lit(1)), F.lit("ﬁ"))).otherwise("")
+    return table(spark, d, "pages").select("page_id", F.array_join(F.array_sort(X.unsafe_characters(F.concat("html", extra))), "").alias("found"))
 
 
 @query("SELECT page_id FROM pages WHERE url LIKE '%.html' OR url LIKE '%=feed'")
@@ -193,9 +195,12 @@ def n6_language(spark, d):
     return docs(spark, d).select("doc_id", X.language(text).alias("language"))
 
 
-@query(f"SELECT conv_id, turn, regexp_matches({strip('text')}, '[.!?]$') AS done FROM conversations")
+@query("SELECT conv_id, turn, turn % 4 <> 2 AND turn % 4 <> 3 AND regexp_matches(text, '[.!?]$') AS done FROM conversations")
 def n7_end_of_turn(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", X.ends_turn(F.col("text")).alias("done"))
+    """Every fourth turn ends in blanks, the next lacks its last character, the one after goes on."""
+    by = F.col("turn") % 4
+    text = F.when(by == 1, F.concat("text", F.lit(" \n"))).when(by == 2, F.concat(F.regexp_replace("text", "[.!?]+$", ""), F.lit("x"))).when(by == 3, F.concat("text", F.lit(" and"))).otherwise(F.col("text"))
+    return table(spark, d, "conversations").select("conv_id", "turn", X.ends_turn(text).alias("done"))
 
 
 @query("WITH s AS (SELECT conv_id, turn, text, CASE WHEN role = 'assistant' THEN '__ASSISTANT__' ELSE role END AS speaker FROM conversations) SELECT conv_id, string_agg(speaker || ': ' || text, chr(10) ORDER BY turn) AS script FROM s WHERE NOT regexp_full_match(speaker, '__[A-Z0-9_]{2,}__') GROUP BY 1")
@@ -241,11 +246,15 @@ def t14_context_expansion(spark, d):
     return chunking.expanded(joined).select("doc_id", "chunk_index", F.col("expanded").alias("text"))
 
 
-@query()
+@query("SELECT doc_id, md5('Title x' || chr(10) || translate(text, '#*_`~[]!>+<-', '') || ' not so') AS digest FROM documents")
 def n1_plain_markdown(spark, d):
-    return docs(spark, d).select("doc_id", X.plain_markdown(F.concat(F.lit("# **Title** [x](y)\n- "), "text")).alias("text"))
+    """Marks are put around texts without any; the text has to come back."""
+    bare = F.translate("text", "#*_`~[]!>+<-", "")
+    return docs(spark, d).select("doc_id", F.md5(X.plain_markdown(F.concat(F.lit("# **Title** [x](y)\n- "), bare, F.lit(" _not_ `so`")))).alias("digest"))
 
 
-@query()
+@query(rf"SELECT conv_id, turn, {strip(rf"regexp_replace(regexp_replace(lower(text || ' (don''t) ok-ay'), '[^\P{{P}}''\-]', '', 'g'), '{S}+', ' ', 'g')")} AS text FROM conversations")
 def n5_turn_text(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", X.turn_text(F.col("text")).alias("text"))
+    """Full-width letters and a ligature are added, which become plain ones."""
+    text = F.concat("text", F.lit("\u3000（ｄｏｎ'ｔ） \u200aｏk-ay"))
+    return table(spark, d, "conversations").select("conv_id", "turn", X.turn_text(text).alias("text"))

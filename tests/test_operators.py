@@ -182,3 +182,48 @@ def test_export_writes_whole_texts(spark, tmp_path):
     write_export(spark.createDataFrame([(7, "s", text)], "doc_id long, source string, text string"), f"{tmp_path}/out")
     want = "s#000007: " + text.replace("\\", "\\\\").replace("\r", "\\r").replace("\n", "\\n")
     assert [r["value"] for r in spark.read.text(f"{tmp_path}/out").collect()] == [want]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 1001, 30_000])
+def test_ranks_are_exact(spark, n):
+    """A hot group of many different values and ties, and a small one, against sorting."""
+    rng = np.random.default_rng(n)
+    hot = [("a", float(v)) for v in rng.normal(size=n)] + [("a", 0.5)] * (n // 3) + [("a", None)]
+    small = [("b", 1.0), ("b", 4.0), ("c", None)]
+    df = spark.createDataFrame(hot + small, "k string, v double")
+    values = sorted(v for _, v in hot if v is not None)
+    got = dict(map(tuple, signals.medians(df, "k", "v").collect()))
+    assert got == pytest.approx({"a": float(np.median(values)), "b": 2.5})
+    for p in (0.0, 0.95, 1.0):
+        got = dict(map(tuple, signals.index_percentile(df, "k", "v", p, "x").collect()))
+        assert got == {"a": values[min(int(len(values) * p), len(values) - 1)], "b": 4.0 if p else 1.0}
+
+
+def test_edit_script_keeps_a_longest_common_subsequence(spark):
+    """On shuffled versions: replaying the script gives the new one, and no longer part could be kept."""
+    rng = np.random.default_rng(5)
+    old, new = [], []
+    for conv in range(20):
+        a, b = (list(rng.permutation(12)[: rng.integers(0, 13)]) for _ in range(2))
+        old += [(conv, i, str(x), "t") for i, x in enumerate(a)]
+        new += [(conv, i, str(x), "t") for i, x in enumerate(b)]
+    schema = "conv_id long, turn long, id string, text string"
+    script = chat.edit_script(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema)).collect()
+    for conv in range(20):
+        a, b = ([x for c, _, x, _ in rows_ if c == conv] for rows_ in (old, new))
+        best = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1, j + 1] = best[i, j] + 1 if x == y else max(best[i, j + 1], best[i + 1, j])
+        removed = [r["id"] for r in script if r["conv_id"] == conv and r["action"] == "remove"]
+        made = {r["id"]: r["previous_id"] for r in script if r["conv_id"] == conv and r["action"] == "create"}
+        kept = [x for x in a if x not in removed]
+        assert kept == [x for x in b if x not in made] and len(kept) == best[-1, -1]
+        assert all(previous == (b[b.index(x) - 1] if b.index(x) else None) for x, previous in made.items())
+
+
+def test_normal_forms_for_turn_models(spark):
+    from skein.functions import text as X
+
+    got = spark.createDataFrame([("ＡＢＣ！ ﬁne",), (None,), ("it's O-K.",)], "t string").select(X.turn_text(F.col("t")).alias("t")).collect()
+    assert [r["t"] for r in got] == ["abc fine", None, "it's o-k"]
