@@ -237,3 +237,42 @@ def byte_size(n: Column) -> Column:
     for power, unit in ((3, "GB"), (2, "MB"), (1, "KB"), (0, "B")):
         out = F.when(n < 1024.0 ** (power + 1), F.format_string(f"%.2f {unit}", n / 1024.0**power)).otherwise(out)
     return out
+
+
+def has_suffix(name: Column, suffixes: tuple[str, ...]) -> Column:
+    """P6. Whether a name ends with one of the suffixes."""
+    return F.exists(F.array(*(F.lit(s) for s in suffixes)), lambda s: F.endswith(name, s))
+
+
+def user_of_room(room: Column) -> Column:
+    """P12. The user in a room's name: what stands before ``_conversation``, else before the first underscore."""
+    return F.when(F.contains(room, F.lit("_conversation")), F.split_part(room, F.lit("_conversation"), F.lit(1))).otherwise(F.split_part(room, F.lit("_"), F.lit(1)))
+
+
+def part_of_room(room: Column, n: int) -> Column:
+    """P20. The n-th part of a room's name of the form room::user::speaker; empty if there is none."""
+    return F.split_part(room, F.lit("::"), F.lit(n))
+
+
+def secure_name(name: Column) -> Column:
+    """P14. A file name without folders: anything but letters, digits, _ . - becomes one underscore, none of . and _ at the ends."""
+    flat = F.regexp_replace(F.regexp_replace(F.replace(name, F.lit("/"), F.lit("_")), "[^A-Za-z0-9_.-]", "_"), "_+", "_")
+    return F.regexp_replace(flat, r"^[._]+|[._]+$", "")
+
+
+def json_field(text: Column, field: str, kind: str, default) -> Column:
+    """P15. A field of a JSON text; the default where the text is broken or lacks it."""
+    return F.coalesce(F.from_json(text, f"{field} {kind}")[field], F.lit(default))
+
+
+def interrupts(text: Column, seconds: Column, least_words: int, least_seconds: float) -> Column:
+    """P19. Whether speech is long enough, in words and seconds, to interrupt."""
+    return (F.size(words(text)) >= least_words) & (seconds >= least_seconds)
+
+
+def first_reason(*checks: tuple[Column, str], otherwise: str = "ok") -> Column:
+    """P13. The reason of the first check that holds, in order; of a token: whether it is valid, expired, for this site and device."""
+    out = F.lit(otherwise)
+    for fails, reason in reversed(checks):
+        out = F.when(fails, reason).otherwise(out)
+    return out

@@ -176,3 +176,50 @@ def replayed(log: DataFrame) -> DataFrame:
         return pd.DataFrame({CONV: rows[CONV].iloc[0], "position": range(len(out)), "id": out})
 
     return log.groupBy(CONV).applyInPandas(run, f"{CONV} long, position long, id string")
+
+
+def long_enough(chats: DataFrame, least: int = 3) -> DataFrame:
+    """P9. Items of at least so many characters, blanks at the ends not counted."""
+    return chats.where(F.length(F.trim("text")) >= least)
+
+
+def without_instructions(chats: DataFrame, roles: tuple[str, ...] = ("system", "developer")) -> DataFrame:
+    """P10. Items that aren't instructions and have a text."""
+    return chats.where(~F.col("role").isin(*roles) & (F.col("text") != ""))
+
+
+def text_content(content: Column) -> Column:
+    """P11. The text parts of an array of (kind, text), one a line; null where there is none."""
+    texts = F.filter(content, lambda x: x["kind"] == "text")
+    return F.when(F.size(texts) > 0, F.array_join(F.transform(texts, lambda x: x["text"]), "\n"))
+
+
+def exported(chats: DataFrame, *excluded: str) -> DataFrame:
+    """P17. Items as JSON, without those of the excluded roles."""
+    return chats.where(~F.col("role").isin(*excluded)).select(F.to_json(F.struct(CONV, TURN, "role", "text")).alias("json"))
+
+
+def imported(rows: DataFrame) -> DataFrame:
+    """P17. The items of ``exported``."""
+    return rows.select(F.from_json("json", f"{CONV} long, {TURN} long, role string, text string").alias("x")).select("x.*")
+
+
+def statistics(chats: DataFrame, retrieved: Column) -> DataFrame:
+    """A8. Messages, characters, tokens and retrieved tokens by role."""
+    n = X.tokens(F.col("text"))
+    return chats.groupBy("role").agg(F.count(F.lit(1)).alias("messages"), F.sum(F.length("text")).alias("chars"), F.sum(n).alias("tokens"), F.sum(F.when(retrieved, n).otherwise(0)).alias("retrieved"))
+
+
+def last_of_role(chats: DataFrame, role: str = "user") -> DataFrame:
+    """W10. The last item of a role in each conversation; others are put before its turn."""
+    return chats.where(F.col("role") == role).groupBy(CONV).agg(F.max(TURN).alias(TURN), F.max_by("text", TURN).alias("text"))
+
+
+def placed_by(chats: DataFrame, created: str) -> DataFrame:
+    """W12. Each item's position by time of creation; of equal times the later item stands behind."""
+    return chats.withColumn("position", F.row_number().over(ordered(created, TURN)).cast("long"))
+
+
+def headed(messages: DataFrame, key: str, order: list[str], label: str) -> DataFrame:
+    """W8. Whether a message's ``label`` differs from the one before, so that it gets a ``heading``."""
+    return messages.withColumn("heading", ~F.col(label).eqNullSafe(F.lag(label).over(W.partitionBy(key).orderBy(*order))) | (F.row_number().over(W.partitionBy(key).orderBy(*order)) == 1))

@@ -176,3 +176,22 @@ def picked(choices: Column, key: str) -> Column:
     """K7. One of an array's choices for each key, the same on every run and in every engine with MD5."""
     n = F.conv(F.left(F.md5(F.col(key).cast("string")), F.lit(8)), 16, 10).cast("long")
     return F.element_at(choices, (n % F.size(choices) + 1).cast("int"))
+
+
+def every_nth(rows: DataFrame, key: str, n: int, *ties: str, run: int = 4096) -> DataFrame:
+    """K8. Every n-th row in the order of its key, then ``ties``, beginning with the first; null keys stand last.
+
+    Places by two passes, so that no task orders all rows: counts by runs of keys, then places inside a run.
+    """
+    placed = rows.withColumn("_r", F.floor(F.col(key) / run))
+    counts = placed.groupBy("_r").agg(F.count(F.lit(1)).alias("_n"))
+    # one row for each run of keys
+    before = counts.select("_r", F.coalesce(F.sum("_n").over(W.orderBy(F.asc_nulls_last("_r")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(W.partitionBy("_r").orderBy(F.asc_nulls_last(key), *ties)) - 1
+    found = placed.withColumn("_i", inside).join(before, placed["_r"].eqNullSafe(before["_r"]))
+    return found.where((F.col("_base") + F.col("_i")) % n == 0).select(*rows.columns)
+
+
+def with_default(rows: DataFrame, known: DataFrame, key: str, column: str, default: str) -> DataFrame:
+    """J2. Rows with a column looked up by key; the default where there is none."""
+    return rows.join(known, key, "left").withColumn(column, F.coalesce(column, F.lit(default)))

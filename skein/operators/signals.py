@@ -172,3 +172,110 @@ def usage(rows: DataFrame) -> DataFrame:
     of = lambda c, *kinds: F.coalesce(F.sum(F.when(F.col("type").isin(*kinds), F.col(c))), F.lit(0))
     both = ("llm", "realtime")
     return rows.agg(of("prompt_tokens", *both).alias("llm_prompt_tokens"), of("cached_tokens", *both).alias("llm_prompt_cached_tokens"), of("completion_tokens", *both).alias("llm_completion_tokens"), of("input_audio_tokens", "realtime").alias("llm_input_audio_tokens"), of("output_audio_tokens", "realtime").alias("llm_output_audio_tokens"), of("characters", "tts").alias("tts_characters_count"), of("audio_seconds", "tts").alias("tts_audio_duration"), of("audio_seconds", "stt").alias("stt_audio_duration"))
+
+
+def integral(rate: str, by: list[str], order: list[str], ts: str = "ts") -> tuple[Column, Column]:
+    """W18. (part, total): what a rate adds up to since the sample before, and since the first; a rate holds until the next.
+
+    The total is a window over the part as a column, so it is given its name: ``part``.
+    """
+    w = W.partitionBy(*by).orderBy(*order)
+    us = F.unix_micros(ts)
+    return (us - F.lag(us).over(w)) / 1e6 * F.lag(rate).over(w), F.coalesce(F.sum("part").over(w), F.lit(0.0))
+
+
+def alert(change: Column) -> Column:
+    """W19. The level of a change in per cent."""
+    return F.when(change >= 100, "critical").when(change >= 50, "high").when(change >= 20, "raised").otherwise("ok")
+
+
+def change_alerts(rows: DataFrame, key: str, order: list[str], value: str, n: int = 10) -> DataFrame:
+    """W19. The change of the mean of the last n samples against the first sample, in per cent, with its alert; none where that isn't positive."""
+    w = W.partitionBy(key).orderBy(*order)
+    based = rows.withColumns({"_mean": moving_average(value, [key], order, n), "_base": F.first(value).over(w)}).where("_base > 0")
+    change = (F.col("_mean") - F.col("_base")) / F.col("_base") * 100
+    return based.withColumn("change", change).withColumn("alert", alert(F.col("change"))).drop("_mean", "_base")
+
+
+def ramp(keys: DataFrame, start: float, by: float, target: float, steps: int) -> DataFrame:
+    """W24. For each row ``steps`` values that go down by a step each, not below the target."""
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(steps - 1).cast("long")))
+    return keys.withColumn("step", every).withColumn("value", F.greatest(F.lit(start) - F.col("step") * by, F.lit(target)))
+
+
+def framed(chunks: DataFrame, key: str, size: str, frame: int = 4096, run: int = 4096) -> DataFrame:
+    """W16. Chunks (key in order, ``size`` in bytes as a column's name) as one stream cut into frames: start, first and last frame.
+
+    Offsets come from two passes, sums by runs of keys and then inside a run, so that no
+    task orders all chunks. A chunk without bytes has its last frame before the first.
+    """
+    rows = chunks.withColumn("_run", F.floor(F.col(key) / run))
+    before = rows.groupBy("_run").agg(F.sum(size).alias("_n")).select("_run", F.coalesce(F.sum("_n").over(W.orderBy("_run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    inside = F.coalesce(F.sum(size).over(W.partitionBy("_run").orderBy(key).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.withColumn("_in", inside).join(before, "_run").withColumn("start", F.col("_base") + F.col("_in"))
+    return placed.withColumns({"first_frame": F.floor(F.col("start") / frame), "last_frame": F.floor((F.col("start") + F.col(size) - 1) / frame)}).drop("_run", "_in", "_base")
+
+
+def near_in_time(asked: DataFrame, known: DataFrame, key: str, at: str, ts: str, seconds: int) -> DataFrame:
+    """J14. Asked rows with the known ones of their key at most so many seconds away, by buckets of that length and equality.
+
+    An asked row stands in three buckets; in each of these it has a row with nulls if nothing is near.
+    """
+    bucket = lambda c: F.floor(F.unix_seconds(c) / seconds)
+    a = asked.withColumn("_b", F.explode(F.array(*(bucket(F.col(at)) + i for i in (-1, 0, 1)))))
+    k = known.withColumn("_b", bucket(F.col(ts)))
+    close = F.abs(F.unix_micros(k[ts]) - F.unix_micros(a[at])) <= seconds * 1_000_000
+    return a.join(k, (a[key] == k[key]) & (a["_b"] == k["_b"]) & close, "left").drop(k[key], a["_b"], k["_b"])
+
+
+def mean_confidence(rows: DataFrame, by: str, value: str, counts: Column) -> DataFrame:
+    """A16. The mean of those values that count, 0 if none does."""
+    return rows.groupBy(by).agg(F.coalesce(F.avg(F.when(counts, F.col(value))), F.lit(0.0)).alias("confidence"))
+
+
+def request_metrics(rows: DataFrame, by: str, ts: str, token: Column) -> DataFrame:
+    """A17. Seconds to the first token, seconds in all and tokens a second of each request; requests without tokens or time are left out."""
+    us = F.unix_micros(ts)
+    out = rows.groupBy(by).agg(F.min(us).alias("_a"), F.max(us).alias("_b"), F.min(F.when(token, us)).alias("_t"), F.count_if(token).alias("_n")).where("_n > 0 and _b > _a")
+    seconds = (F.col("_b") - F.col("_a")) / 1e6
+    return out.select(by, ((F.col("_t") - F.col("_a")) / 1e6).alias("ttft"), seconds.alias("duration"), (F.col("_n") / seconds).alias("rate"))
+
+
+def flushed(rows: DataFrame, by: str, order: list[str], value: str, n: int) -> DataFrame:
+    """A18. Sums of full batches of n samples; what is left over isn't flushed."""
+    batch = F.floor((F.row_number().over(W.partitionBy(by).orderBy(*order)) - 1) / n)
+    sums = rows.withColumn("batch", batch).groupBy(by, "batch").agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("_n"))
+    return sums.where(F.col("_n") == n).drop("_n")
+
+
+def health(rows: DataFrame, by: list[str], fails: Column, warns: Column) -> DataFrame:
+    """A21. Unhealthy if any check fails, degraded if any warns."""
+    return rows.groupBy(*by).agg(F.when(F.bool_or(fails), "unhealthy").when(F.bool_or(warns), "degraded").otherwise("healthy").alias("health"))
+
+
+def histogram(rows: DataFrame, by: str, value: str, bounds: tuple[float, ...]) -> DataFrame:
+    """A22. Cumulative counts up to each bound, all values' count and the largest as a gauge."""
+    return rows.groupBy(by).agg(*(F.sum((F.col(value) <= b).cast("int")).alias(f"le_{i}") for i, b in enumerate(bounds)), F.count(F.lit(1)).alias("n"), F.max(value).alias("gauge"))
+
+
+def capacity(chunks: DataFrame, key: str, documents: list[int]) -> DataFrame:
+    """A23. Vectors to expect for numbers of documents, from a table of documents with their chunks as ``key``."""
+    mean = chunks.agg((F.sum(key) / F.count(F.lit(1))).alias("_m"))
+    return mean.withColumn("documents", F.explode(F.array(*(F.lit(n) for n in documents)))).select("documents", (F.col("_m") * F.col("documents")).alias("vectors"))
+
+
+def starts(seconds: Column, by: str, order: str) -> Column:
+    """X20. When each sentence starts: the seconds of those before it."""
+    return F.coalesce(F.sum(seconds).over(W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+
+
+def at_limit(load: str, capacity: float, by: list[str], order: list[str], threshold: float = 0.7, n: int = 5) -> Column:
+    """X18. Whether the mean load of the last n samples is over that share of the capacity, so that no more work is taken."""
+    return moving_average(load, by, order, n) / capacity > threshold
+
+
+def threshold_of(rows: DataFrame, known: DataFrame, tag: str = "tag") -> DataFrame:
+    """J16. The ``threshold`` known for a language tag, else for the part before its hyphen; a small table is looked up twice."""
+    base = F.split_part(F.col(tag), F.lit("-"), F.lit(1))
+    exact, general = known.select(F.col("tag").alias(tag), F.col("threshold").alias("_e")), known.select(F.col("tag").alias("_base"), F.col("threshold").alias("_g"))
+    return rows.withColumn("_base", base).join(exact, tag, "left").join(general, "_base", "left").withColumn("threshold", F.coalesce("_e", "_g")).drop("_base", "_e", "_g")

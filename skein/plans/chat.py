@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as X
 from skein.operators import chat as C
+from skein.operators import history as H
 from skein.plans.registry import query, table
 
 S = X.SPACE
@@ -52,13 +53,13 @@ def w9_merge_turns(spark, d):
 
 @query("SELECT conv_id, max(turn) AS turn, arg_max(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY 1")
 def w10_last_user_message(spark, d):
-    return chats(spark, d).where("role = 'user'").groupBy("conv_id").agg(F.max("turn").alias("turn"), F.max_by("text", "turn").alias("text"))
+    return C.last_of_role(chats(spark, d))
 
 
 @query("WITH x AS (SELECT conv_id, turn, 2 * (turn // 2) AS created FROM conversations) SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY created, turn) AS position FROM x")
 def w12_ordered_insert(spark, d):
     rows = chats(spark, d).select("conv_id", "turn", (F.floor(F.col("turn") / 2) * 2).alias("created"))
-    return rows.select("conv_id", "turn", F.row_number().over(C.ordered("created", "turn")).cast("long").alias("position"))
+    return C.placed_by(rows, "created").select("conv_id", "turn", "position")
 
 
 @query("WITH b AS (SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 AND turn = 1 THEN text || '!' ELSE text END AS text FROM conversations WHERE NOT (conv_id % 7 = 0 AND turn = 2)) SELECT conv_id, bool_and(a.text IS NOT DISTINCT FROM b.text) AS same FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations) a FULL JOIN (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM b) b USING (conv_id, i) GROUP BY 1")
@@ -81,17 +82,13 @@ def w23_word_budget(spark, d):
 
 @query("WITH x AS (SELECT *, date_diff('microsecond', ts, TIMESTAMP '2024-02-05') / 86400000000.0 AS days FROM events), y AS (SELECT user_id, event_id, ts, CASE WHEN days < 1 THEN 'today' WHEN days < 2 THEN 'yesterday' WHEN days < 7 THEN floor(days)::BIGINT || ' days ago' WHEN days < 14 THEN 'more than a week ago' WHEN days < 30 THEN '2 weeks ago' ELSE 'more than a month ago' END AS label FROM x) SELECT user_id, event_id, label FROM y QUALIFY label IS DISTINCT FROM lag(label) OVER (PARTITION BY user_id ORDER BY ts, event_id)")
 def w8_relative_date_groups(spark, d):
-    from pyspark.sql import Window as W
-
     rows = table(spark, d, "events").withColumn("label", C.relative_day(F.col("ts").cast("timestamp"), F.lit("2024-02-05").cast("timestamp")))
-    before = F.lag("label").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    return rows.withColumn("_b", before).where(~F.col("label").eqNullSafe(F.col("_b"))).select("user_id", "event_id", "label")
+    return C.headed(rows, "user_id", ["ts", "event_id"], "label").where("heading").select("user_id", "event_id", "label")
 
 
 @query(f"SELECT role, count(*) AS messages, sum(length(text))::BIGINT AS chars, sum(length(text) // 4)::BIGINT AS tokens, sum(CASE WHEN turn % 2 = 1 THEN length(text) // 4 ELSE 0 END)::BIGINT AS retrieved FROM conversations GROUP BY 1")
 def a8_chat_statistics(spark, d):
-    n = X.tokens(F.col("text"))
-    return chats(spark, d).groupBy("role").agg(F.count(F.lit(1)).alias("messages"), F.sum(F.length("text")).alias("chars"), F.sum(n).alias("tokens"), F.sum(F.when(F.col("turn") % 2 == 1, n).otherwise(0)).alias("retrieved"))
+    return C.statistics(chats(spark, d), F.col("turn") % 2 == 1)
 
 
 @query(r"WITH m AS (SELECT doc_id, unnest(w) AS memory, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, string_split(replace(text, chr(10), ' '), ' ') AS w FROM documents)) SELECT doc_id, memory, i - 1 AS position FROM m QUALIFY row_number() OVER (PARTITION BY doc_id, lower(memory) ORDER BY i) = 1")
@@ -130,39 +127,34 @@ def j10_append_missing(spark, d):
 SELECT event_id, arg_min(k.day, p) AS key_day FROM e LEFT JOIN k USING (user_id, day) GROUP BY 1""".replace("arg_min(k.day, p)", "arg_min(CASE WHEN k.user_id IS NULL THEN NULL ELSE day END, CASE WHEN k.user_id IS NULL THEN NULL ELSE p END)"))
 def j11_day_key(spark, d):
     """Days with a signup stand in for days with a key."""
-    e = table(spark, d, "events")
-    day = lambda n: F.date_format(F.date_add("ts", n), "yyyyMMdd")
-    keys = e.where("event_type = 'signup'").select("user_id", day(0).alias("day")).distinct().withColumn("_k", F.col("day"))
-    asked = e.where("event_type = 'error'").select("event_id", "user_id", F.posexplode(F.array(day(0), day(-1), day(1))).alias("p", "day"))
-    found = asked.join(keys, ["user_id", "day"], "left")
-    return found.groupBy("event_id").agg(F.min_by("_k", F.when(F.col("_k").isNotNull(), F.col("p"))).alias("key_day"))
+    e = table(spark, d, "events").withColumn("ts", F.unix_millis(F.col("ts").cast("timestamp")))
+    day = H.day_of(F.col("ts"))
+    keys = e.where("event_type = 'signup'").select("user_id", day.alias("day"), day.alias("key")).distinct()
+    return H.with_keys(e.where("event_type = 'error'").select("event_id", "user_id", "ts"), keys).select("event_id", F.col("key").alias("key_day"))
 
 
 @query("SELECT conv_id, turn FROM conversations WHERE length(trim(text)) >= 30")
 def p9_skip_short(spark, d):
     """Thirty characters here, as no message is under three."""
-    return chats(spark, d).where(F.length(F.trim("text")) >= 30).select("conv_id", "turn")
+    return C.long_enough(chats(spark, d), 30).select("conv_id", "turn")
 
 
 @query("SELECT conv_id, turn, role FROM conversations WHERE role NOT IN ('system', 'developer') AND text <> ''")
 def p10_exclude_instructions(spark, d):
-    return chats(spark, d).where((~F.col("role").isin("system", "developer")) & (F.col("text") != "")).select("conv_id", "turn", "role")
+    return C.without_instructions(chats(spark, d)).select("conv_id", "turn", "role")
 
 
 @query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS content FROM conversations WHERE role = 'user' GROUP BY 1")
 def p11_text_content(spark, d):
     parts = F.array_sort(F.collect_list(F.struct("turn", F.struct(F.when(F.col("role") == "user", "text").otherwise("image").alias("kind"), "text").alias("c"))))
     content = chats(spark, d).groupBy("conv_id").agg(F.transform(parts, lambda x: x["c"]).alias("content"))
-    texts = content.withColumn("content", F.filter("content", lambda x: x["kind"] == "text")).where(F.size("content") > 0)
-    return texts.select("conv_id", F.array_join(F.transform("content", lambda x: x["text"]), "\n").alias("content"))
+    return content.select("conv_id", C.text_content(F.col("content")).alias("content")).where("content is not null")
 
 
 @query("SELECT conv_id, turn, role, text FROM conversations WHERE role <> 'system'")
 def p17_export_round_trip(spark, d):
     """To JSON without the excluded items, and back."""
-    kept = chats(spark, d).where("role <> 'system'")
-    packed = kept.select(F.to_json(F.struct("conv_id", "turn", "role", "text")).alias("j"))
-    return packed.select(F.from_json("j", "conv_id long, turn long, role string, text string").alias("x")).select("x.*")
+    return C.imported(C.exported(chats(spark, d), "system"))
 
 
 @query("""WITH a AS (SELECT conv_id, turn, conv_id || '-' || turn AS id, text FROM conversations),

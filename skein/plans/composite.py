@@ -142,8 +142,7 @@ def c8_load_history(spark, d):
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     last = e.withColumn("_r", F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))).where("_r <= 6")
     rows = last.withColumn("label", chat.relative_day(F.col("ts"), F.lit("2024-02-05").cast("timestamp")))
-    before = F.lag("label").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    return rows.select("user_id", "event_id", "label", (~F.col("label").eqNullSafe(before)).alias("heading"))
+    return chat.headed(rows, "user_id", ["ts", "event_id"], "label").select("user_id", "event_id", "label", "heading")
 
 
 THE = r"(^|[\t-\r ])the([!-/:-@\[-`{-~]*)($|[\t-\r ])"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as X
 from skein.functions import vectors as V
+from skein.operators import corpus
 from skein.operators import retrieval as R
 from skein.plans.registry import query, table
 
@@ -161,12 +162,7 @@ def a19_vector_statistics(spark, d):
 @query("SELECT vec_id, label FROM embeddings QUALIFY (row_number() OVER (ORDER BY vec_id) - 1) % 25 = 0")
 def k8_every_nth(spark, d):
     """Places by two passes, so that no task orders all rows: counts by runs of ids, then places inside a run."""
-    rows = table(spark, d, "embeddings").select("vec_id", "label").withColumn("_r", F.floor(F.col("vec_id") / 4096))
-    counts = rows.groupBy("_r").agg(F.count(F.lit(1)).alias("_n"))
-    # one row for each 4096 ids
-    before = counts.select("_r", F.coalesce(F.sum("_n").over(W.orderBy(F.asc_nulls_last("_r")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    placed = rows.withColumn("_i", F.row_number().over(W.partitionBy("_r").orderBy(F.asc_nulls_last("vec_id"), "label")) - 1).join(before, rows["_r"].eqNullSafe(before["_r"]))
-    return placed.where((F.col("_base") + F.col("_i")) % 25 == 0).select("vec_id", "label")
+    return corpus.every_nth(table(spark, d, "embeddings").select("vec_id", "label"), "vec_id", 25, "label")
 
 
 @query("WITH v AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT a, b, round(score, 6) AS score FROM v WHERE score > 0.3")
@@ -182,7 +178,8 @@ def j1_hit_to_metadata(spark, d):
 
 @query("SELECT doc_id, coalesce(quality::VARCHAR, 'No summary available') AS summary FROM documents LEFT JOIN labels USING (doc_id)")
 def j2_summary_with_default(spark, d):
-    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").select("doc_id", F.coalesce(F.col("quality").cast("string"), F.lit("No summary available")).alias("summary"))
+    found = corpus.with_default(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").select("doc_id", F.col("quality").cast("string").alias("summary")), "doc_id", "summary", "No summary available")
+    return found.select("doc_id", "summary")
 
 
 @query("SELECT vec_id, length(text) AS n FROM embeddings LEFT JOIN documents ON vec_id = doc_id")

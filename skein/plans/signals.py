@@ -36,32 +36,25 @@ def w2_exponential_smoothing(spark, d):
 @query("WITH o AS (SELECT doc_id, sum(strlen(text)) OVER (ORDER BY doc_id) - strlen(text) AS start, strlen(text) AS n FROM documents) SELECT doc_id, start::BIGINT AS start, (start // 4096)::BIGINT AS first_frame, ((start + n - 1) // 4096)::BIGINT AS last_frame FROM o")
 def w16_rebuffering(spark, d):
     """Documents as a byte stream, cut into frames of 4096; offsets in two passes, by ranges of ids."""
-    rows = table(spark, d, "documents").select("doc_id", F.octet_length("text").cast("long").alias("n"), F.floor(F.col("doc_id") / 4096).alias("part"))
-    starts = rows.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    inside = F.coalesce(F.sum("n").over(W.partitionBy("part").orderBy("doc_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = rows.withColumn("_in", inside).join(starts, "part").withColumn("start", F.col("base") + F.col("_in"))
-    return placed.select("doc_id", "start", F.floor(F.col("start") / 4096).alias("first_frame"), F.floor((F.col("start") + F.col("n") - 1) / 4096).alias("last_frame"))
+    rows = table(spark, d, "documents").select("doc_id", F.octet_length("text").cast("long").alias("n"))
+    return G.framed(rows, "doc_id", "n").select("doc_id", "start", "first_frame", "last_frame")
 
 
 @query(f"WITH x AS (SELECT user_id, event_id, ts, ({US} - lag({US}) OVER {WIN})) / 1e6 * lag(value) OVER {WIN}) AS part FROM events) SELECT event_id, round(coalesce(sum(part) OVER {WIN}), 0), 1) AS integral FROM x")
 def w18_integral_of_rate(spark, d):
-    us = F.unix_micros("ts")
-    part = (us - F.lag(us).over(by_user())) / 1e6 * F.lag("value").over(by_user())
-    return events(spark, d).withColumn("part", part).select("event_id", F.round(F.coalesce(F.sum("part").over(by_user()), F.lit(0.0)), 1).alias("integral"))
+    part, total = G.integral("value", ["user_id"], ["ts", "event_id"])
+    return events(spark, d).withColumn("part", part).select("event_id", F.round(total, 1).alias("integral"))
 
 
 @query(f"""WITH x AS (SELECT event_id, avg(value) OVER {WIN} ROWS 9 PRECEDING) AS mean, first_value(value) OVER {WIN}) AS base FROM events)
 SELECT event_id, round((mean - base) / base * 100, 4) AS change, CASE WHEN (mean - base) / base * 100 >= 100 THEN 'critical' WHEN (mean - base) / base * 100 >= 50 THEN 'high' WHEN (mean - base) / base * 100 >= 20 THEN 'raised' ELSE 'ok' END AS alert FROM x WHERE base > 0""")
 def w19_change_alerts(spark, d):
-    rows = events(spark, d).select("event_id", G.moving_average("value", ["user_id"], ["ts", "event_id"], 10).alias("mean"), F.first("value").over(by_user()).alias("base")).where("base > 0")
-    change = (F.col("mean") - F.col("base")) / F.col("base") * 100
-    return rows.select("event_id", F.round(change, 4).alias("change"), F.when(change >= 100, "critical").when(change >= 50, "high").when(change >= 20, "raised").otherwise("ok").alias("alert"))
+    return G.change_alerts(events(spark, d), "user_id", ["ts", "event_id"], "value").select("event_id", F.round("change", 4).alias("change"), "alert")
 
 
 @query("SELECT user_id, i AS step, greatest(1.0 - i * 0.15, 0.4)::DOUBLE AS value FROM (SELECT DISTINCT user_id FROM events), range(0, 6) t(i)")
 def w24_linear_ramp(spark, d):
-    steps = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long")))
-    return events(spark, d).select("user_id").distinct().withColumn("step", steps).withColumn("value", F.greatest(F.lit(1.0) - F.col("step") * 0.15, F.lit(0.4)))
+    return G.ramp(events(spark, d).select("user_id").distinct(), 1.0, 0.15, 0.4, 6)
 
 
 @query("""SELECT e.event_id AS asked_id, p.value, round(epoch_us(e.ts) / 1e6 - epoch_us(p.ts) / 1e6, 3) AS age FROM (SELECT * FROM events WHERE event_type = 'click') e
@@ -76,21 +69,17 @@ def j13_as_of(spark, d):
 def j14_interval_join(spark, d):
     """Both sides are cut into buckets of the interval's length, so that the join is on equality."""
     e = events(spark, d)
-    hours = 6 * 3600
-    bucket = lambda c: F.floor(F.unix_seconds(c) / hours)
-    c = e.where("event_type = 'signup'").select("event_id", "user_id", F.col("ts").alias("at")).withColumn("b", F.explode(F.array(*(bucket(F.col("at")) + i for i in (-1, 0, 1)))))
-    v = e.where("event_type = 'view'").select("user_id", F.col("ts").alias("t"), "value", bucket(F.col("ts")).alias("b"))
-    near = c.join(v, ["user_id", "b"], "left").withColumn("value", F.when(F.abs(F.unix_micros("t") - F.unix_micros("at")) <= hours * 1_000_000, F.col("value")))
+    c = e.where("event_type = 'signup'").select("event_id", "user_id", F.col("ts").alias("at"))
+    v = e.where("event_type = 'view'").select("user_id", "ts", "value")
+    near = G.near_in_time(c, v, "user_id", "at", "ts", 6 * 3600)
     return near.groupBy("event_id").agg(F.median("value").alias("level"), F.count("value").alias("n"))
 
 
 @query("WITH t AS (SELECT * FROM (VALUES ('en', 0.1), ('fr', 0.2), ('de-AT', 0.3)) t(tag, threshold)), l AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang || '-AT' ELSE lang END AS tag FROM documents) SELECT doc_id, coalesce(a.threshold, b.threshold)::DOUBLE AS threshold FROM l LEFT JOIN t a ON l.tag = a.tag LEFT JOIN t b ON split_part(l.tag, '-', 1) = b.tag")
 def j16_language_threshold(spark, d):
-    t = spark.createDataFrame([("en", 0.1), ("fr", 0.2), ("de-AT", 0.3)], "tag string, threshold double")
+    known = spark.createDataFrame([("en", 0.1), ("fr", 0.2), ("de-AT", 0.3)], "tag string, threshold double")
     rows = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat("lang", F.lit("-AT"))).otherwise(F.col("lang")).alias("tag"))
-    rows = rows.withColumn("base", F.split_part("tag", F.lit("-"), F.lit(1)))
-    a, b = t.toDF("tag", "exact"), t.toDF("base", "general")
-    return rows.join(a, "tag", "left").join(b, "base", "left").select("doc_id", F.coalesce("exact", "general").alias("threshold"))
+    return G.threshold_of(rows, known).select("doc_id", "threshold")
 
 
 KINDS = "CASE event_type WHEN 'click' THEN 'llm' WHEN 'view' THEN 'realtime' WHEN 'purchase' THEN 'tts' WHEN 'signup' THEN 'stt' ELSE 'eou' END"
@@ -119,22 +108,20 @@ def a6_index_percentile(spark, d):
 
 @query("SELECT user_id, coalesce(avg(value) FILTER (event_type = 'click'), 0) AS confidence FROM events GROUP BY 1".replace("coalesce(avg(value) FILTER (event_type = 'click'), 0)", "round(coalesce(avg(value) FILTER (event_type = 'click'), 0), 6)"))
 def a16_mean_confidence(spark, d):
-    return events(spark, d).groupBy("user_id").agg(F.round(F.coalesce(F.avg(F.when(F.col("event_type") == "click", F.col("value"))), F.lit(0.0)), 6).alias("confidence"))
+    return G.mean_confidence(events(spark, d), "user_id", "value", F.col("event_type") == "click").withColumn("confidence", F.round("confidence", 6))
 
 
 @query(f"SELECT user_id, round((min({US}) FILTER (event_type = 'view') - min({US})) / 1e6, 3) AS ttft, round((max({US}) - min({US})) / 1e6, 3) AS duration, round(count(*) FILTER (event_type = 'view') / ((max({US}) - min({US})) / 1e6), 9) AS rate FROM events GROUP BY 1 HAVING count(*) FILTER (event_type = 'view') > 0 AND max(ts) > min(ts)")
 def a17_request_metrics(spark, d):
     """A user's events stand in for a request, views for its tokens."""
-    us, token = F.unix_micros("ts"), F.col("event_type") == "view"
-    out = events(spark, d).groupBy("user_id").agg(F.min(us).alias("a"), F.max(us).alias("b"), F.min(F.when(token, us)).alias("t"), F.count_if(token).alias("n")).where("n > 0 and b > a")
-    return out.select("user_id", F.round((F.col("t") - F.col("a")) / 1e6, 3).alias("ttft"), F.round((F.col("b") - F.col("a")) / 1e6, 3).alias("duration"), F.round(F.col("n") / ((F.col("b") - F.col("a")) / 1e6), 9).alias("rate"))
+    out = G.request_metrics(events(spark, d), "user_id", "ts", F.col("event_type") == "view")
+    return out.select("user_id", F.round("ttft", 3).alias("ttft"), F.round("duration", 3).alias("duration"), F.round("rate", 9).alias("rate"))
 
 
 @query(f"WITH x AS (SELECT user_id, value, (row_number() OVER {WIN}) - 1) // 4 AS g FROM events) SELECT user_id, g::BIGINT AS batch, round(sum(value), 6) AS total FROM x GROUP BY 1, 2 HAVING count(*) = 4")
 def a18_flushed_batches(spark, d):
     """Batches of ceil(1 / 0.25) inferences; what is left over isn't flushed."""
-    rows = events(spark, d).withColumn("batch", F.floor((F.row_number().over(by_user()) - 1) / 4))
-    return rows.groupBy("user_id", "batch").agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("n")).where("n = 4").select("user_id", "batch", F.round("total", 6).alias("total"))
+    return G.flushed(events(spark, d), "user_id", ["ts", "event_id"], "value", 4).withColumn("total", F.round("total", 6))
 
 
 @query("WITH r AS (SELECT vec_id, label, sqrt(list_avg(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS rms FROM embeddings) SELECT label, round(median(rms), 8) AS rms FROM r GROUP BY 1")
@@ -149,19 +136,18 @@ def a20_median_rms(spark, d):
 @query("SELECT user_id, event_type, CASE WHEN bool_or(value > 45) THEN 'unhealthy' WHEN bool_or(value > 30) THEN 'degraded' ELSE 'healthy' END AS health FROM events GROUP BY 1, 2")
 def a21_health(spark, d):
     """A user's events of one type stand in for the checks of a component."""
-    return events(spark, d).groupBy("user_id", "event_type").agg(F.when(F.bool_or(F.col("value") > 45), "unhealthy").when(F.bool_or(F.col("value") > 30), "degraded").otherwise("healthy").alias("health"))
+    return G.health(events(spark, d), ["user_id", "event_type"], F.col("value") > 45, F.col("value") > 30)
 
 
 @query("SELECT event_type, " + ", ".join(f"sum((value <= {b})::INT)::BIGINT AS le_{i}" for i, b in enumerate((0.1, 0.5, 1, 2.5, 5, 10))) + ", count(*) AS n, max(value) AS gauge FROM events GROUP BY 1")
 def a22_histogram(spark, d):
-    buckets = [F.sum((F.col("value") <= b).cast("int")).alias(f"le_{i}") for i, b in enumerate((0.1, 0.5, 1, 2.5, 5, 10))]
-    return events(spark, d).groupBy("event_type").agg(*buckets, F.count(F.lit(1)).alias("n"), F.max("value").alias("gauge"))
+    return G.histogram(events(spark, d), "event_type", "value", (0.1, 0.5, 1, 2.5, 5, 10))
 
 
 @query("SELECT k * 1000 AS documents, round(avg_chunks * k * 1000, 3) AS vectors FROM (SELECT sum(ceil(n_chars / 512.0)) / count(*) AS avg_chunks FROM documents), (SELECT unnest([3, 4, 5]) AS k)")
 def a23_capacity(spark, d):
-    per = table(spark, d, "documents").agg((F.sum(F.ceil(F.col("n_chars") / 512.0)) / F.count(F.lit(1))).alias("a"))
-    return per.withColumn("k", F.explode(F.array(*(F.lit(i) for i in (3, 4, 5))))).select((F.col("k") * 1000).alias("documents"), F.round(F.col("a") * F.col("k") * 1000, 3).alias("vectors"))
+    rows = table(spark, d, "documents").select(F.ceil(F.col("n_chars") / 512.0).alias("n"))
+    return G.capacity(rows, "n", [3000, 4000, 5000]).withColumn("vectors", F.round("vectors", 3))
 
 
 @query("SELECT user_id, round(sum(value), 4) AS seconds FROM events GROUP BY 1")
@@ -212,13 +198,13 @@ def x14_repeats_suppressed(spark, d):
 
 @query(f"SELECT event_id, avg(value) OVER {WIN} ROWS 4 PRECEDING) / 50 > 0.7 AS full FROM events".replace("AS full", "AS at_limit"))
 def x18_load(spark, d):
-    return events(spark, d).select("event_id", (G.moving_average("value", ["user_id"], ["ts", "event_id"]) / 50 > 0.7).alias("at_limit"))
+    return events(spark, d).select("event_id", G.at_limit("value", 50, ["user_id"], ["ts", "event_id"]).alias("at_limit"))
 
 
 @query("SELECT conv_id, turn, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 15.0 AS start FROM conversations".replace("/ 15.0 AS start", "/ 15.0 AS start_s").replace("SELECT conv_id, turn, coalesce", "SELECT conv_id, turn, round(coalesce").replace("/ 15.0 AS", "/ 15.0, 6) AS"))
 def x20_sentence_starts(spark, d):
-    w = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, -1)
-    return table(spark, d, "conversations").select("conv_id", "turn", F.round(F.coalesce(F.sum(F.length("text")).over(w), F.lit(0)) / 15.0, 6).alias("start_s"))
+    rows = table(spark, d, "conversations")
+    return rows.select("conv_id", "turn", F.round(G.starts(F.length("text"), "conv_id", "turn") / 15.0, 6).alias("start_s"))
 
 
 def signal(spark, d):

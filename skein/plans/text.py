@@ -68,8 +68,7 @@ def p4_unsafe_characters(spark, d):
 
 @query("SELECT page_id FROM pages WHERE url LIKE '%.html' OR url LIKE '%=feed'")
 def p6_type_suffix_filter(spark, d):
-    ends = F.exists(F.array(F.lit(".html"), F.lit("=feed")), lambda s: F.endswith(F.col("url"), s))
-    return table(spark, d, "pages").where(ends).select("page_id")
+    return table(spark, d, "pages").where(X.has_suffix(F.col("url"), (".html", "=feed"))).select("page_id")
 
 
 QA = "SELECT u.conv_id, u.turn, u.text AS question, a.text AS answer FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND u.role = 'user' AND a.role = 'assistant'"
@@ -100,26 +99,25 @@ def p8_substring_search(spark, d):
 def p12_room_to_user(spark, d):
     room = F.concat(F.regexp_replace("url", "[^A-Za-z0-9]", "_"), F.when(F.col("page_id") % 2 == 0, "_conversation_1").otherwise(""))
     rows = table(spark, d, "pages").select("page_id", room.alias("room"))
-    return rows.select("page_id", F.when(F.contains(F.col("room"), F.lit("_conversation")), F.split_part("room", F.lit("_conversation"), F.lit(1))).otherwise(F.split_part("room", F.lit("_"), F.lit(1))).alias("user_id"))
+    return rows.select("page_id", X.user_of_room(F.col("room")).alias("user_id"))
 
 
 @query("SELECT event_id, CASE WHEN value < 5 THEN 'invalid' WHEN ts < TIMESTAMP '2024-01-10' THEN 'expired' WHEN user_id % 3 = 0 THEN 'wrong site' WHEN user_id % 5 = 0 THEN 'wrong device' ELSE 'ok' END AS outcome FROM events")
 def p13_token_validity(spark, d):
-    outcome = F.when(F.col("value") < 5, "invalid").when(F.col("ts") < F.lit("2024-01-10").cast("timestamp"), "expired").when(F.col("user_id") % 3 == 0, "wrong site").when(F.col("user_id") % 5 == 0, "wrong device").otherwise("ok")
+    outcome = X.first_reason((F.col("value") < 5, "invalid"), (F.col("ts") < F.lit("2024-01-10").cast("timestamp"), "expired"), (F.col("user_id") % 3 == 0, "wrong site"), (F.col("user_id") % 5 == 0, "wrong device"))
     return table(spark, d, "events").select("event_id", outcome.alias("outcome"))
 
 
 @query(r"SELECT page_id, trim(regexp_replace(regexp_replace(replace(url, '/', '_'), '[^A-Za-z0-9_.-]', '_', 'g'), '_+', '_', 'g'), '._') AS file_name FROM pages")
 def p14_secure_file_name(spark, d):
-    name = F.regexp_replace(F.regexp_replace(F.replace("url", F.lit("/"), F.lit("_")), "[^A-Za-z0-9_.-]", "_"), "_+", "_")
-    return table(spark, d, "pages").select("page_id", F.regexp_replace(name, r"^[._]+|[._]+$", "").alias("file_name"))
+    return table(spark, d, "pages").select("page_id", X.secure_name(F.col("url")).alias("file_name"))
 
 
 @query("SELECT event_id, coalesce(CASE WHEN event_id % 10 <> 0 THEN (props::JSON->>'k')::BIGINT END, -1) AS k FROM events")
 def p15_json_with_fallback(spark, d):
     """Every tenth row's JSON is broken first; it falls back."""
     broken = F.when(F.col("event_id") % 10 == 0, F.substring("props", 1, 3)).otherwise(F.col("props"))
-    return table(spark, d, "events").select("event_id", F.coalesce(F.from_json(broken, "k bigint")["k"], F.lit(-1)).alias("k"))
+    return table(spark, d, "events").select("event_id", X.json_field(broken, "k", "bigint", -1).alias("k"))
 
 
 @query(r"SELECT doc_id, count(*) AS n, count(*) FILTER (regexp_full_match(w, '[A-Za-z0-9][A-Za-z0-9.\-_+%]*@(?:[A-Za-z0-9]+\.)+[A-Za-z]{2,}')) AS good FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^ \t\n]*@[^ \t\n]*')) AS w FROM documents) GROUP BY 1")
@@ -131,7 +129,7 @@ def p18_email_syntax(spark, d):
 @query(rf"SELECT conv_id, turn, len(list_filter(list_transform(regexp_extract_all(text, '[^{S[1:-1]}]+'), lambda w: regexp_replace(w, '[!-/:-@\[-`{{-~]', '', 'g')), lambda w: w <> '')) >= 40 AND length(text) / 15.0 >= 10 AS interrupts FROM conversations")
 def p19_interruption_gate(spark, d):
     """Fifteen characters stand in for a second of speech."""
-    gate = (F.size(X.words(F.col("text"))) >= 40) & (F.length("text") / 15.0 >= 10)
+    gate = X.interrupts(F.col("text"), F.length("text") / 15.0, 40, 10)
     return table(spark, d, "conversations").select("conv_id", "turn", gate.alias("interrupts"))
 
 
@@ -141,7 +139,7 @@ def p20_structured_room(spark, d):
     room = F.concat(F.lit("room"), F.col("event_id") % 9, F.lit("::user"), F.col("user_id"), F.lit("::"), F.upper("event_type"))
     rows = table(spark, d, "events").select("event_id", room.alias("room"))
     names = spark.createDataFrame([("click", "Ada"), ("View", "Bo")], "speaker string, name string").select(F.lower("speaker").alias("_s"), "name")
-    return rows.join(names, F.lower(F.split_part("room", F.lit("::"), F.lit(3))) == F.col("_s"), "left").select("event_id", F.split_part("room", F.lit("::"), F.lit(2)).alias("user_name"), F.coalesce("name", F.lit("default")).alias("speaker"))
+    return rows.join(names, F.lower(X.part_of_room(F.col("room"), 3)) == F.col("_s"), "left").select("event_id", X.part_of_room(F.col("room"), 2).alias("user_name"), F.coalesce("name", F.lit("default")).alias("speaker"))
 
 
 @query(rf"SELECT doc_id, len(list_filter(list_transform(string_split(regexp_replace(text, '([.!?]){S}+', '\1' || chr(57345), 'g'), chr(57345)), lambda s: {strip('s')}), lambda s: s <> '')) AS n FROM documents")
