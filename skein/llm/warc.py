@@ -26,7 +26,7 @@ from urllib.parse import quote
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.common import materialise, pick, scratch_path
@@ -40,6 +40,7 @@ DATE = "2024-01-01T00:00:00Z"
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 INDEX = pa.schema([("page_id", pa.int64()), ("bundle", pa.string()), ("frame", pa.int32()), ("frame_start", pa.int64()), ("frame_bytes", pa.int64()), ("offset", pa.int64()), ("length", pa.int64())])
+FRAME = ["bundle", "frame", "frame_start", "frame_bytes"]
 READ = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string())])
 
 
@@ -168,6 +169,53 @@ def write_archives(records: DataFrame, folder: str, frame_bytes: int = FRAME_BYT
     return materialise(records.mapInArrow(write, "page_id long, bundle string, frame int, frame_start long, frame_bytes long, offset long, length long"), "warc-index")
 
 
+def _records(frame: bytes) -> Iterator[tuple[int | None, int, int]]:
+    """(page_id, offset, length) of each record of an unpacked frame, from the headers' lengths."""
+    at = 0
+    while at < len(frame):
+        cut = frame.index(b"\r\n\r\n", at)
+        head = dict(line.split(b": ", 1) for line in frame[at:cut].split(b"\r\n")[1:])
+        length = cut + 4 + int(head[b"Content-Length"]) + 4 - at
+        page = head.get(b"X-Page-ID")
+        yield None if page is None else int(page), at, length
+        at += length
+
+
+def recovered_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The index of the bundles in a folder, made anew from their seek tables, for when it was lost.
+
+    A bundle without a seek table is of an attempt that didn't end and is left out; one
+    that a lost attempt did end is taken, so that its records stand twice. Frames are
+    found from the footers, then dealt to tasks, each of which unpacks one at a time.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
+    bundles = files.select(F.regexp_replace("path", "^file:/(?!/)", "file:///").alias("bundle"))
+
+    def frames(batches):
+        for batch in batches:
+            rows = []
+            for bundle in batch.column(0).to_pylist():
+                try:
+                    found = seek_table(bundle)
+                except (ValueError, OSError, struct.error):  # cut off
+                    continue
+                rows += [(bundle, i, start, packed) for i, (start, packed, _) in enumerate(found)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], INDEX.field(n).type) for i, n in enumerate(FRAME)], names=FRAME)
+
+    def records(batches):
+        unzip = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for bundle, frame, start, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                fs, name = _opened(bundle)
+                with fs.open_input_file(name) as f:
+                    data = unzip.decompress(f.read_at(packed, start))
+                rows = [(page, bundle, frame, start, packed, offset, length) for page, offset, length in _records(data)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), INDEX.types, strict=True)], schema=INDEX)
+
+    found = bundles.mapInArrow(frames, "bundle string, frame int, frame_start long, frame_bytes long")
+    return found.repartition("bundle", "frame").mapInArrow(records, "page_id long, bundle string, frame int, frame_start long, frame_bytes long, offset long, length long")
+
+
 def read_archives(index: DataFrame) -> DataFrame:
     """Reads every record of the index: a frame is unpacked once, by the task that has its rows."""
 

@@ -351,6 +351,12 @@ def test_archives(spark, tmp_path):
         plain = zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).read()
         assert len(plain) == sum(n for _, _, n in frames) and plain.startswith(b"WARC/1.1")
     assert warc.archive_round_trip(df.where("false")).collect() == []
+    cut = [p for p in {r["bundle"] for r in index.collect()}][0].removeprefix("file://")
+    with open(cut, "rb") as f, open(cut.replace(".warc.zst", "-lost.warc.zst"), "wb") as lost:
+        lost.write(f.read()[:-5])
+    again = warc.recovered_index(spark, folder)
+    assert sorted(map(str, again.collect())) == sorted(map(str, index.collect()))
+    assert sorted((tuple(r) for r in warc.read_archives(again).drop("url").collect()), key=str) == got
     with pytest.raises(ValueError, match="digest"):
         warc.parse_record(warc.build_record(1, "u", "abc", 3, "0" * 64, "response", None))
 
