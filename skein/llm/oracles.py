@@ -1,7 +1,7 @@
 """DuckDB SQL for those queries of the training-data operators that SQL can express.
 
-The others (personal data, quality, packing, HTML, quotation linking, the pipeline) hold
-trees, a tokenizer or a parser; ``tests/llm`` compares them with brute force.
+The others (personal data, quality, packing, HTML, quotation linking, approximate search, the
+pipeline) hold trees, a tokenizer, a parser or hashes; ``tests/llm`` compares them with brute force.
 """
 
 from __future__ import annotations
@@ -47,4 +47,33 @@ l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON r.doc_id = l.a)
 SELECT doc_id, n AS n_shingles, min(c) AS component_id FROM r JOIN n USING (doc_id) GROUP BY 1, 2"""
 
-ORACLES: dict[str, str] = {"op2_sharding": SHARDS, "op4_vectors": VECTORS, "op5_warc": ARCHIVES, "op7_mixing": MIX, "op9_shingle_join": JACCARD}
+#: Rows whose vector is whole, with integer components.
+WHOLE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def codes(parts: int = 4, width: int = 16, entries: int = 256, rounds: int = 4, scale: int = 1024) -> str:
+    """Lloyd rounds as a chain of tables: books b0, assignments a0, books b1 and so on."""
+    steps = [
+        f"v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) AS x FROM embeddings WHERE {WHOLE})",
+        f"p AS MATERIALIZED (SELECT vec_id, part, x[part * {width} + 1:(part + 1) * {width}] AS x FROM v, range({parts}) t(part))",
+        f"b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS e FROM p QUALIFY entry < {entries})",
+    ]
+    for i in range(rounds + 1):
+        distance = "list_inner_product(x, x) - 2 * list_inner_product(x, e) + list_inner_product(e, e)"
+        steps.append(f"a{i} AS MATERIALIZED (SELECT p.vec_id, p.part, arg_min(b.entry, ({distance}) * {entries} + b.entry) AS entry, min({distance}) AS d FROM p JOIN b{i} b ON b.part = p.part GROUP BY 1, 2)")
+        if i < rounds:
+            steps.append(f"m{i} AS (SELECT part, entry, list(m ORDER BY place) AS e FROM (SELECT part, entry, place, floor(sum(x[place]) / count(*)) AS m FROM a{i} JOIN p USING (vec_id, part), range(1, {width + 1}) t(place) GROUP BY 1, 2, 3) GROUP BY 1, 2)")
+            steps.append(f"b{i + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.e, b.e) AS e FROM b{i} b LEFT JOIN m{i} m USING (part, entry))")
+    return f"""WITH {", ".join(steps)},
+c AS (SELECT vec_id, string_agg(printf('%02x', entry::INT), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY 1),
+s AS (SELECT sha256(string_agg(array_to_string(list_transform(e, lambda x: x::BIGINT::VARCHAR), ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM c JOIN v USING (vec_id), s"""
+
+
+NEGATIVES = f"""WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings WHERE label IS NOT NULL AND {WHOLE}),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT a, b AS p, score AS ps FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+SELECT a AS anchor_id, p AS positive_id, (row_number() OVER w)::INT AS rank, b AS negative_id, ps AS positive_score, score AS negative_score FROM p JOIN s USING (a) WHERE NOT same AND 30 * ps <= 100 * score AND 100 * score <= 90 * ps
+WINDOW w AS (PARTITION BY a, p ORDER BY score DESC, b) QUALIFY row_number() OVER w <= 10"""
+
+ORACLES: dict[str, str] = {"op2_sharding": SHARDS, "op4_vectors": VECTORS, "op5_warc": ARCHIVES, "op7_mixing": MIX, "op9_shingle_join": JACCARD, "op11_codes": codes(), "op12_hard_negatives": NEGATIVES}

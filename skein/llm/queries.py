@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skein.llm import html, mixing, packing, pii, quality, quotes, sharding, shingle_join, vectors, warc
+from skein.llm import arrays, cross_polytope, hard_negatives, heap_lloyd, html, mixing, packing, pii, quality, quotes, sharding, shingle_join, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,4 +53,24 @@ def op10_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.conversations(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_sharding, op3_quality, op4_vectors, op5_warc, op6_packing, op7_mixing, op8_html, op9_shingle_join, op10_quotes)}
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heap_lloyd.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector is an anchor; every seventh has the next label."""
+    e = F.col("embedding")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    # null where a component is null or not finite
+    x = F.when(arrays.finite(e), F.transform(e, lambda c: F.floor(c.cast("double") * 256)))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), label.alias("label"), (F.col("vec_id") % 100 == 0).alias("anchor"), x.alias("x"))
+    return hard_negatives.mine(rows)
+
+
+def op13_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector is a query."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return cross_polytope.search(vectors, vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_sharding, op3_quality, op4_vectors, op5_warc, op6_packing, op7_mixing, op8_html, op9_shingle_join, op10_quotes, op11_codes, op12_hard_negatives, op13_cross_polytope)}
