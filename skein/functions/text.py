@@ -38,24 +38,29 @@ CITATIONS = ("states that", "specifies that", "defines", "explicitly", "stelt da
 CHARS_PER_TOKEN = 4
 
 
+#: White space at both ends; behind, a run is tried at its start alone, as trying it at every place takes the square of its length.
+ENDS = rf"\A{SPACE}++|(?<!{SPACE}){SPACE}++\z"
+
+
 def strip(text: Column) -> Column:
     """Without white space at both ends, Unicode's included."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.regexp_replace(text, ENDS, "")
 
 
 def clean(text: Column) -> Column:
     """P1. For embedding: runs of dots, page numbers, odd blanks and dashes; white space becomes one blank.
 
-    Page numbers go before white space collapses, as the pattern spans lines.
+    Page numbers are lines of up to three digits; they go while lines are still apart. White
+    space is brought to single blanks and line ends first, so that no pattern walks over
+    a run of it twice.
     """
-    t = F.coalesce(text, F.lit(""))
-    t = F.regexp_replace(t, r"\.{4,}", "...")
-    t = F.regexp_replace(t, r"[ \t]{4,}", " ")
-    t = F.regexp_replace(t, r"\n{3,}", "\n\n")
-    t = F.regexp_replace(t, rf"(?m)^{SPACE}*[0-9]{{1,3}}{SPACE}*$", "")
-    t = F.translate(t, ODD_SPACES + DASHES + "\u00ad", "   ---")
-    t = F.regexp_replace(t, "…", "...")
-    return strip(F.regexp_replace(t, f"{SPACE}+", " "))
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"\.{4,}", "...")
+    t = F.regexp_replace(t, rf"[{SPACE[1:-1]}&&[^\n]]++", " ")
+    t = F.regexp_replace(t, r" ?\n[ \n]*+", "\n")
+    t = F.regexp_replace(t, r"(?md)^ ?[0-9]{1,3} ?$", "")
+    t = F.translate(t, DASHES + "\u00ad", "---")
+    t = F.replace(t, F.lit("…"), F.lit("..."))
+    return strip(F.regexp_replace(t, r"[ \n]++", " "))
 
 
 def count_of(text: Column, one: str) -> Column:
@@ -102,7 +107,7 @@ def context_of(text: Column, term: str, around: int = 100) -> Column:
 
 def email_ok(text: Column) -> Column:
     """P18. Whether a text is a mail address."""
-    return text.rlike(r"^[A-Za-z0-9][A-Za-z0-9.\-_+%]*@(?:[A-Za-z0-9]+\.)+[A-Za-z]{2,}$")
+    return text.rlike(r"^[A-Za-z0-9][A-Za-z0-9.\-_+%]*@(?:[A-Za-z0-9]++\.)++[A-Za-z]{2,}$")
 
 
 def sentences(text: Column) -> Column:
@@ -145,7 +150,7 @@ def truncated(text: Column, limit: Column | int) -> Column:
     """
     most = (F.lit(limit) if isinstance(limit, int) else limit) * CHARS_PER_TOKEN
     cut = F.substring(text, F.lit(1), most)
-    out = F.concat(F.regexp_replace(cut, f"{SPACE}+$", ""), F.lit("..."))
+    out = F.concat(F.regexp_replace(cut, rf"(?<!{SPACE}){SPACE}++\z", ""), F.lit("..."))
     for mark in ("\n\n", "! ", "? ", ". "):
         at = F.length(cut) - F.instr(F.reverse(cut), mark[::-1]) - len(mark) + 1  # 0-based place of the last one
         found = (F.instr(cut, mark) > 0) & (at > most * 0.8)
@@ -153,10 +158,12 @@ def truncated(text: Column, limit: Column | int) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(out)
 
 
+#: A link, and what begins as one up to where it can't be: that is taken whole, as every bracket in it would end at the same place.
+LINK, NO_LINK = r"\[([^\]]*+)\]\([^)]*+\)", r"\[[^\]]*+(?:\](?:\([^)]*+\z)?+)?+"
 #: Rules that strip Markdown: for line starts, then within lines, in this order. Fixed values.
 LINE_RULES = ((r"(?m)^#{1,6}[ \t]+", ""), (r"(?m)^[ \t]*[-+*][ \t]+", ""), (r"(?m)^[ \t]*>[ \t]+", ""))
 INLINE_RULES = (
-    (r"!\[([^\]]*)\]\([^)]*\)", "$1"), (r"\[([^\]]*)\]\([^)]*\)", "$1"),
+    (rf"!{LINK}|(!{NO_LINK})", "$1$2"), (rf"{LINK}|({NO_LINK})", "$1$2"),
     (r"(?<!\S)\*\*([^*]+?)\*\*(?!\S)", "$1"), (r"(?<!\S)\*([^*]+?)\*(?!\S)", "$1"),
     (r"(?<![\p{L}\p{N}_])__([^_]+?)__(?![\p{L}\p{N}_])", "$1"), (r"(?<![\p{L}\p{N}_])_([^_]+?)_(?![\p{L}\p{N}_])", "$1"),
     (r"`{3,4}\S*", ""), (r"`([^`]+?)`", "$1"), (r"~~(?!\s)([^~]*?)(?<!\s)~~", ""),
@@ -217,17 +224,18 @@ def ignored_speaker(speaker: Column) -> Column:
 
 def qa_verdict(question: Column, answer: Column, most_tokens: int = 60) -> Column:
     """P7. Why a question and answer pair is refused, or null if it is good. Tokens are counted by words."""
-    q, a = strip(question), strip(answer)
-    low = F.lower(a)
-    filler = F.coalesce(*(F.when(low.contains(p), p) for p in FILLERS))
-    claim = F.coalesce(*(F.when(low.contains(p), p) for p in ASSUMPTIONS))
-    cited = F.exists(F.array(*(F.lit(p) for p in CITATIONS)), lambda p: F.contains(low, p))
+
+    def judged(low: Column) -> Column:  # the answer is brought to lower case once, however many phrases are looked for
+        filler = F.coalesce(*(F.when(low.contains(p), p) for p in FILLERS))
+        claim = F.coalesce(*(F.when(low.contains(p), p) for p in ASSUMPTIONS))
+        cited = F.exists(F.array(*(F.lit(p) for p in CITATIONS)), lambda p: F.contains(low, p))
+        return F.when(filler.isNotNull(), F.concat(F.lit("filler: "), filler)).when(claim.isNotNull() & ~cited, F.concat(F.lit("assumption: "), claim))
+
     return (
         F.when(question.isNull() | answer.isNull(), "missing")
-        .when((q == "") | (a == ""), "empty")
-        .when(word_tokens(q) > most_tokens, "too long")
-        .when(filler.isNotNull(), F.concat(F.lit("filler: "), filler))
-        .when(claim.isNotNull() & ~cited, F.concat(F.lit("assumption: "), claim))
+        .when((strip(question) == "") | (strip(answer) == ""), "empty")
+        .when(word_tokens(question) > most_tokens, "too long")
+        .otherwise(F.element_at(F.transform(F.array(F.lower(strip(answer))), judged), 1))
     )
 
 

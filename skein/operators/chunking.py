@@ -47,15 +47,11 @@ def rule_sentences(text: Column, least: int = 20, keep_format: bool = False) ->
         t = F.regexp_replace(t, pattern, to)
     parts = F.split(F.translate(t, DOT, "."), STOP)
     parts = F.filter(parts if keep_format else F.transform(parts, X.strip), lambda s: s != "")
-    pad = "" if keep_format else " "
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("held"))
-
-    def fold(acc: Column, s: Column) -> Column:
-        held = F.concat(acc["held"], F.lit(pad), s)
-        full = F.length(held) > least
-        return F.struct(F.when(full, F.concat(acc["done"], F.array(F.substring(held, len(pad) + 1, F.length(held))))).otherwise(acc["done"]).alias("done"), F.when(full, F.lit("")).otherwise(held).alias("held"))
-
-    return F.aggregate(parts, start, fold, lambda a: F.when(a["held"] != "", F.concat(a["done"], F.array(F.substring(a["held"], len(pad) + 1, F.length(a["held"]))))).otherwise(a["done"]))
+    # a run is the fewest parts with more than ``least`` characters, a blank before each counted: patterns cut them, as a fold's array would be copied for each part
+    joined = F.when(F.size(parts) > 0, F.concat(F.array_join(parts, STOP), F.lit(STOP))).otherwise("")
+    run = rf"((?:[^{STOP}]{STOP}?+){{{least}}}[^{STOP}]++){STOP}" if keep_format else rf"([\s\S]{{{least}}}[^{STOP}]*+){STOP}"
+    runs = F.filter(F.split(F.regexp_replace(joined, run, f"$1{DOT}"), DOT), lambda s: s != "")
+    return F.transform(runs, lambda s: F.replace(F.regexp_replace(s, f"{STOP}$", ""), F.lit(STOP), F.lit("" if keep_format else " ")))
 
 
 def _split(text: str) -> list[tuple[str, int, int]]:

@@ -6,13 +6,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from skein.functions import arrays as A
 from skein.functions import text as X
+from skein.operators import retrieval as R
+from skein.sources import scratch
+from skein.sources import segments as S
 
 FINGERPRINT = ("file_name", "size", "mtime", "sha256")
 
@@ -46,38 +50,119 @@ def upserted(table: DataFrame, news: DataFrame) -> DataFrame:
     return both.select("email", "site", F.coalesce("n.display_name", "t.display_name").alias("display_name"), *columns)
 
 
-def near_copies(items: DataFrame, by: str, key: str, vector: str, threshold: float = 0.95, inclusive: bool = False, block: int = 256) -> DataFrame:
+def _greedy(x: np.ndarray, near: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Which unit rows stay, in their order: each that isn't near one that stayed before."""
+    alive = np.ones(len(x), bool)
+    for a in range(0, len(x), FRONT_STEP):
+        part = np.flatnonzero(alive[a : a + FRONT_STEP]) + a
+        own = near(x[part] @ x[part].T)
+        for i in range(len(part)):
+            if alive[part[i]]:
+                alive[part[i + 1 :][own[i, i + 1 :]]] = False
+        kept = part[alive[part]]
+        behind = np.flatnonzero(alive[a + FRONT_STEP :]) + a + FRONT_STEP
+        for b in range(0, len(behind), FRONT_STEP):
+            some = behind[b : b + FRONT_STEP]
+            alive[some[near(x[some] @ x[kept].T).any(axis=1)]] = False
+    return alive
+
+
+FRONT = 4096  #: items of a group that one task settles, one behind the other
+FRONT_STEP = 512  #: of these multiplied at once
+SPREAD = 4096  #: items behind a front that one task compares with it
+
+
+def _groups(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Sorted batches as one batch for each value of the first ``n`` columns."""
+    held, at = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = [batch.column(c) for c in range(n)]
+        change = np.zeros(batch.num_rows - 1, bool)
+        for c in key:
+            code = c.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            change |= code[1:] != code[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            now = tuple(c[a].as_py() for c in key)
+            if held and now != at:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+            at = now
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def near_copies(items: DataFrame, by: str, key: str, vector: str, threshold: float = 0.95, inclusive: bool = False, block: int = FRONT, spread: int = SPREAD) -> DataFrame:
     """A10. Greedy removal in order: an item goes if it is too similar to one kept before; without a vector it stays.
 
-    Unlike components, A ~ B and B ~ C but not A ~ C keeps A and C. The decisions of a
-    group follow one another, so a group (one document's chunks) is one task's; they
-    are compared with all kept ones a block at a time.
+    Unlike components, A ~ B and B ~ C but not A ~ C keeps A and C. It goes in rounds: a
+    task settles the first ``block`` undecided items of a group, then all behind them
+    are compared with those that stayed, spread over tasks however large the group is, and
+    what is near one of them goes for good. A group of up to ``block`` items takes one
+    round; a round settles ``block`` items at least, and of many alike all but one. No
+    pair is ever emitted. Null groups are one group; items with equal keys come in the
+    order of their vectors; vectors of different lengths aren't alike.
     """
-    kind = items.schema[key].dataType.simpleString()
-
-    def run(rows):
-        rows = rows.sort_values(key, kind="stable")
-        found = [v is not None and len(v) > 0 and np.linalg.norm(v) > 0 for v in rows[vector]]
-        keep = ~np.array(found)
-        at = np.flatnonzero(found)
-        if len(at):
-            x = np.stack([np.asarray(rows[vector].iloc[i], float) for i in at])
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            kept = np.zeros((0, x.shape[1]))
-            for a in range(0, len(at), block):
-                part = x[a : a + block]
-                near = lambda s: s >= threshold if inclusive else s > threshold
-                gone = near(part @ kept.T).any(axis=1) if len(kept) else np.zeros(len(part), bool)
-                own = near(part @ part.T)
-                good: list[int] = []
-                for i in range(len(part)):
-                    if not gone[i] and not own[i, good].any():
-                        good.append(i)
-                keep[at[a : a + block][good]] = True
-                kept = np.vstack([kept, part[good]])
-        return rows.loc[keep, [by, key]]
-
-    return items.select(by, key, vector).groupBy(by).applyInPandas(run, f"{by} {items.schema[by].dataType.simpleString()}, {key} {kind}")
+    kinds = {c: items.schema[c].dataType.simpleString() for c in (by, key)}
+    near = (lambda s: s >= threshold) if inclusive else (lambda s: s > threshold)
+    usable = R.whole(F.col("v"))
+    rows = items.select(F.col(by).alias("g"), F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    done = [rows.where(~usable).select("g", "k")]
+    left = A.raws(rows.where(usable).withColumnRenamed("v", "embedding"), "<f8", "g", "k")
+    schema = f"g {kinds[by]}, k {kinds[key]}, raw binary"
+    own, order = W.partitionBy("g").orderBy("k", "raw"), ("k", "raw")
+
+    def settle(batches):
+        for group in _groups(batches, 1):
+            keep = np.zeros(group.num_rows, bool)
+            for _, at in A.by_length(group.column(2)):
+                x = A.matrix(group.column(2).take(pa.array(at)), "<f8")
+                x = x / np.abs(x).max(axis=1, keepdims=True)
+                keep[at] = _greedy(x / np.linalg.norm(x, axis=1, keepdims=True), near)
+            yield group.filter(pa.array(keep))
+
+    def survive(batches):
+        for group in _groups(batches, 2):
+            side = group.column(2).to_numpy()
+            head, rest = group.slice(0, int((side == 0).sum())), group.slice(int((side == 0).sum()))
+            keep = np.ones(rest.num_rows, bool)
+            for size, at in A.by_length(rest.column(4)):
+                own_size = np.flatnonzero(A.lengths(head.column(4)) == size)
+                if len(own_size):
+                    y = A.matrix(head.column(4).take(pa.array(own_size)), "<f8")
+                    y = y / np.abs(y).max(axis=1, keepdims=True)
+                    y = (y / np.linalg.norm(y, axis=1, keepdims=True)).T
+                    x = A.matrix(rest.column(4).take(pa.array(at)), "<f8")
+                    x = x / np.abs(x).max(axis=1, keepdims=True)
+                    x /= np.linalg.norm(x, axis=1, keepdims=True)
+                    for a in range(0, len(at), FRONT_STEP):
+                        keep[at[a : a + FRONT_STEP]] = ~near(x[a : a + FRONT_STEP] @ y).any(axis=1)
+            kept = rest.filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([kept.column(c) for c in (0, 3, 4)], names=["g", "k", "raw"])
+
+    while True:
+        left = scratch.written(left, "undecided")
+        sizes = scratch.written(left.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "undecided-sizes")
+        # Spark limits the ranks before the shuffle too: a large group's front is what one task gets
+        first = left.withColumn("_r", F.row_number().over(own)).where(F.col("_r") <= block)
+        stayed = scratch.written(first.select("g", "k", "raw").repartition("g").sortWithinPartitions("g", *order).mapInArrow(settle, schema), "fronts")
+        done.append(stayed.select("g", "k"))
+        large = sizes.where(F.col("n") > block).select(F.col("g").alias("_g"), F.ceil((F.col("n") - block) / F.lit(spread)).cast("int").alias("blocks"))
+        if not large.limit(1).count():
+            break
+        last = first.where(F.col("_r") == block).join(large, F.col("g").eqNullSafe(F.col("_g")))
+        ends = scratch.written(last.select("_g", "blocks", F.struct("k", "raw").alias("end")), "front-ends")
+        behind = left.join(ends, left["g"].eqNullSafe(ends["_g"])).where(F.struct("k", "raw") > F.col("end"))
+        behind = behind.select("g", F.pmod(F.xxhash64("k", "raw"), "blocks").cast("int").alias("b"), F.lit(1).alias("side"), "k", "raw")
+        heads = stayed.join(ends, stayed["g"].eqNullSafe(ends["_g"])).select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), F.lit(0).alias("side"), "k", "raw")
+        left = heads.unionByName(behind).repartition("g", "b").sortWithinPartitions("g", "b", "side").mapInArrow(survive, schema)
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out.select(F.col("g").alias(by), F.col("k").alias(key))
 
 
 def batches_of(items: DataFrame, by: str, order: str, n: int = 30) -> DataFrame:
@@ -108,6 +193,44 @@ def through_model(rows: DataFrame, column: str, model: Callable[[list[str]], lis
     return rows.mapInArrow(run, schema)
 
 
+def memoised(rows: DataFrame, column: str, model: Callable[[list[str]], list], out: str, kind: str, path: str, name: str, at_once: int = 64) -> DataFrame:
+    """S10, S13. As ``through_model``, with a table below ``path`` of the results so far: each different text is sent once.
+
+    The table has a row for each text that the model (``name``) gave a result for, by the
+    text's SHA-256. Texts that it lacks are sent, once each however many rows hold them, and
+    their results added as a segment; a failed text gives null, isn't kept and is sent
+    again by the next run. ``compact_memo`` makes one segment of all.
+    """
+    spark = rows.sparkSession
+    hashed = rows.withColumn("_h", F.sha2(F.concat(F.lit(name + "\x00"), column), 256))
+    texts = hashed.where(F.col(column).isNotNull()).groupBy("_h").agg(F.any_value(column).alias("_text"))
+    version, entries = S.read(spark, path)
+    known = memo(spark, path, kind)
+    sent = through_model(texts.join(known.select("_h"), "_h", "left_anti"), "_text", model, "_value", kind, at_once)
+    segment, folder = S.new_segment(path)
+    sent.where("_value is not null").select("_h", "_value").write.parquet(folder)
+    S.commit(spark, path, version, [*entries, {"segment": segment}])
+    known = memo(spark, path, kind).withColumnsRenamed({"_h": "_k"})
+    return hashed.join(known, F.col("_h") == F.col("_k"), "left").withColumnRenamed("_value", out).drop("_h", "_k")
+
+
+def memo(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """_h, _value: what the memo below a path holds, one row a text."""
+    _, entries = S.read(spark, path)
+    schema = f"_h string, _value {kind}"
+    if not entries:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*(S.folder(path, e) for e in entries))
+
+
+def compact_memo(spark: SparkSession, path: str, kind: str) -> int:
+    """Makes one segment of a memo's; readers of the older version keep theirs until ``segments.forget``."""
+    version, entries = S.read(spark, path)
+    segment, folder = S.new_segment(path)
+    memo(spark, path, kind).repartitionByRange("_h").sortWithinPartitions("_h").write.parquet(folder)
+    return S.commit(spark, path, version, [{"segment": segment}])
+
+
 def hashed_embedding(dim: int = 64) -> Callable[[list[str]], list]:
     """A stand-in for an embedding model: normalised counts of hashed words, the same on every machine."""
     import zlib

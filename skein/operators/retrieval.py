@@ -2,7 +2,8 @@
 
 Keyword search joins query terms with postings, of documents at hand or of a written
 index; nothing scores documents that hold no term. Vector search multiplies blocks of
-vectors and keeps k rows of each query and block before it merges them. Queries are tables, so
+vectors and keeps k rows of each query and block before it merges them; ``vector_index`` asks
+only blocks near a query. Queries are tables, so
 that many are answered at once; a query table is broadcast only by Spark's own size
 check.
 """
@@ -23,14 +24,30 @@ from skein.functions import text as X
 K1, B = 1.5, 0.75
 BUCKETS = 64  #: folders of a written index
 BLOCK = 2048  #: vectors multiplied with as many queries at once
+RUN = 4096  #: ranks of a budget's items that are summed up together
 THRESHOLD = 0.5
 SEMANTIC_WEIGHT, KEYWORD_WEIGHT = 0.7, 0.3
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once a row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def term_counts(terms: Column) -> Column:
+    """Array of (term, tf): a document's terms sorted, then cut where the term changes; nothing leaves the row."""
+
+    def counted(s: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return _let(begins, lambda at: F.transform(at, lambda p, j: F.struct(F.get(s, p).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(s)) - p).cast("long").alias("tf"))))
+
+    return F.when(F.size(terms) > 0, _let(F.array_sort(terms), counted))
+
+
 def postings(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """D6. key, term, tf, dl: one row for each term of a document, with the document's length."""
-    terms = docs.select(F.col(key), X.terms(F.col("text")).alias("_t")).withColumn("dl", F.size("_t"))
-    return terms.select(key, "dl", F.explode("_t").alias("term")).groupBy(key, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    """D6. key, term, tf, dl: one row for each term of a document (a row), with the document's length; no shuffle."""
+    terms = docs.select(F.col(key), _let(X.terms(F.col("text")), lambda t: F.struct(F.size(t).alias("dl"), term_counts(t).alias("c"))).alias("_t"))
+    return terms.select(key, F.col("_t.dl").alias("dl"), F.explode("_t.c").alias("_c")).select(key, "_c.term", "_c.tf", "dl")
 
 
 def corpus_size(docs: DataFrame) -> DataFrame:
@@ -48,14 +65,20 @@ def bucket_of(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def write_index(docs: DataFrame, path: str, key: str = "doc_id") -> None:
-    """D6. Writes the postings and the corpus's size below a path, for ``read_index``.
+def write_postings(rows: DataFrame, path: str, key: str = "doc_id") -> None:
+    """D6. Postings in folders by a hash of the term, in each file in order of terms.
 
-    Postings lie in folders by a hash of the term, of which a search reads those of its
-    terms; a term that very many documents hold is spread over files by its documents.
+    They are dealt by ranges of (bucket, term, key), so that a term that very many documents
+    hold is spread over files, and files are as even as the ranges.
     """
-    rows = postings(docs, key).withColumn("bucket", bucket_of(F.col("term")))
-    rows.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(4))).write.partitionBy("bucket").parquet(f"{path}/postings")
+    order = ("bucket", "term", key)
+    dealt = rows.withColumn("bucket", bucket_of(F.col("term"))).repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt.write.partitionBy("bucket").parquet(path)
+
+
+def write_index(docs: DataFrame, path: str, key: str = "doc_id") -> None:
+    """D6. Writes the postings and the corpus's size below a path, for ``read_index``; ``keyword_index`` has one that changes."""
+    write_postings(postings(docs, key), f"{path}/postings", key)
     corpus_size(docs).write.parquet(f"{path}/size")
 
 
@@ -91,64 +114,120 @@ def best(scored: DataFrame, n: int, key: str = "doc_id", by: tuple[str, ...] = (
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def _unit_blocks(rows: DataFrame, names: str, kind) -> DataFrame:
-    """Blocks of usable vectors as (``names`` array of keys, raw): rows are (key, array of double); no shuffle."""
-    ids = pa.list_(to_arrow_type(kind))
+def whole(v: Column) -> Column:
+    """True for a vector that has a direction and no null or non-finite component."""
+    return F.coalesce(F.exists(v, lambda x: x != 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(False))
 
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                piece = batch.slice(at, BLOCK)
-                found = [(k, v) for k, v in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True) if v and None not in v]
-                by_size: dict[int, list] = {}
-                for k, v in found:
-                    by_size.setdefault(len(v), []).append((k, v))
-                for same in by_size.values():
-                    x = np.array([v for _, v in same], float)
-                    norm = np.linalg.norm(x, axis=1)
-                    good = np.flatnonzero(norm > 0)
-                    x = x[good] / norm[good][:, None]
-                    yield pa.RecordBatch.from_arrays([pa.array([[same[i][0] for i in good]], ids), pa.array([x.tobytes()], pa.binary())], names=[names, "raw"])
-
-    return rows.mapInArrow(run, f"{names} array<{kind.simpleString()}>, raw binary")
 
+def unit_blocks(rows: DataFrame, names: str, by: str | None = None) -> DataFrame:
+    """Blocks of usable vectors as (``names`` array of keys, raw): rows are (key, v array<double>); no shuffle.
 
-def block_scores(vectors: DataFrame, queries: DataFrame, chosen: Callable[[np.ndarray], np.ndarray], key: str = "vec_id") -> DataFrame:
-    """K1, K2. query_id, key, score of the vectors that ``chosen`` picks for a query in each block, in double precision.
+    ``by`` is a column of whole numbers before them, of which a block has one value.
+    """
+    at = [by] if by else []
+    kind = rows.schema[len(at)].dataType
+    ids = pa.list_(to_arrow_type(kind))
 
-    ``chosen`` maps a block of scores (query by vector) to a mask. Zero and null vectors,
-    and those of other lengths than a query's, give nothing. Scores are rounded to twelve
-    digits, so that equal vectors tie wherever they stand in a block.
+    def run(batches):
+        for batch in batches:
+            keys, v = batch.column(len(at)), batch.column(len(at) + 1)
+            size = v.value_lengths().to_numpy(zero_copy_only=False)
+            flat, begin = v.flatten().to_numpy(zero_copy_only=False), np.cumsum(size) - size
+            group = batch.column(0).to_numpy().astype(np.int64) if by else np.zeros(len(size), np.int64)
+            for g, n in sorted(set(zip(group.tolist(), size.tolist(), strict=True))):
+                same = np.flatnonzero((group == g) & (size == n))
+                for a in range(0, len(same), BLOCK):
+                    part = same[a : a + BLOCK]
+                    x = flat[begin[part][:, None] + np.arange(n)]
+                    x = x / np.abs(x).max(axis=1, keepdims=True)
+                    x /= np.linalg.norm(x, axis=1, keepdims=True)
+                    block = [pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), keys.take(pa.array(part))).cast(ids), pa.array([x.tobytes()], pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*([pa.array([g])] if by else []), *block], names=[*at, names, "raw"])
+
+    return rows.where(whole(F.col("v"))).mapInArrow(run, f"{by + ' long, ' if by else ''}{names} array<{kind.simpleString()}>, raw binary")
+
+
+def compared(pairs: DataFrame, reduce: Callable[[pa.Array, pa.Array, np.ndarray], list], schema: str) -> DataFrame:
+    """Pairs of blocks (qs, qraw, vs, raw) multiplied; ``reduce`` makes the columns of ``schema`` of the keys and the scores.
+
+    Scores are rounded to twelve digits, so that equal vectors tie wherever they stand in a block.
     """
-    base = vectors.select(key, F.col("embedding").cast("array<double>").alias("v"))
-    asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("v"))
-    kinds = asked.schema["query_id"].dataType, base.schema[key].dataType
-    q, v = _unit_blocks(asked, "qs", kinds[0]), _unit_blocks(base, "vs", kinds[1])
-    arrow = [to_arrow_type(k) for k in kinds]
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
         for batch in batches:
-            for qs, qraw, vs, vraw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if qs and vs and len(qraw) * len(vs) == len(vraw) * len(qs):
-                    x, y = np.frombuffer(qraw).reshape(len(qs), -1), np.frombuffer(vraw).reshape(len(vs), -1)
-                    scores = np.round(x @ y.T, 12)
-                    i, j = np.nonzero(chosen(scores))
-                    yield pa.RecordBatch.from_arrays([pa.array([qs[k] for k in i], arrow[0]), pa.array([vs[k] for k in j], arrow[1]), pa.array(scores[i, j])], names=["query_id", key, "score"])
+            qs, qraw, vs, vraw = (batch.column(batch.schema.get_field_index(n)) for n in ("qs", "qraw", "vs", "raw"))
+            for i in range(batch.num_rows):
+                q, v, a, b = qs[i].values, vs[i].values, qraw[i].as_buffer(), vraw[i].as_buffer()
+                if a.size * len(v) == b.size * len(q):
+                    x, y = np.frombuffer(a).reshape(len(q), -1), np.frombuffer(b).reshape(len(v), -1)
+                    yield pa.RecordBatch.from_arrays(reduce(q, v, np.round(x @ y.T, 12)), names=names)
 
-    # a stated set of queries against all vectors, block by block
-    pairs = q.withColumnRenamed("raw", "qraw").crossJoin(v)
-    return pairs.mapInArrow(run, f"query_id {kinds[0].simpleString()}, {key} {kinds[1].simpleString()}, score double")
+    return pairs.select("qs", "qraw", "vs", "raw").mapInArrow(run, schema)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, n: int, key: str = "vec_id") -> DataFrame:
-    """K1, K2. The n best vectors of each query by cosine, ties by key, with their rank."""
+def picked(chosen: Callable[[np.ndarray], np.ndarray]) -> Callable:
+    def reduce(q: pa.Array, v: pa.Array, scores: np.ndarray) -> list:
+        i, j = np.nonzero(chosen(scores))
+        return [q.take(pa.array(i)), v.take(pa.array(j)), pa.array(scores[i, j])]
+
+    return reduce
+
+
+def first_n(n: int) -> Callable[[np.ndarray], np.ndarray]:
+    """A mask of each row's n highest scores, and what ties with the last."""
 
     def chosen(scores: np.ndarray) -> np.ndarray:
         if scores.shape[1] <= n:
             return np.ones(scores.shape, bool)
         return scores >= np.partition(scores, -n, axis=1)[:, -n][:, None]
 
-    return best(block_scores(vectors, queries, chosen, key), n, key)
+    return chosen
+
+
+def vector_rows(vectors: DataFrame, key: str, *more: str) -> DataFrame:
+    return vectors.select(*more, F.col(key), F.col("embedding").cast("array<double>").alias("v"))
+
+
+def _block_pairs(vectors: DataFrame, queries: DataFrame, key: str) -> DataFrame:
+    """A stated set of queries against all vectors, block by block."""
+    return unit_blocks(vector_rows(queries, "query_id"), "qs").withColumnRenamed("raw", "qraw").crossJoin(unit_blocks(vector_rows(vectors, key), "vs"))
+
+
+def scored_schema(vectors: DataFrame, queries: DataFrame, key: str) -> str:
+    return f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {vectors.schema[key].dataType.simpleString()}, score double"
+
+
+def block_scores(vectors: DataFrame, queries: DataFrame, chosen: Callable[[np.ndarray], np.ndarray], key: str = "vec_id") -> DataFrame:
+    """K1, K2. query_id, key, score of the vectors that ``chosen`` picks for a query in each block, in double precision.
+
+    ``chosen`` maps a block of scores (query by vector) to a mask. Vectors that are null, zero
+    or not finite, and those of other lengths than a query's, give nothing.
+    """
+    return compared(_block_pairs(vectors, queries, key), picked(chosen), scored_schema(vectors, queries, key))
+
+
+def variant_scores(vectors: DataFrame, variants: DataFrame, key: str = "vec_id", n: int | None = None) -> DataFrame:
+    """A13, K6. query_id, key, score: the best score of each vector over all variants (rows) of a query.
+
+    The best over the variants of a block is taken before rows leave it, and with ``n`` of
+    those the n best only, so that no block gives a row for each pair.
+    """
+
+    def reduce(q: pa.Array, v: pa.Array, scores: np.ndarray) -> list:
+        code = q.dictionary_encode()
+        at = code.indices.to_numpy()
+        best = np.stack([scores[at == g].max(axis=0) for g in range(len(code.dictionary))])
+        i, j = np.nonzero(np.ones(best.shape, bool) if n is None else first_n(n)(best))
+        return [code.dictionary.take(pa.array(i)), v.take(pa.array(j)), pa.array(best[i, j])]
+
+    found = compared(_block_pairs(vectors, variants, key), reduce, scored_schema(vectors, variants, key))
+    return best_of_variants(found, key)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, n: int, key: str = "vec_id") -> DataFrame:
+    """K1, K2. The n best vectors of each query by cosine, ties by key, with their rank."""
+    return best(block_scores(vectors, queries, first_n(n), key), n, key)
 
 
 def above(vectors: DataFrame, queries: DataFrame, threshold: float, key: str = "vec_id") -> DataFrame:
@@ -156,11 +235,6 @@ def above(vectors: DataFrame, queries: DataFrame, threshold: float, key: str = "
     return block_scores(vectors, queries, lambda scores: scores > threshold, key)
 
 
-def cosine_scores(vectors: DataFrame, queries: DataFrame, key: str = "vec_id") -> DataFrame:
-    """K1, K2. The cosine of every vector with each of a stated set of queries."""
-    return above(vectors, queries, -2.0, key)
-
-
 def similar_pairs(vectors: DataFrame, by: str, threshold: float, key: str = "vec_id", block: int = BLOCK) -> DataFrame:
     """J12. a, b, score: the pairs of one group whose dot product is above the threshold, a before b.
 
@@ -241,14 +315,22 @@ def by_document(hits: DataFrame, snippets: int = 3) -> DataFrame:
 def within_budget(items: DataFrame, budget: int, by: tuple[str, ...] = ("query_id",), reserve: int = 0, least_left: int = 200, least_cut: int = 100) -> DataFrame:
     """W6. Items (rank, text) taken in order until the first that overflows; that one is cut if enough is left.
 
-    Everything behind the first overflow is left out, however short it is.
+    Everything behind the first overflow is left out, however short it is. Lengths alone are
+    ordered: the ranks are dealt in runs, a run's sum goes to those behind it, and texts meet
+    their places only where they are kept. Ranks are whole numbers, distinct in a group.
     """
-    order = W.partitionBy(*by).orderBy("rank")
-    room = budget - reserve
-    rows = items.withColumn("_n", X.tokens(F.col("text"))).withColumn("_sum", F.sum("_n").over(order))
-    rows = rows.withColumn("_before", F.col("_sum") - F.col("_n")).withColumn("_over", (F.col("_sum") > room).cast("int"))
-    rows = rows.withColumn("_overs", F.sum("_over").over(order))
-    cut = X.truncated(F.col("text"), F.lit(room) - F.col("_before"))
-    first = (F.col("_overs") == 1) & (F.col("_over") == 1) & (F.lit(room) - F.col("_before") > least_left) & (X.tokens(cut) > least_cut)
-    kept = rows.where((F.col("_overs") == 0) | first).withColumn("truncated", F.col("_over") == 1)
-    return kept.withColumn("text", F.when(F.col("truncated"), cut).otherwise(F.col("text"))).drop("_n", "_sum", "_before", "_over", "_overs")
+    room, keys = budget - reserve, list(by)
+    sized = items.select(*keys, F.col("rank").alias("_rank"), X.tokens(F.col("text")).alias("_n"), F.floor(F.col("rank") / RUN).alias("_run"))
+    runs = sized.groupBy(*(F.col(k).alias(f"_b_{k}") for k in [*keys, "_run"])).agg(F.sum("_n").alias("_total"))
+    behind = W.partitionBy(*(f"_b_{k}" for k in keys)).orderBy("_b__run").rowsBetween(W.unboundedPreceding, -1)
+    base = runs.withColumn("_base", F.coalesce(F.sum("_total").over(behind), F.lit(0))).where(F.col("_base") <= room)
+    inside = sized.join(base, [F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in [*keys, "_run"]]).select(*sized.columns, "_base")
+    upto = F.col("_base") + F.sum("_n").over(W.partitionBy(*keys, "_run").orderBy("_rank"))
+    places = inside.withColumn("_sum", upto).withColumn("_before", F.col("_sum") - F.col("_n"))
+    # the first that overflows is the one with room before it and none behind it
+    kept = places.where(F.col("_before") <= room).select(*(F.col(k).alias(f"_k_{k}") for k in keys), "_rank", "_before", (F.col("_sum") > room).alias("truncated"))
+    rows = items.join(kept, [F.col("rank") == F.col("_rank"), *(F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys)])
+    left = F.lit(room) - F.col("_before")
+    cut = X.truncated(F.col("text"), left)
+    out = rows.where(~F.col("truncated") | (left > least_left) & (X.tokens(cut) > least_cut))
+    return out.withColumn("text", F.when(F.col("truncated"), cut).otherwise(F.col("text"))).select(*items.columns, "truncated")

@@ -180,8 +180,7 @@ def advanced(index: DataFrame, docs: DataFrame, variants: DataFrame, types: list
     """C4. The best score over a question's variants, documents of the given types only, widened, with token counts."""
     asked = corpus.through_model(variants, "text", EMBED, "embedding", "array<double>")
     allowed = index.join(docs.where(F.exists(F.array(*(F.lit(t) for t in types)), lambda t: F.endswith(F.col("source"), t))).select("doc_id"), "doc_id", "left_semi")
-    best = R.best_of_variants(R.cosine_scores(allowed, asked, "chunk_id"), "chunk_id")
-    rows = R.best(best, k, "chunk_id").join(index.select("chunk_id", "doc_id", "text", "char_start", "char_end"), "chunk_id").join(docs.select("doc_id", F.col("text").alias("full")), "doc_id")
+    rows = R.best(R.variant_scores(allowed, asked, "chunk_id", k), k, "chunk_id").join(index.select("chunk_id", "doc_id", "text", "char_start", "char_end"), "chunk_id").join(docs.select("doc_id", F.col("text").alias("full")), "doc_id")
     return chunking.expanded(rows).withColumn("tokens", X.tokens(F.col("expanded")))
 
 

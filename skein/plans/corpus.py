@@ -10,6 +10,7 @@ from skein.operators import chunking
 from skein.operators import corpus as O
 from skein.plans.registry import query, table
 from skein.plans.text import strip
+from skein.sources import scratch
 
 
 def docs(spark, d):
@@ -195,3 +196,28 @@ def a10_greedy_near_duplicates(spark, d):
 def s13_embed_texts(spark, d):
     rows = O.through_model(docs(spark, d).select("doc_id", "text"), "text", O.hashed_embedding(), "embedding", "array<double>")
     return rows.select("doc_id", F.size("embedding").alias("dim"))
+
+
+@query("""WITH RECURSIVE v AS (SELECT label, vec_id, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM embeddings),
+s AS (SELECT b.label, b.i, list(a.i) FILTER (list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e)) / sqrt(list_inner_product(b.e, b.e)) > 0.25) AS near FROM v b LEFT JOIN v a ON a.label = b.label AND a.i < b.i GROUP BY 1, 2),
+r AS (SELECT DISTINCT label, 0::BIGINT AS i, []::BIGINT[] AS kept FROM v UNION ALL SELECT s.label, s.i, CASE WHEN list_has_any(r.kept, coalesce(s.near, [])) THEN r.kept ELSE list_append(r.kept, s.i) END FROM r JOIN s ON s.label = r.label AND s.i = r.i + 1)
+SELECT v.label, v.vec_id FROM v JOIN (SELECT label, unnest(kept) AS i FROM r WHERE (label, i) IN (SELECT label, max(i) FROM v GROUP BY 1)) k ON k.label = v.label AND k.i = v.i""")
+def a10_greedy_vectors(spark, d):
+    """Labels stand in for documents; fronts are small, so that every label takes several rounds."""
+    return O.near_copies(table(spark, d, "embeddings"), "label", "vec_id", "embedding", 0.25, block=16, spread=32)
+
+
+def lengths(texts: list[str]) -> list[int]:
+    """A model that SQL knows too."""
+    return [len(t) for t in texts]
+
+
+@query("SELECT doc_id, length(text) AS n, (SELECT count(DISTINCT text) FROM documents) AS known FROM documents")
+def s10_memoised_model(spark, d):
+    """Half of the documents, then all; the memo holds each different text once, and is compacted between the runs."""
+    path = scratch.folder(spark, "s10")
+    rows = docs(spark, d).select("doc_id", "text")
+    O.memoised(rows.where("doc_id % 2 = 0"), "text", lengths, "n", "long", path, "length").count()
+    O.compact_memo(spark, path, "long")
+    found = O.memoised(rows, "text", lengths, "n", "long", path, "length")
+    return found.select("doc_id", "n").crossJoin(F.broadcast(O.memo(spark, path, "long").agg(F.count(F.lit(1)).alias("known"))))  # one row

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as X
 from skein.functions import vectors as V
-from skein.operators import corpus
+from skein.operators import corpus, keyword_index, vector_index
 from skein.operators import retrieval as R
 from skein.plans.registry import query, table
+from skein.sources import scratch
 
 TERMS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
 #: BM25 of every fiftieth benchmark text over documents, as a chain of common table expressions ending in ``bm25``.
@@ -41,13 +42,14 @@ def vectors(spark, d):
     return v, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
-def cosines(spark, d):
-    return R.cosine_scores(*vectors(spark, d))
+def index(spark, d):
+    """The keyword index of all documents, written once for the files that are there."""
+    return scratch.kept(spark, f"{d}/documents.parquet", "keyword-index", lambda path: keyword_index.add(table(spark, d, "documents"), path))
 
 
 def keyword(spark, d):
     """Rounded, so that copies of a document tie however their terms are summed."""
-    return R.bm25(table(spark, d, "documents"), asked(spark, d)).withColumn("score", F.round("score", 9))
+    return keyword_index.search(spark, index(spark, d), asked(spark, d)).withColumn("score", F.round("score", 9))
 
 
 @query(f"WITH {BM25} SELECT query_id, doc_id, round(score, 6) AS score FROM bm25 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY bm25.score DESC, doc_id) <= 10")
@@ -57,10 +59,11 @@ def k3_bm25_top_n(spark, d):
 
 @query(f"WITH {BM25} SELECT DISTINCT term, df, round(avg_dl, 6) AS avg_dl FROM d JOIN q USING (term), n")
 def a3_document_frequency(spark, d):
-    docs = table(spark, d, "documents")
-    df = R.postings(docs).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    wanted = R.query_terms(asked(spark, d)).select("term").distinct()
-    return df.join(wanted, "term").crossJoin(F.broadcast(R.corpus_size(docs))).select("term", "df", F.round("avg_dl", 6).alias("avg_dl"))
+    path, queries = index(spark, d), asked(spark, d)
+    wanted = R.query_terms(queries).select("term").distinct()
+    found = keyword_index.postings(spark, path, buckets=keyword_index.asked_buckets(queries)).join(wanted, "term", "left_semi")
+    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return df.crossJoin(F.broadcast(keyword_index.size(spark, path))).select("term", "df", F.round("avg_dl", 6).alias("avg_dl"))  # one row
 
 
 @query(rf"SELECT term, count(*) AS df, sum(tf)::BIGINT AS total FROM (SELECT doc_id, unnest({TERMS}) AS term, 1 AS tf FROM documents) GROUP BY 1".replace("count(*) AS df", "count(DISTINCT doc_id) AS df"))
@@ -131,14 +134,16 @@ def e1_union_of_ids(spark, d):
 
 @query(f"WITH {COSINE}, m AS (SELECT vec_id, max(score) AS score FROM cos GROUP BY 1) SELECT vec_id, round(score, 6) AS score FROM m ORDER BY m.score DESC, vec_id LIMIT 15")
 def k6_multi_query_top_k(spark, d):
-    """A13 as well: both queries count as variants of one."""
-    merged = R.best_of_variants(cosines(spark, d).withColumn("query_id", F.lit(0)), "vec_id")
+    """All queries count as variants of one."""
+    v, variants = vectors(spark, d)
+    merged = R.variant_scores(v, variants.withColumn("query_id", F.lit(0)), n=15)
     return R.best(merged, 15, "vec_id").select("vec_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {COSINE} SELECT vec_id, round(max(score), 6) AS score FROM cos GROUP BY 1")
 def a13_max_score_per_id(spark, d):
-    return R.best_of_variants(cosines(spark, d).withColumn("query_id", F.lit(0)), "vec_id").select("vec_id", F.round("score", 6).alias("score"))
+    v, variants = vectors(spark, d)
+    return R.variant_scores(v, variants.withColumn("query_id", F.lit(0))).select("vec_id", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {COSINE}, hits AS (SELECT query_id, label AS source, vec_id AS chunk, score FROM cos JOIN embeddings USING (vec_id) WHERE score > 0.1),
@@ -189,7 +194,56 @@ def j3_chunk_to_document(spark, d):
 
 @query(rf"WITH {BM25} SELECT query_id, doc_id, term, tf, qf FROM h JOIN q USING (term)")
 def j5_query_terms_with_postings(spark, d):
-    return R.postings(table(spark, d, "documents")).join(R.query_terms(asked(spark, d)), "term").select("query_id", "doc_id", "term", "tf", "qf")
+    queries = asked(spark, d)
+    rows = keyword_index.postings(spark, index(spark, d), buckets=keyword_index.asked_buckets(queries))
+    return rows.join(R.query_terms(queries), "term").select("query_id", "doc_id", "term", "tf", "qf")
+
+
+@query("SELECT term, count(*) AS df, sum(tf)::BIGINT AS total FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(" + TERMS + ") AS term FROM documents) GROUP BY 1, 2) GROUP BY 1")
+def d6_write_keyword_index(spark, d):
+    """An index written anew each time, for the cost of that, and read back whole."""
+    path = scratch.folder(spark, "d6")
+    keyword_index.add(table(spark, d, "documents"), path)
+    return keyword_index.postings(spark, path).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
+
+
+CHANGED = rf"""
+now AS (SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN reverse(text) || ' river river' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 3 OR doc_id % 5 = 1),
+"""
+
+
+@query("WITH" + CHANGED + BM25.replace("FROM documents", "FROM now").lstrip() + "SELECT query_id, doc_id, round(score, 6) AS score FROM bm25 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY bm25.score DESC, doc_id) <= 10")
+def d6_changed_keyword_index(spark, d):
+    """X10. All documents are added in two batches, a seventh is deleted, a fifth replaced or added again, and half of the segments are merged before."""
+    path = scratch.folder(spark, "d6-changed")
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    keyword_index.add(docs.where("doc_id % 2 = 0"), path)
+    keyword_index.add(docs.where("doc_id % 2 = 1"), path)
+    keyword_index.delete(docs.where("doc_id % 7 = 3").select("doc_id"), path)
+    keyword_index.merge(spark, path)
+    keyword_index.add(docs.where("doc_id % 5 = 1").withColumn("text", F.concat(F.reverse("text"), F.lit(" river river"))), path)
+    scored = keyword_index.search(spark, path, asked(spark, d)).withColumn("score", F.round("score", 9))
+    return R.best(scored, 10).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+def leaves(spark, d):
+    """The vector index of all vectors, written once for the files that are there."""
+    return scratch.kept(spark, f"{d}/embeddings.parquet", "vector-index", lambda path: vector_index.write(table(spark, d, "embeddings"), path, leaf=64))
+
+
+@query(f"WITH {COSINE} SELECT query_id, vec_id, round(score, 6) AS score FROM cos QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cos.score DESC, vec_id) BETWEEN 2 AND 11")
+def d5_vector_index_whole(spark, d):
+    """The index's exact way: every query reads all leaves."""
+    path = leaves(spark, d)
+    top = vector_index.search(spark, path, vectors(spark, d)[1], 11, vector_index.described(spark, path)["leaves"])
+    return top.where("rank >= 2").select("query_id", "vec_id", F.round("score", 6).alias("score"))
+
+
+@query()
+def d5_vector_index(spark, d):
+    """Each query reads its nearest leaves; tests hold the recall against the exact way."""
+    top = vector_index.search(spark, leaves(spark, d), vectors(spark, d)[1], 11)
+    return top.where("rank >= 2").select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
 BUDGET = 1_000

@@ -73,7 +73,7 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
 def pages_of(text: Column) -> Column:
     """S1. Array of (page, text) of a text with [Page n] marks."""
     parts = F.filter(F.split(text, r"(?=\[Page [0-9]+\])"), lambda x: x.rlike(r"^\[Page [0-9]+\]"))
-    return F.transform(parts, lambda x: F.struct(F.regexp_extract(x, r"^\[Page ([0-9]+)\]", 1).cast("int").alias("page"), F.regexp_replace(x, r"^\[Page [0-9]+\]\s*|\s+$", "").alias("text")))
+    return F.transform(parts, lambda x: F.struct(F.regexp_extract(x, r"^\[Page ([0-9]+)\]", 1).cast("int").alias("page"), F.regexp_replace(x, r"^\[Page [0-9]+\]\s*|(?<!\s)\s++\z", "").alias("text")))
 
 
 QA = "qa_pairs array<struct<turn:long,question:string,answer:string,context:string,source:string,page:int>>"
