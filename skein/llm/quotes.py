@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import discard, let, materialise, pick
 
-#: The markers before a quoted line, one a level.
-MARKS = r"^[ \t]*((?:>[ \t]?)+)"
+#: The markers before a quoted line, one a level. Groups repeat possessively, as Java's regex recurses for each repeat otherwise.
+MARKS = r"^[ \t]*+((?:>[ \t]?+)++)"
 #: What announces the quotation that follows; ``>`` stands for a quoted line, as no other line starts with it.
-ANNOUNCED = r"(?imdu)^[ \t]*(?:on|am|le|el)\b[^\n]*(?:\n[^\n>][^\n]*){0,3}?(?:wrote|schrieb|écrit|escribió)[ \t]?:[ \t]*\n(?:[ \t]*\n)*(?=>)"
+ANNOUNCED = r"(?imdu)^[ \t]*+(?:on|am|le|el)\b[^\n]*(?:\n[^\n>][^\n]*){0,3}?(?:wrote|schrieb|écrit|escribió)[ \t]?:[ \t]*+\n(?:[ \t]*+\n)*+(?=>)"
 SENTENCE = r"(?<=[.!?])\s+"
 
 
@@ -66,7 +66,7 @@ def parse(chats: DataFrame) -> DataFrame:
     """conv_id, turn, role, lines, and ``own``: the words without quotations and their announcements."""
     rows = pick(chats, "conv_id", "turn", "role", "text").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), _lines(F.coalesce("text", F.lit(""))).alias("lines"))
     marked = F.array_join(F.transform("lines", lambda x: F.when(x["level"] > 0, ">").otherwise(x["body"])), "\n")
-    own = F.regexp_replace(F.regexp_replace(F.regexp_replace(marked, ANNOUNCED, ""), r"(?md)^>(?:\n|\z)", ""), r"^\s+|\s+$", "")
+    own = F.regexp_replace(F.regexp_replace(F.regexp_replace(marked, ANNOUNCED, ""), r"(?md)^>(?:\n|\z)", ""), r"\A\s++|(?<!\s)\s++\z", "")
     return rows.withColumn("own", F.when(F.exists("lines", lambda x: x["level"] > 0), own).otherwise(marked))
 
 
