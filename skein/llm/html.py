@@ -69,6 +69,7 @@ _BOXES = frozenset("html body article main section div center table td th fields
 _OUTER = frozenset(("", "html", "body"))
 _SAME = frozenset("p li td tr dt dd option".split())  #: an element that ends an open one of the same name
 _RAW = frozenset("script style title textarea".split())  #: content without tags
+_ENDS = {name: re.compile(f"</{name}", re.I) for name in _RAW}
 _TRACKED = _BLOCKS | _AROUND | _HIDDEN | _HOLDERS
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that a head may hold, and parts that stay beside the article whatever their size.
@@ -198,9 +199,10 @@ class _Page:
                     m = _PLAIN_TAG.match(page, lt)
                 at, name = m.end(), m[2].lower()
                 if name in _RAW and not m[1] and not m[3].endswith("/") and name not in endless:
-                    end = re.compile(f"</{name}[^>]*+>", re.I).search(page, at)
-                    if end:
-                        at = end.end()
+                    end = _ENDS[name].search(page, at)
+                    behind = page.find(">", end.end()) if end else -1  # where there is none, no later end tag closes either
+                    if behind >= 0:
+                        at = behind + 1
                     elif name in ("script", "style"):
                         at = len(page)
                     else:
