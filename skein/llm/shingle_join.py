@@ -29,7 +29,6 @@ doc_id links with nothing and has no component; an empty table gives an empty re
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,37 +46,59 @@ LOWEST = 3
 BLOCK, BLOCK_SHINGLES = 256, 400_000
 SLICE = 1024  #: documents hashed at once
 COLUMNS = 4096  #: n-grams in a block of the product
+TEXT_PIECE = 1 << 16  #: bytes of a text hashed at once
 _B = 0x9E3779B97F4A7C15 | 1
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(_B, -1, 1 << 64)
-    out = []
-    for base in (_B, inverse):
-        p = np.full(n, base, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
+def _words(raw: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word: the sum of mixed values of its bytes and their places, mixed again with its length.
+
+    A value depends on byte and place without any linear rule, so that no pattern of words
+    makes sums meet. Pieces of the text are hashed one behind the other, wherever they cut words.
+    """
+    out, lengths = [], []
+    open_, at = False, 0  # whether a word goes on into this piece, and its bytes so far
+    for first in range(0, len(raw), TEXT_PIECE):
+        piece = raw[first : first + TEXT_PIECE]
+        inside = (piece != 32) & ((piece < 9) | (piece > 13))
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1]
+        goes_on = open_ and bool(inside[0])
+        starts = np.flatnonzero(begins)
+        if len(starts):
+            # places count from the start of the own word; gaps add nothing
+            own = np.repeat(starts, np.diff(starts, append=len(piece)))
+            place = np.arange(starts[0], len(piece)) - own
+            if goes_on:
+                place[: starts[1] - starts[0] if len(starts) > 1 else len(place)] += at
+            value = _mix((place.astype(np.uint64) << np.uint64(8)) + piece[starts[0] :] + np.uint64(1)) * inside[starts[0] :]
+            sums = np.add.reduceat(value, starts - starts[0])
+            size = np.add.reduceat(inside[starts[0] :].astype(np.int64), starts - starts[0])
+            if goes_on:
+                out[-1][-1:] += sums[:1]
+                lengths[-1][-1:] += size[:1]
+                sums, size = sums[1:], size[1:]
+            if len(sums):
+                out.append(sums)
+                lengths.append(size)
+        open_ = bool(inside[-1])
+        at = int(lengths[-1][-1]) if open_ else 0
+    if not out:
+        return np.zeros(0, np.uint64)
+    return _mix(np.concatenate(out) + np.concatenate(lengths).astype(np.uint64) * np.uint64(_B))
+
+
 def shingles(text: str | None, k: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the k-word sequences; the letters A-Z count as a-z."""
-    raw = np.frombuffer((text or "").encode().lower(), np.uint8)
-    gap = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    edge = np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    up, down = _powers(1 << max(17, int(len(raw)).bit_length()))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)])])
-    word = _mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    word = _words(np.frombuffer((text or "").encode().lower(), np.uint8))
+    if not len(word):
+        return word
     k = min(k, len(word))
     mixed = np.zeros(len(word) - k + 1, np.uint64)
     for j in range(k):
