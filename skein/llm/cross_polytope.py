@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skein.llm.arrays import by_length, finite, kind_of, matrix, raws
+from skein.functions.arrays import by_length, finite, kind_of, matrix, raws
 from skein.llm.common import materialise
 
 RECALL = 0.95

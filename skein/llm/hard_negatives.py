@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skein.llm.arrays import matrix, packed
+from skein.functions.arrays import matrix, packed
 from skein.llm.common import batches_of, materialise
 
 ROWS, ANCHORS = 2048, 256  #: of a block

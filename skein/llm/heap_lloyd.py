@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from skein.llm.arrays import finite, kind_of, matrix, raws, rows_of
+from skein.functions.arrays import finite, kind_of, matrix, raws, rows_of
 from skein.llm.common import batches_of, discard, materialise, pick
 
 #: Equal parts of a vector, entries of a codebook (at most 65,536), Lloyd rounds, units a component is cut into.

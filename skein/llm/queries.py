@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import arrays, cross_polytope, hard_negatives, heap_lloyd, html, mixing, packing, pii, quality, quotes, sharding, shingle_join, vectors, warc
+from skein.functions import arrays
+from skein.llm import cross_polytope, hard_negatives, heap_lloyd, html, mixing, packing, pii, quality, quotes, sharding, shingle_join, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skein.llm import arrays, cross_polytope, hard_negatives, heap_lloyd, queries
+from skein.functions import arrays
+from skein.llm import cross_polytope, hard_negatives, heap_lloyd, queries
 
 VECTORS = "vec_id long, label long, embedding array<double>"
 BAD = [(9000, 1, None), (9001, 1, []), (9002, 1, [float("nan")] + [1.0] * 15), (9003, 1, [None] + [1.0] * 15), (9004, 1, [float("-inf")] + [1.0] * 15)]
