@@ -98,7 +98,8 @@ def transformed(df: DataFrame, column: str, *names: str) -> DataFrame:
 
 
 def questions(spark, d):
-    return table(spark, d, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), "text")
+    """Every fifth benchmark text."""
+    return table(spark, d, "benchmark").where("item_id % 5 = 0").select(F.col("item_id").alias("query_id"), "text")
 
 
 def small(spark, d):
@@ -154,7 +155,9 @@ def t8_replaced_words(spark, d):
     return small(spark, d).select("doc_id", F.md5(Wd.replaced_words(F.col("text"), {"the": "THAT"})).alias("digest"))
 
 
-@query()
+@query(r"""WITH t AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS b, list_filter(regexp_split_to_array(regexp_replace(text, '[.,]', '', 'g'), '\s+'), lambda w: w <> '') AS a FROM conversations),
+d AS (SELECT *, list_reduce(list_prepend(range(len(b) + 1)::BIGINT[], list_transform(range(1, len(a) + 1), lambda i: [i]::BIGINT[])), lambda row, i: list_reduce(list_prepend([row[1] + 1]::BIGINT[], list_transform(range(1, len(b) + 1), lambda j: [j]::BIGINT[])), lambda made, j: list_append(made, least(made[-1] + 1, row[j[1] + 1] + 1, row[j[1]] + CASE WHEN b[j[1]] <> a[i[1]] THEN 1 ELSE 0 END)))) AS last FROM t)
+SELECT conv_id, turn, last[-1]::DOUBLE / greatest(len(b), 1) AS rate FROM d""")
 def a25_word_error_rate(spark, d):
     rows = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("truth"), F.regexp_replace("text", "[.,]", "").alias("said"))
     return rows.select("conv_id", "turn", Wd.word_error_rate(F.col("said"), F.col("truth")).alias("rate"))
@@ -195,17 +198,17 @@ def answered_from_pairs(qa: DataFrame, asked: DataFrame, k: int = 3, threshold:
 def made_pairs(docs: DataFrame, ask, target: int = 400) -> DataFrame:
     """C6. Sections of documents sent to a model that gives one question a section; pairs that break a rule go, then repeats.
 
-    ``ask`` is a function from texts to questions; the section's start serves as the answer.
+    ``ask`` is a function from texts to questions; the section serves as the answer.
     """
     parts = chunking.section_chunks(docs, target=target, overlap=60).withColumn("language", X.language(F.col("text")))
-    made = corpus.through_model(parts, "text", ask, "question", "string").withColumn("answer", F.substring("text", 1, 200))
+    made = corpus.through_model(parts, "text", ask, "question", "string").withColumn("answer", F.col("text"))
     good = made.where(X.qa_verdict(F.col("question"), F.col("answer")).isNull()).withColumn("q", F.lower("question"))
     return chat.distinct_ignoring_case(good, "doc_id", "q", "chunk_num").drop("q")
 
 
 def first_sentence(texts: list[str]) -> list[str]:
     """A stand-in for a language model: asks what the first sentence says."""
-    return [f"What about {t.partition('.')[0][:80].strip()}?" for t in texts]
+    return [f"What about {t.partition('.')[0].strip()}?" for t in texts]
 
 
 def routed(messages: DataFrame, qa: DataFrame, index: DataFrame, docs: DataFrame, mode: str = "both") -> DataFrame:
@@ -228,7 +231,7 @@ def routed(messages: DataFrame, qa: DataFrame, index: DataFrame, docs: DataFrame
 @query()
 def c4_advanced_search(spark, d):
     docs = small(spark, d)
-    variants = questions(spark, d).withColumn("query_id", F.lit(0).cast("long"))
+    variants = questions(spark, d).withColumn("query_id", F.floor(F.col("query_id") / 20))  # four variants a question
     return advanced(index_of(spark, d), docs, variants, ["1", "3"]).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"), "tokens")
 
 

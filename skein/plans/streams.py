@@ -15,7 +15,7 @@ from skein.operators import speech as S
 from skein.plans.registry import query, table
 from skein.plans.signals import signal
 from skein.sources import readers, scratch, sinks
-from skein.streaming import streams
+from skein.streaming import pacing, pinned, streams
 
 PIECE = 7
 
@@ -81,14 +81,14 @@ def x9_settled_files(spark, d):
     return streams.settled_files(rows, "10 hours").select("path", "changes", F.unix_micros("last").alias("last"))
 
 
-@query("SELECT doc_id, md5(CASE WHEN doc_id % 3 = 0 THEN upper(lang) ELSE lang END) AS digest FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
+@query("SELECT doc_id, md5(CASE WHEN doc_id % 2 = 1 OR doc_id % 3 = 0 THEN upper(lang) ELSE lang END) AS digest FROM documents")
 def x10_upserted_snapshot(spark, d):
-    """Two batches into one snapshot table: even ids, then those divisible by three anew."""
+    """Two batches into one snapshot table: even ids, then the odd ones, and those divisible by three anew."""
     path = scratch.folder(spark, "x10")
     rows = table(spark, d, "documents").select("doc_id", "lang")
     sink = streams.upsert_into(path, "doc_id")
     sink(rows.where("doc_id % 2 = 0"), 0)
-    sink(rows.where("doc_id % 3 = 0").withColumn("lang", F.upper("lang")), 1)
+    sink(rows.where("doc_id % 2 = 1 or doc_id % 3 = 0").withColumn("lang", F.upper("lang")), 1)
     return readers.snapshot(spark, path).select("doc_id", F.md5("lang").alias("digest"))
 
 
@@ -102,12 +102,12 @@ def s9_snapshot(spark, d):
     return readers.snapshot(spark, path).select("doc_id", F.md5("text").alias("digest"))
 
 
-@query("SELECT doc_id, lang, n_chars FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, lang, n_chars FROM documents WHERE doc_id % 3 = 0")
+@query("SELECT doc_id, lang, n_chars FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, lang, n_chars FROM documents WHERE doc_id % 2 = 1 OR doc_id % 3 = 0")
 def s11_report(spark, d):
     path = scratch.folder(spark, "s11")
     rows = table(spark, d, "documents").select("doc_id", "lang", "n_chars")
-    for by in (2, 3):
-        sinks.append_report(rows.where(f"doc_id % {by} = 0"), path)
+    for part in ("doc_id % 2 = 0", "doc_id % 2 = 1 or doc_id % 3 = 0"):
+        sinks.append_report(rows.where(part), path)
     return spark.read.schema("doc_id long, lang string, n_chars long").json(path)
 
 
@@ -124,7 +124,7 @@ def s3_text_files(spark, d):
 def s6_listing(spark, d):
     """Ids written as text files by language; the listing's sizes add up to the bytes written."""
     path = scratch.folder(spark, "s6")
-    table(spark, d, "documents").where("lang is not null").select("lang", F.col("doc_id").cast("string").alias("value")).repartition("lang").write.partitionBy("lang").text(path)
+    table(spark, d, "documents").where("lang is not null").select("lang", F.col("doc_id").cast("string").alias("value")).repartition("lang", F.pmod(F.xxhash64("value"), F.lit(64))).write.partitionBy("lang").text(path)
     return readers.listing(spark, path, "*.txt").groupBy(F.regexp_extract("path", "lang=([^/]+)/", 1).alias("lang")).agg(F.sum("size").alias("size"))
 
 
@@ -188,3 +188,25 @@ def c8_sealed_history(spark, d):
     sealed = e.where("user_id % 2 = 0 or message_id % 11 = 0").withColumn("_s", H.sealed(F.col("text"), day_key, bound(F.col("role"))))
     sealed = scratch.written(sealed.select("message_id", "user_id", "ts", F.when(F.col("message_id") % 11 == 0, "system").otherwise(F.col("role")).alias("role"), "_s.cipher", "_s.nonce"), "c8-messages")
     return H.with_keys(sealed, keys).select("message_id", H.opened(F.col("cipher"), F.col("nonce"), F.col("key"), bound(F.col("role"))).cast("string").alias("text"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'first' ELSE 'second' END AS version FROM documents")
+def x11_pinned_snapshots(spark, d):
+    """A version is published between two batches, and the first batch runs again after that: it reads what it read before."""
+    path, pins, out = (scratch.folder(spark, f"x11-{x}") for x in ("snapshots", "pins", "out"))
+    rows = table(spark, d, "documents").select("doc_id")
+    sink = pinned.with_newest(path, pins, lambda batch, known, n: batch.crossJoin(F.broadcast(known)).write.mode("overwrite").parquet(f"{out}/batch={n}"))  # one row
+    for n, version in enumerate(("first", "second")):
+        sinks.publish(spark.createDataFrame([(version,)], "version string"), path)
+        sink(rows.where(f"doc_id % 2 = {n}"), n)
+    sink(rows.where("doc_id % 2 = 0"), 0)
+    return spark.read.parquet(out).select("doc_id", "version")
+
+
+@query()
+def x12_paced_text(spark, d):
+    """A turn is a sentence a tenth of a second after the one before; every text brings sound by its length two seconds on."""
+    c = chats(spark, d).select(F.concat(F.lit("c"), "conv_id").alias("key"), (F.col("turn") * 0.1).alias("t"), "text")
+    said = c.select("key", "t", "text", F.lit(None).cast("double").alias("seconds"))
+    sound = c.select("key", (F.col("t") + 2).alias("t"), F.lit(None).cast("string").alias("text"), (F.length("text") / 15.0).alias("seconds"))
+    return pacing.paced(said.unionByName(sound))

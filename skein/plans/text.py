@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import functions as F
 
 from skein.functions import text as X
-from skein.operators import chunking
+from skein.operators import chunking, hyphenation, sentence_model
 from skein.plans.registry import query, table
 
 S = X.SPACE
@@ -40,8 +43,11 @@ def p1_clean_text(spark, d):
 WORDS = r"list_filter(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '[a-zA-Z]{2,}'))"
 
 
-@query(rf"""SELECT doc_id, length({strip('text')}) >= 20 AND len({WORDS}) >= 5 AND length(text) - length(replace(text, '.', '')) <= 2 * len({WORDS})
-  AND length(regexp_replace(text, '[^\p{{Nd}}]', '', 'g')) <= length(text) * 0.3 AND length(array_to_string({WORDS}, '')) / greatest(len({WORDS}), 1) >= 2.5 AS valid FROM documents""")
+VALID = rf"""length({strip('text')}) >= 20 AND len({WORDS}) >= 5 AND length(text) - length(replace(text, '.', '')) <= 2 * len({WORDS})
+  AND length(regexp_replace(text, '[^\p{{Nd}}]', '', 'g')) <= length(text) * 0.3 AND length(array_to_string({WORDS}, '')) / greatest(len({WORDS}), 1) >= 2.5"""
+
+
+@query(f"SELECT doc_id, {VALID} AS valid FROM documents")
 def p2_valid_chunk(spark, d):
     return docs(spark, d).select("doc_id", X.valid_chunk(F.col("text")).alias("valid"))
 
@@ -225,12 +231,29 @@ def t3_rule_sentences(spark, d):
     return docs(spark, d).select("doc_id", F.posexplode(chunking.rule_sentences(F.col("text"))).alias("position", "sentence"))
 
 
-@query()
+#: Sentences as pieces that keep the white space behind them, so that their lengths add up to places; a chunk ends before the first sentence over its target.
+PACKED = rf"""WITH RECURSIVE t AS (SELECT doc_id, text, string_split(regexp_replace(text, '([.!?]){S}+', '\0' || chr(57345), 'g'), chr(57345)) AS p FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM t),
+o AS (SELECT doc_id, i, piece, {strip('piece')} AS s, (sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) - length(piece))::BIGINT AS begins FROM u),
+k AS (SELECT doc_id, list(s ORDER BY i) AS s, list(begins + length(piece) - length(regexp_replace(piece, '^{S}+', '')) ORDER BY i) AS a FROM o WHERE s <> '' GROUP BY 1),
+l AS (SELECT *, len(s) AS n, list_prepend(0, (SELECT list(x ORDER BY j) FROM (SELECT j, sum(length(s[j])) OVER (ORDER BY j) AS x FROM range(1, len(s) + 1) r(j)))::BIGINT[])::BIGINT[] AS c FROM k),
+r AS (SELECT doc_id, 0 AS chunk, 0::BIGINT AS first, e AS ends FROM (SELECT doc_id, coalesce(list_min(list_filter(range(1, n), lambda j: c[j + 2] > 512)), n) AS e FROM l)
+UNION ALL SELECT doc_id, chunk + 1, back, coalesce(list_min(list_filter(range(ends + 1, n), lambda j: c[j + 2] - c[back + 1] > 512)), n) FROM (SELECT r.doc_id, chunk, ends, ends - floor((ends - first) * 0.25)::BIGINT AS back, n, c FROM r JOIN l USING (doc_id) WHERE ends < n)),
+x AS (SELECT doc_id, chunk AS chunk_index, array_to_string(s[(first + 1)::BIGINT:ends], ' ') AS joined, (c[ends + 1] - c[first + 1]) / 4.0 AS est_tokens, a[first + 1] AS char_start, a[ends] + length(s[ends]) AS char_end FROM r JOIN l USING (doc_id))"""
+
+
+@query(f"{PACKED} SELECT doc_id, chunk_index, text, est_tokens, char_start, char_end, truncated FROM (SELECT *, left(joined, 520) AS text, length(joined) > 520 AS truncated FROM x) WHERE {VALID}")
 def t11_chunks(spark, d):
     return chunking.good_chunks(docs(spark, d))
 
 
-@query()
+@query(rf"""WITH RECURSIVE t AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(replace(text, '. ', '.' || chr(10) || chr(10)), '\n[ \t\r\f\x0B]*\n'), lambda p: {strip('p')}), lambda p: p <> '') AS p FROM documents),
+u AS (SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM t),
+l AS (SELECT doc_id, p, len(p) AS n, list_prepend(0, c)::BIGINT[] AS c FROM t JOIN (SELECT doc_id, list(x ORDER BY i) AS c FROM (SELECT doc_id, i, sum(length(s) // 4) OVER (PARTITION BY doc_id ORDER BY i) AS x FROM u) GROUP BY 1) USING (doc_id)),
+r AS (SELECT doc_id, 1 AS chunk, 0::BIGINT AS first, e AS ends FROM (SELECT doc_id, coalesce(list_min(list_filter(range(1, n), lambda j: c[j + 2] > 400)), n) AS e FROM l)
+UNION ALL SELECT doc_id, chunk + 1, back, coalesce(list_min(list_filter(range(ends + 1, n), lambda j: c[j + 2] - c[back + 1] > 400)), n) FROM (SELECT r.doc_id, chunk, ends, list_min(list_filter(range(first + 1, ends + 1), lambda b: c[ends + 1] - c[b + 1] <= 60)) AS back, n, c FROM r JOIN l USING (doc_id) WHERE ends < n)),
+x AS (SELECT doc_id, chunk AS chunk_num, (max(chunk) OVER (PARTITION BY doc_id))::INT AS total_chunks, first, ends - 1 AS last, c[ends + 1] - c[first + 1] AS tokens, array_to_string(p[(first + 1)::BIGINT:ends], chr(10) || chr(10)) AS text FROM r JOIN l USING (doc_id))
+SELECT *, CASE WHEN total_chunks > 1 THEN ' (Deel ' || chunk_num || '/' || total_chunks || ', ' || CASE WHEN first = last THEN 'Pagina ' || (first + 1) ELSE 'Pagina''s ' || (first + 1) || '-' || (last + 1) END || ')' ELSE '' END AS title FROM x""")
 def t12_section_chunks(spark, d):
     rows = docs(spark, d).withColumn("text", F.replace("text", F.lit(". "), F.lit(".\n\n")))
     return chunking.section_chunks(rows, target=400, overlap=60)
@@ -256,3 +279,46 @@ def n5_turn_text(spark, d):
     """Full-width letters and a ligature are added, which become plain ones."""
     text = F.concat("text", F.lit("\u3000（ｄｏｎ'ｔ） \u200aｏk-ay"))
     return table(spark, d, "conversations").select("conv_id", "turn", X.turn_text(text).alias("text"))
+
+
+#: Made-up patterns: letters with weights in their gaps.
+PATTERNS = ("a1b", "1na", "n2at", "e1r", "er1i", "1ti", "ti2on.", "o1n2", "2st", "s1t3r", ".un3", "in1g", "l1l", "4lly.", "1ve.", "c1k", "h2e", "a3t2e")
+WEIGHTED = ", ".join("('{}', [{}])".format(re.sub("[0-9]", "", p), ", ".join(x or "0" for x in re.split("[^0-9]", p))) for p in PATTERNS)
+
+
+@query(f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-zA-Z]+')) AS word FROM documents), p(letters, gaps) AS (VALUES {WEIGHTED}),
+i AS (SELECT word, unnest(range(length(word) + 2)) AS i FROM w WHERE length(word) > 4),
+f AS (SELECT word, i, gaps, unnest(range(len(gaps))) AS j FROM i JOIN p ON substr('.' || lower(word) || '.', (i + 1)::BIGINT, length(letters)) = letters),
+v AS (SELECT word, i + j - 1 AS place, max(gaps[j + 1]) AS weight FROM f GROUP BY 1, 2),
+b AS (SELECT word, list(place ORDER BY place) AS places FROM v WHERE weight % 2 = 1 AND place BETWEEN 2 AND length(word) - 2 GROUP BY 1),
+e AS (SELECT word, list_concat([0], coalesce(places, []), [length(word)]) AS e FROM w LEFT JOIN b USING (word))
+SELECT word, array_to_string(list_transform(range(1, len(e)), lambda k: substr(word, e[k] + 1, e[k + 1] - e[k])), '-') AS hyphenated FROM e""")
+def t7_hyphenation(spark, d):
+    """The words of all documents by a small list of patterns."""
+    words = docs(spark, d).select(F.explode(F.regexp_extract_all("text", F.lit("[a-zA-Z]+"), F.lit(0))).alias("word"))
+    patterns = spark.createDataFrame([(p,) for p in PATTERNS], "pattern string")
+    return hyphenation.hyphenated(words, patterns).select("word", F.array_join("pieces", "-").alias("hyphenated"))
+
+
+BARE = r"regexp_replace(lower(t), '^[^\p{L}\p{N}.]+|[^\p{L}\p{N}.]+$', '', 'g')"
+
+
+@query(rf"""WITH t AS (SELECT unnest(regexp_extract_all(coalesce(text, ''), '[^\t-\r ]+')) AS t FROM documents),
+w AS (SELECT regexp_replace(b, '[.]$', '') AS word, suffix(b, '.') AS stop FROM (SELECT {BARE} AS b FROM t)),
+c AS (SELECT word, count(*) AS n, count(*) FILTER (stop) AS k FROM w WHERE regexp_matches(word, '[\p{{L}}\p{{N}}]') GROUP BY 1),
+s AS (SELECT sum(k)::DOUBLE / sum(n)::DOUBLE AS p FROM c),
+x AS (SELECT word, n, k, length(word) - length(replace(word, '.', '')) AS dots, k * ln(p) + (n - k) * ln(greatest(1 - p, 1e-12)) AS chance, k * {math.log(0.99)!r} + (n - k) * {math.log(0.01)!r} AS held FROM c, s WHERE k > 0 AND NOT regexp_matches(word, '^[0-9.,]+$')),
+y AS (SELECT word, -2 * (chance - held) * exp(-(length(word) - dots)) * (dots + 1) * pow(greatest(length(word) - dots, 1)::DOUBLE, (-(n - k))::DOUBLE) AS score FROM x)
+SELECT word, round(score, 6) AS score FROM y WHERE score >= 0.3""")
+def t2_abbreviations(spark, d):
+    """What the learned sentence model takes for abbreviations, over the words of all documents."""
+    found = sentence_model.abbreviations(sentence_model.counted(sentence_model.tokens(docs(spark, d))))
+    return found.select("word", F.round("score", 6).alias("score"))
+
+
+@query()
+def t2_learned_sentences(spark, d):
+    """Sentences by a model that was fitted on the same documents."""
+    rows = docs(spark, d)
+    model = sentence_model.fit(rows)
+    return rows.select("doc_id", F.posexplode(sentence_model.sentences(F.col("text"), model)).alias("position", "sentence"))
