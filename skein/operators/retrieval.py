@@ -119,14 +119,16 @@ def whole(v: Column) -> Column:
     return F.coalesce(F.exists(v, lambda x: x != 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(False))
 
 
-def unit_blocks(rows: DataFrame, names: str, by: str | None = None) -> DataFrame:
+def unit_blocks(rows: DataFrame, names: str, by: str | None = None, tag: str | None = None) -> DataFrame:
     """Blocks of usable vectors as (``names`` array of keys, raw): rows are (key, v array<double>); no shuffle.
 
-    ``by`` is a column of whole numbers before them, of which a block has one value.
+    ``by`` is a column of whole numbers before them, of which a block has one value; ``tag``
+    is one behind them, which becomes an array beside the keys.
     """
     at = [by] if by else []
     kind = rows.schema[len(at)].dataType
     ids = pa.list_(to_arrow_type(kind))
+    tags = pa.list_(to_arrow_type(rows.schema[tag].dataType)) if tag else None
 
     def run(batches):
         for batch in batches:
@@ -141,14 +143,16 @@ def unit_blocks(rows: DataFrame, names: str, by: str | None = None) -> DataFrame
                     x = flat[begin[part][:, None] + np.arange(n)]
                     x = x / np.abs(x).max(axis=1, keepdims=True)
                     x /= np.linalg.norm(x, axis=1, keepdims=True)
-                    block = [pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), keys.take(pa.array(part))).cast(ids), pa.array([x.tobytes()], pa.binary())]
-                    yield pa.RecordBatch.from_arrays([*([pa.array([g])] if by else []), *block], names=[*at, names, "raw"])
+                    listed = lambda column, t: pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), column.take(pa.array(part))).cast(t)  # noqa: B023, E731
+                    block = [listed(keys, ids), pa.array([x.tobytes()], pa.binary()), *([listed(batch.column(len(at) + 2), tags)] if tag else [])]
+                    yield pa.RecordBatch.from_arrays([*([pa.array([g])] if by else []), *block], names=[*at, names, "raw", *([tag] if tag else [])])
 
-    return rows.where(whole(F.col("v"))).mapInArrow(run, f"{by + ' long, ' if by else ''}{names} array<{kind.simpleString()}>, raw binary")
+    more = f", {tag} array<{rows.schema[tag].dataType.simpleString()}>" if tag else ""
+    return rows.where(whole(F.col("v"))).mapInArrow(run, f"{by + ' long, ' if by else ''}{names} array<{kind.simpleString()}>, raw binary{more}")
 
 
-def compared(pairs: DataFrame, reduce: Callable[[pa.Array, pa.Array, np.ndarray], list], schema: str) -> DataFrame:
-    """Pairs of blocks (qs, qraw, vs, raw) multiplied; ``reduce`` makes the columns of ``schema`` of the keys and the scores.
+def compared(pairs: DataFrame, reduce: Callable[..., list], schema: str, *more: str) -> DataFrame:
+    """Pairs of blocks (qs, qraw, vs, raw) multiplied; ``reduce`` makes the columns of ``schema`` of the keys, the scores and ``more`` arrays.
 
     Scores are rounded to twelve digits, so that equal vectors tie wherever they stand in a block.
     """
@@ -161,9 +165,10 @@ def compared(pairs: DataFrame, reduce: Callable[[pa.Array, pa.Array, np.ndarray]
                 q, v, a, b = qs[i].values, vs[i].values, qraw[i].as_buffer(), vraw[i].as_buffer()
                 if a.size * len(v) == b.size * len(q):
                     x, y = np.frombuffer(a).reshape(len(q), -1), np.frombuffer(b).reshape(len(v), -1)
-                    yield pa.RecordBatch.from_arrays(reduce(q, v, np.round(x @ y.T, 12)), names=names)
+                    extra = [batch.column(batch.schema.get_field_index(n))[i].values for n in more]
+                    yield pa.RecordBatch.from_arrays(reduce(q, v, np.round(x @ y.T, 12), *extra), names=names)
 
-    return pairs.select("qs", "qraw", "vs", "raw").mapInArrow(run, schema)
+    return pairs.select("qs", "qraw", "vs", "raw", *more).mapInArrow(run, schema)
 
 
 def picked(chosen: Callable[[np.ndarray], np.ndarray]) -> Callable:
@@ -225,6 +230,30 @@ def variant_scores(vectors: DataFrame, variants: DataFrame, key: str = "vec_id",
     return best_of_variants(found, key)
 
 
+def best_by_source(vectors: DataFrame, queries: DataFrame, n: int, threshold: float, source: str, key: str = "vec_id") -> DataFrame:
+    """A15. query_id, source, key, score: of the vectors above the threshold, the n best of each query and source, and what ties with them in a block.
+
+    A block of vectors gives n rows for a query and source at most but for ties, however many are above the threshold.
+    """
+
+    def reduce(q: pa.Array, v: pa.Array, scores: np.ndarray, sources: pa.Array) -> list:
+        code = sources.dictionary_encode(null_encoding="encode").indices.to_numpy()
+        order = np.argsort(code, kind="stable")
+        ends = np.flatnonzero(np.diff(code[order], append=-1)) + 1
+        mask = np.zeros(scores.shape, bool)
+        for a, b in zip(np.concatenate([[0], ends[:-1]]), ends):
+            own = order[a:b]
+            mask[:, own] = (scores[:, own] > threshold) & first_n(n)(scores[:, own])
+        i, j = np.nonzero(mask)
+        return [q.take(pa.array(i)), sources.take(pa.array(j)), v.take(pa.array(j)), pa.array(scores[i, j])]
+
+    rows = vectors.select(F.col(key), F.col("embedding").cast("array<double>").alias("v"), F.col(source).alias("source"))
+    pairs = unit_blocks(vector_rows(queries, "query_id"), "qs").withColumnRenamed("raw", "qraw").crossJoin(unit_blocks(rows, "vs", tag="source"))
+    kinds = [queries.schema["query_id"].dataType, rows.schema["source"].dataType, rows.schema[key].dataType]
+    schema = ", ".join(f"{n} {k.simpleString()}" for n, k in zip(("query_id", "source", key), kinds, strict=True)) + ", score double"
+    return best(compared(pairs, reduce, schema, "source"), n, key, ("query_id", "source")).drop("rank")
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, n: int, key: str = "vec_id") -> DataFrame:
     """K1, K2. The n best vectors of each query by cosine, ties by key, with their rank."""
     return best(block_scores(vectors, queries, first_n(n), key), n, key)

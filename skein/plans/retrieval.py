@@ -151,7 +151,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score
 SELECT query_id, source, round(max(score), 6) AS max_score, string_agg(chunk::VARCHAR, ',' ORDER BY r) AS chunks FROM r WHERE r <= 3 GROUP BY 1, 2""")
 def a15_group_hits_by_document(spark, d):
     """Labels stand in for documents."""
-    hits = R.above(*vectors(spark, d), 0.1).join(table(spark, d, "embeddings").select("vec_id", F.col("label").alias("source")), "vec_id")
+    v, asked_vectors = vectors(spark, d)
+    hits = R.best_by_source(v, asked_vectors, 3, 0.1, "label")
     return R.by_document(hits.withColumnRenamed("vec_id", "chunk")).withColumn("max_score", F.round("max_score", 6))
 
 

@@ -210,3 +210,19 @@ def x12_paced_text(spark, d):
     said = c.select("key", "t", "text", F.lit(None).cast("double").alias("seconds"))
     sound = c.select("key", (F.col("t") + 2).alias("t"), F.lit(None).cast("string").alias("text"), (F.length("text") / 15.0).alias("seconds"))
     return pacing.paced(said.unionByName(sound))
+
+
+@query("SELECT 'texts' AS sink, lang, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents GROUP BY ALL UNION ALL SELECT 'long', lang, count(*), sum(length(text))::BIGINT FROM documents WHERE length(text) > 1000 GROUP BY ALL")
+def x15_fan_out(spark, d):
+    """A stream of all documents in several micro-batches to two sinks; a batch that ran again would replace its own files."""
+    source, out, checkpoint = (scratch.folder(spark, f"x15-{x}") for x in ("in", "out", "checkpoint"))
+    table(spark, d, "documents").select("doc_id", "lang", "text").repartition(4).write.parquet(source)
+
+    def sink(name: str, condition: str):
+        return lambda batch, n: batch.where(condition).select("lang", F.length("text").alias("chars")).write.mode("overwrite").parquet(f"{out}/sink={name}/batch={n}")
+
+    stream = spark.readStream.schema("doc_id long, lang string, text string").option("maxFilesPerTrigger", 2).parquet(source)
+    streams.to_sinks(stream, [sink("texts", "true"), sink("long", "length(text) > 1000")], checkpoint).awaitTermination()
+    rows = spark.read.schema("lang string, chars int, sink string, batch int").parquet(out)
+    return rows.groupBy("sink", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
+

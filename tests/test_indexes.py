@@ -301,3 +301,19 @@ def test_sql_search_equals_the_dataframe_forms(spark, tmp_path):
     near = R.nearest(vectors, one, 5).orderBy("rank").collect()
     got = spark.sql("SELECT s.* FROM vector_search((SELECT first(embedding) FROM search_vectors WHERE vec_id = 7), 5) s ORDER BY rank").collect()
     assert [(r["vec_id"], round(r["score"], 9)) for r in got] == [(r["vec_id"], round(r["score"], 9)) for r in near]
+
+
+def test_best_of_each_source(spark):
+    """Of many above the threshold, three a query and source; null sources are one, and blocks meet in the end."""
+    x = clustered(5_000, 8, 6, 2)
+    rows = [(i, None if i % 11 == 0 else i % 4, v.tolist()) for i, v in enumerate(x)]
+    v = spark.createDataFrame(rows, "vec_id long, label long, embedding array<double>").repartition(3)
+    asked = v.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding")
+    scores = np.round(x[:5] @ x.T, 12)
+    known = set()
+    for q in range(5):
+        for s in (None, 0, 1, 2, 3):
+            own = [(-scores[q, i], i) for i, label, _ in rows if label == s and scores[q, i] > 0.9]
+            known |= {(q, s, i) for _, i in sorted(own)[:3]}
+    got = R.best_by_source(v, asked, 3, 0.9, "label")
+    assert {(r["query_id"], r["source"], r["vec_id"]) for r in got.collect()} == known and got.count() == len(known)
