@@ -71,13 +71,75 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (1, 2, 3)
     return out
 
 
+def _prices(out: list[list[int]], to: list[int], room: list[int], cost: list[int], far: int) -> list[int]:
+    """The cheapest path from node 0 to each node along arcs with room."""
+    best, queue, waiting = [far] * len(out), deque([0]), [False] * len(out)
+    best[0] = 0
+    while queue:
+        u = queue.popleft()
+        waiting[u] = False
+        for a in out[u]:
+            v = to[a]
+            if room[a] > 0 and best[u] + cost[a] < best[v]:
+                best[v] = best[u] + cost[a]
+                if not waiting[v]:
+                    waiting[v] = True
+                    queue.append(v)
+    return best
+
+
+def _levels(out: list[list[int]], to: list[int], room: list[int], cost: list[int], price: list[int]) -> list[int]:
+    """Arcs from node 0 to each node along cheapest paths, -1 where there is none; it stops behind node 1's level."""
+    level, layer = [-1] * len(out), [0]
+    level[0] = 0
+    while layer and level[1] < 0:
+        new = []
+        for u in layer:
+            for a in out[u]:
+                v = to[a]
+                if level[v] < 0 and room[a] > 0 and price[u] + cost[a] == price[v]:
+                    level[v] = level[u] + 1
+                    new.append(v)
+        layer = new
+    return level
+
+
+def _fill(out: list[list[int]], to: list[int], room: list[int], cost: list[int], price: list[int], level: list[int]) -> None:
+    """Fills the paths to node 1 that go down one level with each arc, until each has a full arc."""
+    at, path, u = [0] * len(out), [], 0
+    while True:
+        if u == 1:
+            least = min(room[a] for a in path)
+            keep = len(path)
+            for i, a in enumerate(path):
+                room[a] -= least
+                room[a ^ 1] += least
+                if not room[a] and i < keep:
+                    keep = i
+            u = to[path[keep] ^ 1]  # back to where the first full arc begins
+            del path[keep:]
+        elif at[u] < len(out[u]):
+            a = out[u][at[u]]
+            v = to[a]
+            if room[a] > 0 and level[v] == level[u] + 1 and price[u] + cost[a] == price[v]:
+                path.append(a)
+                u = v
+            else:
+                at[u] += 1
+        elif path:
+            u = to[path.pop() ^ 1]
+            at[u] += 1
+        else:
+            return
+
+
 def route(patterns: list[tuple[tuple, int]], quotas: dict, most: int = MAX_REPEATS, costs: tuple[int, ...] = REPEAT_COST) -> list[int]:
     """Tokens that each pattern gives, repetitions counted.
 
-    Successive shortest paths: the source feeds each pattern by ``most`` arcs of the
-    pattern's size with growing costs, a pattern feeds its sources, these the sink up
-    to their quotas. As the costs are small integers, each price is settled by
-    shortest augmenting paths of that price before the next is tried.
+    The source feeds each pattern by ``most`` arcs of the pattern's size with growing costs,
+    a pattern feeds its sources, these the sink up to their quotas. Prices are settled one
+    after the other, cheapest first: of all shortest paths of a price, those with the
+    fewest arcs are filled at once by a blocking flow, until the price has no path left.
     """
     source = {m: 2 + len(patterns) + i for i, m in enumerate(quotas)}
     out: list[list[int]] = [[] for _ in range(2 + len(patterns) + len(quotas))]
@@ -96,27 +158,10 @@ def route(patterns: list[tuple[tuple, int]], quotas: dict, most: int = MAX_REPEA
                 arc(2 + i, source[m], size * most, 0)
     for m, q in quotas.items():
         arc(source[m], 1, max(int(q), 0), 0)
-    while True:
-        best, via, queue, waiting = {0: 0}, {}, deque([0]), {0}
-        while queue:
-            u = queue.popleft()
-            waiting.discard(u)
-            for a in out[u]:
-                if room[a] > 0 and best[u] + cost[a] < best.get(to[a], 1 << 60):
-                    best[to[a]], via[to[a]] = best[u] + cost[a], a
-                    if to[a] not in waiting:
-                        waiting.add(to[a])
-                        queue.append(to[a])
-        if 1 not in best:
-            break
-        path, v = [], 1
-        while v:
-            path.append(via[v])
-            v = to[via[v] ^ 1]
-        least = min(room[a] for a in path)
-        for a in path:
-            room[a] -= least
-            room[a ^ 1] += least
+    far = 1 << 60
+    while (price := _prices(out, to, room, cost, far))[1] < far:
+        while (level := _levels(out, to, room, cost, price))[1] >= 0:
+            _fill(out, to, room, cost, price, level)
     # the twins of the arcs from the source hold what flows
     return [sum(room[a] for a in out[2 + i] if to[a] == 0) for i in range(len(patterns))]
 
