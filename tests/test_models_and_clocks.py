@@ -109,7 +109,7 @@ def test_paced_stream(spark, tmp_path):
         (tmp_path / name).rename(tmp_path / "in" / name)
 
     try:
-        stream = pacing.paced(spark.readStream.schema(ROWS).json(str(tmp_path / "in")), idle=6.0)
+        stream = pacing.paced(spark.readStream.schema(ROWS).json(str(tmp_path / "in")), idle=15.0)
         query = stream.writeStream.format("memory").queryName("paced").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="500 milliseconds").start()
         now = round(time.time(), 3)
         first = [("a", now, "one", None), ("a", now + 0.01, "two", None), ("a", now + 0.02, None, 0.5), ("b", now, "alone", None)]
@@ -120,7 +120,7 @@ def test_paced_stream(spark, tmp_path):
             time.sleep(0.5)
         known = sorted(tuple(r) for r in pacing.paced(spark.createDataFrame(first, ROWS)).collect())
         assert rows() == known and [r[2] for r in known] == ["one", "two", "alone"]
-        time.sleep(8)  # longer than a state stays
+        time.sleep(17)  # longer than a state stays
         put("2", [("b", round(time.time(), 3), "again", None)])  # without sound it would wait, had the state stayed
         until = time.time() + 60
         while len(rows()) < 4 and time.time() < until:
