@@ -231,18 +231,19 @@ def t3_rule_sentences(spark, d):
     return docs(spark, d).select("doc_id", F.posexplode(chunking.rule_sentences(F.col("text"))).alias("position", "sentence"))
 
 
-#: Sentences as pieces that keep the white space behind them, so that their lengths add up to places; a chunk ends before the first sentence over its target.
-PACKED = rf"""WITH RECURSIVE t AS (SELECT doc_id, text, string_split(regexp_replace(text, '([.!?]){S}+', '\0' || chr(57345), 'g'), chr(57345)) AS p FROM documents WHERE text IS NOT NULL),
+def packed(chars: int) -> str:
+    """Sentences as pieces that keep the white space behind them, so that their lengths add up to places; a chunk ends before the first sentence over its target."""
+    return rf"""WITH RECURSIVE t AS (SELECT doc_id, text, string_split(regexp_replace(text, '([.!?]){S}+', '\0' || chr(57345), 'g'), chr(57345)) AS p FROM documents WHERE text IS NOT NULL),
 u AS (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM t),
 o AS (SELECT doc_id, i, piece, {strip('piece')} AS s, (sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) - length(piece))::BIGINT AS begins FROM u),
 k AS (SELECT doc_id, list(s ORDER BY i) AS s, list(begins + length(piece) - length(regexp_replace(piece, '^{S}+', '')) ORDER BY i) AS a FROM o WHERE s <> '' GROUP BY 1),
 l AS (SELECT *, len(s) AS n, list_prepend(0, (SELECT list(x ORDER BY j) FROM (SELECT j, sum(length(s[j])) OVER (ORDER BY j) AS x FROM range(1, len(s) + 1) r(j)))::BIGINT[])::BIGINT[] AS c FROM k),
-r AS (SELECT doc_id, 0 AS chunk, 0::BIGINT AS first, e AS ends FROM (SELECT doc_id, coalesce(list_min(list_filter(range(1, n), lambda j: c[j + 2] > 512)), n) AS e FROM l)
-UNION ALL SELECT doc_id, chunk + 1, back, coalesce(list_min(list_filter(range(ends + 1, n), lambda j: c[j + 2] - c[back + 1] > 512)), n) FROM (SELECT r.doc_id, chunk, ends, ends - floor((ends - first) * 0.25)::BIGINT AS back, n, c FROM r JOIN l USING (doc_id) WHERE ends < n)),
+r AS (SELECT doc_id, 0 AS chunk, 0::BIGINT AS first, e AS ends FROM (SELECT doc_id, coalesce(list_min(list_filter(range(1, n), lambda j: c[j + 2] > {chars})), n) AS e FROM l)
+UNION ALL SELECT doc_id, chunk + 1, back, coalesce(list_min(list_filter(range(ends + 1, n), lambda j: c[j + 2] - c[back + 1] > {chars})), n) FROM (SELECT r.doc_id, chunk, ends, ends - floor((ends - first) * 0.25)::BIGINT AS back, n, c FROM r JOIN l USING (doc_id) WHERE ends < n)),
 x AS (SELECT doc_id, chunk AS chunk_index, array_to_string(s[(first + 1)::BIGINT:ends], ' ') AS joined, (c[ends + 1] - c[first + 1]) / 4.0 AS est_tokens, a[first + 1] AS char_start, a[ends] + length(s[ends]) AS char_end FROM r JOIN l USING (doc_id))"""
 
 
-@query(f"{PACKED} SELECT doc_id, chunk_index, text, est_tokens, char_start, char_end, truncated FROM (SELECT *, left(joined, 520) AS text, length(joined) > 520 AS truncated FROM x) WHERE {VALID}")
+@query(f"{packed(512)} SELECT doc_id, chunk_index, text, est_tokens, char_start, char_end, truncated FROM (SELECT *, left(joined, 520) AS text, length(joined) > 520 AS truncated FROM x) WHERE {VALID}")
 def t11_chunks(spark, d):
     return chunking.good_chunks(docs(spark, d))
 
@@ -259,7 +260,23 @@ def t12_section_chunks(spark, d):
     return chunking.section_chunks(rows, target=400, overlap=60)
 
 
-@query()
+def snapped() -> tuple[str, str]:
+    """Where the text before and after a chunk is cut: at the first kind of border that it has."""
+    at = lambda m: "chr(10) || chr(10)" if m == "\n\n" else "chr(10)" if m == "\n" else f"'{m}'"
+    left = [f"WHEN instr(before, {at(m)}) > 0 THEN length(before) - instr(reverse(before), reverse({at(m)})) + 1" for m in chunking.MARKS]
+    right = [f"WHEN instr(behind, {at(m)}) > 0 THEN instr(behind, {at(m)}) - 1 + {len(m.rstrip())}" for m in chunking.MARKS]
+    return f"CASE {' '.join(left)} ELSE 0 END", f"CASE {' '.join(right)} ELSE length(behind) END"
+
+
+@query(f"""{packed(160)},
+e0 AS (SELECT doc_id, chunk_index, left(joined, 200) AS text, t.text AS whole, char_start, char_end, 512 - length(left(joined, 200)) AS room FROM x JOIN t USING (doc_id)),
+e1 AS (SELECT *, greatest(0, char_start - least(256, room // 4) * 4) AS l, least(length(whole), char_end + least(256, room // 4) * 4) AS r FROM e0),
+e2 AS (SELECT *, substr(whole, l + 1, char_start - l) AS before, substr(whole, char_end + 1, r - char_end) AS behind FROM e1),
+e3 AS (SELECT *, CASE WHEN l > 0 THEN {snapped()[0]} ELSE 0 END AS cl, CASE WHEN r < length(whole) THEN {snapped()[1]} ELSE length(behind) END AS cr FROM e2),
+e4 AS (SELECT *, {strip('substr(before, (cl + 1)::BIGINT)')} AS pre, {strip('substr(behind, 1, cr::BIGINT)')} AS post FROM e3),
+e5 AS (SELECT *, CASE WHEN pre <> '' OR post <> '' THEN '[...' || pre || '] ' ELSE '' END AS head, CASE WHEN pre <> '' OR post <> '' THEN ' [' || post || '...]' ELSE '' END AS tail, room // 2 AS half FROM e4),
+e6 AS (SELECT *, head || text || tail AS wide, CASE WHEN length(head) > half THEN '...' || right(head, half) ELSE head END || text || CASE WHEN length(tail) > room - half THEN left(tail, room - half) || '...' ELSE tail END AS trimmed FROM e5)
+SELECT doc_id, chunk_index, CASE WHEN room <= 50 THEN text WHEN length(wide) > 512 THEN left(CASE WHEN length(text) <= 256 THEN trimmed ELSE wide END, 512) ELSE wide END AS text FROM e6""")
 def t14_context_expansion(spark, d):
     rows = docs(spark, d)
     parts = chunking.chunks(rows, target=40, hard=200)
