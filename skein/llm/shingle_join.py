@@ -7,7 +7,8 @@ first n - ceil(t n) + 1 of them, its prefix, must hold one that any linked docum
 prefix holds too. Then:
 
 1. Documents that share one of their ``LOWEST`` n-grams with the lowest hashes, which
-   similar documents mostly do, form clusters; the whole rows of a cluster are
+   similar documents mostly do, form clusters (frequent n-grams count only where they
+   are most of a document); the whole rows of a cluster are
    multiplied in blocks, which settles the pairs inside it. In a cluster of more than
    one block all members are compared with one of them first; those linked with it are
    in one component anyhow, so that only the others are compared with all.
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import materialise, pick
+from skein.llm.common import discard, materialise, pick
 from skein.llm.components import components
 from skein.llm.vectors import _roots
 
@@ -110,13 +111,28 @@ def prefix_length(n, percent: int):
     return n - -(-percent * n // 100) + 1
 
 
-def _prefix(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    late = np.zeros(len(s), bool)
-    if len(frequent):
-        late = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
+def _late(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Which n-grams of a set are frequent ones."""
+    if not len(frequent):
+        return np.zeros(len(s), bool)
+    return frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
+
+
+def _prefix(s: np.ndarray, late: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate([s[~late], s[late]])[: prefix_length(len(s), percent)]
 
 
+def _lowest(s: np.ndarray, late: np.ndarray) -> np.ndarray:
+    """The n-grams that a document looks for its cluster by.
+
+    Where at least half of its n-grams aren't frequent, those alone count, so that documents
+    that share a common passage and nothing else don't meet; in one of a large group of
+    copies most are frequent, and all count.
+    """
+    rare = s[~late]
+    return (rare if 2 * len(rare) >= len(s) else s)[:LOWEST]
+
+
 def _slices(batches):
     """Batches in slices, so that a worker holds the sets of few documents."""
     for batch in batches:
@@ -140,15 +156,16 @@ def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n (size of its set), sig (digest of its set), prefix, lowest (its first n-grams by hash alone)."""
+    """doc_id, n (size of its set), sig (digest of its set), prefix, lowest (the n-grams with the lowest hashes by which it looks for its cluster)."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)  # bounded by MOST_FREQUENT
 
     def run(batches):
         for batch in _slices(batches):
             sets = [shingles(t, k) for t in batch.column(1).to_pylist()]
             sig = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            prefix = [_prefix(s, sent.value, percent).view(np.int64) if len(s) else None for s in sets]
-            lowest = [s[:LOWEST].view(np.int64) if len(s) else None for s in sets]
+            late = [_late(s, sent.value) for s in sets]
+            prefix = [_prefix(s, m, percent).view(np.int64) if len(s) else None for s, m in zip(sets, late, strict=True)]
+            lowest = [_lowest(s, m).view(np.int64) if len(s) else None for s, m in zip(sets, late, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(lowest, pa.list_(pa.int64()))], names=["doc_id", "n", "sig", "prefix", "lowest"])
 
     return docs.mapInArrow(run, "doc_id long, n long, sig binary, prefix array<long>, lowest array<long>")
@@ -302,7 +319,9 @@ def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, percent
                     out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return two.mapInArrow(run, "a long, b long")
+    links = materialise(two.mapInArrow(run, "a long, b long"), "links")
+    discard(found)
+    return links
 
 
 def groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
@@ -317,14 +336,21 @@ def groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     near = materialise(near_pivots(docs, reps, mine, k, percent), "near")
     edges = cluster_links(docs, reps, mine, near, k, percent).unionByName(near.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
     edges = materialise(edges, "cluster-links")
+    discard(near)
     label = components(edges)
     inside = mine.groupBy(F.col("rep").alias("_r")).agg(F.collect_list("c").alias("clusters"))  # at most LOWEST a document
     known = reps.select("rep", "n", "prefix").join(label, F.col("rep") == F.col("node"), "left").join(inside, F.col("rep") == F.col("_r"), "left")
     postings = known.select(F.explode("prefix").alias("s"), "rep", "n", F.coalesce("component", "rep").alias("component"), F.coalesce("clusters", F.array().cast("array<bigint>")).alias("clusters"))
-    pairs = materialise(candidates(materialise(postings, "postings"), percent), "pairs")
-    more = materialise(verified(docs, reps, pairs, k, percent), "links")
+    postings = materialise(postings, "postings")
+    discard(mine)
+    pairs = materialise(candidates(postings, percent), "pairs")
+    discard(postings)
+    more = verified(docs, reps, pairs, k, percent)
+    discard(pairs)
     final = components(edges.unionByName(more))
     found = reps.select("sig", "rep").join(final, F.col("rep") == F.col("node"), "left")
     found = materialise(found.select(F.col("sig").alias("_sig"), F.coalesce("component", "rep").alias("_c")), "found")
+    for table in (reps, sized, edges, more):
+        discard(table)
     done = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("sig")).alias("sig")).join(found, F.col("sig") == F.col("_sig"), "left")
     return done.select("doc_id", "n_shingles", F.coalesce("_c", "doc_id").alias("component_id"))
