@@ -104,18 +104,21 @@ def throttled(samples: DataFrame, least: float = 0.1, idle: str | None = None) -
 
 
 def transcripts(events: DataFrame, idle: str | None = None) -> DataFrame:
-    """X6. Utterances from (key, seq, kind, text): finals are appended, interims only stand in; 'end' emits."""
+    """X6. Utterances from (key, seq, kind, text): finals are appended, interims only stand in; 'end' emits.
+
+    Only blanks at the ends of an utterance go; line ends and what stands between finals stay.
+    """
 
     def step(key, batches, before):
         done, interim = before or ("", "")
         out = []
         for r in _sorted_rows(batches or [], "seq").itertuples(index=False):
             if r.kind == "final":
-                done, interim = f"{done} {r.text}".strip(), ""
+                done, interim = f"{done} {r.text}", ""
             elif r.kind == "interim":
                 interim = r.text
             elif r.kind == "end":
-                if full := f"{done} {interim}".strip():
+                if full := f"{done} {interim}".strip(" "):
                     out.append((key, r.seq, full))
                 done = interim = ""
         return out, (done, interim)

@@ -145,3 +145,9 @@ def test_keys_of_the_day_or_its_neighbours_or_the_legacy_key(spark):
     keys = spark.createDataFrame([(1, days(10), b"ten"), (1, days(12), b"twelve"), (1, None, b"old")], "user_id long, day string, key binary")
     got = {(r["user_id"], r["ts"] // day): r["key"] and bytes(r["key"]) for r in history.with_keys(messages, keys).collect()}
     assert got == {(1, 10): b"ten", (1, 11): b"ten", (1, 9): b"ten", (1, 20): b"old", (2, 10): None}
+
+
+def test_transcripts_lose_only_blanks_at_their_ends(spark):
+    rows = [(1, 0, "interim", "x"), (1, 1, "final", " one\n"), (1, 2, "final", "two "), (1, 3, "interim", "th\n"), (1, 4, "end", None), (1, 5, "interim", "  "), (1, 6, "end", None)]
+    got = streams.transcripts(spark.createDataFrame(rows, "key long, seq long, kind string, text string")).collect()
+    assert [tuple(r) for r in got] == [(1, 4, "one\n two  th\n")]
