@@ -317,3 +317,21 @@ def test_best_of_each_source(spark):
             known |= {(q, s, i) for _, i in sorted(own)[:3]}
     got = R.best_by_source(v, asked, 3, 0.9, "label")
     assert {(r["query_id"], r["source"], r["vec_id"]) for r in got.collect()} == known and got.count() == len(known)
+
+
+def test_variants_of_themselves_come_in_order_of_their_last_digits(spark):
+    rows = [(i, np.random.default_rng(i).normal(size=24).astype(np.float32).tolist()) for i in range(300)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    asked = v.where("vec_id % 5 = 0").selectExpr("0 as query_id", "vec_id as variant", "embedding")
+    got = [(r["vec_id"], r["score"]) for r in R.variant_top(v, asked, 7).orderBy("rank").collect()]
+
+    def dot(a, b):
+        s = 0.0
+        for x, y in zip(a, b, strict=True):
+            s += x * y
+        return s
+
+    score = lambda q, x: dot(q, x) / math.sqrt(dot(q, q)) / math.sqrt(dot(x, x))
+    want = sorted(((-max(score(q, x) for j, q in rows if j % 5 == 0), i) for i, x in rows))[:7]
+    assert got == [(i, -s) for s, i in want]
+    assert len({s for _, s in got}) > 1 or [i for i, _ in got] != list(range(0, 35, 5))
