@@ -335,3 +335,31 @@ def test_variants_of_themselves_come_in_order_of_their_last_digits(spark):
     want = sorted(((-max(score(q, x) for j, q in rows if j % 5 == 0), i) for i, x in rows))[:7]
     assert got == [(i, -s) for s, i in want]
     assert len({s for _, s in got}) > 1 or [i for i, _ in got] != list(range(0, 35, 5))
+
+
+def test_chunks_of_an_index_are_embedded_once(spark, tmp_path, monkeypatch):
+    from skein.plans import composite
+
+    log = str(tmp_path / "sent")
+
+    def embed(texts):
+        with open(log, "a") as f:
+            f.write(f"{len(texts)}\n")
+        return [[1.0, float(len(t))] for t in texts]
+
+    monkeypatch.setattr(composite, "EMBED", embed)
+    docs = spark.createDataFrame([(i, f"This is the sentence with number {'x' * i} of a small text.") for i in range(20)], DOCS).coalesce(1)
+    assert len(composite.indexed(docs).collect()) == 20
+    assert sum(map(int, Path(log).read_text().split())) == 20
+
+
+def test_batches_are_cut_by_bytes():
+    import pyarrow as pa
+
+    from skein.functions import arrays as A
+
+    texts = ["a" * 10_000, "b" * 50_000, None, *("c" * 500 for _ in range(300))]
+    found = list(A.pieces([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])], 20_000))
+    assert [t for b in found for t in b.column(0).to_pylist()] == texts
+    assert all(b.num_rows == 1 or sum(len(t or "") for t in b.column(0).to_pylist()) <= 20_000 for b in found)
+    assert len(found) > 8
