@@ -3,7 +3,7 @@
 After Kiss and Strunk's method: an abbreviation is a word that stands with a full stop far more
 often than chance, is short, and rarely stands without one; words that begin
 sentences, and pairs that hold together across a full stop, are found by likelihood
-ratios too. Counts are taken over the whole corpus by one pass each; the model is a small
+ratios too. Counts are taken over the whole corpus by one pass; the model is a small
 table of what passed its threshold, and splitting is made of expressions.
 
 Behind an abbreviation or an initial a sentence ends only before a known beginning; behind
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions import text as X
+from skein.sources import scratch
 
 ABBREVIATION, COLLOCATION, STARTER = 0.3, 7.88, 30.0
 LEAST_PAIR = 3  #: times that a pair has to occur
@@ -40,12 +41,19 @@ class Model(NamedTuple):
 
 
 def tokens(docs: DataFrame) -> DataFrame:
-    """word (lower case, without marks around and the last full stop), stop (whether it had one), next, capital (the next begins with a capital)."""
+    """word (lower case, without marks around and the last full stop), stop (whether it had one), next, capital (the next begins with a capital), n (how often).
+
+    Tokens are counted as they stand before any pattern meets them; what comes next is kept
+    behind a full stop only, so that there are hardly more rows than words.
+    """
     found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\t-\r ]+"), F.lit(0))
     pairs = docs.select(F.explode(F.arrays_zip(found.alias("a"), F.concat(F.slice(found, 2, F.greatest(F.size(found), F.lit(1))), F.array(F.lit(None).cast("string"))).alias("b"))).alias("p"))
+    pairs = pairs.select(F.col("p.a").alias("a"), F.when(F.contains("p.a", F.lit(".")), F.col("p.b")).alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     bare = lambda c: F.regexp_replace(F.lower(c), r"^[^\p{L}\p{N}.]+|[^\p{L}\p{N}.]+$", "")
-    rows = pairs.select(bare(F.col("p.a")).alias("w"), F.regexp_replace(bare(F.col("p.b")), r"[.]$", "").alias("next"), F.coalesce(F.col("p.b").rlike(r"^[^\p{L}\p{N}]*\p{Lu}"), F.lit(False)).alias("capital"))
-    return rows.select(F.regexp_replace("w", r"[.]$", "").alias("word"), F.endswith("w", F.lit(".")).alias("stop"), "next", "capital").where(r"word rlike '[\\p{L}\\p{N}]'")
+    rows = pairs.select(bare(F.col("a")).alias("w"), F.regexp_replace(bare(F.col("b")), r"[.]$", "").alias("next"), F.coalesce(F.col("b").rlike(r"^[^\p{L}\p{N}]*\p{Lu}"), F.lit(False)).alias("capital"), "n")
+    stop = F.endswith("w", F.lit("."))
+    rows = rows.select(F.regexp_replace("w", r"[.]$", "").alias("word"), stop.alias("stop"), F.when(stop, F.col("next")).alias("next"), (stop & F.col("capital")).alias("capital"), "n").where(r"word rlike '[\\p{L}\\p{N}]'")
+    return rows.groupBy("word", "stop", "next", "capital").agg(F.sum("n").alias("n"))
 
 
 def _ratio(both: Column, a: Column, b: Column, n: Column) -> Column:
@@ -72,22 +80,22 @@ def abbreviations(counts: DataFrame) -> DataFrame:
 
 
 def counted(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.count_if("stop").alias("k"))
+    return rows.groupBy("word").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("stop"), F.col("n")).otherwise(0)).alias("k"))
 
 
 def fit(docs: DataFrame) -> Model:
-    """The model of a table of documents (text)."""
-    rows = tokens(docs)
-    counts = counted(rows)
+    """The model of a table of documents (text), which is read once."""
+    rows = scratch.written(tokens(docs), "tokens")
+    counts = scratch.written(counted(rows), "words")
     short = _words(abbreviations(counts).select("word"))
     # an end is a full stop behind a word that is no abbreviation, initial or number
     end = F.col("stop") & ~F.col("word").isin(short) & (F.length("word") > 1) & ~F.col("word").rlike(r"^[0-9.,]+$")
-    n, ends = rows.agg(F.count(F.lit(1)), F.count_if(end)).collect()[0]
-    begins = rows.where(end & F.col("capital") & F.col("next").isNotNull()).groupBy("next").agg(F.count(F.lit(1)).alias("both"))
+    n, ends = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(end, F.col("n"))), F.lit(0))).collect()[0]
+    begins = rows.where(end & F.col("capital") & F.col("next").isNotNull()).groupBy("next").agg(F.sum("n").alias("both"))
     first = begins.join(counts, begins["next"] == counts["word"]).withColumn("score", _ratio(F.col("both"), F.lit(ends), F.col("n"), F.lit(n)))
     starters = _words(first.where((F.col("score") >= STARTER) & (F.col("both") / max(ends, 1) > F.col("n") / max(n, 1))).select("word"))
     held = rows.where(F.col("stop") & F.col("next").isNotNull() & (F.col("word").isin(short) | (F.length("word") == 1) | F.col("word").rlike(r"^[0-9.,]+$")))
-    pairs = held.groupBy("word", "next").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= LEAST_PAIR)
+    pairs = held.groupBy("word", "next").agg(F.sum("n").alias("both")).where(F.col("both") >= LEAST_PAIR)
     a, b = counts.select("word", F.col("n").alias("a")), counts.select(F.col("word").alias("next"), F.col("n").alias("b"))
     pairs = pairs.join(a, "word").join(b, "next").withColumn("score", _ratio(F.col("both"), F.col("a"), F.col("b"), F.lit(n)))
     pairs = pairs.where((F.col("score") >= COLLOCATION) & (F.col("both") / F.col("a") > F.col("b") / max(n, 1)) & ~F.col("next").isin(starters))

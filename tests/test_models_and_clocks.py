@@ -164,3 +164,12 @@ def test_pinned_snapshots_in_a_stream(spark, tmp_path):
     run("four")
     assert seen == [(0, ["one"], None), (1, ["two"], "v1"), (2, ["three"], "v1"), (2, ["three"], "v1"), (3, ["four"], "v2")]
     assert len(list((tmp_path / "pins").glob("batch-*"))) == 2
+
+
+def test_tokens_are_counted_before_they_are_looked_at(spark):
+    text = "Dr. Who met (Mr. X.) in a big-town. Then 3.5 went, e.g. home."
+    one = sentence_model.tokens(spark.createDataFrame([(text,)], "text string"))
+    many = sentence_model.tokens(spark.createDataFrame([(text,)] * 50, "text string").repartition(4))
+    rows = lambda df, n: sorted((str(r["word"]), r["stop"], str(r["next"]), r["capital"], r["n"] // n) for r in df.collect())
+    assert rows(many, 50) == rows(one, 1)
+    assert ("dr", True, "who", True, 1) in rows(one, 1) and ("big-town", True, "then", True, 1) in rows(one, 1)
