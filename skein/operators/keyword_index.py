@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as X
 from skein.operators import retrieval as R
+from skein.sources import scratch
 from skein.sources import segments as S
 
 MOST_SEGMENTS = 16  #: ``add`` and ``delete`` merge beyond these
@@ -52,12 +53,13 @@ def _change(spark: SparkSession, path: str, key: str, docs: DataFrame | None, go
     name, out = S.new_segment(path)
     entry = {"segment": name, "at": at, "postings": False, "docs": False, "ended": False, "n": 0, "length": 0}
     if docs is not None:
-        rows = docs.where(F.col(key).isNotNull()).select(key, "text")
-        rows.select(key, F.size(X.terms(F.col("text"))).alias("dl")).write.parquet(f"{out}/docs")
+        # taken from the texts once: lengths, the sample for the ranges, and the postings read this table
+        counted = scratch.written(R.counted_terms(docs.where(F.col(key).isNotNull()).select(key, "text"), key), "terms")
+        counted.select(key, "dl").write.parquet(f"{out}/docs")
         own = spark.read.parquet(f"{out}/docs")
         if own.groupBy(key).count().where("count > 1").limit(1).count():
             raise ValueError(f"a {key} stands twice in one batch")
-        R.write_postings(R.postings(rows, key), f"{out}/postings", key)
+        R.write_postings(R.postings_of(counted, key), f"{out}/postings", key)
         n, length = own.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).collect()[0]
         entry |= {"docs": True, "n": n, "length": length, "postings": length > 0}
         gone = own.select(key)

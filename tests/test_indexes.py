@@ -363,3 +363,20 @@ def test_batches_are_cut_by_bytes():
     assert [t for b in found for t in b.column(0).to_pylist()] == texts
     assert all(b.num_rows == 1 or sum(len(t or "") for t in b.column(0).to_pylist()) <= 20_000 for b in found)
     assert len(found) > 8
+
+
+def test_texts_are_read_once_for_a_segment(spark, tmp_path):
+    log = str(tmp_path / "read")
+
+    def run(batches):
+        for batch in batches:
+            with open(log, "a") as f:
+                f.write(f"{batch.num_rows}\n")
+            yield batch
+
+    docs = spark.createDataFrame([(i, f"a word {i} word"[: i + 1]) for i in range(15)] + [(15, None)], DOCS).mapInArrow(run, DOCS)
+    keyword_index.add(docs, str(tmp_path / "index"))
+    assert sum(map(int, Path(log).read_text().split())) == 16
+    got = {(r["doc_id"], r["term"], r["tf"], r["dl"]) for r in keyword_index.postings(spark, str(tmp_path / "index")).collect()}
+    assert {(14, "word", 2, 4), (14, "14", 1, 4), (0, "a", 1, 1)} <= got
+    assert keyword_index.documents(spark, str(tmp_path / "index")).count() == 16
