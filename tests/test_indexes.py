@@ -380,3 +380,74 @@ def test_texts_are_read_once_for_a_segment(spark, tmp_path):
     got = {(r["doc_id"], r["term"], r["tf"], r["dl"]) for r in keyword_index.postings(spark, str(tmp_path / "index")).collect()}
     assert {(14, "word", 2, 4), (14, "14", 1, 4), (0, "a", 1, 1)} <= got
     assert keyword_index.documents(spark, str(tmp_path / "index")).count() == 16
+
+
+def test_queries_of_many_partitions_meet_vectors_in_full_blocks(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(300)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    asked = vectors.where("vec_id % 3 = 0").select(F.col("vec_id").alias("query_id"), "embedding").repartition(30)
+    pairs = R._block_pairs(vectors, asked, "vec_id").select(F.size("qs").alias("q"), F.size("vs").alias("v")).collect()
+    assert {r["q"] for r in pairs} == {100} and sum(r["v"] for r in pairs) == 300
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = {q: np.argsort(-(x[q] @ x.T), kind="stable")[:5].tolist() for q in range(0, 300, 3)}
+    got: dict = {}
+    for r in R.nearest(vectors, asked, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == want
+
+
+def test_more_queries_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(R, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(100)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    asked = vectors.select(F.col("vec_id").alias("query_id"), "embedding")
+    assert R._block_pairs(vectors, asked, "vec_id").groupBy("vs").agg(F.sum(F.size("qs")).alias("n")).where("n <> 100").count() == 0
+    top = R.nearest(vectors, asked, 1).collect()
+    assert sorted((r["query_id"], r["vec_id"]) for r in top) == [(i, i) for i in range(100)]
+
+
+def test_a_block_gives_n_of_many_alike(spark):
+    same = spark.createDataFrame([(f"k{i:04}", [1.0, 2.0]) for i in range(500, 0, -1)], "vec_id string, embedding array<double>").coalesce(1)
+    asked = spark.createDataFrame([(1, [1.0, 2.0])], "query_id long, embedding array<double>")
+    got = R.block_scores(same, asked, R.first_n(3)).collect()
+    assert sorted(r["vec_id"] for r in got) == ["k0001", "k0002", "k0003"]
+
+
+def test_scores_of_a_document_are_summed_where_it_lies(spark):
+    docs = spark.createDataFrame([(i, f"red w{i} {'blue ' * (i % 3)}") for i in range(60)], DOCS).repartition(6)
+    asked = spark.createDataFrame([(q, "red blue") for q in range(9)], "query_id long, text string")
+    scored = R.bm25(docs, asked)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" not in plan and "hashpartitioning(doc_id" in plan
+    want = slow_bm25({i: f"red w{i} {'blue ' * (i % 3)}" for i in range(60)}, {q: "red blue" for q in range(9)})
+    assert {(r["query_id"], r["doc_id"]): round(r["score"], 9) for r in scored.collect()} == {k: round(v, 9) for k, v in want.items()}
+
+
+def test_model_results_stay_in_arrow(spark):
+    """Each text once, nulls stay, and a model that gives too few results is an error."""
+    rows = spark.createDataFrame([(i, None if i % 5 == 0 else f"t{i % 7}") for i in range(70)], "id long, text string").coalesce(1)
+    got = corpus.through_model(rows, "text", lambda ts: [[float(len(t))] if t != "t3" else None for t in ts], "v", "array<double>").collect()
+    assert all(r["v"] == (None if r["text"] in (None, "t3") else [2.0]) for r in got) and len(got) == 70
+    with pytest.raises(Exception, match="results for"):
+        corpus.through_model(rows, "text", lambda ts: [], "v", "array<double>").collect()
+
+
+def test_items_of_greedy_removal_are_made_once(spark, tmp_path):
+    from skein.functions import arrays as A
+
+    odd = [[1.0, 0.0], None, [], [0.0, 0.0], [1.0, None], [1.0, float("nan")], [float("inf"), 1.0], [0.0, 2.0], [2.0, 0.0]]
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(1, i, v) for i, v in enumerate(odd)], "g long, k long, v array<double>").coalesce(1).mapInArrow(run, "g long, k long, v array<double>")
+    got = sorted(r["k"] for r in corpus.near_copies(rows, "g", "k", "v").collect())
+    assert got == [0, 1, 2, 3, 4, 5, 6, 7] and seen.value == len(odd)
+    sliced = __import__("pyarrow").array(odd).slice(3)
+    assert A.spread(sliced)[3].tolist() == [False, False, False, False, True, True]
