@@ -144,9 +144,13 @@ def search(spark: SparkSession, path: str, queries: DataFrame, n: int, probes: i
     """query_id, key, score, rank: the n best vectors found of each query (query_id, embedding) by cosine, ties by key.
 
     ``probes`` are the leaves that a query reads: by default those that the index was
-    measured to need; with as many as it has the result is exact.
+    measured to need; with as many as it has the result is exact. Then a query isn't dealt to each
+    leaf, which would take the product of both: all leaves are read as one table.
     """
-    key = described(spark, path)["key"]
+    about = described(spark, path)
+    key = about["key"]
+    if probes is not None and probes >= about["leaves"]:
+        return R.nearest(spark.read.parquet(f"{path}/leaves").select(key, "embedding"), queries, n, key)
     asked, rows = candidates(spark, path, queries, probes)
     q = R.unit_blocks(asked.repartition("leaf").select("leaf", "query_id", "v"), "qs", "leaf").withColumnRenamed("raw", "qraw")
     v = R.unit_blocks(rows.select(F.col("leaf").cast("long").alias("leaf"), key, F.col("embedding").alias("v")), "vs", "leaf")

@@ -451,3 +451,16 @@ def test_items_of_greedy_removal_are_made_once(spark, tmp_path):
     assert got == [0, 1, 2, 3, 4, 5, 6, 7] and seen.value == len(odd)
     sliced = __import__("pyarrow").array(odd).slice(3)
     assert A.spread(sliced)[3].tolist() == [False, False, False, False, True, True]
+
+
+def test_reading_all_leaves_deals_no_query_to_each(spark, tmp_path, monkeypatch):
+    rows = [(i, v.tolist()) for i, v in enumerate(clustered(400, 8, 12, 5))] + [(1000, [1.0, 2.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    path = str(tmp_path / "index")
+    about = vector_index.write(vectors, path, leaf=20)
+    asked = vectors.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    monkeypatch.setattr(vector_index, "_with_leaves", None)
+    got = vector_index.search(spark, path, asked, 5, about["leaves"])
+    want = R.nearest(vectors, asked, 5)
+    pick = lambda d: sorted((r["query_id"], r["rank"], r["vec_id"]) for r in d.collect())
+    assert pick(got) == pick(want)
