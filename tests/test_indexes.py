@@ -464,3 +464,14 @@ def test_reading_all_leaves_deals_no_query_to_each(spark, tmp_path, monkeypatch)
     want = R.nearest(vectors, asked, 5)
     pick = lambda d: sorted((r["query_id"], r["rank"], r["vec_id"]) for r in d.collect())
     assert pick(got) == pick(want)
+
+
+def test_sums_that_differ_in_their_last_digits_come_by_key(spark, monkeypatch):
+    from skein.plans import composite
+
+    index = spark.createDataFrame([(i, f"{i}#0", "red blue green", composite.EMBED(["red blue green"])[0]) for i in range(6)], "doc_id long, chunk_id string, text string, embedding array<double>")
+    asked = spark.createDataFrame([(1, "red blue green")], "query_id long, text string")
+    noisy = index.select(F.lit(1).cast("long").alias("query_id"), "chunk_id", (1 + F.col("doc_id") * 1e-15 * 5).alias("score"))
+    monkeypatch.setattr(R, "bm25", lambda *a, **k: noisy)
+    got = composite.enriched(index, index, asked, k=3).orderBy("rank").collect()
+    assert [r["doc_id"] for r in got] == [0, 1, 2]
