@@ -90,6 +90,24 @@ def distinct_ignoring_case(items: DataFrame, key: str, value: str, order: str) -
     return items.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+def distinct_elements(rows: DataFrame, key: str, values: Column, value: str, order: str) -> DataFrame:
+    """A12 on arrays: ``distinct_ignoring_case`` of their elements, with their places as ``order``.
+
+    Each row's array is freed of repeats where it lies; only rows whose key occurs in several are shuffled.
+    """
+    several = F.broadcast(rows.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_k"))
+    same = F.col(key).eqNullSafe(F.col("_k"))
+
+    def firsts(some: DataFrame) -> DataFrame:
+        items = F.transform(values, lambda v, i: F.struct(F.lower(v).alias("low"), i.alias("i"), v.alias("v")))
+        found = some.select(key, F.sort_array(items).alias("_s"))  # a column, as each element looks at the one before
+        new = F.filter("_s", lambda x, i: (i == 0) | ~x["low"].eqNullSafe(F.get("_s", i - 1)["low"]))
+        return found.select(key, F.explode(new).alias("_x")).select(key, F.col("_x.i").alias(order), F.col("_x.v").alias(value))
+
+    repeated = distinct_ignoring_case(firsts(rows.join(several, same, "left_semi")), key, value, order)
+    return firsts(rows.join(several, same, "left_anti")).unionByName(repeated)
+
+
 def appended(old: DataFrame, new: DataFrame, *key: str) -> DataFrame:
     """J10. The old items and those new ones whose key isn't there yet."""
     return old.unionByName(new.join(old.select(*key), list(key), "left_anti"))

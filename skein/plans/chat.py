@@ -93,8 +93,8 @@ def a8_chat_statistics(spark, d):
 
 @query(r"WITH m AS (SELECT doc_id, unnest(w) AS memory, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, string_split(replace(text, chr(10), ' '), ' ') AS w FROM documents)) SELECT doc_id, memory, i - 1 AS position FROM m QUALIFY row_number() OVER (PARTITION BY doc_id, lower(memory) ORDER BY i) = 1")
 def a12_distinct_ignoring_case(spark, d):
-    words = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "[ \n]")).alias("position", "memory"))
-    return C.distinct_ignoring_case(words, "doc_id", "memory", "position").select("doc_id", "memory", "position")
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return C.distinct_elements(docs, "doc_id", F.split("text", "[ \n]"), "memory", "position").select("doc_id", "memory", "position")
 
 
 CALLS = "calls AS (SELECT 'c' || event_id % 400 || '-' || user_id AS call_id, event_id AS call FROM events WHERE event_type = 'click'), outs AS (SELECT 'c' || event_id % 400 || '-' || user_id AS call_id, event_id AS output FROM events WHERE event_type = 'view')"

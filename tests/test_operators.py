@@ -227,3 +227,20 @@ def test_normal_forms_for_turn_models(spark):
 
     got = spark.createDataFrame([("ＡＢＣ！ ﬁne",), (None,), ("it's O-K.",)], "t string").select(X.turn_text(F.col("t")).alias("t")).collect()
     assert [r["t"] for r in got] == ["abc fine", None, "it's o-k"]
+
+
+def test_distinct_elements_shuffle_only_repeated_keys(spark):
+    from skein.plans import catalog
+
+    out = catalog.QUERIES["a12_distinct_ignoring_case"](spark, "/root/testdata/sf0.001")
+    assert out.count() > 0
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString().split("Window", 1)[1]  # of keys in several rows
+    given = [(1, ["b", "A", None, "a", "B", None, "c"]), (2, ["x", "X"]), (2, ["y", "z", "x", "Y"]), (None, ["q", "Q"]), (None, ["w", "r", "q"]), (3, None), (4, []), (5, ["ß", "SS", "ẞ", "İ", "i"])]
+    df = spark.createDataFrame(given, "k long, v array<string>")
+    want = chat.distinct_ignoring_case(df.select("k", F.posexplode("v").alias("i", "w")), "k", "w", "i")
+    got = chat.distinct_elements(df, "k", F.col("v"), "w", "i")
+    assert got.columns == ["k", "i", "w"]
+    key = lambda r: (str(r["k"]), str(r["w"]).lower(), r["i"])
+    apart = lambda d: sorted((key(r) for r in d.collect() if r["k"] not in (2, None)))
+    assert apart(got) == apart(want)
+    assert sorted(key(r) for r in got.where("k = 2 or k is null").collect()) == [("2", "x", 0), ("2", "y", 0), ("2", "z", 1), ("None", "q", 0), ("None", "r", 1), ("None", "w", 0)]
