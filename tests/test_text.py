@@ -144,6 +144,14 @@ def test_rule_sentences(spark):
     ]
 
 
+def test_rule_sentences_run_their_patterns_once(spark):
+    assert one(spark, "", chunking.rule_sentences) == [] and one(spark, " \u3000.\x1c", chunking.rule_sentences) == ["."]
+    assert one(spark, "\u2003Mrs. A and St. B met Mr.. X \x85!\u00a0So they did, as we all know well.\u2029", chunking.rule_sentences) == ["Mrs. A and St. B met Mr..", "X \x85! So they did, as we all know well."]
+    assert one(spark, "\nA. \n", lambda t: chunking.rule_sentences(t, keep_format=True)) == ["\nA. \n"]
+    plan = spark.range(1).select(chunking.rule_sentences(F.col("id").cast("string")).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(com|net|org|io|gov|edu|me)") == 1
+
+
 def test_word_errors(spark):
     assert Wd.word_errors("a b c", "a x c d") == 0.5
     assert Wd.word_errors("", "a") == 1.0
