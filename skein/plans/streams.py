@@ -26,8 +26,8 @@ def chats(spark, d):
 
 def pieces(rows: DataFrame, text) -> DataFrame:
     """(key, seq, text): a turn's text in pieces, then a null that ends it."""
-    n = F.ceil(F.length(text) / PIECE).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), n), lambda i: F.when(i < n, F.substring(text, i * PIECE + 1, F.lit(PIECE))))
+    # one pass cuts a text, where a substring for each piece would make the text anew and start at its head
+    cut = F.concat(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), F.array(F.lit(None).cast("string")))
     return rows.select(F.col("conv_id").alias("key"), "turn", F.posexplode(cut).alias("_i", "text")).select("key", (F.col("turn") * 1_000_000 + F.col("_i")).alias("seq"), "text")
 
 

@@ -179,10 +179,14 @@ def without_thoughts(chunks: DataFrame, idle: str | None = None) -> DataFrame:
     def step(key, batches, before):
         thinking, held = before or (False, "")
         seq, out = -1, []
-        for r in _sorted_rows(batches or [], "seq").itertuples(index=False):
-            ended = r.text is None or r.text != r.text
-            *whole, last = re.split(r"(</?think>)", held + ("" if ended else r.text))
-            text, seq = "", r.seq
+        rows = _sorted_rows(batches or [], "seq")
+        for seq, piece in zip(rows["seq"].tolist(), rows["text"].tolist()) if len(rows) else ():
+            ended = piece is None or piece != piece
+            if not (held or ended or "<" in piece):  # most pieces
+                out.append((key, seq, "" if thinking else piece))
+                continue
+            *whole, last = re.split(r"(</?think>)", held + ("" if ended else piece))
+            text = ""
             for part in whole:
                 if part in THOUGHTS:
                     thinking = part == THOUGHTS[0]

@@ -151,3 +151,13 @@ def test_transcripts_lose_only_blanks_at_their_ends(spark):
     rows = [(1, 0, "interim", "x"), (1, 1, "final", " one\n"), (1, 2, "final", "two "), (1, 3, "interim", "th\n"), (1, 4, "end", None), (1, 5, "interim", "  "), (1, 6, "end", None)]
     got = streams.transcripts(spark.createDataFrame(rows, "key long, seq long, kind string, text string")).collect()
     assert [tuple(r) for r in got] == [(1, 4, "one\n two  th\n")]
+
+
+def test_texts_are_cut_into_pieces_in_one_pass(spark):
+    from skein.plans import streams as plans
+
+    rows = spark.createDataFrame([(1, 0, "a\nb\U0001f600cdefg\r\nh"), (1, 1, ""), (2, 0, None), (3, 0, "1234567")], "conv_id long, turn int, text string")
+    out = plans.pieces(rows, F.concat("text", F.lit("~")))
+    got = [tuple(r) for r in out.orderBy("key", "seq").collect()]
+    assert got == [(1, 0, "a\nb\U0001f600cde"), (1, 1, "fg\r\nh~"), (1, 2, None), (1, 1_000_000, "~"), (1, 1_000_001, None), (3, 0, "1234567"), (3, 1, "~"), (3, 2, None)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("~") == 1  # the text is made once, not for each piece
