@@ -475,3 +475,36 @@ def test_sums_that_differ_in_their_last_digits_come_by_key(spark, monkeypatch):
     monkeypatch.setattr(R, "bm25", lambda *a, **k: noisy)
     got = composite.enriched(index, index, asked, k=3).orderBy("rank").collect()
     assert [r["doc_id"] for r in got] == [0, 1, 2]
+
+
+def test_messages_of_every_conversation_are_routed(spark, tmp_path):
+    from skein.plans import composite
+
+    text = "The old mill stands beside the river and grinds the grain of many farms every autumn. " * 3
+    spark.createDataFrame([(1, text), (2, text.replace("mill", "forge"))], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    turns = [(c, t, "user" if t % 2 == 0 else "assistant", f"What of the mill and the grain of farm {c}?") for c in (3, 49, 50, 51) for t in range(2)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = composite.c7_route_messages(spark, str(tmp_path)).select("query_id", "kind").distinct().collect()
+    assert sorted(map(tuple, got)) == sorted((c, k) for c in (3, 49, 50, 51) for k in ("chunk", "qa"))
+
+
+def test_nearest_in_many_blocks_keeps_ties_by_key_and_gives_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(R, "BLOCK", 16)
+    rng = np.random.default_rng(8)
+    x = rng.integers(-2, 3, size=(600, 3)).astype(float)  # many equal directions
+    rows = [(f"k{i:03}", v.tolist()) for i, v in enumerate(x)]
+    vectors = spark.createDataFrame(rows, "vec_id string, embedding array<double>").repartition(2)
+    asked = spark.createDataFrame([(i, v) for i, (_, v) in enumerate(rows[:40])], "query_id long, embedding array<double>")
+    usable = [(k, np.array(v) / np.linalg.norm(v)) for k, v in rows if any(v)]
+    want = set()
+    for q, (_, v) in enumerate(rows[:40]):
+        if any(v):
+            order = sorted(usable, key=lambda u: (-round(float(u[1] @ np.array(v)) / float(np.linalg.norm(v)), 9), u[0]))  # noqa: B023
+            want |= {(q, rank, u[0]) for rank, u in enumerate(order[:5], 1)}
+    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in R.nearest(vectors, asked, 5).collect()} == want
+    x, y = rng.normal(size=(20, 8)), rng.normal(size=(4000, 8))
+    x, y = x / np.linalg.norm(x, axis=1)[:, None], y / np.linalg.norm(y, axis=1)[:, None]
+    top, given = np.full((20, 5), -np.inf), 0
+    for a in range(0, 4000, 40):
+        given += len(R._risen(x, y[a : a + 40], top)[0])
+    assert np.allclose(top, np.sort(x @ y.T, axis=1)[:, -5:]) and given < 20 * 5 * 20  # 100 blocks
