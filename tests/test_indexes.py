@@ -506,5 +506,22 @@ def test_nearest_in_many_blocks_keeps_ties_by_key_and_gives_few_rows(spark, monk
     x, y = x / np.linalg.norm(x, axis=1)[:, None], y / np.linalg.norm(y, axis=1)[:, None]
     top, given = np.full((20, 5), -np.inf), 0
     for a in range(0, 4000, 40):
-        given += len(R._risen(x, y[a : a + 40], top)[0])
+        given += len(R.risen(x, y[a : a + 40], top)[0])
     assert np.allclose(top, np.sort(x @ y.T, axis=1)[:, -5:]) and given < 20 * 5 * 20  # 100 blocks
+
+
+def test_centroids_are_fitted_in_tasks(spark):
+    """The driver gets a row for each leaf, not the sample, and the rows' places change nothing."""
+    x = clustered(900, 6, 10, 3)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(5000, [1.0, 2.0])], "vec_id long, v array<double>")
+    made = []
+    for parts in (1, 7):
+        sample = vector_index._sampled(rows.repartition(parts), 901, 901).where(F.length("raw") > 16)
+        assert sample.count() == 900
+        made.append(vector_index.centroids_of(sample, 901, 10))
+        sums = vector_index._leaf_sums(sample, made[-1]).collect()
+        assert len(sums) <= 10 and len({r["leaf"] for r in sums}) == len(sums)
+    assert np.array_equal(*made) and made[0].shape == (10, x.shape[1])
+    assert np.allclose(np.linalg.norm(made[0], axis=1), 1)
+    few = vector_index._sampled(rows, 901, 300).count()
+    assert 200 < few < 400
