@@ -21,6 +21,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.functions import arrays as A
 from skein.functions import text as X
 from skein.sources import scratch
 
@@ -112,19 +113,28 @@ def _words(rows: DataFrame) -> list[str]:
 def sentences(text: Column, model: Model) -> Column:
     """Array of sentences by a model, stripped; empty ones are dropped."""
     pieces = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), rf"([.!?]{CLOSERS}{X.SPACE}++)(?=\S)", f"$1{END}"), END)
-    among = lambda w, known: F.array_contains(F.array(*(F.lit(k) for k in known)), w) if known else F.lit(False)
+    among = lambda w, known: w.isin(known) if known else F.lit(False)
+    heads = sorted({p.split(" ")[0] for p in model.pairs})
 
     def marked(all_: Column) -> Column:
         def one(piece: Column, i: Column) -> Column:
             # longer words are neither abbreviations nor beginnings
             last = F.regexp_replace(F.lower(F.regexp_extract(F.right(piece, F.lit(LONGEST)), rf"(\S+?)[.]{CLOSERS}{X.SPACE}*$", 1)), r"^[^\p{L}\p{N}.]+", "")
-            behind = F.left(F.coalesce(F.get(all_, i + 1), F.lit("")), F.lit(LONGEST))
-            following = F.regexp_replace(F.lower(F.regexp_extract(behind, r"^[^\p{L}\p{N}]*(\S+)", 1)), r"[^\p{L}\p{N}]+$", "")
+            return A.let(last, lambda w: judged(piece, i, w))
+
+        def judged(piece: Column, i: Column, last: Column) -> Column:
+            """What comes next is looked at only behind a word for which it matters, and once."""
             held = among(last, model.abbreviations) | (F.length(last) == 1) & last.rlike(r"\p{L}")
-            stays = (held & ~(among(following, model.starters) & behind.rlike(r"^[^\p{L}\p{N}]*\p{Lu}"))) | last.rlike(r"^[0-9.,]+$") & behind.rlike(r"^[^\p{L}\p{N}]*\p{Ll}") | among(F.concat_ws(" ", last, following), model.pairs)
-            return F.when((last != "") & stays, piece).otherwise(F.concat(piece, F.lit(END)))
+            number = last.rlike(r"^[0-9.,]+$")
+            behind = F.left(F.coalesce(F.get(all_, i + 1), F.lit("")), F.lit(LONGEST))
+            stays = A.let(behind, lambda b: A.let(F.regexp_replace(F.lower(F.regexp_extract(b, r"^[^\p{L}\p{N}]*(\S+)", 1)), r"[^\p{L}\p{N}]+$", ""), lambda f: kept(last, b, f, held, number)))
+            asked = (last != "") & (among(last, heads) | held | number)
+            return F.when(asked, F.when(stays, piece).otherwise(F.concat(piece, F.lit(END)))).otherwise(F.concat(piece, F.lit(END)))
+
+        def kept(last: Column, behind: Column, following: Column, held: Column, number: Column) -> Column:
+            return (held & ~(among(following, model.starters) & behind.rlike(r"^[^\p{L}\p{N}]*\p{Lu}"))) | number & behind.rlike(r"^[^\p{L}\p{N}]*\p{Ll}") | among(F.concat_ws(" ", last, following), model.pairs)
 
         return F.transform(all_, one)
 
     joined = F.array_join(F.element_at(F.transform(F.array(pieces), marked), 1), "")
-    return F.filter(F.transform(F.split(joined, END), X.strip), lambda s: s != "")
+    return F.filter(F.transform(F.split(joined, END), lambda s: F.btrim(s, F.lit(X.BLANKS))), lambda s: s != "")

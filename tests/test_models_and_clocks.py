@@ -191,3 +191,13 @@ def test_tokens_are_counted_before_they_are_looked_at(spark):
     rows = lambda df, n: sorted((str(r["word"]), r["stop"], str(r["next"]), r["capital"], r["n"] // n) for r in df.collect())
     assert rows(many, 50) == rows(one, 1)
     assert ("dr", True, "who", True, 1) in rows(one, 1) and ("big-town", True, "then", True, 1) in rows(one, 1)
+
+
+def test_a_large_model_is_looked_up_in_sets(spark):
+    """A word is not compared with all of a model's, and is taken from its piece once."""
+    model = sentence_model.Model([f"abb{i}" for i in range(500)] + ["dr"], ["the", *(f"s{i}" for i in range(500))], ["no one", *(f"a{i} b{i}" for i in range(500))])
+    df = spark.createDataFrame([("Dr. Who met Dr. The end. See no. One left. At 3. may. At 3. May. I. Q. X ",)], "t string")
+    out = df.select(sentence_model.sentences(F.col("t"), model).alias("s"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_contains" not in plan and plan.count("INSET") >= 4
+    assert out.collect()[0][0] == ["Dr. Who met Dr.", "The end.", "See no. One left.", "At 3. may.", "At 3.", "May.", "I. Q. X"]
