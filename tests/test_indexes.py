@@ -525,3 +525,19 @@ def test_centroids_are_fitted_in_tasks(spark):
     assert np.allclose(np.linalg.norm(made[0], axis=1), 1)
     few = vector_index._sampled(rows, 901, 300).count()
     assert 200 < few < 400
+
+
+def test_best_of_bm25_are_found_without_a_row_for_each_pair(spark, monkeypatch):
+    monkeypatch.setattr(R, "BLOCK", 32)
+    monkeypatch.setattr(R, "COLUMNS", 4)
+    texts = [None if i == 7 else f"red w{i % 9} {'blue ' * (i % 3)} {'Green_1' if i % 50 == 0 else ''}" for i in range(400)]
+    docs = spark.createDataFrame([(f"k{(i * 37) % 400:03}", t) for i, t in enumerate(texts)], "chunk_id string, text string").repartition(3)
+    asked = spark.createDataFrame([(q, f"Red red w{q} blue green_1 none") for q in range(9)] + [(20, None), (21, "none")], "query_id long, text string")
+    nine = lambda d: R.best(d.withColumn("score", F.round("score", 9)), 10, "chunk_id").select("query_id", "rank", "chunk_id", "score")
+    got = R.bm25(docs, asked, "chunk_id", n=10)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and got.count() < 9 * 400 / 2
+    assert sorted(map(tuple, nine(got).collect())) == sorted(map(tuple, nine(R.bm25(docs, asked, "chunk_id")).collect()))
+    assert R.bm25(docs, asked.where("query_id >= 20"), "chunk_id", n=10).count() == 0
+    monkeypatch.setattr(R, "MOST_ASKED", 2)
+    assert R.bm25(docs, asked, "chunk_id", n=10).count() == 9 * 399
